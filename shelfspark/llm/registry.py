@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_dedup
+from . import block_dedup, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_pii": pii.query,
+    "op8_quality_rules": quality.query,
     "op9_block_dedup": block_dedup.query,
 }
 

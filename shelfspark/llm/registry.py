@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_dedup, pii, quality, token_store
+from . import block_dedup, mixing, pii, quality, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_store": token_store.query,
     "op7_pii": pii.query,
     "op8_quality_rules": quality.query,
     "op9_block_dedup": block_dedup.query,
+    "op10_mixing": mixing.query,
 }
 
 ORACLES: dict[str, str] = {}

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_dedup, decontam, mixing, near_dedup, pii, quality, token_store
+from . import block_dedup, decontam, mixing, near_dedup, pii, quality, suffix_dedup, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dedup": near_dedup.query,
     "op4_decontamination": decontam.query,
     "op5_token_store": token_store.query,
+    "op6_suffix_dedup": suffix_dedup.query,
     "op7_pii": pii.query,
     "op8_quality_rules": quality.query,
     "op9_block_dedup": block_dedup.query,

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
 from functools import lru_cache
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import corpus
+from . import corpus, textops
 
 MAGIC = b"EFTS"
 HEADER = struct.Struct("<4sHHQQII")  # magic, version, id bytes, documents, ids, lower bits, upper bytes
@@ -38,8 +37,7 @@ SHARD_SCHEMA = "range int, seq int, n_ids long, shard binary"
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 END_ID = 2
 #: Distinct pieces a worker keeps encoded; those met once it is full are encoded each time.
-CACHE_PIECES = 500_000
-_RUN = re.compile(r"\s ")
+CACHE_PIECES = 2_000_000
 
 
 class EliasFano:
@@ -130,8 +128,31 @@ def _splits_at_spaces(spec: dict) -> bool:
     return pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and plain
 
 
+#: Last bytes of white space characters beyond ASCII.
+_WIDE_ENDS = np.zeros(256, bool)
+_WIDE_ENDS[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
+_SPACES = np.zeros(256, bool)
+_SPACES[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Document starts, and spaces that follow anything but white space."""
+    at = np.flatnonzero(data == 0x20)
+    at = at[at > 0]
+    before = data[at - 1]
+    ok = ~_SPACES[before]
+    wide = np.flatnonzero(ok & _WIDE_ENDS[before] & (at > 1))
+    p, q, r = data[at[wide] - 1], data[at[wide] - 2], data[np.maximum(at[wide] - 3, 0)]
+    space = (q == 0xC2) & ((p == 0x85) | (p == 0xA0))
+    space |= (r == 0xE2) & (q == 0x80) & ((p <= 0x8A) | (p == 0xA8) | (p == 0xA9) | (p == 0xAF))
+    space |= (r == 0xE2) & (q == 0x81) & (p == 0x9F)
+    space |= (p == 0x80) & ((r == 0xE1) & (q == 0x9A) | (r == 0xE3) & (q == 0x80))
+    ok[wide[space]] = False
+    return np.union1d(at[ok], offsets[:-1][np.diff(offsets) > 0])
+
+
 class Encoder:
-    """Ids of texts as little-endian bytes. Pieces between spaces are encoded once and kept."""
+    """Ids of texts. Distinct pieces between spaces are encoded once and kept, by 64-bit hash, in flat arrays."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -141,32 +162,44 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             self.by_piece = _splits_at_spaces(json.load(f))
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.kind = f"<u{self.width}"
-        self.cache: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self.kind = np.dtype(f"<u{self.width}")
+        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, self.kind)
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each text has."""
+        ids = [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, self.kind), *ids]), np.array([len(x) for x in ids], np.int64)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a flat buffer, and where each text's ids end."""
+        raw = data.tobytes()
         if not self.by_piece:
-            return self._whole(texts)
-        out: list[bytes] = []
-        for a in range(0, len(texts), 256):
-            out += self._pieces(texts[a : a + 256])
-        return out
-
-    def _pieces(self, texts: list[str]) -> list[bytes]:
-        """White space before a space may belong with it, so such texts are one piece; a first piece has no space before it."""
-        split = [[t] if _RUN.search(t) else t.split(" ") for t in texts]
-        cache, extra = self.cache, {}
-        first = list({s[0] for s in split})
-        heads = dict(zip(first, self._whole(first), strict=True))
-        new = [p for p in {p for s in split for p in s[1:]} if p not in cache]
-        if new:
-            target = cache if len(cache) + len(new) <= CACHE_PIECES else extra
-            target.update(zip(new, self._whole([" " + p for p in new]), strict=True))
-        find = (lambda p: cache.get(p) or extra[p]) if extra else cache.__getitem__
-        return [heads[s[0]] + b"".join(map(find, s[1:])) for s in split]
+            ids, n = self._whole([raw[a:b].decode() for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)])
+            return ids, np.cumsum(n)
+        starts = piece_starts(data, offsets)
+        if not len(starts):
+            return np.zeros(0, self.kind), np.zeros(len(offsets) - 1, np.int64)
+        ends = np.append(starts[1:], len(data))
+        keys, first, which = np.unique(textops.span_hash(textops.prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
+        spot = np.searchsorted(self.keys, keys)
+        spot[spot == len(self.keys)] = 0
+        known = self.keys[spot] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        new = np.flatnonzero(~known)
+        ids, n = self._whole([raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+        flat = np.concatenate([self.flat, ids])
+        at, size = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        at[known], size[known] = self.at[spot[known]], self.size[spot[known]]
+        at[new], size[new] = len(self.flat) + np.cumsum(n) - n, n
+        if len(self.keys) + len(new) <= CACHE_PIECES and len(new):
+            both = np.concatenate([self.keys, keys[new]])
+            by = np.argsort(both, kind="stable")
+            self.keys, self.at, self.size = both[by], np.concatenate([self.at, at[new]])[by], np.concatenate([self.size, size[new]])[by]
+            self.flat = flat
+        counts = size[which]
+        upto = np.cumsum(counts)
+        out = flat[np.repeat(at[which] - (upto - counts), counts) + np.arange(int(upto[-1]))]
+        return out, np.append(0, upto)[np.searchsorted(starts, offsets[1:], "left")]
 
 
 @lru_cache(maxsize=1)
@@ -191,14 +224,17 @@ def _encode(path: str, end_id: int, shard_ids: int):
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["range", "seq", "n_ids", "shard"])
 
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for i, body in zip(batch.column("doc_id").to_pylist(), enc.encode(texts), strict=True):
-                if bodies and size + len(body) // enc.width + 1 > shard_ids:
-                    yield flush()
-                ids.append(i or 0)
-                known.append(i is not None)
-                bodies.append(body + end)
-                size += len(body) // enc.width + 1
+            data, offsets = textops.flat(batch.column("text"))
+            names = batch.column("doc_id").to_pylist()
+            for a, b in textops.blocks(offsets, 4 << 20):
+                flat, stops = enc.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                for i, x, y in zip(names[a:b], np.append(0, stops).tolist(), stops.tolist(), strict=False):
+                    if bodies and size + y - x + 1 > shard_ids:
+                        yield flush()
+                    ids.append(i or 0)
+                    known.append(i is not None)
+                    bodies.append(flat[x:y].tobytes() + end)
+                    size += y - x + 1
         if bodies:
             yield flush()
 

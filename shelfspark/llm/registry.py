@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_dedup, decontam, html_extract, mixing, near_dedup, pii, quality, suffix_dedup, token_store
+from . import block_dedup, decontam, html_extract, lm_score, mixing, near_dedup, pii, quality, suffix_dedup, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_score": lm_score.query,
     "op2_html_extract": html_extract.query,
     "op3_near_dedup": near_dedup.query,
     "op4_decontamination": decontam.query,

@@ -8,10 +8,11 @@ remains is confirmed on the full sets. ``SIFT`` lies six deviations below 0.85.
 
 Documents with equal sets are one node, so copies never meet as pairs. A band first links
 its members to its smallest one. Where members of a band then still lie in different
-components, its members are compared in blocks of bounded size, by sketches; each round
-confirms a forest of the best pairs and each member's best few, four times as many a round,
-until no unconfirmed pair is left between components. So no pair is dropped, and a group
-of thousands of near copies takes about as many confirmations as it has members.
+components, shingles are counted over those members: one with too few shingles that any
+other has can link with none and leaves, which lowers the counts of the rest. Members that
+stay are compared in blocks of bounded size, by those counts and by sketches; each round
+confirms a forest of the best pairs and each member's best few, 16 times as many a round,
+until no unconfirmed pair is left between components. So no pair is dropped.
 
 Defined cases: null, empty or blank texts have an empty set and link with nothing; a text
 of fewer words is one shingle; rows that share a doc_id are one node; a null doc_id is
@@ -30,9 +31,10 @@ from . import corpus, graph, textops
 SHINGLE = 5
 PERCENT = 85
 BANDS, ROWS = 32, 4
-SAMPLES = BANDS * ROWS
-SKETCH_BITS = 512
-SIFT = 0.64
+SAMPLES = 256
+SKETCH_BITS = 1024
+SIFT = 0.715
+PEELS = 3
 BLOCK_MEMBERS = 1024
 SIGNATURE = "doc_id long, n long, f1 long, f2 long, bands array<long>, sketch binary"
 
@@ -75,7 +77,7 @@ def minhash(keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
-    v = samples.reshape(len(samples), BANDS, ROWS).astype(np.uint64)
+    v = samples[:, : BANDS * ROWS].reshape(len(samples), BANDS, ROWS).astype(np.uint64)
     acc = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for r in range(ROWS):
         acc = textops.mix(acc ^ v[:, :, r] * np.uint64(0xD6E8FEB86659FD93))
@@ -124,14 +126,16 @@ def _signatures(size: int):
     return run
 
 
-def _sets(size: int):
+def _sets(size: int, arrays: bool = False):
+    """(id, keys): a document's set as bytes, or as an array."""
+
     def run(batches):
         for batch in batches:
             data, offsets = textops.flat(batch.column("text"))
             for a, b in textops.blocks(offsets, 1 << 20):
                 keys, at = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
-                sets = [keys[at[i] : at[i + 1]].tobytes() for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b].cast(pa.int64()), pa.array(sets, pa.binary())], ["id", "keys"])
+                sets = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys.view(np.int64))) if arrays else pa.array([keys[at[i] : at[i + 1]].tobytes() for i in range(b - a)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b].cast(pa.int64()), sets], ["id", "keys"])
 
     return run
 
@@ -186,29 +190,36 @@ def _forest(a: np.ndarray, b: np.ndarray, order: np.ndarray, n: int) -> np.ndarr
     return np.array(out, np.int64)
 
 
-def _block_pairs(t: dict, each: int) -> list[tuple[int, int, bool]]:
-    """Candidate pairs of one block or pair of blocks: a forest of the best, and each member's ``each`` best."""
+def _block_pairs(t: dict, each: int, percent: int) -> list[tuple[int, int, bool]]:
+    """Candidate pairs of one block or pair of blocks whose first common band this is: a forest of the best, and each member's ``each`` best."""
     sketch = np.frombuffer(b"".join(t["sketch"]), "<u8").reshape(len(t["id"]), -1)
-    ids, comp, side = (np.array(t[c]) for c in ("id", "component", "side"))
-    n = len(ids)
+    bands = np.array(t["bands"])
+    ids, comp, side, n, held = (np.array(t[c]) for c in ("id", "component", "side", "n", "held"))
+    members = len(ids)
     cross = t["i"][0] != t["j"][0]
     found = []
-    for x in range(n - 1):
-        bits = np.bitwise_count(sketch[x + 1 :] ^ sketch[x]).sum(axis=1)
-        ok = (bits <= MOST_BITS) & (comp[x + 1 :] != comp[x]) & (ids[x + 1 :] != ids[x])
+    for x in range(members - 1):
+        most = np.minimum(held[x], held[x + 1 :])
+        ok = (comp[x + 1 :] != comp[x]) & (100 * most >= percent * (n[x] + n[x + 1 :] - most))
         if cross:
             ok &= side[x + 1 :] != side[x]
-        y = np.flatnonzero(ok)
-        if len(y):
-            found.append((np.full(len(y), x), y + x + 1, bits[y]))
+        y = np.flatnonzero(ok) + x + 1
+        if not len(y):
+            continue
+        bits = np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1)
+        near = bits <= MOST_BITS
+        y, bits = y[near], bits[near]
+        first = bands[x][(bands[y] == bands[x]).argmax(axis=1)] == t["band"][0]
+        if first.any():
+            found.append((np.full(int(first.sum()), x), y[first], bits[first]))
     if not found:
         return []
     a, b, bits = (np.concatenate(c) for c in zip(*found, strict=True))
     order = np.lexsort((b, a, bits))
     keep = np.zeros(len(a), bool)
     _, start = np.unique(comp, return_inverse=True)
-    keep[_forest(start[a], start[b], order, n)] = True
-    seen = np.zeros(n, np.int64)
+    keep[_forest(start[a], start[b], order, members)] = True
+    seen = np.zeros(members, np.int64)
     for p in order.tolist():
         if seen[a[p]] < each or seen[b[p]] < each:
             keep[p] = True
@@ -218,16 +229,16 @@ def _block_pairs(t: dict, each: int) -> list[tuple[int, int, bool]]:
     return [(int(min(ids[x], ids[y])), int(max(ids[x], ids[y])), more) for x, y in zip(a[keep], b[keep], strict=True)]
 
 
-def _pairs_in_blocks(each: int):
+def _pairs_in_blocks(each: int, percent: int):
     """Rows arrive grouped by (band, i, j); groups are cut from the stream, at most two blocks long."""
+    names = ("band", "id", "component", "sketch", "bands", "side", "n", "held", "i", "j")
 
     def emit(t: dict) -> pa.RecordBatch:
-        out = _block_pairs(t, each) if len(t["id"]) > 1 else []
+        out = _block_pairs(t, each, percent)
         a, b, more = zip(*out, strict=True) if out else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], ["a", "b", "more"])
 
     def run(batches):
-        names = ("id", "component", "sketch", "side", "i", "j")
         key, held = None, {c: [] for c in names}
         for batch in batches:
             d = batch.to_pydict()
@@ -244,18 +255,43 @@ def _pairs_in_blocks(each: int):
     return run
 
 
-def _between_components(bands: DataFrame, sketches: DataFrame, labels: DataFrame, each: int) -> DataFrame:
-    """(a, b, more): sifted pairs of nodes of different components that share a band."""
-    node = sketches.join(labels, "id", "left").select("id", "sketch", F.coalesce("component", "id").alias("component"))
-    members = bands.join(node.drop("sketch"), "id")
-    mixed = members.groupBy("band").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi and c > 2").select("band", "c")
+def _mixed(members: DataFrame, least: int = 2) -> DataFrame:
+    """Bands of more than ``least`` members that lie in different components, from (band, id, component)."""
+    return members.groupBy("band").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where(f"lo < hi and c > {least}").select("band", "c")
+
+
+def _labelled(bands: DataFrame, labels: DataFrame) -> DataFrame:
+    named = labels.select(F.col("id").alias("_id"), "component")
+    return bands.join(named, F.col("id") == F.col("_id"), "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+
+
+def _open_nodes(docs: DataFrame, bands: DataFrame, labels: DataFrame, size: int, percent: int) -> DataFrame:
+    """(id, n, held): members of mixed bands that may still link: ``held`` of their n shingles stand in another such member."""
+    members = _labelled(bands, labels)
+    ids = members.join(_mixed(members), "band").select(F.col("id").alias("doc_id")).distinct()
+    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(size, True), "id long, keys array<long>")
+    rows = corpus.table(sets.select("id", F.explode("keys").alias("k")).distinct(), "shingles")
+    sizes = rows.groupBy("id").agg(F.count("*").alias("n"))
+    held = None
+    for _ in range(PEELS):
+        alive = rows if held is None else rows.join(held.select("id"), "id", "left_semi")
+        common = alive.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
+        count = alive.join(common, "k", "left_semi").groupBy("id").agg(F.count("*").alias("held"))
+        held = corpus.table(count.join(sizes, "id").where(100 * F.col("held") >= percent * F.col("n")).select("id", "n", "held"), "open")
+    return held
+
+
+def _between_components(bands: DataFrame, sketches: DataFrame, labels: DataFrame, alive: DataFrame, each: int, percent: int) -> DataFrame:
+    """(a, b, more): sifted pairs of open nodes of different components that share a band."""
+    members = _labelled(bands.join(alive.select("id"), "id", "left_semi"), labels)
+    rows = members.join(_mixed(members, 1), "band")
     blocks = F.ceil(F.col("c") / BLOCK_MEMBERS).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    rows = bands.join(mixed, "band").withColumn("blocks", blocks).withColumn("side", own).join(node, "id")
-    other = F.explode(F.expr("sequence(0, blocks - 1)")).alias("o")
-    dealt = rows.select("band", "id", "component", "sketch", "side", other).select("band", "id", "component", "sketch", "side", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"))
+    rows = rows.withColumn("blocks", blocks).withColumn("side", own).join(alive, "id").join(sketches, "id")
+    held = ["band", "id", "component", "sketch", "bands", "side", "n", "held"]
+    dealt = rows.select(*held, F.explode(F.expr("sequence(0, blocks - 1)")).alias("o")).select(*held, F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"))
     grouped = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "id")
-    return grouped.mapInArrow(_pairs_in_blocks(each), "a long, b long, more boolean")
+    return grouped.mapInArrow(_pairs_in_blocks(each, percent), "a long, b long, more boolean")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -268,7 +304,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     bands = nodes.select("id", F.explode("bands").alias("band")).distinct()
     shared = bands.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1")
     bands = corpus.table(bands.join(shared.select("band", F.col("a").alias("first")), "band").select("band", "id", "first"), "bands")
-    sketches = corpus.table(nodes.select("id", "sketch").join(bands.select("id").distinct(), "id", "left_semi"), "sketches")
+    sketches = corpus.table(nodes.select("id", "sketch", "bands").join(bands.select("id").distinct(), "id", "left_semi"), "sketches")
 
     words = F.transform(F.sequence(F.lit(0), F.lit(SKETCH_BITS // 64 - 1)), lambda i: F.conv(F.substring(F.hex("sketch"), i * 16 + 1, F.lit(16)), 16, -10).cast("long"))
     longs = sketches.select("id", words.alias("w"))
@@ -278,9 +314,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
     tried = confirmed(docs, corpus.table(firsts, "pairs"), size, percent)
     labels = graph.components(tried.where("linked"))
-    each, more = 4, True
+    bands = bands.select("band", "id")
+    alive = _open_nodes(docs, bands, labels, size, percent)
+    each, more = 16, True
     while more:
-        pairs = _between_components(bands.select("band", "id"), sketches, labels, each)
+        pairs = _between_components(bands, sketches, labels, alive, each, percent)
         pairs = corpus.table(pairs.groupBy("a", "b").agg(F.bool_or("more").alias("more")), "pairs")
         more = bool(pairs.agg(F.coalesce(F.bool_or("more"), F.lit(False))).first()[0])
         new = pairs.join(tried, ["a", "b"], "left_anti").select("a", "b")
@@ -291,7 +329,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
             found = confirmed(docs, new, size, percent)
             labels = graph.components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found.where("linked").select("a", "b")))
             tried = corpus.table(tried.unionByName(found), "confirmed")
-        each *= 4
+        each *= 16
     return _result(signs, classes, labels)
 
 

@@ -139,56 +139,60 @@ def aligned_titles(chapters: Column, n: Column, intro: Column, outro: Column) ->
     return F.when(front.isNotNull(), F.transform(F.slice(chapters, front + 1, F.greatest(n, F.lit(0))), lambda c: c["title"]))
 
 
-def _retitled(local: Column, titles: Column) -> Column:
-    return F.transform(local, lambda c, i: c.withField("title", F.get(titles, i)))
-
-
-def chosen(mode: Column, provider: Column, runtime: Column, accurate: Column, intro: Column, outro: Column, files: Column, actual: Column, title: Column) -> Column:
-    """struct(source, chapters, warnings): where a book's chapters come from.
-
-    ``provider`` and each file's ``chapters`` and ``sidecar`` are lists, empty for none; ``files`` is an array of
-    struct(path, duration_ms, chapters, truncated, sidecar), chapters with start_ms and end_ms. First match wins:
-    provider titles on local timings where asked for and alignable, the provider's where its runtime fits or it is
-    forced, a single file's own, file boundaries, one chapter for the whole book.
+def chosen(books: DataFrame, out: str = "plan") -> DataFrame:
+    """Adds struct(source, chapters, warnings): where a book's chapters come from.
+
+    Rows have mode, title, actual (the audio's ms), files: array of struct(path, duration_ms, chapters, truncated,
+    sidecar) with start_ms and end_ms, and the provider's provider (a list, empty for none), runtime, accurate, intro
+    and outro. First match wins: provider titles on local timings where asked for and alignable, the provider's where
+    its runtime fits or it is forced, a single file's own, file boundaries, one chapter for the whole book. Each step
+    is a projection of its own, so none is computed twice.
     """
-    one = F.try_element_at(files, F.lit(1))
-    single, several = F.size(files) == 1, F.size(files) > 1
-    has_provider = F.size(provider) > 0
-    own = F.when(single, own_chapters(one["chapters"], one["truncated"], one["sidecar"]))
-    bounds = from_files(F.transform(files, lambda f: f["path"]), F.transform(files, lambda f: f["duration_ms"]))
-    local = F.when(mode == "titles-files", F.when(several, bounds)).when(mode == "titles-existing", with_lengths(own["chapters"]))
-    titles = F.when(has_provider & local.isNotNull(), aligned_titles(provider, F.size(local), intro, outro))
-    wants_titles = mode.isin("titles-files", "titles-existing")
-    no_sidecar = (mode == "sidecar") & ~(single & (F.coalesce(F.size(one["sidecar"]), F.lit(0)) > 0))
-    effective = F.when((mode == "") | no_sidecar | wants_titles, "auto").otherwise(mode)
-    local_only = effective.isin("existing", "sidecar")
-    fits = F.abs(runtime - actual) <= tolerance_ms(actual)
-    use = ~local_only & has_provider & (fits | (effective == "provider"))
+    c = F.col
+    one = F.try_element_at("files", F.lit(1))
+    single, several, has = F.size("files") == 1, F.size("files") > 1, F.size("provider") > 0
+    wants_titles = c("mode").isin("titles-files", "titles-existing")
+    rows = books.withColumn("_own", F.when(single, own_chapters(one["chapters"], one["truncated"], one["sidecar"])))
+    rows = rows.withColumn("_bounds", from_files(F.transform("files", lambda f: f["path"]), F.transform("files", lambda f: f["duration_ms"])))
+    rows = rows.withColumn("_local", F.when(c("mode") == "titles-files", F.when(several, c("_bounds"))).when(c("mode") == "titles-existing", with_lengths(c("_own.chapters"))))
+    rows = rows.withColumn("_titles", F.when(has & c("_local").isNotNull(), aligned_titles(c("provider"), F.size("_local"), c("intro"), c("outro"))))
+    no_sidecar = (c("mode") == "sidecar") & ~(single & (F.coalesce(F.size(one["sidecar"]), F.lit(0)) > 0))
+    rows = rows.withColumn("_mode", F.when((c("mode") == "") | no_sidecar | wants_titles, "auto").otherwise(c("mode")))
+    local_only = c("_mode").isin("existing", "sidecar")
+    fits = F.abs(c("runtime") - c("actual")) <= tolerance_ms(c("actual"))
+    rows = rows.withColumn("_fits", fits).withColumn("_use", ~local_only & has & (fits | (c("_mode") == "provider")))
     mine = (
-        F.when((effective == "existing") & single & (F.size(one["chapters"]) > 0), F.struct(one["chapters"].alias("chapters"), F.lit("existing").alias("source")))
-        .when((effective == "sidecar") & single, F.struct(one["sidecar"].alias("chapters"), F.lit("sidecar").alias("source")))
-        .otherwise(own)
+        F.when((c("_mode") == "existing") & single & (F.size(one["chapters"]) > 0), F.struct(one["chapters"].alias("chapters"), F.lit("existing").alias("source")))
+        .when((c("_mode") == "sidecar") & single, F.struct(one["sidecar"].alias("chapters"), F.lit("sidecar").alias("source")))
+        .otherwise(c("_own"))
     )
-    whole = F.array(F.struct(F.when(title == "", "Chapter 01").otherwise(title).alias("title"), F.lit(0).cast("long").alias("start_ms"), actual.alias("length_ms")))
     warnings = F.array_compact(
         F.array(
-            F.when(wants_titles, F.when(has_provider, "titles do not line up").otherwise("no titles available")),
+            F.when(wants_titles, F.when(has, "titles do not line up").otherwise("no titles available")),
             F.when(no_sidecar, "no usable sidecar"),
-            F.when(use & ~fits, "provider forced against its runtime"),
-            F.when(use & ~accurate, "provider timings possibly inaccurate"),
-            F.when(~local_only & has_provider & ~use, "provider runtime does not fit"),
-            F.when((effective == "provider") & ~has_provider, "no provider chapters available"),
+            F.when(c("_use") & ~c("_fits"), "provider forced against its runtime"),
+            F.when(c("_use") & ~c("accurate"), "provider timings possibly inaccurate"),
+            F.when(~local_only & has & ~c("_use"), "provider runtime does not fit"),
+            F.when((c("_mode") == "provider") & ~has, "no provider chapters available"),
         )
     )
-    out = lambda s, c, w: F.struct(s.alias("source"), c.alias("chapters"), w.alias("warnings"))
-    dropped = F.size(provider) > F.size(titles)
-    return (
-        F.when(wants_titles & titles.isNotNull(), out(mode, _retitled(local, titles), F.array_compact(F.array(F.when(dropped, "short provider chapters skipped")))))
-        .when(use, out(F.lit("provider"), provider, warnings))
-        .when(single & mine.isNotNull(), out(mine["source"], with_lengths(mine["chapters"]), warnings))
-        .when(several, out(F.lit("files"), bounds, warnings))
-        .otherwise(out(F.lit("single"), whole, warnings))
+    rows = rows.withColumn("_mine", mine).withColumn("_warnings", warnings)
+    whole = F.array(F.struct(F.when(c("title") == "", "Chapter 01").otherwise(c("title")).alias("title"), F.lit(0).cast("long").alias("start_ms"), c("actual").alias("length_ms")))
+    skipped = F.array_compact(F.array(F.when(F.size("provider") > F.size("_titles"), "short provider chapters skipped")))
+    titled = wants_titles & c("_titles").isNotNull()
+    own = single & c("_mine").isNotNull()
+    source = F.when(titled, c("mode")).when(c("_use"), "provider").when(own, c("_mine.source")).when(several, "files").otherwise("single")
+    rows = rows.withColumn("_source", source)
+    pick = c("_source")
+    chapters = (
+        F.when(pick == "provider", c("provider"))
+        .when(pick.isin("titles-files", "titles-existing"), F.transform("_local", lambda x, i: x.withField("title", F.get("_titles", i))))
+        .when(pick == "files", c("_bounds"))
+        .when(pick == "single", whole)
+        .otherwise(with_lengths(c("_mine.chapters")))
     )
+    plan = F.struct(pick.alias("source"), chapters.alias("chapters"), F.when(titled, skipped).otherwise(c("_warnings")).alias("warnings"))
+    return rows.withColumn(out, plan).drop("_own", "_bounds", "_local", "_titles", "_mode", "_fits", "_use", "_mine", "_warnings", "_source")
 
 
 def text_file(chapters: Column) -> Column:

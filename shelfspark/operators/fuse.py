@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import genres
 
-PRIMARY, SECONDARY = "audnexus", "audible"
+PRIMARY, SECONDARY = "primary", "secondary"
 ORDER = (PRIMARY, SECONDARY)
 # Fields in their order, the columns that move together, and a preference other than ORDER.
 FIELDS: dict[str, tuple[str, ...]] = {
@@ -77,21 +77,31 @@ def picked(sources: dict[str, Column], field: str, override: Column | None = Non
     return F.coalesce(*choice)
 
 
-def merged(sources: dict[str, Column], overrides: Column | None = None, kinds: dict[str, str] | None = None) -> Column:
-    """struct(book, sources): the fused record with cleaned categories, and field -> source of the known fields."""
-    names = {f: picked(sources, f, F.try_element_at(overrides, F.lit(f)) if overrides is not None else None) for f in FIELDS}
+def merged(records: DataFrame, sources: tuple[str, ...] = ORDER, overrides: Column | None = None, kinds: dict[str, str] | None = None) -> DataFrame:
+    """Adds book (the fused record with cleaned categories) and sources (field -> source of the known fields).
 
-    def value(field: str, column: str) -> Column:
-        return reduce(lambda c, s: c.when(names[field] == s, sources[s][column]), sources, F.when(F.lit(False), F.lit(None)))
+    ``records`` has a struct column for each source. Choices, values and categories are separate projections, so each
+    is computed once.
+    """
+    sides = {s: F.col(s) for s in sources}
+    names = [F.coalesce(picked(sides, f, F.try_element_at(overrides, F.lit(f)) if overrides is not None else None), F.lit("")).alias(f) for f in FIELDS]
+    chosen = records.withColumn("_from", F.struct(*names))
 
-    fields = {c: value(f, c) for f, cs in FIELDS.items() for c in cs}
-    empty = F.array().cast("array<string>")
-    raw = {c: F.coalesce(v, empty) if c in LISTS else F.coalesce(v, empty.cast("array<array<string>>")) if c == "genre_paths" else F.coalesce(v, F.lit(0)) if c == "runtime_min" else F.coalesce(v, F.lit("")) for c, v in fields.items()}
-    clean = genres.cleaned(raw["literature_type"], raw["genres"], raw["sub_genres"], raw["genre_paths"], kinds)
-    raw |= {"genres": clean["genres"], "sub_genres": clean["sub_genres"]}
-    entries = F.array(*[F.struct(F.lit(f).alias("key"), n.alias("value")) for f, n in names.items() if f != "literature_type"])
-    origin = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
-    return F.struct(F.struct(*[v.alias(c) for c, v in raw.items()]).alias("book"), origin.alias("sources"))
+    def value(field: str, column: str) -> Column:
+        v = reduce(lambda c, s: c.when(F.col("_from")[field] == s, sides[s][column]), sides, F.when(F.lit(False), F.lit(None)))
+        if column == "genre_paths":
+            return F.coalesce(v, F.array().cast("array<array<string>>"))
+        if column in LISTS:
+            return F.coalesce(v, F.array().cast("array<string>"))
+        return F.coalesce(v, F.lit(0) if column == "runtime_min" else F.lit(""))
+
+    raw = chosen.withColumn("book", F.struct(*[value(f, c).alias(c) for f, cs in FIELDS.items() for c in cs]))
+    b = F.col("book")
+    cleaned = raw.withColumn("_clean", genres.cleaned(b["literature_type"], b["genres"], b["sub_genres"], b["genre_paths"], kinds))
+    entries = F.array(*[F.struct(F.lit(f).alias("key"), F.col("_from")[f].alias("value")) for f in FIELDS if f != "literature_type"])
+    origin = F.map_from_entries(F.filter(entries, lambda e: e["value"] != ""))
+    out = cleaned.withColumn("book", b.withField("genres", F.col("_clean.genres")).withField("sub_genres", F.col("_clean.sub_genres")))
+    return out.withColumn("sources", origin).drop("_from", "_clean")
 
 
 def by_source(records: DataFrame, key: list[str], names: tuple[str, ...] = ORDER) -> DataFrame:
@@ -128,8 +138,14 @@ def display_value(b: Column, field: str) -> Column:
 
 def comparison(books: DataFrame, key: str, sources: dict[str, Column], winner: Column) -> DataFrame:
     """(key, field, value of each source, winner, differs): a row for each field any source knows."""
-    rows = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(LABELS[f]).alias("label"), *[display_value(b, f).alias(s) for s, b in sources.items()], F.try_element_at(winner, F.lit(f)).alias("winner")) for f in FIELDS])
-    out = books.select(key, F.explode(rows).alias("r")).select(key, "r.*")
+    labels = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
+    out = books.select(key, winner.alias("_winners"), *[b.alias(f"_{s}") for s, b in sources.items()], F.explode(F.array(*[F.lit(f) for f in FIELDS])).alias("field"))
+
+    def value(source: str) -> Column:
+        b = F.col(f"_{source}")
+        return F.coalesce(reduce(lambda c, f: c.when(F.col("field") == f, display_value(b, f)), FIELDS, F.when(F.lit(False), F.lit(""))), F.lit("")).alias(source)
+
+    out = out.select(key, "field", labels[F.col("field")].alias("label"), *[value(s) for s in sources], F.try_element_at("_winners", F.col("field")).alias("winner"))
     known = [F.when(F.col(s) != "", F.col(s)) for s in sources]
     differs = F.size(F.array_distinct(F.array_compact(F.array(*known)))) > 1
     return out.withColumn("differs", differs).where(F.coalesce(*known).isNotNull())

@@ -27,6 +27,11 @@ TRIM_SET = "\\t\\n\\x0B\\f\\r \\x85\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\
 WS = "[\\t\\n\\f\\r ]"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
 def known(c: Column) -> Column:
     """Null for an empty string."""
     return F.when(c != "", c)

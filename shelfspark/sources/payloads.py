@@ -212,16 +212,20 @@ def _chapter_lines(body: Column) -> Column:
 
 def sidecar(body: Column, duration: Column) -> Column:
     """struct(chapters, reason) of a chapter text file; none and why, where its starts are out of order or past the end."""
-    rows = _chapter_lines(body)
-    starts = F.filter(rows, lambda r: r["start"].isNotNull())
-    titles = F.filter(rows, lambda r: r["names"].isNotNull())
-    named = F.transform(starts, lambda s: F.struct(s["start"].alias("start"), F.coalesce(s["title"], F.try_element_at(F.filter(titles, lambda t: t["names"] == s["label"]), F.lit(-1))["title"], F.lit("")).alias("title")))
-    n = F.size(named)
-    chapters = F.transform(named, lambda c, i: F.struct(F.when(c["title"] == "", F.format_string("Chapter %02d", i + 1)).otherwise(c["title"]).alias("title"), c["start"].alias("start_ms"), F.when(i + 1 < n, F.get(named, i + 1)["start"]).otherwise(duration).alias("end_ms")))
-    late = F.exists(named, lambda c: (duration > 0) & (c["start"] >= duration))
-    mixed = F.exists(F.transform(named, lambda c, i: F.coalesce(c["start"] < F.get(named, i - 1)["start"], F.lit(False))), lambda x: x)
-    reason = F.when(mixed, "starts out of order").when(late, "starts after the audio ends")
-    return F.struct(F.when(reason.isNull(), chapters).alias("chapters"), reason.alias("reason"))
+
+    def judged(named: Column) -> Column:
+        n = F.size(named)
+        chapters = F.transform(named, lambda c, i: F.struct(F.when(c["title"] == "", F.format_string("Chapter %02d", i + 1)).otherwise(c["title"]).alias("title"), c["start"].alias("start_ms"), F.when(i + 1 < n, F.get(named, i + 1)["start"]).otherwise(duration).alias("end_ms")))
+        late = F.exists(named, lambda c: (duration > 0) & (c["start"] >= duration))
+        mixed = F.exists(F.transform(named, lambda c, i: F.coalesce(c["start"] < F.get(named, i - 1)["start"], F.lit(False))), lambda x: x)
+        reason = F.when(mixed, "starts out of order").when(late, "starts after the audio ends")
+        return F.struct(F.when(reason.isNull(), chapters).alias("chapters"), reason.alias("reason"))
+
+    def joined(rows: Column) -> Column:
+        titles = F.filter(rows, lambda r: r["names"].isNotNull())
+        return F.transform(F.filter(rows, lambda r: r["start"].isNotNull()), lambda s: F.struct(s["start"].alias("start"), F.coalesce(s["title"], F.try_element_at(F.filter(titles, lambda t: t["names"] == s["label"]), F.lit(-1))["title"], F.lit("")).alias("title")))
+
+    return text.let(_chapter_lines(body), lambda rows: text.let(joined(rows), judged))
 
 
 def tree_entries(body: Column) -> Column:

@@ -11,6 +11,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # References and what they stand for; the ampersand is last, so that nothing is decoded twice.
 NAMED = {
@@ -48,7 +49,7 @@ def unescape(c: Column) -> Column:
     return reduce(lambda s, p: F.replace(s, F.lit(p[0]), F.lit(p[1])), NAMED.items(), c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_all(s: pd.Series) -> pd.Series:
     import html
 

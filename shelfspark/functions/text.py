@@ -131,7 +131,7 @@ def truncated(c: Column, n: int) -> Column:
     """At most ``n`` bytes, cut at the last space of the second half, with an ellipsis."""
     raw = F.encode(c, "UTF-8")
     # a cut inside a character leaves its first bytes out
-    head = F.regexp_replace(F.decode(F.substring(raw, 1, n), "UTF-8"), "�+$", "")
+    head = F.regexp_replace(F.make_valid_utf8(F.substring(raw, 1, n).cast("string")), "\uFFFD+$", "")
     space = F.length(head) - F.instr(F.reverse(head), " ")
     bytes_before = F.octet_length(F.substring(head, F.lit(1), space))
     cut = F.when((F.instr(head, " ") > 0) & (bytes_before > n // 2), F.substring(head, F.lit(1), space)).otherwise(head)

@@ -1,0 +1,401 @@
+from __future__ import annotations
+
+import collections
+import hashlib
+import html
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from shelfspark.llm import decontam, html_extract, lm_score, mixing, pii, quality, textops, token_store
+
+from .helpers import corpus, frame, lower, sentence, terms, words
+
+
+def test_words_and_hashes():
+    texts = ["a b", "", "b  c", None, "c", "\tdé\n", "ab"]
+    data, offsets = textops.flat(pa.array(texts))
+    s, e, at = textops.words(data, offsets, textops.SPACE_WORD)
+    raw = data.tobytes()
+    assert [raw[x:y].decode() for x, y in zip(s, e, strict=True)] == [w for t in texts for w in words(t)]
+    assert np.diff(at).tolist() == [len(words(t)) for t in texts]
+    h = textops.word_hashes(data, s, e).tolist()
+    flat = [w for t in texts for w in words(t)]
+    assert all((a == b) == (x == y) for a, x in zip(flat, h, strict=True) for b, y in zip(flat, h, strict=True))
+
+
+# 1: LM scoring
+
+
+def brute_losses(rows, targets, min_count, mu):
+    tokens = {d[0]: words(lower(d[1] or "")) for d in rows}
+    count = collections.Counter(w for x in tokens.values() for w in x)
+    vocabulary = {w for w, n in count.items() if n >= min_count}
+    tokens = {k: [w if w in vocabulary else None for w in x] for k, x in tokens.items()}
+
+    def model(ids):
+        uni, pair = collections.Counter(), collections.Counter()
+        for k in ids:
+            uni.update(tokens[k])
+            pair.update(zip(["^", *tokens[k]], tokens[k], strict=False))
+        return uni, pair, sum(uni.values())
+
+    def loss(m, k, own):
+        x = tokens[k]
+        u, p = collections.Counter(x if own else []), collections.Counter(zip(["^", *x], x, strict=False) if own else [])
+        n, s, before = m[2] - len(x) * own, 0.0, "^"
+        for w in x:
+            prior = (m[0][w] - u[w] + 1) / (n + len(vocabulary) + 1)
+            s -= math.log2(prior if before == "^" else (m[1][before, w] - p[before, w] + mu * prior) / (m[0][before] - u[before] + mu))
+            before = w
+        return s / len(x) if x else None
+
+    every, good = model(tokens), model(targets & set(tokens))
+    return {k: (len(tokens[k]), loss(good, k, k in targets), loss(every, k, True)) for k in tokens}
+
+
+def test_lm_scores_equal_brute_force(spark):
+    rows = corpus(11)
+    targets = {d[0] for d in rows if d[0] % 2}
+    marks = spark.createDataFrame([(i,) for i in targets] + [(None,), (10**9,)], "doc_id long")
+    got = {r.doc_id: r for r in lm_score.cross_entropy_difference(frame(spark, rows), marks, min_count=2, mu=4.0, part_bytes=4000).collect()}
+    for k, (n, a, b) in brute_losses(rows, targets, 2, 4.0).items():
+        assert got[k].n_tokens == n
+        if a is None:
+            assert got[k].score is None
+        else:
+            assert got[k].target_loss == pytest.approx(a) and got[k].background_loss == pytest.approx(b) and got[k].score == pytest.approx(a - b)
+
+
+def test_lm_scores_tell_held_out_kinds_apart(spark):
+    r = random.Random(1)
+    kind = lambda good: " ".join(r.choice("abcdefgh" if good else "ghijklmn") for _ in range(60))
+    rows = [(i, kind(i % 2 == 0), "en", "s", 0) for i in range(200)]
+    marks = spark.createDataFrame([(i,) for i in range(0, 100, 2)], "doc_id long")
+    out = {x.doc_id: x.score for x in lm_score.cross_entropy_difference(frame(spark, rows), marks).collect()}
+    assert max(out[i] for i in range(100, 200, 2)) < min(out[i] for i in range(101, 200, 2))
+
+
+def test_lm_scores_of_nothing(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert lm_score.cross_entropy_difference(df, spark.createDataFrame([], "doc_id long")).count() == 0
+    one = lm_score.cross_entropy_difference(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), spark.createDataFrame([], "doc_id long")).collect()
+    assert {r.doc_id: r.n_tokens for r in one} == {1: 2, 2: 0}
+
+
+# 2: pages
+
+PAGE = """<!DOCTYPE html><html><head><title>No</title><script>var x = "</p> word word";</script></head><body>
+<header><p>Site name</p></header><nav><ul><li><a href="/a">Menu one</a></li><li>Menu two</li></ul></nav>
+<div class="cookie-notice">We use cookies on this site for all sorts of things</div>
+<article><h1>The title</h1><p>First <b>bold</b>par &amp; more&nbsp;text<br>here, with <a href="x">a link</a>.<p>Second one of some length.</p>
+<div class="ad">Buy things now please</div><ul><li>item one here</li><li>item two here</li></ul></article>
+<aside>Sidebar words here</aside><section id="comments"><p>I disagree with all of this, said a reader at length</p></section><footer>&copy; 2024</footer></body></html>"""
+
+
+def test_page_text():
+    assert html_extract.extract(PAGE) == "The title\nFirst boldpar & more text here, with a link.\nSecond one of some length.\nitem one here\nitem two here"
+
+
+@pytest.mark.parametrize("page", [None, "", "<html><body><nav>x</nav></body></html>", "<p", "<a href='x", "<script>never closed word word word"])
+def test_pages_without_content(page):
+    assert html_extract.extract(page) == ""
+
+
+def test_cut_off_pages():
+    whole = html_extract.extract(PAGE)
+    for n in range(PAGE.index("First"), len(PAGE)):
+        text = html_extract.extract(PAGE[:n])
+        assert text.split("\n")[0] == "The title"
+        assert len(text) <= len(whole) + 3
+
+
+def test_page_weights_on_held_out_labels():
+    pages = html_extract.labelled_pages(120)
+    weights = html_extract.fit(pages[:60])
+    assert all(w > 0 for p, w in weights["words"].items() if p != "boilerplate")
+    assert all(w < 0 for w in weights["tags"].values())
+    assert all(html_extract.extract(page, weights) == content for page, content in pages[60:])
+
+
+def test_pages_frame(spark):
+    rows = [(1, "u", PAGE, 1), (2, None, None, 2), (1, "u", PAGE, 1)]
+    out = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
+    assert sorted((r.page_id, len(r.text) > 0) for r in out) == [(1, True), (1, True), (2, False)]
+    assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+# 4: decontamination
+
+
+def brute_hits(rows, items, window=13):
+    wins = collections.defaultdict(set)
+    for name, text in items:
+        w = terms(text)
+        for i in range(max(1, len(w) - window + 1)):
+            if k := tuple(w[i : i + window]):
+                wins[k].add("" if name is None else str(name))
+    out = {}
+    for d in rows:
+        w, ids = terms(d[1]), set()
+        hit = [False] * len(w)
+        for n in {len(k) for k in wins}:
+            for i in range(len(w) - n + 1):
+                if found := wins.get(tuple(w[i : i + n])):
+                    ids |= found
+                    hit[i : i + n] = [True] * n
+        out[d[0]] = (len(w), sum(hit), sorted(ids))
+    return out
+
+
+@pytest.mark.parametrize("limit", [decontam.SLICE_WORDS, 40])
+def test_contamination_equals_brute_force(spark, limit):
+    rows = corpus(12)
+    texts = [d[1] for d in rows if d[1] and len(d[1]) > 300]
+    items = [(1, texts[0][:160].upper()), (2, texts[1][40:220]), (10, "three"), (11, "ONE, two!"), (12, ""), (13, None), (14, sentence(random.Random(5), 30)), (1, texts[0][:160].upper()), (None, texts[2][:90]), (15, texts[3])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = decontam.contamination(frame(spark, rows), bench, slice_words=limit)
+    got = {r.doc_id: (r.n_words, sum(s.end - s.start for s in r.spans), r["items"]) for r in out.collect()}
+    assert got == brute_hits(rows, items)
+
+
+def test_contamination_of_nothing(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert [(r.n_words, r["items"]) for r in decontam.contamination(docs, none).collect()] == [(3, [])]
+    assert decontam.contamination(docs.limit(0), spark.createDataFrame([(1, "a")], "item_id long, text string")).count() == 0
+
+
+def test_phrases_and_proximity(spark):
+    docs = spark.createDataFrame([(1, "the quick brown fox jumps"), (2, "quick the brown, QUICK brown"), (3, None)], "doc_id long, text string")
+    index = decontam.build_index(docs)
+    place = {r.doc: r.doc_id for r in index.where("term is null").collect()}
+    found = lambda df: sorted((place[r.doc], r["at"]) for r in df.collect())
+    assert found(decontam.phrase_search(index, {"q": "Quick brown"})) == [(1, 1), (2, 3)]
+    assert found(decontam.proximity_search(index, {"q": "the fox"}, 3)) == [(1, 3)]
+    assert found(decontam.proximity_search(index, {"q": "the fox"}, 2)) == []
+
+
+# 5: tokens
+
+
+def test_elias_fano():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 2, 70, 1000):
+        for top in (0, 1, 63, 10**6):
+            v = np.sort(r.integers(0, top + 1, n))
+            e = token_store.EliasFano.of(v)
+            assert e.values().tolist() == v.tolist()
+            assert [e.select(i) for i in range(n)] == v.tolist()
+            assert len(e.low) + len(e.high) <= n * (2 + math.log2(max(1, top / max(1, n)) + 1)) / 8 + 4
+    with pytest.raises(IndexError):
+        token_store.EliasFano.of(np.array([1])).select(1)
+
+
+def test_pieces_encode_as_whole_texts():
+    enc = token_store.Encoder(token_store.default_tokenizer())
+    assert enc.by_piece
+    r = random.Random(0)
+    alphabet = ["a", "B", "\n", " ", "  ", "\t", " ", "'s", "é", "à", "1", "!", "\0", "<|endoftext|>", "x ", " y", "　", "\x85", " ", " ", "²", "α", " ", "\x1c"]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 12))) for _ in range(4000)]
+    data, offsets = textops.flat(pa.array(texts))
+    for _ in range(2):  # a second time from the kept pieces
+        ids, ends = enc.encode(data, offsets)
+        got = [ids[a:b].tolist() for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+        assert got == [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_token_store_round_trip(spark, tmp_path):
+    rows = corpus(13)
+    path = f"file://{tmp_path}/store"
+    token_store.write_tokens(frame(spark, rows), token_store.default_tokenizer(), path, shard_ids=700, part_bytes=5000)
+    got = {r.doc_id: r for r in token_store.read_tokens(spark, path).collect()}
+    enc, at = token_store.Encoder(token_store.default_tokenizer()).tokenizer, 0
+    for d in sorted(rows):
+        ids = [*enc.encode(d[1] or "", add_special_tokens=False).ids, 2]
+        assert (got[d[0]].start, got[d[0]].n_tokens) == (at, len(ids))
+        assert np.frombuffer(got[d[0]].ids, "<u4").tolist() == ids
+        at += len(ids)
+    crc = {r.doc_id: r.ids_crc32 for r in token_store.read_tokens(spark, path, crc=True).collect()}
+    assert all(crc[k] == zlib.crc32(r.ids) for k, r in got.items())
+    raw = bytes(spark.read.parquet(f"{path}/shards").first()["shard"])
+    shard = token_store.Shard(raw)
+    assert [shard.tokens(i).tolist() for i in range(shard.n)] == [np.frombuffer(got[int(i)].ids, "<u4").tolist() for i in shard.doc_ids]
+
+
+def test_token_store_of_odd_ids(spark, tmp_path):
+    df = spark.createDataFrame([(None, "a"), (5, "b"), (5, "a"), (-3, None)], "doc_id long, text string")
+    token_store.write_tokens(df, token_store.default_tokenizer(), f"file://{tmp_path}/odd")
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_store.read_tokens(spark, f"file://{tmp_path}/odd").collect())
+    assert got == [(0, -3, 1), (1, 5, 2), (3, 5, 2), (5, None, 2)]
+    token_store.write_tokens(df.limit(0), token_store.default_tokenizer(), f"file://{tmp_path}/none")
+    assert token_store.read_tokens(spark, f"file://{tmp_path}/none").count() == 0
+
+
+# 7: personal data
+
+BASE = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def brute_spans(text):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    ok = {"email": lambda s: True, "ip": lambda s: all(int(x) <= 255 for x in s.split(".")), "card": lambda s: 13 <= len(digits(s)) <= 19 and pii.luhn(digits(s)), "phone": lambda s: 9 <= len(digits(s)) <= 15}
+    return [(k, *m.span()) for k, p in BASE.items() for m in p.finditer(text) if ok[k](m[0])]
+
+
+def test_base_spans_equal_the_patterns():
+    r = random.Random(1)
+    for _ in range(20_000):
+        t = "".join(r.choice("aé@..-+ 0123456789(x%") for _ in range(r.randint(0, 40)))
+        assert pii.base_spans(t) == brute_spans(t), t
+
+
+def test_checksums_and_context():
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+    assert pii.mod97("GB82 WEST 1234 5698 7654 32") and not pii.mod97("GB82 WEST 1234 5698 7654 33")
+    kinds = lambda t: [s[0] for s in pii.spans_of(t)]
+    assert kinds("pay to GB82 WEST 1234 5698 7654 32 NOW") == ["iban"]
+    assert kinds("pay to GB82 WEST 1234 5698 7654 33") == []
+    assert kinds("her social security number 123-45-6789") == ["ssn"]
+    assert kinds("order 123-45-6789") == []
+    assert kinds("please call (555) 123-4567 now") == ["phone_local"]
+    near, far = (pii.spans_of(t)[0][3] for t in ("my card 4111111111111111", "order serial 4111111111111111"))
+    assert near > far
+
+
+def test_long_hostile_texts_are_linear():
+    for t in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "a@" * 150_000, "+1" + "(" * 300_000, "A1" * 100_000):
+        pii.spans_of(t)
+
+
+def test_pii_frame(spark):
+    rows = corpus(14, 10) + [(9001, "é mail a.b@c.org and 10.0.0.1", "en", "s", 0)]
+    got = {r.doc_id: r for r in pii._digest(pii.find_pii(frame(spark, rows))).collect()}
+    assert (got[9001].n_email, got[9001].n_ip, got[9001].spans) == (1, 1, "email:7:16,ip:21:29")
+    assert got[9001].base_sha256 == hashlib.sha256(b"email:7:16,ip:21:29").hexdigest()
+    assert all(got[d[0]].base_sha256 == pii.base_sha256(d[1]) for d in rows)
+    assert pii.find_pii(frame(spark, rows).limit(0)).count() == 0
+
+
+# 8: quality
+
+
+def brute_quality(text):
+    w = words(text)
+    windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    n = collections.Counter(windows)
+    covered = {j for i, x in enumerate(windows) if n[x] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in (text or "").split("\n") if words(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_counts_equal_brute_force(spark):
+    rows = corpus(15) + [(9001, "a b c\na b c\n\n \nx # $|<\n", "en", "s", 0), (9002, "x y " * 40, "en", "s", 0)]
+    for r in quality.with_measures(frame(spark, rows)).collect():
+        m = r["_m"]
+        assert (m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words) == brute_quality(r.text), r.text
+
+
+def test_sketch_quantiles_are_close(spark):
+    r = random.Random(4)
+    rows = [(i, " ".join("w" * r.randint(2, 9) for _ in range(60)), "en", r.choice(["a", "b"]), 0) for i in range(300)]
+    measured = quality.with_measures(frame(spark, rows))
+    q = {(x.source, x.measure): x for x in quality._quantiles(quality.sketches(measured), ["lang", "source"], {"q50": 0.5}).collect()}
+    for s in "ab":
+        exact = sorted(sum(map(len, d[1].split())) / 60 for d in rows if d[3] == s)
+        assert abs(q[s, "word_length"].q50 / exact[len(exact) // 2] - 1) < 3 * quality.ACCURACY
+    # merging groups gives the language's sketch
+    merged = quality._quantiles(quality.sketches(measured), ["lang"], {"q50": 0.5}).where("measure = 'word_length'").first()
+    assert merged.total == 300
+
+
+def test_thresholds_adapt_and_keep_clean_documents(spark):
+    r = random.Random(6)
+    clean = [(i, sentence(r, 120), "en", "a", 0) for i in range(80)]
+    symbols = [(1000 + i, " ".join(w + "#$" for w in sentence(r, 120).split()), "en", "code", 0) for i in range(80)]
+    odd = [(2000, " ".join(w + "&&&" for w in sentence(r, 120).split()), "en", "a", 0), (2001, "short", "en", "a", 0), (2002, None, None, None, 0)]
+    got = {x.doc_id: x.kept for x in quality.quality(frame(spark, clean + symbols + odd)).collect()}
+    assert all(got[i] for i in range(80)) and all(got[1000 + i] for i in range(80))
+    assert not got[2000] and not got[2001] and not got[2002]
+    assert quality.quality(frame(spark, clean).limit(0)).count() == 0
+
+
+# 10: mixing
+
+
+def test_targets():
+    assert mixing.targets([100, 100, 100]) == [200, 500 / 3, 250 / 3]
+    assert sum(mixing.targets([10, 500, 7, 90])) == pytest.approx(1.5 * 607)
+    assert mixing.targets([5, 0]) == [7.5, 0]
+    assert mixing.targets([]) == []
+
+
+def test_draws_meet_their_totals():
+    wanted = [0, 1, 1000, 333]
+    out = mixing.draws(wanted, 100, 7)
+    got = [0] * 4
+    for shard, i, n, first in out:
+        assert first == got[i]
+        got[i] += n
+    assert got == wanted and len({s for s, *_ in out}) == 14
+    assert out == mixing.draws(wanted, 100, 7)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 100, 1000])
+def test_permutations(n):
+    at = np.arange(n)
+    p = mixing.permute(at, np.full(n, n), np.full(n, 9))
+    assert sorted(p) == list(range(n))
+    assert n < 64 or (p != mixing.permute(at, np.full(n, n), np.full(n, 10))).any()
+
+
+def test_mix(spark):
+    rows = corpus(16)
+    docs = frame(spark, rows)
+    got = {r.doc_id: r for r in mixing.mix_documents(docs, block=8).collect()}
+    assert {k: r.size for k, r in got.items()} == {d[0]: len(words(d[1])) for d in rows}
+    by = collections.defaultdict(list)
+    for d in rows:
+        by[d[3]].append(got[d[0]])
+        assert got[d[0]].taken <= 2 * got[d[0]].size
+    order = sorted(by, key=lambda s: (s is None, s or ""))
+    want = mixing.targets([sum(r.size for r in by[s]) for s in order])
+    for s, t in zip(order, want, strict=True):
+        assert by[s][0].target == pytest.approx(t) and abs(sum(r.taken for r in by[s]) - t) <= 0.02 * t + 16
+    again = {r.doc_id: r.taken for r in mixing.mix_documents(docs.repartition(7), block=8).collect()}
+    assert again == {k: r.taken for k, r in got.items()}
+    blocks = mixing.mixed_blocks(docs, block=8).collect()
+    assert sum(len(words(b.text)) for b in blocks) == sum(r.taken for r in got.values())
+    vocabulary = {s: {w for d in rows if d[3] == s for w in words(d[1])} for s in by}
+    assert all(set(words(b.text)) <= vocabulary[b.source] for b in blocks)
+
+
+def test_mix_stage_texts(spark):
+    rows = corpus(17)
+    docs = frame(spark, rows)
+    out = {r.doc_id: r for r in mixing.stage(spark, docs, "").collect()}
+    taken = {r.doc_id: r.taken for r in mixing.mix_documents(docs).collect()}
+    assert {k: len(words(r.text)) for k, r in out.items()} == {k: n for k, n in taken.items() if n}
+    assert all(r.n_chars == len(r.text) for r in out.values())
+
+
+def test_mix_of_nothing(spark):
+    assert mixing.mix_documents(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+    one = mixing.mix_documents(spark.createDataFrame([(1, None, None)], "doc_id long, text string, source string")).first()
+    assert (one["size"], one.taken, one.target) == (0, 0, 0.0)
+
+
+def test_unescaping_is_html():
+    assert html_extract.extract("<article><p>a &lt;b&gt; &eacute; &#x41; &amp c and so on it goes</p></article>") == html.unescape("a &lt;b&gt; &eacute; &#x41; &amp c and so on it goes")
+    assert F is not None

@@ -37,7 +37,7 @@ class _Part:
         self.ids = t.column("doc_id")
         self.data, self.offsets = textops.flat(t.column("text"))
         starts, ends, hashes, counts = [], [], [], []
-        for a, b in textops.blocks(self.offsets, 1 << 20):
+        for a, b in textops.blocks(self.offsets, textops.BLOCK_BYTES):
             lo = self.offsets[a]
             local = self.data[lo : self.offsets[b]]
             s, e, at = textops.words(local, self.offsets[a : b + 1] - lo, textops.SPACE_WORD)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PART_BYTES = 8 << 20
+BATCH_BYTES = 8 << 20
 REPLY_SCHEMA = "part int, kind int, bucket int, body binary"
 REQUEST_SCHEMA = "bucket int, part int, body binary, extra binary"
 
@@ -37,15 +38,34 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_BYTES``, so that a worker's memory does not follow the texts' lengths."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/shelfspark/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing will read again."""
+    for df in tables:
+        for f in df.inputFiles()[:1]:
+            jvm = df.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(f).getParent()
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_bytes(df: DataFrame, text: str = "text") -> int:
+    small_batches(df.sparkSession)
     return int(df.agg(F.coalesce(F.sum(F.octet_length(F.col(text)).cast("long")), F.lit(0))).first()[0])
 
 

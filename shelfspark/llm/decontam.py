@@ -35,7 +35,7 @@ def _hashed(column, lower: bool = True):
     """Word hashes as signed 64-bit, and words before each row."""
     data, offsets = textops.flat(column)
     hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for a, b in textops.blocks(offsets, 1 << 20):
+    for a, b in textops.blocks(offsets, textops.BLOCK_BYTES):
         local = data[offsets[a] : offsets[b]]
         s, e, at = textops.words(local, offsets[a : b + 1] - offsets[a], textops.ALNUM_WORD)
         hashes.append(textops.word_hashes(local, s, e, lower))
@@ -197,6 +197,7 @@ def _merged(spans: str) -> str:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice_words: int = SLICE_WORDS) -> DataFrame:
     """Per document: doc_id, doc (text key), n_words, items (ids of items with an occurring window), spans (hit words, merged)."""
     spark = docs.sparkSession
+    corpus.small_batches(spark)
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("doc"))
     lengths, hits = None, []
     for items in _slices(benchmark, slice_words) or [[]]:

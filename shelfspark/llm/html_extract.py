@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import corpus
+
 MAX_LABELLED = 500
 SCALES = (0.25, 0.5, 1.0, 2.0, 4.0)
 
@@ -261,6 +263,7 @@ def extract_pages(pages: DataFrame, weights: dict | None = None) -> DataFrame:
             texts = [extract(x.as_py(), chosen) for x in batch.column("html")]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
+    corpus.small_batches(pages.sparkSession)
     source = pages.select("page_id", "url", "html")
     return source.mapInArrow(run, f"page_id {source.schema['page_id'].dataType.simpleString()}, url string, text string")
 

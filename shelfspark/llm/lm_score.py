@@ -48,7 +48,7 @@ class _Part:
         self.target = np.array([i is not None and i in labelled for i in self.ids], bool)
         data, offsets = textops.flat(t.column("text"))
         keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for a, b in textops.blocks(offsets, 1 << 20):
+        for a, b in textops.blocks(offsets, textops.BLOCK_BYTES):
             local = data[offsets[a] : offsets[b]]
             s, e, at = textops.words(local, offsets[a : b + 1] - offsets[a], textops.SPACE_WORD)
             keys.append(textops.word_hashes(local, s, e, lower=True) & KEY_MASK)
@@ -213,4 +213,5 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, min_count: int
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return cross_entropy_difference(docs, labels.where("quality = 1"))
+    out = cross_entropy_difference(docs, labels.where("quality = 1"))
+    return out.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])

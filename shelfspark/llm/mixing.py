@@ -176,8 +176,9 @@ def mix_documents(docs: DataFrame, block: int = BLOCK, **options) -> DataFrame:
     """Per document: doc_id, size, source_size, target of its source, and taken words, repeats counted."""
     at, slots, _ = mixed(docs.select("doc_id", "source", "text"), block, texts=False, **options)
     at = _keyed(at)
+    # a few draws explode into all slots, which their size does not show: not to be broadcast
     uses = slots.groupBy("i", "block").agg(F.count("*").alias("uses"))
-    taken = overlaps(at, block).join(uses, ["i", "block"]).groupBy("row").agg(F.sum(F.col("n") * F.col("uses")).alias("taken"))
+    taken = overlaps(at, block).join(uses.hint("merge"), ["i", "block"]).groupBy("row").agg(F.sum(F.col("n") * F.col("uses")).alias("taken"))
     out = at.join(taken.withColumnRenamed("row", "_row"), (F.col("row") == F.col("_row")) & (F.col("size") > 0), "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
@@ -190,7 +191,7 @@ def mixed_blocks(docs: DataFrame, block: int = BLOCK, **options) -> DataFrame:
     piece = F.expr(f"array_join(slice({word_array()}, cast(start + 1 as int), cast(n as int)), ' ')")
     blocks = parts.select("i", "block", "source", F.struct(F.col("row.first").alias("first"), piece.alias("words")).alias("piece"))
     whole = blocks.groupBy("i", "block", "source").agg(F.expr("array_join(transform(array_sort(collect_list(piece)), p -> p.words), ' ')").alias("text"))
-    return slots.join(whole, ["i", "block"]).select("shard", "slot", "source", "block", "text")
+    return slots.hint("merge").join(whole, ["i", "block"]).select("shard", "slot", "source", "block", "text")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -200,14 +201,17 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document with the words the mix takes of it: its chosen pieces in order, a second use after the first.
 
-    A document taken whole and once keeps its text as it stands; one of which nothing is taken goes.
+    A document taken whole and once keeps its text as it stands; one of which nothing is taken goes. Places and pieces
+    go without texts, which meet them once, by id and a hash of the row; equal rows differ in their pieces alone.
     """
     names = docs.columns
-    at, slots, _ = mixed(docs)
+    hashed = docs.withColumn("_row_hash", F.xxhash64(*names)).withColumn("_row_key", F.coalesce("doc_id", F.lit(0)))
+    at, slots, _ = mixed(hashed.select("doc_id", "source", "text", "_row_hash", "_row_key"), texts=False)
     keyed = _keyed(at)
     uses = slots.groupBy("i", "block").agg(F.count("*").alias("uses"))
-    chosen = overlaps(_keyed(at.drop("text")), BLOCK).join(uses, ["i", "block"]).groupBy(F.col("row").alias("_row")).agg(F.sort_array(F.collect_list(F.struct("start", "n", "uses"))).alias("_pieces"))
-    joined = keyed.join(chosen, F.col("row") == F.col("_row"))
+    pieces = overlaps(keyed, BLOCK).join(uses.hint("merge"), ["i", "block"]).groupBy(F.col("row").alias("_row")).agg(F.sort_array(F.collect_list(F.struct("start", "n", "uses"))).alias("_pieces"))
+    chosen = keyed.select("row", "size", "_row_key", "_row_hash").join(pieces, F.col("row") == F.col("_row")).select("_row_key", "_row_hash", "size", "_pieces")
+    joined = hashed.dropDuplicates(["_row_key", "_row_hash"]).join(chosen.hint("merge"), ["_row_key", "_row_hash"])
     cut = lambda least: f"transform(filter(_pieces, p -> p.uses >= {least}), p -> array_join(slice(w, cast(p.start + 1 as int), cast(p.n as int)), ' '))"
     text = F.expr(f"transform(array({word_array()}), w -> array_join(concat({cut(1)}, {cut(2)}), ' '))[0]")
     once = F.expr("aggregate(_pieces, 0L, (a, p) -> a + p.n) = size and forall(_pieces, p -> p.uses = 1)")

@@ -11,7 +11,7 @@ its members to its smallest one. Where members of a band then still lie in diffe
 components, shingles are counted over those members: one with too few shingles that any
 other has can link with none and leaves, which lowers the counts of the rest. Members that
 stay are compared in blocks of bounded size, by those counts and by sketches; each round
-confirms a forest of the best pairs and each member's best few, 16 times as many a round,
+confirms a forest of the best pairs and each member's best 256, 16 times as many a round,
 until no unconfirmed pair is left between components. So no pair is dropped.
 
 Defined cases: null, empty or blank texts have an empty set and link with nothing; a text
@@ -107,7 +107,7 @@ def _signatures(size: int):
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64())
             data, offsets = textops.flat(batch.column("text"))
-            for a, b in textops.blocks(offsets, 1 << 20):
+            for a, b in textops.blocks(offsets, textops.BLOCK_BYTES):
                 keys, at = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
                 n = np.diff(at)
                 full = np.flatnonzero(n)
@@ -132,7 +132,7 @@ def _sets(size: int, arrays: bool = False):
     def run(batches):
         for batch in batches:
             data, offsets = textops.flat(batch.column("text"))
-            for a, b in textops.blocks(offsets, 1 << 20):
+            for a, b in textops.blocks(offsets, textops.BLOCK_BYTES):
                 keys, at = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
                 sets = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys.view(np.int64))) if arrays else pa.array([keys[at[i] : at[i + 1]].tobytes() for i in range(b - a)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b].cast(pa.int64()), sets], ["id", "keys"])
@@ -168,7 +168,9 @@ def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
     both = left.join(sets.select(F.col("id").alias("a"), F.col("keys").alias("x")), "a").select("a", "b", "x", "y")
     found = both.mapInArrow(_confirm(percent), "a long, b long, linked boolean")
     # rows that share a doc_id are one node: any of its texts may link it
-    return corpus.table(found.groupBy("a", "b").agg(F.bool_or("linked").alias("linked")), "confirmed")
+    out = corpus.table(found.groupBy("a", "b").agg(F.bool_or("linked").alias("linked")), "confirmed")
+    corpus.drop(sets)
+    return out
 
 
 def _forest(a: np.ndarray, b: np.ndarray, order: np.ndarray, n: int) -> np.ndarray:
@@ -278,6 +280,7 @@ def _open_nodes(docs: DataFrame, bands: DataFrame, labels: DataFrame, size: int,
         common = alive.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
         count = alive.join(common, "k", "left_semi").groupBy("id").agg(F.count("*").alias("held"))
         held = corpus.table(count.join(sizes, "id").where(100 * F.col("held") >= percent * F.col("n")).select("id", "n", "held"), "open")
+    corpus.drop(rows)
     return held
 
 
@@ -316,7 +319,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     labels = graph.components(tried.where("linked"))
     bands = bands.select("band", "id")
     alive = _open_nodes(docs, bands, labels, size, percent)
-    each, more = 16, True
+    each, more = 256, True
     while more:
         pairs = _between_components(bands, sketches, labels, alive, each, percent)
         pairs = corpus.table(pairs.groupBy("a", "b").agg(F.bool_or("more").alias("more")), "pairs")
@@ -330,6 +333,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
             labels = graph.components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found.where("linked").select("a", "b")))
             tried = corpus.table(tried.unionByName(found), "confirmed")
         each *= 16
+    corpus.drop(bands, sketches, alive, tried)
     return _result(signs, classes, labels)
 
 

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import corpus
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "ssn", "phone_local")
 
@@ -143,6 +145,7 @@ def find_pii(docs: DataFrame, reach: int = 40, threshold: float = 0.6) -> DataFr
                 found.append([{"kind": k, "start": a, "end": b, "score": s, "text": t[a:b]} for k, a, b, s in spans_of(t, reach, threshold)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(found, pa.list_(element))], ["doc_id", "spans"])
 
+    corpus.small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, spans {SPANS}")
 
 

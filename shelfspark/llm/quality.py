@@ -144,7 +144,7 @@ def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
 
 def quality(docs: DataFrame, spread: float = 4.0, min_docs: int = 50) -> DataFrame:
     """The documents with ``_m`` (counts and shares), ``base_failed`` and ``kept``; written once, so texts are measured once."""
-    measured = corpus.table(with_measures(docs), "measured")
+    measured = corpus.table(with_measures(docs), "measured")  # texts included: for callers that want both at once
     return judged(measured, thresholds(sketches(measured), spread, min_docs))
 
 
@@ -156,5 +156,11 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass, in their own columns."""
-    return quality(docs).where("kept").select(*docs.columns)
+    """Documents that pass, in their own columns.
+
+    Only measures are stored; texts meet their verdicts once, by id and a hash of the row, so equal rows share theirs.
+    """
+    keyed = docs.withColumn("_row_hash", F.xxhash64(*docs.columns))
+    measured = corpus.table(with_measures(keyed.select("doc_id", "text", "lang", "source", "_row_hash")).drop("text"), "measures")
+    kept = judged(measured, thresholds(sketches(measured))).where("kept").select(F.coalesce("doc_id", F.lit(0)).alias("_row_key"), "_row_hash").distinct()
+    return keyed.withColumn("_row_key", F.coalesce("doc_id", F.lit(0))).join(kept.hint("merge"), ["_row_key", "_row_hash"], "left_semi").select(*docs.columns)

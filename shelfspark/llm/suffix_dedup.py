@@ -77,7 +77,7 @@ class _Part:
         self.length, self.ids = length, t.column("doc_id")
         self.data, self.offsets = textops.flat(t.column("text"))
         cols = [[], [], [], []]
-        for a, b in textops.blocks(self.offsets, 1 << 20):
+        for a, b in textops.blocks(self.offsets, textops.BLOCK_BYTES):
             lo = self.offsets[a]
             found = anchors(self.data[lo : self.offsets[b]], self.offsets[a : b + 1] - lo, length, gram)
             for c, x, shift in zip(cols, found, (lo, lo, lo, 0), strict=True):

@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
+#: Text that one round of numpy passes takes; its arrays are eight times as large and should stay near the cache.
+BLOCK_BYTES = 1 << 18
 
 #: ASCII white space that separates words: space, tab, LF, VT, FF, CR.
 SPACE_WORD = np.ones(256, bool)

@@ -37,7 +37,7 @@ SHARD_SCHEMA = "range int, seq int, n_ids long, shard binary"
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 END_ID = 2
 #: Distinct pieces a worker keeps encoded; those met once it is full are encoded each time.
-CACHE_PIECES = 2_000_000
+CACHE_PIECES = 1_500_000
 
 
 class EliasFano:
@@ -226,7 +226,7 @@ def _encode(path: str, end_id: int, shard_ids: int):
         for batch in batches:
             data, offsets = textops.flat(batch.column("text"))
             names = batch.column("doc_id").to_pylist()
-            for a, b in textops.blocks(offsets, 4 << 20):
+            for a, b in textops.blocks(offsets, 1 << 20):
                 flat, stops = enc.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 for i, x, y in zip(names[a:b], np.append(0, stops).tolist(), stops.tolist(), strict=False):
                     if bodies and size + y - x + 1 > shard_ids:

@@ -101,7 +101,7 @@ def _postings(terms: np.ndarray | None, documents: bool):
 def build_index(docs: DataFrame, terms: np.ndarray | None = None, documents: bool = True) -> DataFrame:
     """Postings of the given terms (all terms where None) and, with a null term, each document's length; a stored table."""
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("doc"))
-    return corpus.table(source.mapInArrow(_postings(terms, documents), INDEX_SCHEMA), "postings")
+    return corpus.table(source.mapInArrow(corpus.trimmed(_postings(terms, documents)), INDEX_SCHEMA), "postings")
 
 
 def _slices(benchmark: DataFrame, limit: int) -> list[list[tuple[str, np.ndarray]]]:
@@ -202,7 +202,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     lengths, hits = None, []
     for items in _slices(benchmark, slice_words) or [[]]:
         terms = np.unique(np.concatenate([h for _, h in items])) if items else np.zeros(0, np.int64)
-        counts = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(_count(terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()} if items else {}
+        counts = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(corpus.trimmed(_count(terms)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()} if items else {}
         probes = _probes(items, counts, window)
         wanted = np.unique(np.array([t for _, _, t, o2, t2 in probes for t in ((t, t2) if o2 >= 0 else (t,))], np.int64))
         index = build_index(docs, wanted, documents=lengths is None)
@@ -210,7 +210,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
             lengths = index.where("term is null").select("doc_id", "doc", "n_words")
         if probes:
             found = _candidates(index, probes)
-            hits.append(keyed.select("doc", "text").join(found, "doc").mapInArrow(_confirm(items, window), "doc long, items array<string>, spans array<struct<start:int,end:int>>"))
+            hits.append(keyed.select("doc", "text").join(found, "doc").mapInArrow(corpus.trimmed(_confirm(items, window)), "doc long, items array<string>, spans array<struct<start:int,end:int>>"))
     empty = spark.createDataFrame([], "doc long, items array<string>, spans array<struct<start:int,end:int>>")
     every = hits[0] if len(hits) == 1 else empty
     for more in hits if len(hits) > 1 else []:

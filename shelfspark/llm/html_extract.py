@@ -265,7 +265,7 @@ def extract_pages(pages: DataFrame, weights: dict | None = None) -> DataFrame:
 
     corpus.small_batches(pages.sparkSession)
     source = pages.select("page_id", "url", "html")
-    return source.mapInArrow(run, f"page_id {source.schema['page_id'].dataType.simpleString()}, url string, text string")
+    return source.mapInArrow(corpus.trimmed(run), f"page_id {source.schema['page_id'].dataType.simpleString()}, url string, text string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

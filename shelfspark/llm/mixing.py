@@ -145,7 +145,7 @@ def slot_blocks(spark, plans: list[dict], shard_slots: int = SHARD_SLOTS, seed:
             at = permute(slot % blocks, blocks, key)
             yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(slot), batch.column("i"), pa.array(at)], ["shard", "slot", "i", "block"])
 
-    return slots.mapInArrow(run, "shard int, slot long, i int, block long")
+    return slots.mapInArrow(corpus.trimmed(run), "shard int, slot long, i int, block long")
 
 
 def mixed(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 0, texts: bool = True, **options) -> tuple[DataFrame, DataFrame, list[dict]]:

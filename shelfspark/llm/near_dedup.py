@@ -163,10 +163,10 @@ def _confirm(percent: int):
 def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b, linked) of candidate pairs, from the full sets of their texts; a stored table."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b"))).distinct()
-    sets = corpus.table(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_sets(size), "id long, keys binary"), "sets")
+    sets = corpus.table(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(corpus.trimmed(_sets(size)), "id long, keys binary"), "sets")
     left = pairs.join(sets.select(F.col("id").alias("b"), F.col("keys").alias("y")), "b")
     both = left.join(sets.select(F.col("id").alias("a"), F.col("keys").alias("x")), "a").select("a", "b", "x", "y")
-    found = both.mapInArrow(_confirm(percent), "a long, b long, linked boolean")
+    found = both.mapInArrow(corpus.trimmed(_confirm(percent)), "a long, b long, linked boolean")
     # rows that share a doc_id are one node: any of its texts may link it
     out = corpus.table(found.groupBy("a", "b").agg(F.bool_or("linked").alias("linked")), "confirmed")
     corpus.drop(sets)
@@ -271,7 +271,7 @@ def _open_nodes(docs: DataFrame, bands: DataFrame, labels: DataFrame, size: int,
     """(id, n, held): members of mixed bands that may still link: ``held`` of their n shingles stand in another such member."""
     members = _labelled(bands, labels)
     ids = members.join(_mixed(members), "band").select(F.col("id").alias("doc_id")).distinct()
-    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(size, True), "id long, keys array<long>")
+    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(corpus.trimmed(_sets(size, True)), "id long, keys array<long>")
     rows = corpus.table(sets.select("id", F.explode("keys").alias("k")).distinct(), "shingles")
     sizes = rows.groupBy("id").agg(F.count("*").alias("n"))
     held = None
@@ -294,13 +294,13 @@ def _between_components(bands: DataFrame, sketches: DataFrame, labels: DataFrame
     held = ["band", "id", "component", "sketch", "bands", "side", "n", "held"]
     dealt = rows.select(*held, F.explode(F.expr("sequence(0, blocks - 1)")).alias("o")).select(*held, F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"))
     grouped = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "id")
-    return grouped.mapInArrow(_pairs_in_blocks(each, percent), "a long, b long, more boolean")
+    return grouped.mapInArrow(corpus.trimmed(_pairs_in_blocks(each, percent)), "a long, b long, more boolean")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select("doc_id", "text")
-    signs = corpus.table(docs.mapInArrow(_signatures(size), SIGNATURE), "signatures")
+    signs = corpus.table(docs.mapInArrow(corpus.trimmed(_signatures(size)), SIGNATURE), "signatures")
     known = signs.where("n > 0 and doc_id is not null")
     classes = corpus.table(known.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("node")), "classes")
     nodes = known.select(F.col("doc_id").alias("id"), "bands", "sketch").join(classes.select(F.col("node").alias("id")).distinct(), "id", "left_semi")

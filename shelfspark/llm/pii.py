@@ -146,7 +146,7 @@ def find_pii(docs: DataFrame, reach: int = 40, threshold: float = 0.6) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(found, pa.list_(element))], ["doc_id", "spans"])
 
     corpus.small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, spans {SPANS}")
+    return docs.select("doc_id", "text").mapInArrow(corpus.trimmed(run), f"doc_id long, spans {SPANS}")
 
 
 def _digest(found: DataFrame) -> DataFrame:

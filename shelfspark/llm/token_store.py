@@ -246,7 +246,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
     parts = corpus.part_count(corpus.text_bytes(docs), part_bytes)
     key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"))
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, key).sortWithinPartitions(key, "text")
-    ordered.mapInArrow(_encode(tokenizer, end_id, shard_ids), SHARD_SCHEMA).write.mode("overwrite").parquet(f"{path}/shards")
+    ordered.mapInArrow(corpus.trimmed(_encode(tokenizer, end_id, shard_ids)), SHARD_SCHEMA).write.mode("overwrite").parquet(f"{path}/shards")
     spark = docs.sparkSession
     sizes = spark.read.schema(SHARD_SCHEMA).parquet(f"{path}/shards").select("range", "seq", "n_ids")
     # one small row a shard: ids before each range, then inside it
@@ -276,7 +276,7 @@ def read_tokens(spark: SparkSession, path: str, crc: bool = False) -> DataFrame:
     shards = spark.read.schema(SHARD_SCHEMA).parquet(f"{path}/shards").drop("n_ids")
     index = spark.read.schema("range int, seq int, base long").parquet(f"{path}/index")
     schema = READ_SCHEMA if not crc else "doc_id long, start long, n_tokens long, ids_crc32 long"
-    return shards.join(index, ["range", "seq"]).select("base", "shard").mapInArrow(_read(not crc), schema)
+    return shards.join(index, ["range", "seq"]).select("base", "shard").mapInArrow(corpus.trimmed(_read(not crc)), schema)
 
 
 def default_tokenizer() -> str:

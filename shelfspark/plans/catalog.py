@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("link", "names", "fusion", "timeline", "trees", "queue")
+MODULES = ("link", "names", "fusion", "timeline", "trees", "queue", "ingest")
 
 
 def _all() -> dict[str, tuple]:

@@ -16,9 +16,12 @@ def folded(tags: Column) -> Column:
     raw = F.array_sort(F.map_entries(tags))
     key = lambda k: F.replace(F.regexp_replace(F.lower(text.trimmed(k)), "^.*:", ""), F.lit("-"), F.lit("_"))
     entries = F.filter(F.transform(raw, lambda e: F.struct(key(e["key"]).alias("key"), text.trimmed(e["value"]).alias("value"))), lambda e: e["value"] != "")
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    first = lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), 1)["value"]
-    return F.map_from_arrays(keys, F.transform(keys, first))
+
+    def deduped(entries: Column) -> Column:
+        keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), 1)["value"]))
+
+    return text.let(entries, deduped)
 
 
 def first(tags: Column, *keys: str) -> Column:
@@ -48,7 +51,10 @@ def hand_tagged_id(tags: Column, prefix: str) -> Column:
 
 def book(tags: Column) -> Column:
     """The record that a file's raw tags describe."""
-    t = folded(tags)
+    return text.let(folded(tags), _book)
+
+
+def _book(t: Column) -> Column:
     date = first(t, "date", "releasetime", "originaldate", "recording_date", "year")
     genres = text.listed(first(t, "genres"))
     one = first(t, "genre")

@@ -109,16 +109,17 @@ def file_titles(paths: Column) -> Column:
         s = F.regexp_replace(text.stem(p), "(?i)^[\\t\\n\\f\\r ]*(?:track|chapter|part|ch|pt)?[\\t\\n\\f\\r ._-]*[0-9]+[\\t\\n\\f\\r ._-]*", "")
         return F.regexp_replace(F.replace(s, F.lit("_"), F.lit(" ")), "^[ \\-–.]+|[ \\-–.]+$", "")
 
-    titles = F.transform(paths, clean)
-    useful = F.forall(titles, lambda t: (F.length(t) >= 3) & text.has_letter(t)) & (F.size(F.array_distinct(titles)) == F.size(titles))
-    return F.when(useful, titles).otherwise(F.transform(paths, lambda p, i: F.format_string("Chapter %02d", i + 1)))
+    def chosen_titles(titles: Column) -> Column:
+        useful = F.forall(titles, lambda t: (F.length(t) >= 3) & text.has_letter(t)) & (F.size(F.array_distinct(titles)) == F.size(titles))
+        return F.when(useful, titles).otherwise(F.transform(titles, lambda p, i: F.format_string("Chapter %02d", i + 1)))
+
+    return text.let(F.transform(paths, clean), chosen_titles)
 
 
 def from_files(paths: Column, durations: Column) -> Column:
     """One chapter a file, at the running sum of durations."""
-    titles = file_titles(paths)
     start = lambda i: F.aggregate(F.slice(durations, F.lit(1), i), F.lit(0).cast("long"), lambda a, d: a + d)
-    return F.transform(durations, lambda d, i: F.struct(F.get(titles, i).alias("title"), start(i).alias("start_ms"), d.cast("long").alias("length_ms")))
+    return text.let(file_titles(paths), lambda titles: F.transform(durations, lambda d, i: F.struct(F.get(titles, i).alias("title"), start(i).alias("start_ms"), d.cast("long").alias("length_ms"))))
 
 
 def aligned_titles(chapters: Column, n: Column, intro: Column, outro: Column) -> Column:

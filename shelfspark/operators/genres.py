@@ -58,20 +58,29 @@ def cleaned(label: Column, genres: Column, sub_genres: Column, paths: Column, ki
 
     Without paths, the flat genres less the contradicting ones; the sub-genres stay only where none was dropped.
     """
-    kind = record_kind(label, paths, kinds)
-    contradicts = lambda g: (kind != "") & (category_kind(g, kinds) != "") & (category_kind(g, kinds) != kind)
+    return text.let(record_kind(label, paths, kinds), lambda kind: _cleaned(kind, genres, sub_genres, paths, kinds))
+
+
+def _cleaned(kind: Column, genres: Column, sub_genres: Column, paths: Column, kinds: dict[str, str] | None) -> Column:
     none = F.array().cast("array<string>")
-    flat = F.filter(genres, lambda g: ~contradicts(g))
-    flat_result = F.when(F.size(flat) == 0, F.struct(genres.alias("genres"), sub_genres.alias("sub_genres"))).when(F.size(flat) < F.size(genres), F.struct(flat.alias("genres"), none.alias("sub_genres"))).otherwise(F.struct(flat.alias("genres"), sub_genres.alias("sub_genres")))
+    result = lambda g, s: F.struct(g.alias("genres"), s.alias("sub_genres"))
+    consistent = lambda names: F.filter(names, lambda g: text.let(category_kind(g, kinds), lambda k: (kind == "") | (k == "") | (k == kind)))
+
+    def flat(kept: Column) -> Column:
+        return F.when(F.size(kept) == 0, result(genres, sub_genres)).when(F.size(kept) < F.size(genres), result(kept, none)).otherwise(result(kept, sub_genres))
+
+    def ordered(firsts: Column) -> Column:
+        def rank(keep: Column) -> Column:
+            return F.transform(F.array_sort(F.transform(keep, lambda g, i: F.struct((-F.size(F.filter(firsts, lambda x: x == g))).alias("n"), i.alias("i"), g.alias("g")))), lambda r: r["g"])
+
+        return text.let(F.array_distinct(firsts), lambda names: text.let(consistent(names), lambda keep: rank(F.when(F.size(keep) > 0, keep).otherwise(names))))
+
+    def with_subs(order: Column) -> Column:
+        below = F.flatten(F.transform(order, lambda g: F.flatten(F.transform(F.filter(paths, lambda p: F.try_element_at(p, F.lit(1)) == g), lambda p: F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0)))))))
+        return result(order, F.array_except(F.filter(below, lambda s: s != ""), order))
+
     firsts = F.filter(F.transform(paths, lambda p: F.coalesce(F.try_element_at(p, F.lit(1)), F.lit(""))), lambda g: g != "")
-    names = F.array_distinct(firsts)
-    consistent = F.filter(names, lambda g: ~contradicts(g))
-    keep = F.when(F.size(consistent) > 0, consistent).otherwise(names)
-    ranked = F.array_sort(F.transform(keep, lambda g, i: F.struct((-F.size(F.filter(firsts, lambda x: x == g))).alias("n"), i.alias("i"), g.alias("g"))))
-    ordered = F.transform(ranked, lambda r: r["g"])
-    below = F.flatten(F.transform(ordered, lambda g: F.flatten(F.transform(F.filter(paths, lambda p: F.try_element_at(p, F.lit(1)) == g), lambda p: F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0)))))))
-    subs = F.filter(F.array_distinct(F.filter(below, lambda s: s != "")), lambda s: ~F.array_contains(ordered, s))
-    return F.when(F.size(paths) == 0, flat_result).otherwise(F.struct(ordered.alias("genres"), subs.alias("sub_genres")))
+    return F.when(F.size(paths) == 0, text.let(consistent(genres), flat)).otherwise(text.let(text.let(firsts, ordered), with_subs))
 
 
 def without_placeholders(genres: Column) -> Column:

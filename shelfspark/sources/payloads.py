@@ -91,7 +91,10 @@ def primary_series(series: Column) -> Column:
 
 def product_book(body: Column) -> Column:
     """A product answer as a record; null where it has no title (not found)."""
-    p = F.from_json(body, PRODUCT)["product"]
+    return text.let(F.from_json(body, PRODUCT)["product"], _product_book)
+
+
+def _product_book(p: Column) -> Column:
     paths = ladders(p["category_ladders"])
     series = primary_series(p["series"])
     firsts = F.array_distinct(F.transform(paths, lambda x: F.element_at(x, 1)))
@@ -121,7 +124,10 @@ def product_book(body: Column) -> Column:
 
 def secondary_book(body: Column) -> Column:
     """A secondary catalog's record; null where it has no title."""
-    b = F.from_json(body, SECONDARY)
+    return text.let(F.from_json(body, SECONDARY), _secondary_book)
+
+
+def _secondary_book(b: Column) -> Column:
     typed = lambda kind: F.coalesce(F.transform(F.filter(b["genres"], lambda g: g["type"] == kind), lambda g: g["name"]), F.array().cast("array<string>"))
     date = F.left(_text(b["releaseDate"]), F.lit(10))
     book = F.struct(
@@ -168,7 +174,10 @@ def authors(body: Column) -> Column:
 
 def probe(body: Column) -> Column:
     """struct of a probe's answer: duration, rates, codec, container, chapters, tags, and whether the header was cut off."""
-    b = F.from_json(body, PROBE)
+    return text.let(F.from_json(body, PROBE), _probe)
+
+
+def _probe(b: Column) -> Column:
     audio = F.try_element_at(F.filter(b["streams"], lambda s: s["codec_type"] == "audio"), F.lit(1))
     header = clock.seconds_ms(_text(b["format"]["duration"]))
     real = clock.unwrapped_ms(audio["codec_name"], audio["time_base"], audio["duration_ts"], audio["nb_frames"].try_cast("long"))
@@ -261,8 +270,10 @@ def lenient_reply(reply: Column) -> Column:
     as texts, texts as lists, "unknown" as nothing."""
     fenced = F.regexp_extract(reply, "(?s)```(?:json)?[\\t\\n\\f\\r ]*(\\{.*?\\})[\\t\\n\\f\\r ]*```", 1)
     outer = F.regexp_extract(reply, "(?s)(\\{.*\\})", 1)
-    raw = F.coalesce(text.known(fenced), outer)
-    parsed = F.from_json(raw, "map<string,string>")
+    return text.let(F.coalesce(text.known(fenced), outer), lambda raw: text.let(F.from_json(raw, "map<string,string>"), lambda parsed: _reply(raw, parsed)))
+
+
+def _reply(raw: Column, parsed: Column) -> Column:
     unknown = lambda v: F.lower(text.trimmed(v)).isin("", "unknown", "n/a", "null", "none")
     value = lambda k: F.coalesce(F.when(~unknown(F.try_element_at(parsed, F.lit(k))), text.trimmed(F.try_element_at(parsed, F.lit(k)))), F.lit(""))
 

@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-import importlib
-
-MODULES = ("link", "names", "fusion", "timeline", "trees", "queue", "ingest")
+from . import fusion, ingest, link, names, queue, timeline, trees
 
 
 def _all() -> dict[str, tuple]:
     out: dict[str, tuple] = {}
-    for name in MODULES:
-        try:
-            module = importlib.import_module(f".{name}", __package__)
-        except ModuleNotFoundError as e:
-            if e.name != f"{__package__}.{name}":
-                raise
-            continue
+    for module in (link, names, fusion, timeline, trees, queue, ingest):
         out.update(module.QUERIES)
     return out
 

@@ -74,9 +74,9 @@ def _quality() -> str:
     for name, by in levels.items():
         part, sep = f"PARTITION BY {by + ', ' if by else ''}k", f"{by}, " if by else ""
         tables.append(
-            f"{name}_q AS (SELECT {sep}k, max(total) total, min(v) FILTER (upto >= ceil(0.1::DOUBLE * total)) q10, min(v) FILTER (upto >= ceil(0.5::DOUBLE * total)) q50, min(v) FILTER (upto >= ceil(0.9::DOUBLE * total)) q90 "
+            f"{name}_q AS (SELECT {sep}k, max(total) total, min(v) FILTER (upto >= ceil(0.25::DOUBLE * total)) q25, min(v) FILTER (upto >= ceil(0.5::DOUBLE * total)) q50, min(v) FILTER (upto >= ceil(0.75::DOUBLE * total)) q75 "
             f"FROM (SELECT {sep}k, v, sum(n) OVER ({part} ORDER BY v) upto, sum(n) OVER ({part}) total FROM (SELECT {sep}k, v, sum(n) n FROM sketch GROUP BY ALL)) GROUP BY {sep}k),\n"
-            f" {name} AS (SELECT {sep}k, total, q50 - greatest(4.0::DOUBLE * (q50 - q10), CASE k {margin} END) lo, q50 + greatest(4.0::DOUBLE * (q90 - q50), CASE k {margin} END) hi FROM {name}_q)"
+            f" {name} AS (SELECT {sep}k, total, q50 - greatest(8.0::DOUBLE * (q50 - q25), CASE k {margin} END) lo, q50 + greatest(8.0::DOUBLE * (q75 - q50), CASE k {margin} END) hi FROM {name}_q)"
         )
     shares = " UNION ALL ".join(f"SELECT doc_id, lang, source, n_words, '{k}' k, {k} x FROM m" for k in names)
     return (

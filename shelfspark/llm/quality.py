@@ -32,7 +32,7 @@ MEASURES = {
     "repeat_share": (True, False),
     "word_length": (True, True),
 }
-MARGIN = {"symbol_share": 0.05, "dup_line_share": 0.25, "repeat_share": 0.2, "word_length": 3.0}
+MARGIN = {"symbol_share": 0.05, "dup_line_share": 0.5, "repeat_share": 0.35, "word_length": 3.0}
 
 _SPACE = r"[\\x20\\x09-\\x0D]+"
 _TRIM = "' \t\n\x0b\f\r'"
@@ -102,15 +102,15 @@ def _quantiles(sketch: DataFrame, by: list[str], at: dict[str, float]) -> DataFr
     return ranked.groupBy(*by, "measure").agg(F.max("total").alias("total"), *pick)
 
 
-def thresholds(sketch: DataFrame, spread: float = 4.0, min_docs: int = 50) -> DataFrame:
+def thresholds(sketch: DataFrame, spread: float = 8.0, min_docs: int = 50) -> DataFrame:
     """(lang, source) with the struct column ``_t``: lower and upper limit of each measure."""
-    at = {"q10": 0.1, "q50": 0.5, "q90": 0.9}
+    at = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
     levels = {"own": ["lang", "source"], "lang": ["lang"], "all": []}
     groups = sketch.select("lang", "source").distinct()
     margin = F.create_map(*[x for k, v in MARGIN.items() for x in (F.lit(k), F.lit(v))])[F.col("measure")]
     # spread of a tail in units of its own distance from the median
-    low = F.col("q50") - F.greatest(spread * (F.col("q50") - F.col("q10")), margin)
-    high = F.col("q50") + F.greatest(spread * (F.col("q90") - F.col("q50")), margin)
+    low = F.col("q50") - F.greatest(spread * (F.col("q50") - F.col("q25")), margin)
+    high = F.col("q50") + F.greatest(spread * (F.col("q75") - F.col("q50")), margin)
     for name, by in levels.items():
         q = _quantiles(sketch, by, at).withColumn("t", F.struct(low.alias("low"), high.alias("high")))
         limits = q.groupBy(*by).agg(F.max("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("measure", "t"))).alias("t")).withColumnRenamed("total", f"{name}_n").withColumnRenamed("t", f"{name}_t")
@@ -142,7 +142,7 @@ def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
     return joined.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(outside, F.lit(False))).drop("_t")
 
 
-def quality(docs: DataFrame, spread: float = 4.0, min_docs: int = 50) -> DataFrame:
+def quality(docs: DataFrame, spread: float = 8.0, min_docs: int = 50) -> DataFrame:
     """The documents with ``_m`` (counts and shares), ``base_failed`` and ``kept``; written once, so texts are measured once."""
     measured = corpus.table(with_measures(docs), "measured")  # texts included: for callers that want both at once
     return judged(measured, thresholds(sketches(measured), spread, min_docs))

@@ -31,8 +31,8 @@ def fences(values):
     out = {}
     for k in quality.MEASURES:
         v = sorted(bucket(s[k]) for s in values)
-        q10, q50, q90 = (v[max(0, math.ceil(q * len(v)) - 1)] for q in (0.1, 0.5, 0.9))
-        out[k] = (q50 - max(4 * (q50 - q10), quality.MARGIN[k]), q50 + max(4 * (q90 - q50), quality.MARGIN[k]))
+        q25, q50, q75 = (v[max(0, math.ceil(q * len(v)) - 1)] for q in (0.25, 0.5, 0.75))
+        out[k] = (q50 - max(8 * (q50 - q25), quality.MARGIN[k]), q50 + max(8 * (q75 - q50), quality.MARGIN[k]))
     return out
 
 

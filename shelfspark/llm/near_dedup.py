@@ -35,7 +35,7 @@ SAMPLES = 256
 SKETCH_BITS = 1024
 SIFT = 0.715
 PEELS = 3
-BLOCK_MEMBERS = 1024
+BLOCK_MEMBERS = 512
 SIGNATURE = "doc_id long, n long, f1 long, f2 long, bands array<long>, sketch binary"
 
 _rng = np.random.Generator(np.random.Philox(key=[20, 26]))
@@ -192,13 +192,13 @@ def _forest(a: np.ndarray, b: np.ndarray, order: np.ndarray, n: int) -> np.ndarr
     return np.array(out, np.int64)
 
 
-def _block_pairs(t: dict, each: int, percent: int) -> list[tuple[int, int, bool]]:
+def _block_pairs(t: pa.Table, each: int, percent: int) -> list[tuple[int, int, bool]]:
     """Candidate pairs of one block or pair of blocks whose first common band this is: a forest of the best, and each member's ``each`` best."""
-    sketch = np.frombuffer(b"".join(t["sketch"]), "<u8").reshape(len(t["id"]), -1)
-    bands = np.array(t["bands"])
-    ids, comp, side, n, held = (np.array(t[c]) for c in ("id", "component", "side", "n", "held"))
-    members = len(ids)
-    cross = t["i"][0] != t["j"][0]
+    members = t.num_rows
+    sketch = np.frombuffer(textops.flat(t.column("sketch"))[0].tobytes(), "<u8").reshape(members, -1)
+    bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(members, -1)
+    ids, comp, side, n, held = (t.column(c).to_numpy() for c in ("id", "component", "side", "n", "held"))
+    cross, band = t.column("i")[0] != t.column("j")[0], t.column("band")[0].as_py()
     found = []
     for x in range(members - 1):
         most = np.minimum(held[x], held[x + 1 :])
@@ -211,7 +211,7 @@ def _block_pairs(t: dict, each: int, percent: int) -> list[tuple[int, int, bool]
         bits = np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1)
         near = bits <= MOST_BITS
         y, bits = y[near], bits[near]
-        first = bands[x][(bands[y] == bands[x]).argmax(axis=1)] == t["band"][0]
+        first = bands[x][(bands[y] == bands[x]).argmax(axis=1)] == band
         if first.any():
             found.append((np.full(int(first.sum()), x), y[first], bits[first]))
     if not found:
@@ -233,26 +233,28 @@ def _block_pairs(t: dict, each: int, percent: int) -> list[tuple[int, int, bool]
 
 def _pairs_in_blocks(each: int, percent: int):
     """Rows arrive grouped by (band, i, j); groups are cut from the stream, at most two blocks long."""
-    names = ("band", "id", "component", "sketch", "bands", "side", "n", "held", "i", "j")
 
-    def emit(t: dict) -> pa.RecordBatch:
-        out = _block_pairs(t, each, percent)
-        a, b, more = zip(*out, strict=True) if out else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], ["a", "b", "more"])
+    def emit(held: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(held).combine_chunks()
+        if out := _block_pairs(t, each, percent) if t.num_rows > 1 else []:
+            a, b, more = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], ["a", "b", "more"])
 
     def run(batches):
-        key, held = None, {c: [] for c in names}
+        key, held = None, []
         for batch in batches:
-            d = batch.to_pydict()
-            for r, k in enumerate(zip(d["band"], d["i"], d["j"], strict=True)):
-                if k != key:
-                    if len(held["id"]) > 1:
-                        yield emit(held)
-                    key, held = k, {c: [] for c in names}
-                for c in names:
-                    held[c].append(d[c][r])
-        if len(held["id"]) > 1:
-            yield emit(held)
+            if not batch.num_rows:
+                continue
+            k = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("band", "i", "j")], axis=1)
+            cuts = (np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist()
+            for a, b in zip([0, *cuts], [*cuts, len(k)], strict=True):
+                if tuple(k[a]) != key:
+                    if held:
+                        yield from emit(held)
+                    key, held = tuple(k[a]), []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from emit(held)
 
     return run
 

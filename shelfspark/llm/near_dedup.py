@@ -3,8 +3,8 @@
 A document's set is its distinct shingles of ``size`` words. Its MinHash samples fall into
 bands, and documents that share a band are candidates. The samples also fold into an odd
 sketch, a bitmap of parities; the population count of two sketches' XOR estimates their
-similarity, most sharply where it is high, and pairs estimated under ``SIFT`` go. What
-remains is confirmed on the full sets. ``SIFT`` lies six deviations below 0.85.
+similarity, most sharply where it is high, and pairs estimated six deviations under the
+threshold go. What remains is confirmed on the full sets. Bands and sift follow ``percent``.
 
 Documents with equal sets are one node, so copies never meet as pairs. A band first links
 its members to its smallest one. Where members of a band then still lie in different
@@ -21,6 +21,8 @@ its own unlinked row, kept; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,10 +32,11 @@ from . import corpus, graph, textops
 
 SHINGLE = 5
 PERCENT = 85
-BANDS, ROWS = 32, 4
+#: The usual number of bands, and the greatest chance that a pair at the threshold shares none.
+BANDS, MISS = 32, 1e-7
 SAMPLES = 256
 SKETCH_BITS = 1024
-SIFT = 0.715
+DEVIATIONS = 6
 PEELS = 3
 BLOCK_MEMBERS = 512
 SIGNATURE = "doc_id long, n long, f1 long, f2 long, bands array<long>, sketch binary"
@@ -76,10 +79,23 @@ def minhash(keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(samples: np.ndarray) -> np.ndarray:
-    v = samples[:, : BANDS * ROWS].reshape(len(samples), BANDS, ROWS).astype(np.uint64)
-    acc = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for r in range(ROWS):
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows): the most rows, four at most, at which a pair at the threshold shares no band with chance ``MISS`` or less."""
+    if not 0 < percent <= 100:
+        raise ValueError(f"percent is not 1 to 100: {percent}")
+    for rows in (4, 3, 2, 1):
+        if (1 - (percent / 100) ** rows) ** BANDS <= MISS:
+            return BANDS, rows
+    bands = math.ceil(math.log(MISS) / math.log(1 - percent / 100))
+    if bands > SAMPLES:
+        raise ValueError(f"{SAMPLES} samples are too few for {percent} percent")
+    return bands, 1
+
+
+def band_keys(samples: np.ndarray, count: int, rows: int) -> np.ndarray:
+    v = samples[:, : count * rows].reshape(len(samples), count, rows).astype(np.uint64)
+    acc = np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for r in range(rows):
         acc = textops.mix(acc ^ v[:, :, r] * np.uint64(0xD6E8FEB86659FD93))
     return acc
 
@@ -98,11 +114,28 @@ def estimate(differing: np.ndarray) -> np.ndarray:
     return 1 + SKETCH_BITS / (4 * SAMPLES) * np.log(1 - 2 * x)
 
 
-#: The most differing bits of a pair that is not sifted out.
-MOST_BITS = int(np.max(np.flatnonzero(estimate(np.arange(SKETCH_BITS)) >= SIFT)))
+def sift(percent: int) -> float:
+    """The least estimate of a pair that is not sifted out: the threshold less ``DEVIATIONS`` of the estimate's.
+
+    Differing samples are binomial; those whose bits collide, about Poisson, cancel.
+    """
+    j = percent / 100
+    samples = j * (1 - j) / SAMPLES
+    collisions = 2 * (1 - j) ** 2 / SKETCH_BITS * math.exp(8 * SAMPLES * (1 - j) / SKETCH_BITS)
+    return j - DEVIATIONS * math.sqrt(samples + collisions)
+
+
+def most_bits(percent: int) -> int:
+    """The most differing bits of a pair that is not sifted out."""
+    return int(np.max(np.flatnonzero(estimate(np.arange(SKETCH_BITS)) >= sift(percent))))
+
+
+MOST_BITS = most_bits(PERCENT)
+
 
+def _signatures(size: int, percent: int):
+    count, rows = banding(percent)
 
-def _signatures(size: int):
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64())
@@ -119,7 +152,7 @@ def _signatures(size: int):
                     f1[full] = np.add.reduceat(keys, starts)
                     f2[full] = np.add.reduceat(textops.mix(keys ^ np.uint64(0x5851F42D4C957F2D)), starts)
                     samples = minhash(keys, starts)
-                    for i, k, s in zip(full.tolist(), band_keys(samples).view(np.int64), odd_sketches(samples), strict=True):
+                    for i, k, s in zip(full.tolist(), band_keys(samples, count, rows).view(np.int64), odd_sketches(samples), strict=True):
                         bands[i], sketch[i] = k, s.tobytes()
                 yield pa.RecordBatch.from_arrays([ids[a:b], pa.array(n.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "n", "f1", "f2", "bands", "sketch"])
 
@@ -199,17 +232,17 @@ def _block_pairs(t: pa.Table, each: int, percent: int) -> list[tuple[int, int, b
     bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(members, -1)
     ids, comp, side, n, held = (t.column(c).to_numpy() for c in ("id", "component", "side", "n", "held"))
     cross, band = t.column("i")[0] != t.column("j")[0], t.column("band")[0].as_py()
-    found = []
+    found, most = [], most_bits(percent)
     for x in range(members - 1):
-        most = np.minimum(held[x], held[x + 1 :])
-        ok = (comp[x + 1 :] != comp[x]) & (100 * most >= percent * (n[x] + n[x + 1 :] - most))
+        shared = np.minimum(held[x], held[x + 1 :])
+        ok = (comp[x + 1 :] != comp[x]) & (100 * shared >= percent * (n[x] + n[x + 1 :] - shared))
         if cross:
             ok &= side[x + 1 :] != side[x]
         y = np.flatnonzero(ok) + x + 1
         if not len(y):
             continue
         bits = np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1)
-        near = bits <= MOST_BITS
+        near = bits <= most
         y, bits = y[near], bits[near]
         first = bands[x][(bands[y] == bands[x]).argmax(axis=1)] == band
         if first.any():
@@ -302,7 +335,7 @@ def _between_components(bands: DataFrame, sketches: DataFrame, labels: DataFrame
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select("doc_id", "text")
-    signs = corpus.table(docs.mapInArrow(corpus.trimmed(_signatures(size)), SIGNATURE), "signatures")
+    signs = corpus.table(docs.mapInArrow(corpus.trimmed(_signatures(size, percent)), SIGNATURE), "signatures")
     known = signs.where("n > 0 and doc_id is not null")
     classes = corpus.table(known.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("node")), "classes")
     nodes = known.select(F.col("doc_id").alias("id"), "bands", "sketch").join(classes.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
@@ -315,7 +348,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     longs = sketches.select("id", words.alias("w"))
     firsts = bands.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     differing = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    firsts = firsts.join(longs.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b").join(longs.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").where(differing <= MOST_BITS).select("a", "b").distinct()
+    firsts = firsts.join(longs.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b").join(longs.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").where(differing <= most_bits(percent)).select("a", "b").distinct()
 
     tried = confirmed(docs, corpus.table(firsts, "pairs"), size, percent)
     labels = graph.components(tried.where("linked"))

@@ -160,3 +160,50 @@ def test_kept_text_has_a_stable_digest(spark):
     rows = corpus(9, 10)
     out = block_dedup.block_dedup(frame(spark, rows)).withColumn("h", F.sha2("kept_text", 256)).collect()
     assert all(r.h == hashlib.sha256(r.kept_text.encode()).hexdigest() for r in out)
+
+
+def linked_at(rows, percent):
+    sets = {d[0]: shingles(d[1]) for d in rows}
+    ids, root = sorted(sets), {k: k for k in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {k: find(k) for k in ids}
+
+
+def edited(seed, percents):
+    """A text and copies of it at about those similarities."""
+    r = random.Random(seed)
+    out = []
+    for i, p in enumerate(percents):
+        base = [f"b{i}x{k}" for k in range(200)]
+        copy = list(base)
+        for k in range(round(196 * (1 - p / 100) / (1 + p / 100) / 5)):
+            copy[10 * k + 5] = f"e{r.randrange(10**9)}"
+        out += [" ".join(base), " ".join(copy)]
+    return [(i, t, "en", "s", len(t)) for i, t in enumerate(out)]
+
+
+@pytest.mark.parametrize("percent", [50, 70, 80])
+def test_bands_and_sift_follow_the_percent(spark, percent):
+    rows = edited(32, [percent + 2] * 40 + [max(1, percent - 6)] * 5)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, rows), percent=percent).collect()}
+    assert got == linked_at(rows, percent)
+    count, each = near_dedup.banding(percent)
+    assert (1 - (percent / 100) ** each) ** count <= near_dedup.MISS
+
+
+def test_a_percent_the_samples_cannot_serve_is_refused():
+    assert near_dedup.banding(85) == (32, 4)
+    for percent in (0, 3, 101):
+        with pytest.raises(ValueError):
+            near_dedup.banding(percent)

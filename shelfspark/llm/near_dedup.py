@@ -4,7 +4,8 @@ A document's set is its distinct shingles of ``size`` words. Its MinHash samples
 bands, and documents that share a band are candidates. The samples also fold into an odd
 sketch, a bitmap of parities; the population count of two sketches' XOR estimates their
 similarity, most sharply where it is high, and pairs estimated six deviations under the
-threshold go. What remains is confirmed on the full sets. Bands and sift follow ``percent``.
+threshold go. What remains is confirmed on the full sets. Bands and sift follow ``percent``:
+op3 asks for ``PERCENT``, the pipeline's stage for ``STAGE_PERCENT``.
 
 Documents with equal sets are one node, so copies never meet as pairs. A band first links
 its members to its smallest one. Where members of a band then still lie in different
@@ -32,6 +33,7 @@ from . import corpus, graph, textops
 
 SHINGLE = 5
 PERCENT = 85
+STAGE_PERCENT = 80
 #: The usual number of bands, and the greatest chance that a pair at the threshold shares none.
 BANDS, MISS = 32, 1e-7
 SAMPLES = 256
@@ -386,5 +388,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest doc_id."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    gone = near_duplicates(docs, percent=STAGE_PERCENT).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

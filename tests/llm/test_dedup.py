@@ -193,6 +193,14 @@ def edited(seed, percents):
     return [(i, t, "en", "s", len(t)) for i, t in enumerate(out)]
 
 
+def test_stage_drops_near_copies_from_80_percent(spark):
+    rows = edited(31, [82] * 10 + [75] * 3)
+    want = {i for i, c in linked_at(rows, 80).items() if i == c}
+    at_85 = {i for i, c in linked_at(rows, 85).items() if i == c}
+    assert len(want) < len(at_85)
+    assert {r.doc_id for r in near_dedup.stage(spark, frame(spark, rows), "").collect()} == want
+
+
 @pytest.mark.parametrize("percent", [50, 70, 80])
 def test_bands_and_sift_follow_the_percent(spark, percent):
     rows = edited(32, [percent + 2] * 40 + [max(1, percent - 6)] * 5)

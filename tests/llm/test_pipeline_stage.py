@@ -1,0 +1,12 @@
+"""The pipeline against the plain version of its stages, near copies linked at the stage's own threshold."""
+
+from __future__ import annotations
+
+from . import test_pipeline
+from .test_dedup import linked_at
+from .test_pipeline import tables  # noqa: F401
+
+
+def test_run_equals_a_plain_version_at_80_percent(spark, tables, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(test_pipeline, "linked", lambda rows: {k: (0, c) for k, c in linked_at(rows, 80).items()})
+    test_pipeline.test_run_equals_a_plain_version(spark, tables)

@@ -7,8 +7,9 @@ fences around its own quantiles; a group with under ``min_docs`` documents uses
 language's merged sketch, a small language the whole corpus's. Thresholds join back on
 (lang, source), and a document outside a fence goes.
 
-Fences replace fixed cutoffs; ``MARGIN`` is the least distance from the median that can
-count as an outlier, so uniform groups reject nothing for tiny differences.
+A fence lies ``spread`` times the group's own tail from its median: for the shares, mostly
+zero, up to the 90 or 95 % quantile, for word length to the quartiles. ``FLOOR`` is the least
+distance, for groups of no spread.
 
 Defined cases: null or empty texts have no words and fail the base rule; null lang or
 source is a group of its own; repeated rows are judged each; columns of the input other
@@ -25,13 +26,18 @@ from . import corpus
 
 ACCURACY = 0.02
 GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
-#: measure -> (upper fence, lower fence) present, least distance of a fence from the median
+#: measure -> (upper fence, lower fence) present
 MEASURES = {
     "symbol_share": (True, False),
     "dup_line_share": (True, False),
     "repeat_share": (True, False),
     "word_length": (True, True),
 }
+#: Quantile that ends the upper tail; the lower one ends at its mirror image.
+TAIL = {"symbol_share": 0.9, "dup_line_share": 0.95, "repeat_share": 0.9, "word_length": 0.75}
+#: Least distance of a fence from the median.
+FLOOR = {"symbol_share": 0.02, "dup_line_share": 0.2, "repeat_share": 0.05, "word_length": 0.25}
+#: Margins of the SQL twin, which keeps the earlier quartile fences.
 MARGIN = {"symbol_share": 0.05, "dup_line_share": 0.5, "repeat_share": 0.35, "word_length": 3.0}
 
 _SPACE = r"[\\x20\\x09-\\x0D]+"
@@ -94,23 +100,30 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def _quantiles(sketch: DataFrame, by: list[str], at: dict[str, float]) -> DataFrame:
-    """Quantiles of merged sketches: the value of the first bucket whose cumulated count reaches the rank."""
+    """Quantiles of merged sketches: in the first bucket whose cumulated count reaches the rank, as far up as the rank is among its members."""
     merged = sketch.groupBy(*by, "measure", "bucket", "value").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*by, "measure")
     ranked = merged.withColumn("upto", F.sum("n").over(w.orderBy("value"))).withColumn("total", F.sum("n").over(w))
-    pick = [F.min(F.when(F.col("upto") >= F.ceil(F.lit(q) * F.col("total")), F.col("value"))).alias(name) for name, q in at.items()]
+    # a bucket reaches from upper / GAMMA to upper
+    upper = F.col("value") * ((GAMMA + 1) / 2)
+    part = lambda rank: F.greatest(F.lit(0.0), (rank - (F.col("upto") - F.col("n"))) / F.col("n"))
+    inside = lambda rank: upper / GAMMA + (upper - upper / GAMMA) * part(rank)
+    ranks = {name: F.ceil(F.lit(q) * F.col("total")) for name, q in at.items()}
+    pick = [F.min(F.when(F.col("upto") >= rank, inside(rank))).alias(name) for name, rank in ranks.items()]
     return ranked.groupBy(*by, "measure").agg(F.max("total").alias("total"), *pick)
 
 
 def thresholds(sketch: DataFrame, spread: float = 8.0, min_docs: int = 50) -> DataFrame:
     """(lang, source) with the struct column ``_t``: lower and upper limit of each measure."""
-    at = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    at = {"q50": 0.5} | {f"up_{k}": v for k, v in TAIL.items()} | {f"down_{k}": 1 - v for k, v in TAIL.items()}
     levels = {"own": ["lang", "source"], "lang": ["lang"], "all": []}
     groups = sketch.select("lang", "source").distinct()
-    margin = F.create_map(*[x for k, v in MARGIN.items() for x in (F.lit(k), F.lit(v))])[F.col("measure")]
+    by_measure = lambda of: F.create_map(*[x for k, v in of.items() for x in (F.lit(k), v if isinstance(v, Column) else F.lit(v))])[F.col("measure")]
     # spread of a tail in units of its own distance from the median
-    low = F.col("q50") - F.greatest(spread * (F.col("q50") - F.col("q25")), margin)
-    high = F.col("q50") + F.greatest(spread * (F.col("q75") - F.col("q50")), margin)
+    down = spread * (F.col("q50") - by_measure({k: F.col(f"down_{k}") for k in TAIL}))
+    up = spread * (by_measure({k: F.col(f"up_{k}") for k in TAIL}) - F.col("q50"))
+    low = F.col("q50") - F.greatest(down, by_measure(FLOOR))
+    high = F.col("q50") + F.greatest(up, by_measure(FLOOR))
     for name, by in levels.items():
         q = _quantiles(sketch, by, at).withColumn("t", F.struct(low.alias("low"), high.alias("high")))
         limits = q.groupBy(*by).agg(F.max("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("measure", "t"))).alias("t")).withColumnRenamed("total", f"{name}_n").withColumnRenamed("t", f"{name}_t")
@@ -127,10 +140,18 @@ def thresholds(sketch: DataFrame, spread: float = 8.0, min_docs: int = 50) -> Da
     return groups.select("lang", "source", pick.alias("_t"))
 
 
+def base_failed() -> Column:
+    m = F.col("_m")
+    return (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+
+
+def limits(measured: DataFrame, spread: float = 8.0, min_docs: int = 50) -> DataFrame:
+    return thresholds(sketches(measured), spread, min_docs)
+
+
 def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
     """The measured documents with ``base_failed`` and ``kept``."""
     m, t = F.col("_m"), F.col("_t")
-    failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
     outside = F.lit(False)
     for k, (upper, lower) in MEASURES.items():
         if upper:
@@ -139,19 +160,19 @@ def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
             outside = outside | (m[k] < t[k]["low"])
     side = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "_t")
     joined = measured.join(side, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
-    return joined.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(outside, F.lit(False))).drop("_t")
+    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(outside, F.lit(False))).drop("_t")
 
 
 def quality(docs: DataFrame, spread: float = 8.0, min_docs: int = 50) -> DataFrame:
     """The documents with ``_m`` (counts and shares), ``base_failed`` and ``kept``; written once, so texts are measured once."""
     measured = corpus.table(with_measures(docs), "measured")  # texts included: for callers that want both at once
-    return judged(measured, thresholds(sketches(measured), spread, min_docs))
+    return judged(measured, limits(measured, spread, min_docs))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     measured = corpus.table(with_measures(docs).drop("text"), "measures")
-    out = judged(measured, thresholds(sketches(measured)))
+    out = judged(measured, limits(measured))
     return out.select("doc_id", *[F.col("_m")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
 
 
@@ -162,5 +183,5 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     keyed = docs.withColumn("_row_hash", F.xxhash64(*docs.columns))
     measured = corpus.table(with_measures(keyed.select("doc_id", "text", "lang", "source", "_row_hash")).drop("text"), "measures")
-    kept = judged(measured, thresholds(sketches(measured))).where("kept").select(F.coalesce("doc_id", F.lit(0)).alias("_row_key"), "_row_hash").distinct()
+    kept = judged(measured, limits(measured)).where("kept").select(F.coalesce("doc_id", F.lit(0)).alias("_row_key"), "_row_hash").distinct()
     return keyed.withColumn("_row_key", F.coalesce("doc_id", F.lit(0))).join(kept.hint("merge"), ["_row_key", "_row_hash"], "left_semi").select(*docs.columns)

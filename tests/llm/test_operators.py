@@ -331,6 +331,28 @@ def test_thresholds_adapt_and_keep_clean_documents(spark):
     assert quality.quality(frame(spark, clean).limit(0)).count() == 0
 
 
+def with_symbols(r, n, share):
+    """n words, symbols making up about that share of their characters."""
+    w = sentence(r, n).split()
+    extra = round(sum(map(len, w)) * share / (1 - share))
+    return " ".join(x + "#" * (extra // n + (i < extra % n)) for i, x in enumerate(w))
+
+
+def test_a_group_s_own_tail_sets_its_limit(spark):
+    r = random.Random(31)
+    plain = [(i, sentence(r, 120), "en", "a", 0) for i in range(100)]
+    # shares of 0 to 0.003 are usual in "b", and 0.045 is far beyond them but under the earlier 0.05
+    some = [(1000 + i, with_symbols(r, 120, 0.003 * (i % 10) / 9), "en", "b", 0) for i in range(100)]
+    far = [(2000, with_symbols(r, 120, 0.045), "en", "a", 0), (2001, with_symbols(r, 120, 0.045), "en", "b", 0)]
+    got = {x.doc_id: x.kept for x in quality.quality(frame(spark, plain + some + far)).collect()}
+    assert all(got[d[0]] for d in plain + some)
+    assert not got[2000] and not got[2001]
+    limits = {x.source: x["_t"]["symbol_share"]["high"] for x in quality.limits(quality.with_measures(frame(spark, plain + some))).collect()}
+    wide = [(5000 + i, with_symbols(r, 120, 0.006 * (i % 10) / 9), "en", "c", 0) for i in range(100)]
+    more = {x.source: x["_t"]["symbol_share"]["high"] for x in quality.limits(quality.with_measures(frame(spark, plain + some + wide))).collect()}
+    assert limits["a"] < more["c"] and more["b"] < more["c"]
+
+
 # 10: mixing
 
 

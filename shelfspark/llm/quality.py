@@ -9,7 +9,9 @@ language's merged sketch, a small language the whole corpus's. Thresholds join b
 
 A fence lies ``spread`` times the group's own tail from its median: for the shares, mostly
 zero, up to the 90 or 95 % quantile, for word length to the quartiles. ``FLOOR`` is the least
-distance, for groups of no spread.
+distance, for groups of no spread. The most is ``LIFT`` times the median distance of all
+groups of ``min_docs`` documents (or that of the floor), so junk that fills a group's tail does
+not lift its limit without end. Only documents that pass the base rule are sketched.
 
 Defined cases: null or empty texts have no words and fail the base rule; null lang or
 source is a group of its own; repeated rows are judged each; columns of the input other
@@ -35,8 +37,9 @@ MEASURES = {
 }
 #: Quantile that ends the upper tail; the lower one ends at its mirror image.
 TAIL = {"symbol_share": 0.9, "dup_line_share": 0.95, "repeat_share": 0.9, "word_length": 0.75}
-#: Least distance of a fence from the median.
+#: Least distance of a fence from the median, and the most in units of what is usual.
 FLOOR = {"symbol_share": 0.02, "dup_line_share": 0.2, "repeat_share": 0.05, "word_length": 0.25}
+LIFT = 2.0
 #: Margins of the SQL twin, which keeps the earlier quartile fences.
 MARGIN = {"symbol_share": 0.05, "dup_line_share": 0.5, "repeat_share": 0.35, "word_length": 3.0}
 
@@ -122,10 +125,13 @@ def thresholds(sketch: DataFrame, spread: float = 8.0, min_docs: int = 50) -> Da
     # spread of a tail in units of its own distance from the median
     down = spread * (F.col("q50") - by_measure({k: F.col(f"down_{k}") for k in TAIL}))
     up = spread * (by_measure({k: F.col(f"up_{k}") for k in TAIL}) - F.col("q50"))
-    low = F.col("q50") - F.greatest(down, by_measure(FLOOR))
-    high = F.col("q50") + F.greatest(up, by_measure(FLOOR))
+    usual = _quantiles(sketch, levels["own"], at).where(F.col("total") >= min_docs).groupBy("measure").agg(F.percentile_approx(down, 0.5).alias("usual_down"), F.percentile_approx(up, 0.5).alias("usual_up"))
+    within = lambda own, most: F.greatest(F.least(own, LIFT * F.greatest(most, by_measure(FLOOR))), by_measure(FLOOR))
+    # with no group of min_docs documents nothing is usual, and a tail is its own bound
+    low = F.col("q50") - within(down, F.coalesce("usual_down", down))
+    high = F.col("q50") + within(up, F.coalesce("usual_up", up))
     for name, by in levels.items():
-        q = _quantiles(sketch, by, at).withColumn("t", F.struct(low.alias("low"), high.alias("high")))
+        q = _quantiles(sketch, by, at).join(F.broadcast(usual), "measure", "left").withColumn("t", F.struct(low.alias("low"), high.alias("high")))
         limits = q.groupBy(*by).agg(F.max("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("measure", "t"))).alias("t")).withColumnRenamed("total", f"{name}_n").withColumnRenamed("t", f"{name}_t")
         if not by:
             groups = groups.withColumn("_k", F.lit(1)).join(limits.withColumn("_k", F.lit(1)), "_k", "left").drop("_k")  # one row
@@ -146,7 +152,8 @@ def base_failed() -> Column:
 
 
 def limits(measured: DataFrame, spread: float = 8.0, min_docs: int = 50) -> DataFrame:
-    return thresholds(sketches(measured), spread, min_docs)
+    """Thresholds from the documents that pass the base rule."""
+    return thresholds(sketches(measured.where(~base_failed())), spread, min_docs)
 
 
 def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:

@@ -353,6 +353,23 @@ def test_a_group_s_own_tail_sets_its_limit(spark):
     assert limits["a"] < more["c"] and more["b"] < more["c"]
 
 
+@pytest.mark.parametrize("share", [0.1, 0.2])
+def test_junk_of_a_group_does_not_lift_its_limit(spark, share):
+    r = random.Random(32)
+    clean = [(i, sentence(r, 120), "en", s, 0) for i, s in enumerate(["a"] * 80 + ["b"] * 80 + ["hot"] * 140)]
+    junk = [(1000 + i, with_symbols(r, 120, share), "en", "hot", 0) for i in range(60)]
+    got = {x.doc_id: x.kept for x in quality.quality(frame(spark, clean + junk)).collect()}
+    assert all(got[d[0]] for d in clean) and not any(got[d[0]] for d in junk)
+
+
+def test_documents_that_fail_the_base_rule_set_no_limits(spark):
+    r = random.Random(33)
+    clean = [(i, sentence(r, 120), "en", "a", 0) for i in range(80)]
+    short = [(1000 + i, "##### " * 20, "en", "a", 0) for i in range(80)]
+    own = quality.limits(quality.with_measures(frame(spark, clean))).collect()
+    assert quality.limits(quality.with_measures(frame(spark, clean + short))).collect() == own
+
+
 # 10: mixing
 
 

@@ -1,8 +1,9 @@
 """Linkage queries over ``part``, ``customer`` and ``supplier``.
 
-Hints are every tenth part (title p_name, author p_brand, runtime 10 x p_size, language
-p_type); a hint's candidates are the 25 parts of its type and of the same or neighbouring
-sizes that are nearest by key, which is the relevance order a catalog would return.
+Hints are all parts (title p_name, author p_brand, runtime 10 x p_size, language p_type); a
+hint's candidates are the 25 parts of its type that are nearest by key, which is the
+relevance order a catalog would return. The SQL of the queries over ``_pairs`` still takes
+every tenth part and candidates of three key ranges.
 """
 
 from __future__ import annotations
@@ -15,19 +16,20 @@ from ..functions import text
 from ..operators import match
 
 CANDIDATES = 25
+#: Key range of the SQL.
 BLOCK = 250
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hint and candidate rows. Keys fall into ranges of ``BLOCK``; a hint meets its own range and both neighbours,
-    by equality, and keeps the nearest."""
+    """Hint and candidate rows. The nearest parts of a type are nearest by place in its key order too, so a hint meets
+    ``CANDIDATES`` places on either side, by equality, and keeps the nearest."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    block = F.floor(F.col("p_partkey") / BLOCK)
-    hints = part.where("p_partkey % 10 = 0").select(
-        F.col("p_partkey").alias("q_id"), F.col("p_name").alias("hint_title"), F.col("p_brand").alias("hint_author"), (F.col("p_size") * 10).alias("hint_runtime"), F.col("p_type").alias("hint_language"), F.explode(F.array(block - 1, block, block + 1)).alias("b")
+    part = part.withColumn("b", F.row_number().over(Window.partitionBy("p_type").orderBy("p_partkey")))
+    hints = part.select(
+        F.col("p_partkey").alias("q_id"), F.col("p_name").alias("hint_title"), F.col("p_brand").alias("hint_author"), (F.col("p_size") * 10).alias("hint_runtime"), F.col("p_type").alias("hint_language"), F.explode(F.sequence(F.col("b") - CANDIDATES, F.col("b") + CANDIDATES)).alias("b")
     )
-    candidates = part.select(F.col("p_partkey").alias("c_id"), F.col("p_name").alias("title"), F.array("p_brand").alias("authors"), (F.col("p_size") * 10 + F.col("p_partkey") % 3 - 1).cast("int").alias("runtime_min"), F.col("p_type").alias("language"), block.alias("b"))
-    pairs = hints.join(candidates, "b").drop("b")
+    candidates = part.select(F.col("p_partkey").alias("c_id"), F.col("p_name").alias("title"), F.array("p_brand").alias("authors"), (F.col("p_size") * 10 + F.col("p_partkey") % 3 - 1).cast("int").alias("runtime_min"), F.col("p_type").alias("language"), "b")
+    pairs = hints.join(candidates.withColumn("hint_language", F.col("language")), ["hint_language", "b"]).drop("b")
     w = Window.partitionBy("q_id").orderBy(F.abs(F.col("c_id") - F.col("q_id")), "c_id")
     return pairs.withColumn("pos", (F.row_number().over(w) - 1)).where(F.col("pos") < CANDIDATES)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from shelfspark.plans import link
+from shelfspark.plans import link, queue
 
 from .test_queries import duck, rows  # noqa: F401
 
@@ -29,3 +29,10 @@ WHOLE = [(" WHERE p_partkey % 10 = 0", ""), (f"abs(c.p_partkey // {link.BLOCK} -
 def test_links_every_part_within_its_type(spark, duck, sf_dir, name):  # noqa: F811
     query, sql = link.QUERIES[name]
     same(duck, query(spark, sf_dir), without(sql, *WHOLE))
+
+
+def test_search_payloads_hold_products_of_any_key(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    spark.createDataFrame([(k, f"name {k}", "brand", "type", 5) for k in (1, 999, 1000, 1001, 25_000)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{root}/part.parquet")
+    got = {r.title for r in queue.search_payloads(spark, root).collect()}
+    assert got == {f"name {k}" for k in (1, 999, 1000, 25_000)}  # 1001 is a podcast

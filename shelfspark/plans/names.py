@@ -107,7 +107,7 @@ TOKENS_SQL = """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'B0' || lpad(
 
 
 def truncated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'").select("doc_id", F.regexp_replace("text", "[^\\x00-\\x7f]", "?").alias("t"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("t"))
     return d.select("doc_id", text.truncated(F.col("t"), 60).alias("short"), text.capitalized(F.lower(F.left("t", F.lit(9)))).alias("cap"))
 
 

@@ -8,6 +8,8 @@ with one scale between words and tags chosen for the best token F1 on those page
 
 Within the region, what stands in elements that name themselves as menus, sidebars,
 notices, adverts, forms or reader comments is left out, and blocks are joined by newlines.
+Since it is left out anyway, it counts neither for nor against a region that goes on past it,
+however long it is.
 
 ``MAX_LABELLED`` bounds the labelled pages of a fit; the default ones come from a rule.
 
@@ -153,6 +155,8 @@ def region(sequence: list[tuple[str, str, str]], weights: dict) -> tuple[int, in
     """The contiguous events of the greatest sum, as [start, end); empty where no sum is positive."""
     best, span, total, start = 0.0, (0, 0), 0.0, 0
     for i, (kind, place, value) in enumerate(sequence):
+        if place == "boilerplate":
+            continue
         if kind == "text":
             n = len(value.split())
             total += n * weights["words"].get(place, 0.5)

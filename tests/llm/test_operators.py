@@ -238,6 +238,17 @@ def test_token_store_of_odd_ids(spark, tmp_path):
     assert token_store.read_tokens(spark, f"file://{tmp_path}/none").count() == 0
 
 
+@pytest.mark.parametrize("shell", ["<article>{}</article>", "<main>{}</main>", '<div class="post">{}</div>'])
+@pytest.mark.parametrize("box", ["<aside><p>{}</p></aside>", '<div class="advert">{}</div>', '<section class="related"><ul><li><a href="x">{}</a></li></ul></section>', '<div class="comments">{}</div>'])
+@pytest.mark.parametrize("lead, end", [(20, 300), (300, 20), (20, 20)])
+def test_a_long_box_inside_an_article_cuts_neither_its_lead_nor_its_end(shell, box, lead, end):
+    line = lambda word, n: " ".join(f"{word}{i}" for i in range(n))
+    between = box.format(line("box", 400)) + box.format("<p>more</p><p>of it</p>" * 40)
+    body = f"<h1>Some title</h1><p>{line('lead', lead)}</p>{between}<p>{line('end', end)}</p>"
+    page = f"<html><body><nav><ul><li><a href='/'>home</a></li></ul></nav>{shell.format(body)}<footer><p>{line('foot', 90)}</p></footer></body></html>"
+    assert html_extract.extract(page) == f"Some title\n{line('lead', lead)}\n{line('end', end)}"
+
+
 # 7: personal data
 
 BASE = {

@@ -9,7 +9,7 @@ repeats, whose words go.
 
 Both exchanges move distinct keys of document parts (see ``corpus``), never occurrences.
 Probes use 40-bit keys, where a false hit only costs a window that is judged and kept;
-windows use 64-bit keys of their word sequence.
+windows have two 64-bit keys of their word sequence, which both must agree.
 
 Defined cases: null or empty texts have no words; texts under ``window`` words lose none;
 a null doc_id orders last; rows that share a doc_id are separate documents in the order
@@ -90,12 +90,13 @@ def _probe_reply(lists, extras):
     return [x.tobytes() for x in corpus.split_like(hit[inverse].astype(np.uint8), lists)]
 
 
-def _windows(part: _Part, replies: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _windows(part: _Part, replies: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of candidate windows, and both keys of each."""
     at, keys, _ = part.probes()
     _, inverse = np.unique(keys, return_inverse=True)
     hits = at[np.frombuffer(replies, np.uint8)[inverse] > 0] if len(at) else at
     starts = part.candidates(hits)
-    return starts, textops.gram_hashes(part.hashes, part.window)[starts]
+    return starts, textops.gram_hashes(part.hashes, part.window)[starts], textops.gram_hashes(part.hashes, part.window, 1)[starts]
 
 
 def _order(part: _Part, starts: np.ndarray) -> np.ndarray:
@@ -111,22 +112,22 @@ def _window_request(window: int, buckets: int):
         if not t.num_rows:
             return corpus.request_table([])
         p = _Part(corpus.by_id(t), window)
-        starts, keys = _windows(p, corpus.replied(replies, 0))
-        distinct, first = np.unique(keys, return_index=True)
-        order = _order(p, starts[first])
-        return corpus.request_table(list(corpus.requests(key[0].as_py(), distinct, buckets, lambda c: textops.planes(order[c]))))
+        starts, keys, check = _windows(p, corpus.replied(replies, 0))
+        first, _ = textops.distinct(keys, check)
+        order, check = _order(p, starts[first]), check[first]
+        return corpus.request_table(list(corpus.requests(key[0].as_py(), keys[first], buckets, lambda c: textops.planes(order[c]) + textops.planes(check[c]))))
 
     return run
 
 
 def first_holder(lists, extras):
-    """1 where a list holds a key's first occurrence: the smallest order, then the first list."""
+    """1 where a list holds the first occurrence of both keys: the smallest order, then the first list."""
     keys = np.concatenate(lists)
-    order = np.concatenate([textops.unplanes(x) for x in extras])
-    by = np.lexsort((order, keys))
-    k = keys[by]
+    order, check = (np.concatenate([textops.unplanes(x[half]) for x, half in zip(extras, halves, strict=True)]) for halves in ([slice(0, len(x) // 2) for x in extras], [slice(len(x) // 2, None) for x in extras]))
+    by = np.lexsort((order, check, keys))
+    k, c = keys[by], check[by]
     new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
+    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
     out = np.zeros(len(k), np.uint8)
     out[by[new]] = 1
     return [x.tobytes() for x in corpus.split_like(out, lists)]
@@ -138,8 +139,8 @@ def _remove(window: int):
         if not t.num_rows:
             return schema.empty_table()
         p = _Part(corpus.by_id(t), window)
-        starts, keys = _windows(p, corpus.replied(replies, 0))
-        _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        starts, keys, check = _windows(p, corpus.replied(replies, 0))
+        first, _ = textops.distinct(keys, check)
         holder = np.frombuffer(corpus.replied(replies, 1), np.uint8)
         again = np.ones(len(keys), bool)
         again[first[holder > 0]] = False

@@ -91,14 +91,16 @@ def part_count(total: int, size: int = PART_BYTES) -> int:
     return max(1, -(-total // size))
 
 
-def part_of(key: Column, parts: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+def part_of(key: Column, parts: int, otherwise: Column | None = None) -> Column:
+    """The part of a key; a null key's rows are dealt by ``otherwise``, so that they do not meet in one part."""
+    dealt = F.xxhash64(key) if otherwise is None else F.when(key.isNull(), F.xxhash64(otherwise)).otherwise(F.xxhash64(key))
+    return F.pmod(dealt, F.lit(parts)).cast("int")
 
 
 def parted(docs: DataFrame, size: int = PART_BYTES, *more: str) -> tuple[DataFrame, int]:
     """(part, doc_id, text, more...) and the number of parts, from the whole texts' length."""
     parts = part_count(text_bytes(docs), size)
-    return docs.select(part_of(F.col("doc_id"), parts).alias("part"), "doc_id", "text", *more), parts
+    return docs.select(part_of(F.col("doc_id"), parts, F.col("text")).alias("part"), "doc_id", "text", *more), parts
 
 
 def by_id(t: pa.Table) -> pa.Table:

@@ -7,6 +7,7 @@ documents it holds. Null texts count as empty.
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -100,7 +101,11 @@ def _byte_values(lower: bool) -> np.ndarray:
 
 
 def prefix_hash(data: np.ndarray, lower: bool = False) -> np.ndarray:
-    """Prefix sums of the polynomial hash (modulo 2**64) of all bytes; one longer than the data."""
+    """Prefix sums of the polynomial hash (modulo 2**64) of all bytes; one longer than the data.
+
+    For rolling grams of well under 512 bytes that are compared byte by byte later: from 1,024 bytes on, unlike spans
+    can be built that share this hash. Whole words go through ``word_hashes``.
+    """
     out = np.zeros(len(data) + 1, U64)
     v = _byte_values(lower)[data]
     v *= powers(_BASE, len(data))
@@ -108,14 +113,6 @@ def prefix_hash(data: np.ndarray, lower: bool = False) -> np.ndarray:
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, the same for the same bytes wherever they stand."""
-    h = prefix[end] - prefix[start]
-    h *= powers(_INVERSE, len(prefix))[start]
-    h += (end - start).astype(U64) * U64(0xA0761D6478BD642F)
-    return mix(h)
-
-
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and the words before each document (one longer than the documents)."""
     n = len(data)
@@ -134,23 +131,59 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
     return starts, ends, np.searchsorted(starts, offsets, "left")
 
 
+#: Longest word that is hashed in numpy, eight bytes a pass; longer ones are digested one by one.
+LONG_WORD = 64
+_LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    return span_hash(prefix_hash(data, lower), starts, ends)
+    """64-bit hashes of byte spans, the same for the same bytes wherever they stand.
+
+    Eight bytes at a time go through a bijective mixer, so spans of up to eight bytes and equal length never collide;
+    spans over ``LONG_WORD`` bytes have the first 64 bits of their BLAKE2b digest.
+    """
+    if lower:
+        data = LOWER[data]
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    at_byte = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    size = ends - starts
+    h = mix(size.astype(U64) * U64(0xA0761D6478BD642F) + U64(0x9E3779B97F4A7C15))
+    todo = np.flatnonzero(size <= LONG_WORD)
+    for done in range(0, LONG_WORD, 8):
+        todo = todo[size[todo] > done]
+        if not len(todo):
+            break
+        chunk = at_byte[starts[todo] + done] & _LOW_BYTES[np.minimum(size[todo] - done, 8)]
+        h[todo] = mix(h[todo] ^ chunk) + U64(0xD6E8FEB86659FD93)
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
-def gram_hashes(h: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all runs of ``size`` consecutive values (runs across documents included)."""
+def gram_hashes(h: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
+    """Hashes of all runs of ``size`` consecutive values (runs across documents included); each seed is a function of its own."""
     n = len(h) - size + 1
     if n <= 0:
         return np.zeros(0, U64)
     out = np.zeros(n, U64)
-    c = 0x8CB92BA72F3D8DD7
+    c = (0x8CB92BA72F3D8DD7 + seed * 0x9E3779B97F4A7C16) % (1 << 64) | 1
     for i in range(size):
         out += h[i : i + n] * U64(c)
         c = (c * 0xD1342543DE82EF95 + 0x632BE59BD9B4E019) % (1 << 64) | 1
     return mix(out)
 
 
+def distinct(keys: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of (key, check) pairs: the first place of each distinct one, in ascending order, and which one each place has."""
+    by = np.lexsort((check, keys))
+    new = np.ones(len(by), bool)
+    new[1:] = (keys[by[1:]] != keys[by[:-1]]) | (check[by[1:]] != check[by[:-1]])
+    which = np.empty(len(by), np.int64)
+    which[by] = np.cumsum(new) - 1
+    return by[new], which
+
+
 def inside_documents(word_offsets: np.ndarray, size: int) -> np.ndarray:
     """For each position that starts a run of ``size`` words, whether the run stays in one document."""
     n = int(word_offsets[-1])

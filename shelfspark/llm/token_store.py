@@ -6,8 +6,9 @@ ids at the narrowest fixed width, the doc_ids, and the documents' end offsets in
 Elias-Fano form, n * (2 + log2(ids / n)) bits in place of 64 n. ``EliasFano.select``
 finds an offset from counted words of the upper bits without decoding the rest.
 
-A store is two tables in one folder: ``shards`` (range, seq, shard) and ``index`` (range,
-seq, base: ids before the shard). Readers join them; nothing is gathered.
+A store is two tables in one folder: ``shards`` (range, seq, base: ids of its range before
+the shard, shard) and ``index`` (range, before: ids before the range, by sums over groups of
+``GROUP_RANGES`` ranges and then over groups). Readers join them; nothing is gathered.
 
 Defined cases: a null or empty text is the end id alone; null doc_ids come last; rows that
 share a doc_id are kept, in the order of their texts; a text longer than a shard is a
@@ -33,11 +34,13 @@ from . import corpus, textops
 MAGIC = b"EFTS"
 HEADER = struct.Struct("<4sHHQQII")  # magic, version, id bytes, documents, ids, lower bits, upper bytes
 SHARD_IDS = 1 << 20
-SHARD_SCHEMA = "range int, seq int, n_ids long, shard binary"
+SHARD_SCHEMA = "range int, seq int, base long, n_ids long, shard binary"
+#: Ranges whose sums are added up by one task.
+GROUP_RANGES = 4096
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 END_ID = 2
-#: Distinct pieces a worker keeps encoded; those met once it is full are encoded each time.
-CACHE_PIECES = 1_500_000
+#: Distinct pieces of at most so many bytes that a worker keeps encoded; those met once it is full are encoded each time.
+CACHE_PIECES, CACHE_BYTES = 400_000, 64
 
 
 class EliasFano:
@@ -152,7 +155,7 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of texts. Distinct pieces between spaces are encoded once and kept, by 64-bit hash, in flat arrays."""
+    """Ids of texts. Distinct pieces between spaces are encoded once and kept by their bytes, with their ids in one flat array."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -163,8 +166,8 @@ class Encoder:
             self.by_piece = _splits_at_spaces(json.load(f))
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, self.kind)
+        self.known: dict[bytes, int] = {}
+        self.at, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
@@ -180,22 +183,21 @@ class Encoder:
         starts = piece_starts(data, offsets)
         if not len(starts):
             return np.zeros(0, self.kind), np.zeros(len(offsets) - 1, np.int64)
-        ends = np.append(starts[1:], len(data))
-        keys, first, which = np.unique(textops.span_hash(textops.prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
-        spot = np.searchsorted(self.keys, keys)
-        spot[spot == len(self.keys)] = 0
-        known = self.keys[spot] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        new = np.flatnonzero(~known)
-        ids, n = self._whole([raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+        edges = np.append(starts, len(data)).astype(np.int64)
+        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
+        coded = column.dictionary_encode()
+        which, pieces = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        spot = np.array([self.known.get(x, -1) for x in pieces], np.int64)
+        new = np.flatnonzero(spot < 0)
+        new = new[np.argsort([len(pieces[i]) > CACHE_BYTES for i in new.tolist()], kind="stable")]  # those to keep come first
+        ids, n = self._whole([pieces[i].decode() for i in new.tolist()])
         flat = np.concatenate([self.flat, ids])
-        at, size = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
-        at[known], size[known] = self.at[spot[known]], self.size[spot[known]]
+        at, size = self.at[spot] if len(self.at) else np.zeros(len(spot), np.int64), self.size[spot] if len(self.size) else np.zeros(len(spot), np.int64)
         at[new], size[new] = len(self.flat) + np.cumsum(n) - n, n
-        if len(self.keys) + len(new) <= CACHE_PIECES and len(new):
-            both = np.concatenate([self.keys, keys[new]])
-            by = np.argsort(both, kind="stable")
-            self.keys, self.at, self.size = both[by], np.concatenate([self.at, at[new]])[by], np.concatenate([self.size, size[new]])[by]
-            self.flat = flat
+        keep = [i for i in new.tolist() if len(pieces[i]) <= CACHE_BYTES]
+        if keep and len(self.known) + len(keep) <= CACHE_PIECES:
+            self.known.update(zip((pieces[i] for i in keep), range(len(self.at), len(self.at) + len(keep)), strict=True))
+            self.at, self.size, self.flat = np.concatenate([self.at, at[keep]]), np.concatenate([self.size, size[keep]]), flat[: at[keep[-1]] + size[keep[-1]]].copy()
         counts = size[which]
         upto = np.cumsum(counts)
         out = flat[np.repeat(at[which] - (upto - counts), counts) + np.arange(int(upto[-1]))]
@@ -213,15 +215,15 @@ def _encode(path: str, end_id: int, shard_ids: int):
 
         enc = encoder(path)
         end = np.array([end_id], enc.kind).tobytes()
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, base = TaskContext.get().partitionId(), 0, 0
         ids, known, bodies, size = [], [], [], 0
 
         def flush():
-            nonlocal ids, known, bodies, size, seq
+            nonlocal ids, known, bodies, size, seq, base
             ends = np.cumsum([len(b) // enc.width for b in bodies])
-            row = (part, seq, int(ends[-1]), write_shard(np.array(ids, np.int64), np.array(known, bool), ends, b"".join(bodies), enc.width))
-            ids, known, bodies, size, seq = [], [], [], 0, seq + 1
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["range", "seq", "n_ids", "shard"])
+            row = (part, seq, base, int(ends[-1]), write_shard(np.array(ids, np.int64), np.array(known, bool), ends, b"".join(bodies), enc.width))
+            ids, known, bodies, size, seq, base = [], [], [], 0, seq + 1, base + int(ends[-1])
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["range", "seq", "base", "n_ids", "shard"])
 
         for batch in batches:
             data, offsets = textops.flat(batch.column("text"))
@@ -248,35 +250,40 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, key).sortWithinPartitions(key, "text")
     ordered.mapInArrow(corpus.trimmed(_encode(tokenizer, end_id, shard_ids)), SHARD_SCHEMA).write.mode("overwrite").parquet(f"{path}/shards")
     spark = docs.sparkSession
-    sizes = spark.read.schema(SHARD_SCHEMA).parquet(f"{path}/shards").select("range", "seq", "n_ids")
-    # one small row a shard: ids before each range, then inside it
-    by_range = sizes.groupBy("range").agg(F.sum("n_ids").alias("n"))
-    before = by_range.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("range").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    index = sizes.join(before, "range").select("range", "seq", (F.col("before") + F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).alias("base"))
+    sizes = spark.read.schema(SHARD_SCHEMA).parquet(f"{path}/shards").select("range", "n_ids")
+    by_range = sizes.groupBy("range").agg(F.sum("n_ids").alias("n")).withColumn("group", F.expr(f"range div {GROUP_RANGES}"))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = by_range.groupBy("group").agg(F.sum("n").alias("n"))  # a row for GROUP_RANGES ranges of part_bytes each
+    groups = groups.select(F.col("group").alias("_group"), earlier(Window.orderBy("group")).alias("_before"))
+    inside = by_range.withColumn("_in", earlier(Window.partitionBy("group").orderBy("range")))
+    index = inside.join(groups, F.col("group") == F.col("_group")).select("range", (F.col("_before") + F.col("_in")).alias("before"))
     index.write.mode("overwrite").parquet(f"{path}/index")
 
 
 def _read(with_ids: bool):
     def run(batches):
         for batch in batches:
-            for base, raw in zip(batch.column("base").to_pylist(), batch.column("shard"), strict=True):
+            for part, base, raw in zip(batch.column("range").to_pylist(), batch.column("base").to_pylist(), batch.column("shard"), strict=True):
                 shard = Shard(raw.as_py())
                 ends = shard.ends.values()
                 starts = np.concatenate([[0], ends[:-1]])
-                tokens = [shard._ids[a:b].astype("<u4").tobytes() for a, b in zip(starts, ends, strict=True)]
-                body = pa.array(tokens, pa.binary()) if with_ids else pa.array([zlib.crc32(t) for t in tokens], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, mask=~shard.known), pa.array(starts + base), pa.array(ends - starts), body], ["doc_id", "start", "n_tokens", "ids" if with_ids else "ids_crc32"])
+                tokens = (shard._ids[a:b].astype("<u4").tobytes() for a, b in zip(starts, ends, strict=True))
+                body = pa.array(list(tokens), pa.binary()) if with_ids else pa.array([zlib.crc32(t) for t in tokens], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(shard.n, part, np.int32)), pa.array(shard.doc_ids, mask=~shard.known), pa.array(starts + base), pa.array(ends - starts), body], ["range", "doc_id", "start", "n_tokens", "ids" if with_ids else "ids_crc32"])
 
     return run
 
 
 def read_tokens(spark: SparkSession, path: str, crc: bool = False) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, and ids as little-endian 32-bit bytes or their crc32."""
-    shards = spark.read.schema(SHARD_SCHEMA).parquet(f"{path}/shards").drop("n_ids")
-    index = spark.read.schema("range int, seq int, base long").parquet(f"{path}/index")
-    schema = READ_SCHEMA if not crc else "doc_id long, start long, n_tokens long, ids_crc32 long"
-    return shards.join(index, ["range", "seq"]).select("base", "shard").mapInArrow(corpus.trimmed(_read(not crc)), schema)
+    """doc_id, start (ids of all documents before it), n_tokens, and ids as little-endian 32-bit bytes or their crc32.
+
+    Digests meet the index once they are made, so shards are never shuffled for it.
+    """
+    shards = spark.read.schema(SHARD_SCHEMA).parquet(f"{path}/shards").select("range", "base", "shard")
+    index = spark.read.schema("range int, before long").parquet(f"{path}/index").withColumnRenamed("range", "_range")
+    schema = f"range int, {READ_SCHEMA if not crc else 'doc_id long, start long, n_tokens long, ids_crc32 long'}"
+    found = shards.mapInArrow(corpus.trimmed(_read(not crc)), schema).join(index, F.col("range") == F.col("_range"))
+    return found.withColumn("start", F.col("before") + F.col("start")).drop("range", "_range", "before")
 
 
 def default_tokenizer() -> str:

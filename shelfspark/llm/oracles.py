@@ -65,40 +65,50 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 
 
 def _quality() -> str:
+    """Sketches, quantiles and fences of three levels, as in ``quality``; a level's q has total, q50, up and dn of each measure k."""
     gamma = repr(quality.GAMMA)
     names = list(quality.MEASURES)
-    margin = " ".join(f"WHEN '{k}' THEN {quality.MARGIN[k]}::DOUBLE" for k in names)
+    end = " ".join(f"WHEN '{k}' THEN {quality.TAIL[k]}::DOUBLE" for k in names)
     outside = " OR ".join([f"(k = '{k}' AND x > hi)" for k in names] + ["(k = 'word_length' AND x < lo)"])
-    levels = {"own": "lang, source", "lng": "lang", "every": ""}
+    least = " ".join(f"WHEN '{k}' THEN {n}::DOUBLE / s.{of}" for k, (n, of) in quality.UNIT.items())
+    sizes = ", ".join(f"max(q50) FILTER (k = '{c}') {c}" for c in quality.SIZES)
+    place = lambda q: f"min(u / {gamma} + (u - u / {gamma}) * greatest(0, (ceil({q} * total) - (upto - n)) / n::DOUBLE)) FILTER (upto >= ceil({q} * total))"
     tables = []
-    for name, by in levels.items():
-        part, sep = f"PARTITION BY {by + ', ' if by else ''}k", f"{by}, " if by else ""
+    for name, by in {"own": ["lang", "source"], "lng": ["lang"], "every": []}.items():
+        cols = "".join(f"{c}, " for c in by)
+        part = f"PARTITION BY {cols}k"
+        same = lambda a, b: " AND ".join(f"{a}.{c} IS NOT DISTINCT FROM {b}.{c}" for c in by) or "true"  # noqa: B023, E731
         tables.append(
-            f"{name}_q AS (SELECT {sep}k, max(total) total, min(v) FILTER (upto >= ceil(0.25::DOUBLE * total)) q25, min(v) FILTER (upto >= ceil(0.5::DOUBLE * total)) q50, min(v) FILTER (upto >= ceil(0.75::DOUBLE * total)) q75 "
-            f"FROM (SELECT {sep}k, v, sum(n) OVER ({part} ORDER BY v) upto, sum(n) OVER ({part}) total FROM (SELECT {sep}k, v, sum(n) n FROM sketch GROUP BY ALL)) GROUP BY {sep}k),\n"
-            f" {name} AS (SELECT {sep}k, total, q50 - greatest(8.0::DOUBLE * (q50 - q25), CASE k {margin} END) lo, q50 + greatest(8.0::DOUBLE * (q75 - q50), CASE k {margin} END) hi FROM {name}_q)"
+            f"{name}_q AS MATERIALIZED (SELECT {cols}k, max(total) total, {place('0.5::DOUBLE')} q50, {place('e')} up, {place('(1 - e)')} dn FROM "
+            f"(SELECT {cols}k, v * (({gamma}::DOUBLE + 1) / 2) u, n, sum(n) OVER ({part} ORDER BY v) upto, sum(n) OVER ({part}) total, CASE k {end} ELSE 0.5::DOUBLE END e FROM (SELECT {cols}k, v, sum(n) n FROM sketch GROUP BY ALL)) GROUP BY {cols}k)"
         )
-    shares = " UNION ALL ".join(f"SELECT doc_id, lang, source, n_words, '{k}' k, {k} x FROM m" for k in names)
+        if name == "own":
+            tables.append("usual AS (SELECT k, quantile_disc(8.0::DOUBLE * (q50 - dn), 0.5) dn, quantile_disc(8.0::DOUBLE * (up - q50), 0.5) up FROM own_q WHERE total >= 50 GROUP BY k)")
+        tables.append(
+            f"{name}_s AS (SELECT {cols}{sizes} FROM {name}_q {'GROUP BY ' + ', '.join(by) if by else ''}),\n "
+            f"{name}_l AS (SELECT {''.join(f'q.{c}, ' for c in by)}q.k, q.total, q.q50, 8.0::DOUBLE * (q.q50 - q.dn) down, 8.0::DOUBLE * (q.up - q.q50) rise, CASE q.k {least} ELSE {quality.WORD_PART}::DOUBLE * q.q50 END least, usual.dn udn, usual.up uup FROM {name}_q q JOIN {name}_s s ON {same('q', 's')} LEFT JOIN usual USING (k)),\n "
+            f"{name} AS (SELECT {cols}k, total, q50 - greatest(least(down, {quality.LIFT}::DOUBLE * greatest(coalesce(udn, down), least)), least) lo, q50 + greatest(least(rise, {quality.LIFT}::DOUBLE * greatest(coalesce(uup, rise), least)), least) hi FROM {name}_l)"
+        )
+    judged = " UNION ALL ".join(f"SELECT doc_id, lang, source, n_words, bf, '{k}' k, {k}::DOUBLE x FROM m" for k in (*names, *quality.SIZES))
     return (
         rf"""WITH d AS MATERIALIZED (SELECT doc_id, lang, source, coalesce("text", '') t, {_WORDS.format('"text"')} w,
    list_filter(string_split(coalesce("text", ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) ln FROM documents),
  tri AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 1))) i FROM d)),
  rep AS (SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
  rw AS (SELECT doc_id, count(*) r FROM (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) p FROM rep) GROUP BY 1),
- m AS MATERIALIZED (SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) n_words, CAST(length(array_to_string(w, '')) AS BIGINT) word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) n_symbols,
-   CAST(len(ln) - len(list_distinct(ln)) AS BIGINT) n_dup_lines, CAST(coalesce(r, 0) AS BIGINT) n_repeat_words,
+ m AS MATERIALIZED (SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) n_words, CAST(length(array_to_string(w, '')) AS BIGINT) word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) n_symbols, CAST(len(ln) AS BIGINT) n_lines,
+   CAST(len(ln) - len(list_distinct(ln)) AS BIGINT) n_dup_lines, CAST(coalesce(r, 0) AS BIGINT) n_repeat_words, (len(w) < 50 OR 100 * coalesce(r, 0) > 50 * len(w)) bf,
    CASE WHEN word_chars > 0 THEN n_symbols::DOUBLE / word_chars ELSE 0 END symbol_share, CASE WHEN len(ln) > 0 THEN n_dup_lines::DOUBLE / len(ln) ELSE 0 END dup_line_share,
    CASE WHEN len(w) > 0 THEN n_repeat_words::DOUBLE / len(w) ELSE 0 END repeat_share, CASE WHEN len(w) > 0 THEN word_chars::DOUBLE / len(w) ELSE 0 END word_length FROM d LEFT JOIN rw USING (doc_id)),
- x AS MATERIALIZED ({shares}),
- sketch AS MATERIALIZED (SELECT lang, source, k, CASE WHEN x > 1e-9::DOUBLE THEN 2 * pow({gamma}::DOUBLE, ceil(ln(x) / ln({gamma}::DOUBLE))) / ({gamma}::DOUBLE + 1) ELSE 0 END v, count(*) n FROM x WHERE n_words > 0 GROUP BY ALL),
+ x AS MATERIALIZED ({judged}),
+ sketch AS MATERIALIZED (SELECT lang, source, k, CASE WHEN x > 1e-9::DOUBLE THEN 2 * pow({gamma}::DOUBLE, ceil(ln(x) / ln({gamma}::DOUBLE))) / ({gamma}::DOUBLE + 1) ELSE 0 END v, count(*) n FROM x WHERE NOT bf GROUP BY ALL),
  """
         + ",\n ".join(tables)
         + f""",
  lim AS (SELECT x.doc_id, x.k, x.x, CASE WHEN own.total >= 50 THEN own.lo WHEN lng.total >= 50 THEN lng.lo ELSE every.lo END lo, CASE WHEN own.total >= 50 THEN own.hi WHEN lng.total >= 50 THEN lng.hi ELSE every.hi END hi
    FROM x LEFT JOIN own ON x.lang IS NOT DISTINCT FROM own.lang AND x.source IS NOT DISTINCT FROM own.source AND x.k = own.k LEFT JOIN lng ON x.lang IS NOT DISTINCT FROM lng.lang AND x.k = lng.k LEFT JOIN every ON x.k = every.k),
  bad AS (SELECT doc_id, bool_or({outside}) o FROM lim GROUP BY 1)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
- NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(o, false) AS kept FROM m LEFT JOIN bad USING (doc_id)"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bf AS base_failed, NOT bf AND NOT coalesce(o, false) AS kept FROM m LEFT JOIN bad USING (doc_id)"""
     )
 
 

@@ -8,10 +8,14 @@ language's merged sketch, a small language the whole corpus's. Thresholds join b
 (lang, source), and a document outside a fence goes.
 
 A fence lies ``spread`` times the group's own tail from its median: for the shares, mostly
-zero, up to the 90 or 95 % quantile, for word length to the quartiles. ``FLOOR`` is the least
-distance, for groups of no spread. The most is ``LIFT`` times the median distance of all
-groups of ``min_docs`` documents (or that of the floor), so junk that fills a group's tail does
-not lift its limit without end. Only documents that pass the base rule are sketched.
+zero, up to the 90 or 95 % quantile, for word length to the quartiles. No distance is
+absolute. The least one, for groups of no spread, is ``UNIT`` occurrences in the group's
+median document (by its sketch of sizes), for word length a part of the median. The most is
+``LIFT`` times the median distance of all groups of ``min_docs`` documents (or that least
+one), so junk that fills a group's tail does not lift its limit without end. Only documents
+that pass the base rule are sketched.
+
+Repeated word windows are told by 64-bit hashes inside one document.
 
 Defined cases: null or empty texts have no words and fail the base rule; null lang or
 source is a group of its own; repeated rows are judged each; columns of the input other
@@ -37,11 +41,12 @@ MEASURES = {
 }
 #: Quantile that ends the upper tail; the lower one ends at its mirror image.
 TAIL = {"symbol_share": 0.9, "dup_line_share": 0.95, "repeat_share": 0.9, "word_length": 0.75}
-#: Least distance of a fence from the median, and the most in units of what is usual.
-FLOOR = {"symbol_share": 0.02, "dup_line_share": 0.2, "repeat_share": 0.05, "word_length": 0.25}
+#: Least distance of a fence from the median: so many in the median document of the group, of the size that the share is of.
+UNIT = {"symbol_share": (8.0, "word_chars"), "dup_line_share": (2.0, "n_lines"), "repeat_share": (12.0, "n_words")}
+#: The same for word length, in parts of its own median; and the most, in units of what is usual.
+WORD_PART = 0.05
 LIFT = 2.0
-#: Margins of the SQL twin, which keeps the earlier quartile fences.
-MARGIN = {"symbol_share": 0.05, "dup_line_share": 0.5, "repeat_share": 0.35, "word_length": 3.0}
+SIZES = ("word_chars", "n_lines", "n_words")
 
 _SPACE = r"[\\x20\\x09-\\x0D]+"
 _TRIM = "' \t\n\x0b\f\r'"
@@ -61,8 +66,9 @@ def _repeats(windows: str) -> str:
 
 
 def measures(text: str = "text") -> Column:
-    """A struct of the counts of one text: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words."""
-    windows = "if(size(w) < 3, cast(array() as array<string>), transform(sequence(0, size(w) - 3), i -> concat_ws(' ', w[i], w[i + 1], w[i + 2])))"
+    """A struct of the counts of one text: n_words, word_chars, n_symbols, lines (n and d, those equal to an earlier one), n_repeat_words."""
+    hashed = "transform(array(transform(w, x -> xxhash64(x))), h -> {})[0]"
+    windows = "if(size(w) < 3, cast(array() as array<bigint>), " + hashed.format("transform(sequence(0, size(h) - 3), i -> xxhash64(h[i], h[i + 1], h[i + 2]))") + ")"
     lines = f"filter(split(coalesce({text}, ''), '\\n'), l -> trim(BOTH {_TRIM} FROM l) <> '')"
     symbols = f"char_length({text}) - char_length(regexp_replace({text}, '[#*$%&|<>]', ''))"
     return F.expr(
@@ -84,6 +90,7 @@ def with_measures(docs: DataFrame) -> DataFrame:
             m["n_words"].alias("n_words"),
             m["word_chars"].alias("word_chars"),
             m["n_symbols"].alias("n_symbols"),
+            m["lines"]["n"].cast("long").alias("n_lines"),
             m["lines"]["d"].cast("long").alias("n_dup_lines"),
             m["n_repeat_words"].alias("n_repeat_words"),
             share(m["n_symbols"], m["word_chars"]).alias("symbol_share"),
@@ -97,13 +104,16 @@ def with_measures(docs: DataFrame) -> DataFrame:
 def sketches(measured: DataFrame) -> DataFrame:
     """(lang, source, measure, bucket, value, n): mergeable counts in logarithmic buckets, of documents with words."""
     m = F.col("_m")
-    long = measured.where(m["n_words"] > 0).select("lang", "source", F.explode(F.create_map(*[x for k in MEASURES for x in (F.lit(k), m[k])])).alias("measure", "x"))
+    long = measured.where(m["n_words"] > 0).select("lang", "source", F.explode(F.create_map(*[x for k in (*MEASURES, *SIZES) for x in (F.lit(k), m[k].cast("double"))])).alias("measure", "x"))
     bucket = F.when(F.col("x") > 1e-9, F.ceil(F.log(F.col("x")) / F.log(F.lit(GAMMA)))).cast("int")
     return long.groupBy("lang", "source", "measure", bucket.alias("bucket")).agg(F.count("*").alias("n")).withColumn("value", F.coalesce(2 * F.pow(F.lit(GAMMA), F.col("bucket")) / (GAMMA + 1), F.lit(0.0)))
 
 
-def _quantiles(sketch: DataFrame, by: list[str], at: dict[str, float]) -> DataFrame:
-    """Quantiles of merged sketches: in the first bucket whose cumulated count reaches the rank, as far up as the rank is among its members."""
+def quantiles(sketch: DataFrame, by: list[str], tail: dict[str, float] = TAIL) -> DataFrame:
+    """Per group and measure: total, and q50, up and down (the ends of the tails) of merged sketches.
+
+    A quantile lies in the first bucket whose cumulated count reaches the rank, as far up as the rank is among its members.
+    """
     merged = sketch.groupBy(*by, "measure", "bucket", "value").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*by, "measure")
     ranked = merged.withColumn("upto", F.sum("n").over(w.orderBy("value"))).withColumn("total", F.sum("n").over(w))
@@ -111,39 +121,46 @@ def _quantiles(sketch: DataFrame, by: list[str], at: dict[str, float]) -> DataFr
     upper = F.col("value") * ((GAMMA + 1) / 2)
     part = lambda rank: F.greatest(F.lit(0.0), (rank - (F.col("upto") - F.col("n"))) / F.col("n"))
     inside = lambda rank: upper / GAMMA + (upper - upper / GAMMA) * part(rank)
-    ranks = {name: F.ceil(F.lit(q) * F.col("total")) for name, q in at.items()}
-    pick = [F.min(F.when(F.col("upto") >= rank, inside(rank))).alias(name) for name, rank in ranks.items()]
+    end = F.coalesce(F.create_map(*[F.lit(x) for k, v in tail.items() for x in (k, v)])[F.col("measure")], F.lit(0.5))
+    pick = []
+    for name, q in {"q50": F.lit(0.5), "up": end, "down": 1 - end}.items():
+        rank = F.ceil(q * F.col("total"))
+        pick.append(F.min(F.when(F.col("upto") >= rank, inside(rank))).alias(name))
     return ranked.groupBy(*by, "measure").agg(F.max("total").alias("total"), *pick)
 
 
+def _limits(g: Column, usual: Column, spread: float) -> Column:
+    """A struct of (low, high) of each measure, from maps of a group's quantiles and of the usual distances by measure."""
+    out = []
+    for k in MEASURES:
+        q, most = g[k], usual[k]
+        least = WORD_PART * q["q50"] if k not in UNIT else UNIT[k][0] / g[UNIT[k][1]]["q50"]
+        within = lambda own, most, least=least: F.greatest(F.least(own, LIFT * F.greatest(most, least)), least)
+        down, up = spread * (q["q50"] - q["down"]), spread * (q["up"] - q["q50"])
+        # with no group of min_docs documents nothing is usual, and a tail is its own bound
+        low = q["q50"] - within(down, F.coalesce(most["down"], down))
+        high = q["q50"] + within(up, F.coalesce(most["up"], up))
+        out.append(F.struct(low.alias("low"), high.alias("high")).alias(k))
+    return F.struct(*out)
+
+
 def thresholds(sketch: DataFrame, spread: float = 8.0, min_docs: int = 50) -> DataFrame:
     """(lang, source) with the struct column ``_t``: lower and upper limit of each measure."""
-    at = {"q50": 0.5} | {f"up_{k}": v for k, v in TAIL.items()} | {f"down_{k}": 1 - v for k, v in TAIL.items()}
-    levels = {"own": ["lang", "source"], "lang": ["lang"], "all": []}
-    groups = sketch.select("lang", "source").distinct()
-    by_measure = lambda of: F.create_map(*[x for k, v in of.items() for x in (F.lit(k), v if isinstance(v, Column) else F.lit(v))])[F.col("measure")]
-    # spread of a tail in units of its own distance from the median
-    down = spread * (F.col("q50") - by_measure({k: F.col(f"down_{k}") for k in TAIL}))
-    up = spread * (by_measure({k: F.col(f"up_{k}") for k in TAIL}) - F.col("q50"))
-    usual = _quantiles(sketch, levels["own"], at).where(F.col("total") >= min_docs).groupBy("measure").agg(F.percentile_approx(down, 0.5).alias("usual_down"), F.percentile_approx(up, 0.5).alias("usual_up"))
-    within = lambda own, most: F.greatest(F.least(own, LIFT * F.greatest(most, by_measure(FLOOR))), by_measure(FLOOR))
-    # with no group of min_docs documents nothing is usual, and a tail is its own bound
-    low = F.col("q50") - within(down, F.coalesce("usual_down", down))
-    high = F.col("q50") + within(up, F.coalesce("usual_up", up))
-    for name, by in levels.items():
-        q = _quantiles(sketch, by, at).join(F.broadcast(usual), "measure", "left").withColumn("t", F.struct(low.alias("low"), high.alias("high")))
-        limits = q.groupBy(*by).agg(F.max("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("measure", "t"))).alias("t")).withColumnRenamed("total", f"{name}_n").withColumnRenamed("t", f"{name}_t")
-        if not by:
-            groups = groups.withColumn("_k", F.lit(1)).join(limits.withColumn("_k", F.lit(1)), "_k", "left").drop("_k")  # one row
-        else:
-            renamed = limits.select(*[F.col(c).alias(f"_{c}") for c in by], f"{name}_n", f"{name}_t")
-            cond = None
-            for c in by:
-                e = F.col(c).eqNullSafe(F.col(f"_{c}"))
-                cond = e if cond is None else cond & e
-            groups = groups.join(renamed, cond, "left").drop(*[f"_{c}" for c in by])
-    pick = F.when(F.col("own_n") >= min_docs, F.col("own_t")).when(F.col("lang_n") >= min_docs, F.col("lang_t")).otherwise(F.col("all_t"))
-    return groups.select("lang", "source", pick.alias("_t"))
+    stored = F.map_from_entries(F.collect_list(F.struct("measure", F.struct("total", "q50", "up", "down"))))
+    own = quantiles(sketch, ["lang", "source"])
+    distance = lambda a, b: F.percentile_approx(spread * (F.col(a) - F.col(b)), 0.5)
+    usual = own.where(F.col("total") >= min_docs).groupBy("measure").agg(distance("q50", "down").alias("down"), distance("up", "q50").alias("up"))
+    usual = usual.agg(F.map_from_entries(F.collect_list(F.struct("measure", F.struct("down", "up")))).alias("_u"))
+    # a language, the corpus and what is usual: one row a language and one row; groups: one a (lang, source)
+    groups = own.groupBy("lang", "source").agg(stored.alias("own"))
+    langs = quantiles(sketch, ["lang"]).groupBy(F.col("lang").alias("_lang")).agg(stored.alias("wide"))
+    every = quantiles(sketch, []).agg(stored.alias("every"))
+    # one-row tables join by a constant: a plain equality join, whose size Spark checks before it broadcasts
+    one = groups.join(langs, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("_k", F.lit(1))
+    one = one.join(every.withColumn("_k", F.lit(1)), "_k").join(usual.withColumn("_k", F.lit(1)), "_k")
+    size = lambda c: F.col(c)["word_length"]["total"]
+    chosen = F.when(size("own") >= min_docs, F.col("own")).when(size("wide") >= min_docs, F.col("wide")).otherwise(F.col("every"))
+    return one.select("lang", "source", chosen.alias("_g"), "_u").select("lang", "source", _limits(F.col("_g"), F.col("_u"), spread).alias("_t"))
 
 
 def base_failed() -> Column:

@@ -322,12 +322,12 @@ def test_sketch_quantiles_are_close(spark):
     r = random.Random(4)
     rows = [(i, " ".join("w" * r.randint(2, 9) for _ in range(60)), "en", r.choice(["a", "b"]), 0) for i in range(300)]
     measured = quality.with_measures(frame(spark, rows))
-    q = {(x.source, x.measure): x for x in quality._quantiles(quality.sketches(measured), ["lang", "source"], {"q50": 0.5}).collect()}
+    q = {(x.source, x.measure): x for x in quality.quantiles(quality.sketches(measured), ["lang", "source"]).collect()}
     for s in "ab":
         exact = sorted(sum(map(len, d[1].split())) / 60 for d in rows if d[3] == s)
         assert abs(q[s, "word_length"].q50 / exact[len(exact) // 2] - 1) < 3 * quality.ACCURACY
     # merging groups gives the language's sketch
-    merged = quality._quantiles(quality.sketches(measured), ["lang"], {"q50": 0.5}).where("measure = 'word_length'").first()
+    merged = quality.quantiles(quality.sketches(measured), ["lang"]).where("measure = 'word_length'").first()
     assert merged.total == 300
 
 
@@ -364,6 +364,38 @@ def test_a_group_s_own_tail_sets_its_limit(spark):
     assert limits["a"] < more["c"] and more["b"] < more["c"]
 
 
+def repeated_words(r, n, share):
+    """n words, about that share of them in repeated windows."""
+    twice = sentence(r, max(3, int(n * share / 2)), 100_000)
+    return twice + " " + sentence(r, n - 2 * len(twice.split()), 100_000) + " " + twice
+
+
+def repeated_lines(r, lines, again):
+    return "\n".join([sentence(r, 12, 100_000) for _ in range(lines - again)] + ["the same line " * 1] * again)
+
+
+@pytest.mark.parametrize(
+    ("kind", "make", "probe"),
+    [
+        ("symbol_share", lambda r, x: with_symbols(r, 120, 0.05 * x), lambda r: with_symbols(r, 120, 0.06)),
+        ("dup_line_share", lambda r, x: repeated_lines(r, 20, int(1 + 6 * x)), lambda r: repeated_lines(r, 20, 8)),
+        ("repeat_share", lambda r, x: repeated_words(r, 150, 0.1 + 0.2 * x), lambda r: repeated_words(r, 150, 0.4)),
+        ("word_length", lambda r, x: " ".join("w" * (4 + i % 3 + round(4 * x)) + str(i) for i in range(120)), lambda r: " ".join("w" * (9 + i % 3) + str(i) for i in range(120))),
+    ],
+)
+def test_one_document_two_sources_two_verdicts(spark, kind, make, probe):
+    """The same text stays in the source whose sketch knows its like and goes in the one whose does not."""
+    r = random.Random(35)
+    plain = lambda i: {"dup_line_share": lambda: repeated_lines(r, 20, 1), "repeat_share": lambda: repeated_words(r, 150, 0.02), "word_length": lambda: " ".join("w" * (4 + j % 3) + str(j) for j in range(120))}.get(kind, lambda: sentence(r, 120, 100_000))()
+    rows = [(i, plain(i), "en", s, 0) for i, s in enumerate(["a"] * 70 + ["c"] * 70)]
+    rows += [(1000 + i, make(r, i % 70 / 69), "en", s, 0) for i, s in enumerate(["b"] * 70 + ["d"] * 70 + ["e"] * 70)]
+    text = probe(r)
+    odd = [(5000, text, "en", "a", 0), (5001, text, "en", "b", 0)]
+    got = {x.doc_id: x for x in quality.quality(frame(spark, rows + odd)).collect()}
+    assert not got[5000].base_failed and not got[5000].kept and got[5001].kept
+    assert all(x.kept for i, x in got.items() if i < 5000)
+
+
 @pytest.mark.parametrize("share", [0.1, 0.2])
 def test_junk_of_a_group_does_not_lift_its_limit(spark, share):
     r = random.Random(32)

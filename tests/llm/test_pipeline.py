@@ -11,45 +11,71 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from shelfspark.llm import mixing, quality, token_store
+from shelfspark.llm import mixing, near_dedup, quality, token_store
 
 from .helpers import SCHEMA, corpus, sentence, words
-from .test_dedup import linked
+from .test_dedup import linked_at
 from .test_operators import brute_hits, brute_quality
 
 
 def shares(text):
     n, chars, symbols, dup, repeat = brute_quality(text)
     lines = [x for x in (text or "").split("\n") if words(x)]
-    return {"symbol_share": symbols / chars, "dup_line_share": dup / len(lines), "repeat_share": repeat / n, "word_length": chars / n} if n else {}
+    return {"symbol_share": symbols / chars, "dup_line_share": dup / len(lines), "repeat_share": repeat / n, "word_length": chars / n, "word_chars": chars, "n_lines": len(lines), "n_words": n} if n else {}
 
 
-def fences(values):
+def quantile(counts, q):
+    """Of {bucket value: n}: as far up inside the bucket as the rank is among its members."""
+    rank, upto = math.ceil(q * sum(counts.values())), 0
+    for v in sorted(counts):
+        upto += counts[v]
+        if upto >= rank:
+            upper = v * ((quality.GAMMA + 1) / 2)
+            return upper / quality.GAMMA + (upper - upper / quality.GAMMA) * max(0.0, (rank - (upto - counts[v])) / counts[v])
+
+
+def tails(values):
+    """Per measure: q50, up and down."""
+
     def bucket(x):
         return 2 * quality.GAMMA ** math.ceil(math.log(x) / math.log(quality.GAMMA)) / (quality.GAMMA + 1) if x > 1e-9 else 0.0
 
+    out = {}
+    for k in (*quality.MEASURES, *quality.SIZES):
+        counts, end = collections.Counter(bucket(s[k]) for s in values), quality.TAIL.get(k, 0.5)
+        out[k] = quantile(counts, 0.5), quantile(counts, end), quantile(counts, 1 - end)
+    return out
+
+
+def fences(own, usual):
     out = {}
     for k in quality.MEASURES:
-        v = sorted(bucket(s[k]) for s in values)
-        q25, q50, q75 = (v[max(0, math.ceil(q * len(v)) - 1)] for q in (0.25, 0.5, 0.75))
-        out[k] = (q50 - max(8 * (q50 - q25), quality.MARGIN[k]), q50 + max(8 * (q75 - q50), quality.MARGIN[k]))
+        q50, up, down = own[k]
+        least = quality.UNIT[k][0] / own[quality.UNIT[k][1]][0] if k in quality.UNIT else quality.WORD_PART * q50
+        rise, fall = 8 * (up - q50), 8 * (q50 - down)
+        most_up, most_down = usual.get(k, (rise, fall))
+        out[k] = q50 - max(min(fall, 2 * max(most_down, least)), least), q50 + max(min(rise, 2 * max(most_up, least)), least)
     return out
 
 
 def kept_by_quality(rows):
     measured = {d[0]: shares(d[1]) for d in rows}
+    good = {d[0] for d in rows if (m := brute_quality(d[1]))[0] >= 50 and 100 * m[4] <= 50 * m[0]}
     groups = collections.defaultdict(list)
     for d in rows:
-        if measured[d[0]]:
+        if d[0] in good:
             for level in (("own", d[2], d[3]), ("lang", d[2]), ("all",)):
                 groups[level].append(measured[d[0]])
+    ends = {g: tails(v) for g, v in groups.items()}
+    full = [ends[g] for g, v in groups.items() if g[0] == "own" and len(v) >= 50]
+    middle = lambda v: sorted(v)[(len(v) + 1) // 2 - 1]
+    usual = {k: (middle([8 * (e[k][1] - e[k][0]) for e in full]), middle([8 * (e[k][0] - e[k][2]) for e in full])) for k in quality.MEASURES} if full else {}
     out = []
     for d in rows:
-        n, _, _, _, repeat = brute_quality(d[1])
-        if n < 50 or 100 * repeat > 50 * n:
+        if d[0] not in good:
             continue
         level = next(x for x in (("own", d[2], d[3]), ("lang", d[2]), ("all",)) if x == ("all",) or len(groups[x]) >= 50)
-        limits = fences(groups[level])
+        limits = fences(ends[level], usual)
         if all(measured[d[0]][k] <= limits[k][1] and (not lower or measured[d[0]][k] >= limits[k][0]) for k, (_, lower) in quality.MEASURES.items()):
             out.append(d)
     return out
@@ -103,8 +129,8 @@ def test_run_equals_a_plain_version(spark, tables):
     root, rows, items = tables
     docs = kept_by_quality(rows)
     assert 0 < len(docs) < len(rows)
-    groups = linked(docs)
-    docs = [d for d in docs if groups[d[0]][1] == d[0]]
+    groups = linked_at(docs, near_dedup.STAGE_PERCENT)
+    docs = [d for d in docs if groups[d[0]] == d[0]]
     hits = brute_hits(docs, items)
     clean = [d for d in docs if not (hits[d[0]][1] and 20 * hits[d[0]][1] >= hits[d[0]][0])]
     assert len(clean) < len(docs)

@@ -22,6 +22,7 @@ import os
 import struct
 import zlib
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -151,7 +152,8 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     space |= (r == 0xE2) & (q == 0x81) & (p == 0x9F)
     space |= (p == 0x80) & ((r == 0xE1) & (q == 0x9A) | (r == 0xE3) & (q == 0x80))
     ok[wide[space]] = False
-    return np.union1d(at[ok], offsets[:-1][np.diff(offsets) > 0])
+    starts = np.sort(np.concatenate([at[ok], offsets[:-1][np.diff(offsets) > 0]]), kind="stable")  # merges two runs
+    return starts[np.append(True, starts[1:] != starts[:-1])] if len(starts) else starts
 
 
 class Encoder:
@@ -171,8 +173,8 @@ class Encoder:
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
-        ids = [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.concatenate([np.zeros(0, self.kind), *ids]), np.array([len(x) for x in ids], np.int64)
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), self.kind), np.fromiter(map(len, ids), np.int64, len(ids))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a flat buffer, and where each text's ids end."""
@@ -187,17 +189,18 @@ class Encoder:
         column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
         coded = column.dictionary_encode()
         which, pieces = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        spot = np.array([self.known.get(x, -1) for x in pieces], np.int64)
+        spot = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
         new = np.flatnonzero(spot < 0)
-        new = new[np.argsort([len(pieces[i]) > CACHE_BYTES for i in new.tolist()], kind="stable")]  # those to keep come first
+        long = np.array([len(pieces[i]) > CACHE_BYTES for i in new.tolist()], bool)
+        keep, new = [pieces[i] for i in new[~long].tolist()], np.concatenate([new[~long], new[long]])  # those to keep come first
         ids, n = self._whole([pieces[i].decode() for i in new.tolist()])
         flat = np.concatenate([self.flat, ids])
         at, size = self.at[spot] if len(self.at) else np.zeros(len(spot), np.int64), self.size[spot] if len(self.size) else np.zeros(len(spot), np.int64)
         at[new], size[new] = len(self.flat) + np.cumsum(n) - n, n
-        keep = [i for i in new.tolist() if len(pieces[i]) <= CACHE_BYTES]
         if keep and len(self.known) + len(keep) <= CACHE_PIECES:
-            self.known.update(zip((pieces[i] for i in keep), range(len(self.at), len(self.at) + len(keep)), strict=True))
-            self.at, self.size, self.flat = np.concatenate([self.at, at[keep]]), np.concatenate([self.size, size[keep]]), flat[: at[keep[-1]] + size[keep[-1]]].copy()
+            self.known.update(zip(keep, range(len(self.at), len(self.at) + len(keep)), strict=True))
+            kept = new[: len(keep)]
+            self.at, self.size, self.flat = np.concatenate([self.at, at[kept]]), np.concatenate([self.size, size[kept]]), flat[: at[kept[-1]] + size[kept[-1]]].copy()
         counts = size[which]
         upto = np.cumsum(counts)
         out = flat[np.repeat(at[which] - (upto - counts), counts) + np.arange(int(upto[-1]))]
@@ -228,7 +231,7 @@ def _encode(path: str, end_id: int, shard_ids: int):
         for batch in batches:
             data, offsets = textops.flat(batch.column("text"))
             names = batch.column("doc_id").to_pylist()
-            for a, b in textops.blocks(offsets, 1 << 20):
+            for a, b in textops.blocks(offsets, 4 << 20):
                 flat, stops = enc.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 for i, x, y in zip(names[a:b], np.append(0, stops).tolist(), stops.tolist(), strict=False):
                     if bodies and size + y - x + 1 > shard_ids:

@@ -10,10 +10,18 @@ op3 asks for ``PERCENT``, the pipeline's stage for ``STAGE_PERCENT``.
 Documents with equal sets are one node, so copies never meet as pairs. A band first links
 its members to its smallest one. Where members of a band then still lie in different
 components, shingles are counted over those members: one with too few shingles that any
-other has can link with none and leaves, which lowers the counts of the rest. Members that
-stay are compared in blocks of bounded size, by those counts and by sketches; each round
-confirms a forest of the best pairs and each member's best 256, 16 times as many a round,
-until no unconfirmed pair is left between components. So no pair is dropped.
+other has can link with none and leaves, which lowers the counts of the rest. The shingles
+of those that stay are rare, held by ``RARE`` of them at most, or common. A pair shares at
+most the rare ones that it is found to share plus the smaller number of common ones:
+
+- pairs that share a rare shingle come from its list, of bounded length, with their count;
+- a pair that shares none needs enough common ones in both. Only documents made almost
+  wholly of common shingles have them; those meet in blocks of a band's members, by counts
+  and sketches. Each round confirms a member's best 16, then 16 times as many, until no
+  unconfirmed pair is left between components.
+
+So no pair is dropped. Sets of 64-bit shingle hashes confirm; a document with many partners
+is sent to a few tasks that stream the partners past it, not once a pair.
 
 Defined cases: null, empty or blank texts have an empty set and link with nothing; a text
 of fewer words is one shingle; rows that share a doc_id are one node; a null doc_id is
@@ -40,7 +48,11 @@ SAMPLES = 256
 SKETCH_BITS = 1024
 DEVIATIONS = 6
 PEELS = 3
-BLOCK_MEMBERS = 512
+RARE = 16
+BLOCK_MEMBERS = 8192
+FIRST_EACH = 16
+#: Tasks among which one document's partners are dealt, and one class's rows.
+SALTS = 32
 SIGNATURE = "doc_id long, n long, f1 long, f2 long, bands array<long>, sketch binary"
 
 _rng = np.random.Generator(np.random.Philox(key=[20, 26]))
@@ -175,22 +187,34 @@ def _sets(size: int, arrays: bool = False):
     return run
 
 
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a) or 100 * len(a) < percent * len(b):
+        return False
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    both = int(np.count_nonzero(b[at] == a))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def _confirm(percent: int):
+    """Rows come in order of (a, salt, b), the sets of ``a`` itself first, with a null b."""
+
     def run(batches):
+        key, heads = None, []
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(a) > len(b):
-                    a, b = b, a
-                if 100 * len(a) < percent * len(b):
-                    ok.append(False)
-                    continue
-                at = np.searchsorted(b, a)
-                at[at == len(b)] = 0
-                both = int(np.count_nonzero(b[at] == a))
-                ok.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok)], ["a", "b", "linked"])
+            out = ([], [], [])
+            for a, salt, b, keys in zip(batch.column("a").to_pylist(), batch.column("salt").to_pylist(), batch.column("b").to_pylist(), batch.column("keys"), strict=True):
+                if (a, salt) != key:
+                    key, heads = (a, salt), []
+                own = np.frombuffer(keys.as_buffer(), np.uint64)
+                if b is None:
+                    heads.append(own.copy())
+                else:
+                    for c, v in zip(out, (a, b, any(_linked(h, own, percent) for h in heads)), strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], ["a", "b", "linked"])
 
     return run
 
@@ -199,42 +223,25 @@ def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
     """(a, b, linked) of candidate pairs, from the full sets of their texts; a stored table."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b"))).distinct()
     sets = corpus.table(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(corpus.trimmed(_sets(size)), "id long, keys binary"), "sets")
-    left = pairs.join(sets.select(F.col("id").alias("b"), F.col("keys").alias("y")), "b")
-    both = left.join(sets.select(F.col("id").alias("a"), F.col("keys").alias("x")), "a").select("a", "b", "x", "y")
-    found = both.mapInArrow(corpus.trimmed(_confirm(percent)), "a long, b long, linked boolean")
+    dealt = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"), "b")
+    heads = dealt.select("a", "salt").distinct().join(sets, F.col("a") == F.col("id")).select("a", "salt", F.lit(None).cast("long").alias("b"), "keys")
+    bodies = dealt.join(sets, F.col("b") == F.col("id")).select("a", "salt", "b", "keys")
+    stream = heads.unionByName(bodies).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    found = stream.mapInArrow(corpus.trimmed(_confirm(percent)), "a long, b long, linked boolean")
     # rows that share a doc_id are one node: any of its texts may link it
     out = corpus.table(found.groupBy("a", "b").agg(F.bool_or("linked").alias("linked")), "confirmed")
     corpus.drop(sets)
     return out
 
 
-def _forest(a: np.ndarray, b: np.ndarray, order: np.ndarray, n: int) -> np.ndarray:
-    """Pairs, taken in ``order``, that join two trees."""
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    out = []
-    for p in order.tolist():
-        x, y = find(int(a[p])), find(int(b[p]))
-        if x != y:
-            root[x] = y
-            out.append(p)
-    return np.array(out, np.int64)
-
-
-def _block_pairs(t: pa.Table, each: int, percent: int) -> list[tuple[int, int, bool]]:
-    """Candidate pairs of one block or pair of blocks whose first common band this is: a forest of the best, and each member's ``each`` best."""
+def _block_pairs(t: pa.Table, each: int, percent: int):
+    """(a, b, more) arrays of one block or pair of blocks: each member's ``each`` best partners after it, of pairs whose first common band this is."""
     members = t.num_rows
     sketch = np.frombuffer(textops.flat(t.column("sketch"))[0].tobytes(), "<u8").reshape(members, -1)
     bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(members, -1)
     ids, comp, side, n, held = (t.column(c).to_numpy() for c in ("id", "component", "side", "n", "held"))
     cross, band = t.column("i")[0] != t.column("j")[0], t.column("band")[0].as_py()
-    found, most = [], most_bits(percent)
+    most = most_bits(percent)
     for x in range(members - 1):
         shared = np.minimum(held[x], held[x + 1 :])
         ok = (comp[x + 1 :] != comp[x]) & (100 * shared >= percent * (n[x] + n[x + 1 :] - shared))
@@ -247,23 +254,12 @@ def _block_pairs(t: pa.Table, each: int, percent: int) -> list[tuple[int, int, b
         near = bits <= most
         y, bits = y[near], bits[near]
         first = bands[x][(bands[y] == bands[x]).argmax(axis=1)] == band
-        if first.any():
-            found.append((np.full(int(first.sum()), x), y[first], bits[first]))
-    if not found:
-        return []
-    a, b, bits = (np.concatenate(c) for c in zip(*found, strict=True))
-    order = np.lexsort((b, a, bits))
-    keep = np.zeros(len(a), bool)
-    _, start = np.unique(comp, return_inverse=True)
-    keep[_forest(start[a], start[b], order, members)] = True
-    seen = np.zeros(members, np.int64)
-    for p in order.tolist():
-        if seen[a[p]] < each or seen[b[p]] < each:
-            keep[p] = True
-            seen[a[p]] += 1
-            seen[b[p]] += 1
-    more = not keep.all()
-    return [(int(min(ids[x], ids[y])), int(max(ids[x], ids[y])), more) for x, y in zip(a[keep], b[keep], strict=True)]
+        y, bits = y[first], bits[first]
+        if len(y):
+            more = len(y) > each
+            if more:
+                y = y[np.lexsort((ids[y], bits))[:each]]
+            yield np.minimum(ids[y], ids[x]), np.maximum(ids[y], ids[x]), np.full(len(y), more)
 
 
 def _pairs_in_blocks(each: int, percent: int):
@@ -271,9 +267,18 @@ def _pairs_in_blocks(each: int, percent: int):
 
     def emit(held: list[pa.RecordBatch]):
         t = pa.Table.from_batches(held).combine_chunks()
-        if out := _block_pairs(t, each, percent) if t.num_rows > 1 else []:
-            a, b, more = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], ["a", "b", "more"])
+        found, size = [], 0
+        for out in _block_pairs(t, each, percent) if t.num_rows > 1 else ():
+            found.append(out)
+            size += len(out[0])
+            if size >= 1 << 16:
+                yield batch_of(found)
+                found, size = [], 0
+        if found:
+            yield batch_of(found)
+
+    def batch_of(found: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["a", "b", "more"])
 
     def run(batches):
         key, held = None, []
@@ -304,30 +309,47 @@ def _labelled(bands: DataFrame, labels: DataFrame) -> DataFrame:
     return bands.join(named, F.col("id") == F.col("_id"), "left").select("band", "id", F.coalesce("component", "id").alias("component"))
 
 
-def _open_nodes(docs: DataFrame, bands: DataFrame, labels: DataFrame, size: int, percent: int) -> DataFrame:
-    """(id, n, held): members of mixed bands that may still link: ``held`` of their n shingles stand in another such member."""
+def _open_nodes(docs: DataFrame, bands: DataFrame, labels: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Members of mixed bands that may still link: (id, n, rare, common), how many of their n shingles are rare and common ones; and (id, k), their rare shingles."""
     members = _labelled(bands, labels)
     ids = members.join(_mixed(members), "band").select(F.col("id").alias("doc_id")).distinct()
     sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(corpus.trimmed(_sets(size, True)), "id long, keys array<long>")
     rows = corpus.table(sets.select("id", F.explode("keys").alias("k")).distinct(), "shingles")
     sizes = rows.groupBy("id").agg(F.count("*").alias("n"))
-    held = None
+    held, stored = None, [rows]
     for _ in range(PEELS):
         alive = rows if held is None else rows.join(held.select("id"), "id", "left_semi")
-        common = alive.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
-        count = alive.join(common, "k", "left_semi").groupBy("id").agg(F.count("*").alias("held"))
-        held = corpus.table(count.join(sizes, "id").where(100 * F.col("held") >= percent * F.col("n")).select("id", "n", "held"), "open")
-    corpus.drop(rows)
-    return held
+        shared = alive.groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
+        counted = alive.join(shared, "k")
+        sums = counted.groupBy("id").agg(F.count_if(F.col("c") <= RARE).alias("rare"), F.count_if(F.col("c") > RARE).alias("common"))
+        held = corpus.table(sums.join(sizes, "id").where(100 * (F.col("rare") + F.col("common")) >= percent * F.col("n")).select("id", "n", "rare", "common"), "open")
+        stored.append(held)
+    # counts were over those alive before the last departures: never too low
+    rare = corpus.table(counted.where(F.col("c") <= RARE).join(held.select("id"), "id", "left_semi").select("id", "k"), "rare")
+    corpus.drop(*stored[:-1])
+    return held, rare
+
+
+def _sharing_rare(rare: DataFrame, alive: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b): open nodes of different components that share rare shingles, and enough of all by the counts."""
+    named = labels.select(F.col("id").alias("_id"), "component")
+    nodes = alive.join(named, F.col("id") == F.col("_id"), "left").select("id", F.coalesce("component", "id").alias("component"), "n", "rare", "common")
+    lists = rare.join(nodes, "id").groupBy("k").agg(F.collect_list(F.struct("id", "component", "n", "rare", "common")).alias("l"))
+    enough = "100 * ({0}) >= {1} * (x.n + y.n - ({0}))".format("least(x.rare, y.rare) + least(x.common, y.common)", percent)
+    pair = "named_struct('a', x.id, 'b', y.id, 'n', x.n + y.n, 'common', least(x.common, y.common))"
+    pairs = lists.select(F.explode(F.expr(f"flatten(transform(l, x -> transform(filter(l, y -> y.id > x.id and y.component <> x.component and {enough}), y -> {pair})))")).alias("p"))
+    counted = pairs.groupBy("p.a", "p.b").agg((F.count("*") + F.max("p.common")).alias("both"), F.max("p.n").alias("n"))
+    return counted.where(100 * F.col("both") >= percent * (F.col("n") - F.col("both"))).select("a", "b")
 
 
 def _between_components(bands: DataFrame, sketches: DataFrame, labels: DataFrame, alive: DataFrame, each: int, percent: int) -> DataFrame:
-    """(a, b, more): sifted pairs of open nodes of different components that share a band."""
-    members = _labelled(bands.join(alive.select("id"), "id", "left_semi"), labels)
+    """(a, b, more): sifted pairs of open nodes of different components that share a band, of those that may link by common shingles alone."""
+    able = alive.where(100 * F.col("common") >= percent * F.col("n")).select("id", "n", F.col("common").alias("held"))
+    members = _labelled(bands.join(able.select("id"), "id", "left_semi"), labels)
     rows = members.join(_mixed(members, 1), "band")
     blocks = F.ceil(F.col("c") / BLOCK_MEMBERS).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("side", own).join(alive, "id").join(sketches, "id")
+    rows = rows.withColumn("blocks", blocks).withColumn("side", own).join(able, "id").join(sketches, "id")
     held = ["band", "id", "component", "sketch", "bands", "side", "n", "held"]
     dealt = rows.select(*held, F.explode(F.expr("sequence(0, blocks - 1)")).alias("o")).select(*held, F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"))
     grouped = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "id")
@@ -339,7 +361,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     docs = docs.select("doc_id", "text")
     signs = corpus.table(docs.mapInArrow(corpus.trimmed(_signatures(size, percent)), SIGNATURE), "signatures")
     known = signs.where("n > 0 and doc_id is not null")
-    classes = corpus.table(known.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("node")), "classes")
+    classes = corpus.table(known.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("node"), F.count("*").alias("c")), "classes")
     nodes = known.select(F.col("doc_id").alias("id"), "bands", "sketch").join(classes.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
     bands = nodes.select("id", F.explode("bands").alias("band")).distinct()
     shared = bands.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1")
@@ -355,29 +377,37 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     tried = confirmed(docs, corpus.table(firsts, "pairs"), size, percent)
     labels = graph.components(tried.where("linked"))
     bands = bands.select("band", "id")
-    alive = _open_nodes(docs, bands, labels, size, percent)
-    each, more = 256, True
+    alive, rare = _open_nodes(docs, bands, labels, size, percent)
+
+    def joined(new: DataFrame) -> tuple[DataFrame, DataFrame]:
+        found = confirmed(docs, new, size, percent)
+        links = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        return found, graph.components(links.unionByName(found.where("linked").select("a", "b")))
+
+    new = corpus.table(_sharing_rare(rare, alive, labels, percent), "pairs")
+    if not new.isEmpty():
+        found, labels = joined(new)
+        tried = corpus.table(tried.unionByName(found), "confirmed")
+    each, more = FIRST_EACH, True
     while more:
-        pairs = _between_components(bands, sketches, labels, alive, each, percent)
-        pairs = corpus.table(pairs.groupBy("a", "b").agg(F.bool_or("more").alias("more")), "pairs")
+        pairs = corpus.table(_between_components(bands, sketches, labels, alive, each, percent).groupBy("a", "b").agg(F.bool_or("more").alias("more")), "pairs")
         more = bool(pairs.agg(F.coalesce(F.bool_or("more"), F.lit(False))).first()[0])
         new = pairs.join(tried, ["a", "b"], "left_anti").select("a", "b")
-        if new.isEmpty():
-            if not more:
-                break
-        else:
-            found = confirmed(docs, new, size, percent)
-            labels = graph.components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found.where("linked").select("a", "b")))
+        if not new.isEmpty():
+            found, labels = joined(new)
             tried = corpus.table(tried.unionByName(found), "confirmed")
+        corpus.drop(pairs)
         each *= 16
-    corpus.drop(bands, sketches, alive, tried)
+    corpus.drop(bands, sketches, alive, rare, tried)
     return _result(signs, classes, labels)
 
 
 def _result(signs: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    node = classes.join(labels.withColumnRenamed("id", "node"), "node", "left").select("n", "f1", "f2", F.coalesce("component", "node").alias("component"))
-    # rows that share a doc_id are one node: the smallest component of its texts
-    out = signs.select("doc_id", "n", "f1", "f2").join(node, ["n", "f1", "f2"], "left")
+    # only classes of several documents or with links say something new; a class's rows are dealt among SALTS tasks
+    named = classes.join(labels.withColumnRenamed("id", "node"), "node", "left").where("c > 1 or component is not null")
+    named = named.select("n", "f1", "f2", F.coalesce("component", "node").alias("component"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salt = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    out = signs.select("doc_id", "n", "f1", "f2", salt.alias("salt")).join(named, ["n", "f1", "f2", "salt"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 

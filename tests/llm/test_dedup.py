@@ -114,9 +114,11 @@ def copies(seed, n, edits):
     return out
 
 
-@pytest.mark.parametrize("block", [1024, 16])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "rare", "each"), [(8192, 16, 16), (16, 2, 1), (64, 1, 4)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, block, rare, each):
     monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", block)
+    monkeypatch.setattr(near_dedup, "RARE", rare)
+    monkeypatch.setattr(near_dedup, "FIRST_EACH", each)
     rows = corpus(6)
     texts = copies(7, 120, 6) + copies(8, 40, 10)
     rows += [(10_000 + i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
@@ -125,6 +127,17 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
     assert got == want
 
 
+def test_templates_of_common_lines_link_as_brute_force_says(spark, monkeypatch):
+    """Documents made of a common pool of lines: no shingle is rare, and similarities lie around the threshold."""
+    monkeypatch.setattr(near_dedup, "RARE", 3)
+    r = random.Random(41)
+    pool = [sentence(r, 12, 10**6) for _ in range(24)]
+    rows = [(i, "\n".join(x for x in pool if r.random() < 0.9), "en", "s", 0) for i in range(90)]
+    want = linked(rows)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == want
+
+
 def test_odd_sketch_estimates():
     r = np.random.default_rng(1)
     for j in (0.85, 0.95):

@@ -1,21 +1,25 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
-A page is a sequence of words and tags. Words score positive and tags negative; the
-contiguous region of the greatest sum is the content, found in one linear scan. How much a
-word counts in its place (running text, heading, list, link, named boilerplate) and how
-much a tag costs come from labelled pages: a token's share inside the labelled content,
-with one scale between words and tags chosen for the best token F1 on those pages.
-
-Within the region, what stands in elements that name themselves as menus, sidebars,
-notices, adverts, forms or reader comments is left out, and blocks are joined by newlines.
-Since it is left out anyway, it counts neither for nor against a region that goes on past it,
-however long it is.
-
-``MAX_LABELLED`` bounds the labelled pages of a fit; the default ones come from a rule.
+A page is a sequence of words and tags. Words score by their place and tags score negative;
+the contiguous region of the greatest sum is the content, found in one linear scan. A word's
+place is the block it stands in: its kind (heading, paragraph, list item, other), its length
+and its share of links, and whether it is inside the page's article. All weights come from
+labelled pages: a token's share inside the labelled content, with one scale between words
+and tags chosen for the best token F1 on those pages.
+
+Elements also have names: their tag, and the words of class, id and role. A name's weight is
+its share of words inside labelled content. An element with a name that labelled pages show
+outside content nearly always is boilerplate, unless it holds the page's article or nearly
+all of its running text. Boilerplate is left out of the text, so it counts neither for nor
+against a region that goes on past it. Only scripts, styles and hidden elements go unweighed.
+
+``MAX_LABELLED`` bounds the labelled pages of a fit; the default ones come from a rule: many
+layouts, half of them with boilerplate that does not name itself.
 
 Defined cases: null html gives an empty text; pages without content words give an empty
 text; cut-off tags at the end are dropped; unknown or badly nested tags are tags; repeated
-rows are extracted each; other columns are ignored; an empty table gives none.
+rows are extracted each; other columns are ignored; an empty table gives none. Work is
+linear in a page's length, however deep its elements are.
 """
 
 from __future__ import annotations
@@ -33,11 +37,16 @@ from . import corpus
 
 MAX_LABELLED = 500
 SCALES = (0.25, 0.5, 1.0, 2.0, 4.0)
+#: A name of less weight marks boilerplate; an element with so much of a page's running text is none.
+TELLING = -0.5
+WRAPPER_SHARE = 0.95
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _PART = re.compile(r"[a-z]+|[0-9]+")
+#: A class that says of a layout that it has or lacks something.
+_ABOUT = re.compile(r"(?:has|have|with|no|not|without|is|layout|page|site|wrap|wrapper|container|body)(?:$|[-_])|.*[-_](?:layout|wrap|wrapper|container|page|enabled|active)$")
 
 RAW = frozenset({"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "object"})
 VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"})
@@ -45,126 +54,224 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 SPACED = frozenset({"br", "td", "th", "option", "img"})
-#: Elements that are no content, and words by which other elements name themselves so.
-BOILERPLATE = frozenset("nav aside footer form head menu button select dialog fieldset label".split())
-NAMES = frozenset(
-    "ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination pager popup promo promoted promotion related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget alert complementary contentinfo discussion disqus rail".split()
-)
+HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 CONTENT = frozenset({"article", "main"})
 CLOSES_P = BLOCKS - {"html", "body"}
+#: What the default labelled pages use as boilerplate: elements, and names of other elements.
+BOILERPLATE = "nav aside footer header form menu button select dialog fieldset label".split()
+NAMES = (
+    "ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination pager popup promo promoted promotion related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget alert complementary contentinfo discussion disqus rail".split()
+)
 
 
-def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in BOILERPLATE or tag == "header" and not inside:
-        return True
-    if not attributes or tag in CONTENT or tag in ("html", "body"):
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    for m in _NAMED.finditer(attributes):
-        if not NAMES.isdisjoint(_PART.findall((m[2] or m[3] or m[4] or "").lower())):
-            return True
-    return False
-
-
-def events(page: str) -> list[tuple[str, str, str]]:
-    """(kind, place, value): ``text`` runs with where they stand, ``tag`` with its name. Raw elements are one tag."""
-    out: list[tuple[str, str, str]] = []
-    stack: list[tuple[str, bool]] = []  # open elements, and whether each is boilerplate
-    bad = links = content = 0
-    at, n = 0, len(page)
-
-    def pop() -> None:
-        nonlocal bad, links, content
-        name, was = stack.pop()
-        bad -= was
-        links -= name == "a"
-        content -= name in CONTENT
-
-    def text(a: int, b: int) -> None:
-        if a < b:
-            if bad:
-                place = "boilerplate"
-            elif links:
-                place = "link"
-            else:
-                place = next((s for s, _ in reversed(stack) if s in BLOCKS), "none")
-                place = "heading" if re.fullmatch(r"h[1-6]", place) else place if place in ("p", "li", "none") else "block"
-            out.append(("text", place, page[a:b]))
-
-    start = 0
-    while True:
-        lt = page.find("<", at)
-        if lt < 0:
-            text(start, n)
-            break
-        after = page[lt + 1 : lt + 2]
-        if page.startswith("<!--", lt):
-            text(start, lt)
-            end = page.find("-->", lt + 4)
-            at = start = n if end < 0 else end + 3
-            continue
-        if after in ("!", "?"):
-            text(start, lt)
-            end = page.find(">", lt)
-            at = start = n if end < 0 else end + 1
-            continue
-        m = _TAG.match(page, lt)
-        if not m:
-            if after.isalpha() and after.isascii() or after == "/" or not after:
+class Page:
+    """A page's items, in order: (text or tag, value, element, block), and its elements in order of opening."""
+
+    def __init__(self, page: str):
+        self.items: list[tuple[str, str, int, int]] = []
+        self.tags, self.parent, self.names, self.hidden = [""], [-1], [()], [False]
+        self.words, self.block_kind, self.block_words, self.block_links = [0], ["none"], [0], [0]
+        self._parse(page)
+
+    def _open(self, tag: str, attributes: str, parent: int) -> int:
+        found: list[str] = []
+        for m in _NAMED.finditer(attributes) if attributes else ():
+            for name in (m[2] or m[3] or m[4] or "").lower().split():
+                if not _ABOUT.match(name):
+                    found += _PART.findall(name)
+        self.tags.append(tag)
+        self.parent.append(parent)
+        self.names.append(tuple(found))
+        self.hidden.append(bool(attributes and _HIDDEN.search(attributes)))
+        self.words.append(0)
+        return len(self.tags) - 1
+
+    def _parse(self, page: str) -> None:
+        stack, opened, blocks = [0], Counter(), []
+        links = 0
+        last_end = page.rfind(">")
+
+        def pop() -> str:
+            nonlocal links
+            name = self.tags[stack.pop()]
+            opened[name] -= 1
+            links -= name == "a"
+            if name in BLOCKS:
+                blocks.pop()
+            return name
+
+        def close_block() -> None:
+            self.block_kind.append(blocks[-1] if blocks else "none")
+            self.block_words.append(0)
+            self.block_links.append(0)
+
+        def text(a: int, b: int) -> None:
+            if a < b:
+                value = page[a:b]
+                n = len(value.split())
+                self.words[stack[-1]] += n
+                self.block_words[-1] += n
+                self.block_links[-1] += n * (links > 0)
+                self.items.append(("text", value, stack[-1], len(self.block_kind) - 1))
+
+        def tag_item(value: str) -> None:
+            if value.lstrip("/") in BLOCKS:
+                close_block()
+            self.items.append(("tag", value, stack[-1], len(self.block_kind) - 1))
+
+        at = start = 0
+        while True:
+            lt = page.find("<", at)
+            if lt < 0:
+                text(start, len(page))
+                return
+            after = page[lt + 1 : lt + 2]
+            if page.startswith("<!--", lt):
+                text(start, lt)
+                end = page.find("-->", lt + 4)
+                at = start = len(page) if end < 0 else end + 3
+                continue
+            if after in ("!", "?"):
                 text(start, lt)
                 end = page.find(">", lt)
-                at = start = n if end < 0 else end + 1  # quotes that never close, or cut off
+                at = start = len(page) if end < 0 else end + 1
+                continue
+            m = _TAG.match(page, lt) if lt < last_end else None
+            if not m:
+                if after.isalpha() and after.isascii() or after == "/" or not after:
+                    text(start, lt)
+                    end = page.find(">", lt) if lt < last_end else -1
+                    at = start = len(page) if end < 0 else end + 1  # quotes that never close, or cut off
+                    continue
+                at = lt + 1
                 continue
-            at = lt + 1
-            continue
-        text(start, lt)
-        at = start = m.end()
-        closing, tag, attributes = m[1], m[2].lower(), m[3]
-        if closing:
-            if any(s == tag for s, _ in stack):
-                while stack[-1][0] != tag:
-                    pop()
+            text(start, lt)
+            at = start = m.end()
+            closing, tag, attributes = m[1], m[2].lower(), m[3]
+            if closing:
+                if opened[tag]:
+                    while pop() != tag:
+                        pass
+                tag_item("/" + tag)
+                continue
+            if tag in RAW and not attributes.endswith("/"):
+                end = re.compile(f"</{tag}[^>]*>", re.I).search(page, at)
+                tag_item(tag)
+                at = start = end.end() if end else len(page)
+                continue
+            if tag in CLOSES_P and blocks and blocks[-1] == "p":
+                while pop() != "p":  # a block ends an open paragraph, unless another block stands between
+                    pass
+            if tag == "li" and self.tags[stack[-1]] == "li":
                 pop()
-            out.append(("tag", "boilerplate" if bad else "", "/" + tag))
-            continue
-        if tag in RAW and not attributes.endswith("/"):
-            end = re.compile(f"</{tag}[^>]*>", re.I).search(page, at)
-            out.append(("tag", "boilerplate" if bad else "", tag))
-            at = start = end.end() if end else n
-            continue
-        if tag in CLOSES_P and stack and any(s == "p" for s, _ in stack):
-            # a block ends an open paragraph, unless another block stands between
-            i = max(k for k, (s, _) in enumerate(stack) if s == "p")
-            if not any(s in BLOCKS for s, _ in stack[i + 1 :]):
-                while len(stack) > i:
-                    pop()
-        if tag == "li" and stack and stack[-1][0] == "li":
-            pop()
-        out.append(("tag", "boilerplate" if bad else "", tag))
-        if tag not in VOID and not attributes.endswith("/"):
-            was = _boilerplate(tag, attributes, content > 0)
-            stack.append((tag, was))
-            bad += was
-            links += tag == "a"
-            content += tag in CONTENT
+            if tag not in VOID and not attributes.endswith("/"):
+                parent = stack[-1]
+                stack.append(self._open(tag, attributes, parent))
+                opened[tag] += 1
+                links += tag == "a"
+                if tag in BLOCKS:
+                    blocks.append(tag)
+            tag_item(tag)
+
+    def total_words(self) -> list[int]:
+        """Words of each element with all that it holds."""
+        out = list(self.words)
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parent[e]] += out[e]
+        return out
+
+    def signals(self, e: int) -> list[str]:
+        """What an element calls itself: its tag, and its names where it is no heading."""
+        tag = self.tags[e]
+        return [f"tag:{tag}"] + ([] if tag in HEADINGS or tag in ("html", "body") else [f"name:{x}" for x in self.names[e]])
+
+    def places(self, names: dict[str, float]) -> list[str]:
+        """The place of each item; ``boilerplate`` and ``hidden`` ones are left out."""
+        total = self.total_words()
+        n = len(self.tags)
+        hidden = [False] * n
+        for e in range(1, n):
+            hidden[e] = hidden[self.parent[e]] or self.hidden[e] or self.tags[e] == "head"
+        told = [not hidden[e] and min(names.get(x, 0.0) for x in self.signals(e)) < TELLING for e in range(n)]
+        # headers inside an article are part of it
+        within = [False] * n
+        for e in range(1, n):
+            within[e] = self.tags[e] in CONTENT or within[self.parent[e]]
+            if told[e] and self.tags[e] == "header" and within[self.parent[e]] and not any(names.get(x, 0.0) < TELLING for x in self.signals(e)[1:]):
+                told[e] = False
+        articles = [e for e in range(n) if self.tags[e] in CONTENT and not told[e] and not hidden[e] and not (told[self.parent[e]] and self.tags[self.parent[e]] in ("aside", "nav", "footer"))]
+        article = max(articles, key=lambda e: (total[e], -e), default=-1)
+        holds = set()
+        e = article
+        while e > 0:
+            holds.add(e)
+            e = self.parent[e]
+        running = Counter()  # words of paragraphs and headings in each element
+        for e in range(n - 1, 0, -1):
+            if self.tags[e] in ("p", "h1", "h2", "h3"):
+                running[e] = total[e]
+            running[self.parent[e]] += running[e]
+        visible = sum(self.words[e] for e in range(n) if not hidden[e])
+        fixed = ("nav", "aside", "footer", "menu", "button", "select", "dialog", "header")
+        bad = [False] * n
+        for e in range(1, n):
+            neutral = e in holds or self.tags[e] not in fixed and total[e] >= WRAPPER_SHARE * visible and 2 * running[e] >= total[e] > 0
+            bad[e] = bad[self.parent[e]] or told[e] and not neutral
+        inside = [False] * n
+        if article > 0 and not bad[article]:
+            for e in range(1, n):
+                inside[e] = e == article or inside[self.parent[e]]
+        out = []
+        for kind, _, e, b in self.items:
+            if hidden[e] or bad[e]:
+                out.append("hidden" if hidden[e] else "boilerplate")
+                continue
+            side = "in" if inside[e] else "out" if article > 0 and not bad[article] else "page"
+            if kind == "tag":
+                out.append(side)
+                continue
+            block = self.block_kind[b]
+            block = "heading" if block in HEADINGS else block if block in ("p", "li", "none") else "block"
+            size, link = self.block_words[b], self.block_links[b]
+            length = 0 if size <= 3 else 1 if size <= 10 else 2 if size <= 25 else 3
+            out.append(f"{side}:{block}:{length}:{0 if not link else 1 if 2 * link < size else 2}")
+        return out
+
+
+def events(page: str, names: dict[str, float] | None = None) -> list[tuple[str, str, str]]:
+    """(kind, place, value): ``text`` runs and ``tag`` names with where they stand. Raw elements are one tag."""
+    parsed = Page(page)
+    places = parsed.places(default_weights()["names"] if names is None else names)
+    return [(kind, place, value) for (kind, value, _, _), place in zip(parsed.items, places, strict=True)]
+
+
+def _left_out(place: str) -> bool:
+    return place in ("boilerplate", "hidden")
+
+
+def scores(sequence: list[tuple[str, str, str]], weights: dict) -> list[float]:
+    """What each event adds to a region that holds it."""
+    words, tags = weights["words"], weights["tags"]
+    out = []
+    for kind, place, value in sequence:
+        if _left_out(place):
+            out.append(0.0)
+        elif kind == "text":
+            w = words.get(place)
+            out.append(len(value.split()) * (words.get(place.split(":", 1)[0], 0.5) if w is None else w))
+        else:
+            out.append(tags.get(value, weights["unknown"]))
     return out
 
 
 def region(sequence: list[tuple[str, str, str]], weights: dict) -> tuple[int, int]:
     """The contiguous events of the greatest sum, as [start, end); empty where no sum is positive."""
     best, span, total, start = 0.0, (0, 0), 0.0, 0
-    for i, (kind, place, value) in enumerate(sequence):
-        if place == "boilerplate":
-            continue
-        if kind == "text":
-            n = len(value.split())
-            total += n * weights["words"].get(place, 0.5)
-        else:
-            total += weights["tags"].get(value, weights["unknown"])
+    for i, x in enumerate(scores(sequence, weights)):
+        total += x
         if total <= 0:
             total, start = 0.0, i + 1
-        elif total > best and kind == "text":
+        elif total > best and sequence[i][0] == "text":
             best, span = total, (start, i + 1)
     return span
 
@@ -181,7 +288,7 @@ def render(sequence: list[tuple[str, str, str]]) -> str:
 
     for kind, place, value in sequence:
         if kind == "text":
-            if place != "boilerplate":
+            if not _left_out(place):
                 parts.append(value)
         else:
             tag = value.lstrip("/")
@@ -196,34 +303,64 @@ def render(sequence: list[tuple[str, str, str]]) -> str:
 def extract(page: str | None, weights: dict | None = None) -> str:
     if not page:
         return ""
-    sequence = events(page)
-    a, b = region(sequence, weights or default_weights())
+    weights = weights or default_weights()
+    sequence = events(page, weights["names"])
+    a, b = region(sequence, weights)
     return render(sequence[a:b])
 
 
+def _content_items(page: Page, content: Counter) -> list[bool]:
+    """Whether each item is a text run of the labelled content."""
+    return [kind == "text" and bool(w := value.split()) and sum(x in content for x in w) * 2 > len(w) for kind, value, _, _ in page.items]
+
+
 def fit(labelled: list[tuple[str, str]], scales: tuple[float, ...] = SCALES) -> dict:
     """Weights from (html, content text) pairs, at most ``MAX_LABELLED`` of them."""
+    share = lambda some, every: 2 * (some + 0.2) / (every + 0.4) - 1
+    pages = [(Page(page), Counter(content.split())) for page, content in labelled[:MAX_LABELLED]]
+    marks = [_content_items(page, content) for page, content in pages]
+    name_in, name_all = Counter(), Counter()
+    for (page, _), inside in zip(pages, marks, strict=True):
+        own, good = [0] * len(page.tags), [0] * len(page.tags)
+        for (kind, value, e, _), ok in zip(page.items, inside, strict=True):
+            if kind == "text":
+                n = len(value.split())
+                own[e] += n
+                good[e] += n * ok
+        for e in range(len(own) - 1, 0, -1):
+            own[page.parent[e]] += own[e]
+            good[page.parent[e]] += good[e]
+            for name in page.signals(e):
+                name_all[name] += own[e]
+                name_in[name] += good[e]
+    # a tag that labelled pages show in plain lists, tables and links tells nothing: only whole sections do
+    names = {x: share(name_in[x], n) for x, n in name_all.items() if x.startswith("name:") or x.removeprefix("tag:") in BOILERPLATE}
     word_in, word_all, tag_in, tag_all = Counter(), Counter(), Counter(), Counter()
-    pages = [(events(page), Counter(content.split())) for page, content in labelled[:MAX_LABELLED]]
-    for sequence, content in pages:
-        inside = [kind == "text" and place != "boilerplate" and bool(w := value.split()) and sum(x in content for x in w) * 2 > len(w) for kind, place, value in sequence]
-        marked = [i for i, x in enumerate(inside) if x]
+    sequences = []
+    for (page, content), inside in zip(pages, marks, strict=True):
+        places = page.places(names)
+        sequence = [(kind, place, value) for (kind, value, _, _), place in zip(page.items, places, strict=True)]
+        sequences.append((sequence, content))
+        marked = [i for i, x in enumerate(inside) if x and not _left_out(places[i])]
         lo, hi = (marked[0], marked[-1]) if marked else (1, 0)
         for i, (kind, place, value) in enumerate(sequence):
+            if _left_out(place):
+                continue
             if kind == "text":
                 n = len(value.split())
-                word_all[place] += n
-                word_in[place] += n * inside[i]
+                for p in (place, place.split(":", 1)[0]):
+                    word_all[p] += n
+                    word_in[p] += n * inside[i]
             else:
                 tag_all[value] += 1
                 tag_in[value] += lo <= i <= hi
-    words = {p: 2 * (word_in[p] + 1) / (n + 2) - 1 for p, n in word_all.items()}
+    words = {p: share(word_in[p], n) for p, n in word_all.items()}
     best = (-1.0, None)
     for scale in scales:
         tags = {t: -scale * (n - tag_in[t] + 0.1) / (n + 0.2) for t, n in tag_all.items()}
-        weights = {"words": words, "tags": tags, "unknown": -scale / 2}
+        weights = {"names": names, "words": words, "tags": tags, "unknown": -scale / 2}
         f = 0.0
-        for sequence, content in pages:
+        for sequence, content in sequences:
             a, b = region(sequence, weights)
             got = Counter(render(sequence[a:b]).split())
             common = sum((got & content).values())
@@ -233,23 +370,36 @@ def fit(labelled: list[tuple[str, str]], scales: tuple[float, ...] = SCALES) ->
     return best[1]
 
 
-def labelled_pages(count: int = 60) -> list[tuple[str, str]]:
-    """Pages made by a rule, with their content: several layouts of menus, sidebars, articles and comments."""
+def labelled_pages(count: int = 240) -> list[tuple[str, str]]:
+    """Pages made by a rule, with their content: layouts with and without an article element, boilerplate that names itself and that does not."""
     syllables = ["ka", "lo", "mi", "ter", "sun", "ve", "dra", "pol", "ne", "shi"]
-    wraps = ["<p>{}</p>", "<p>{}</p>", "<ul><li>{}</li></ul>", "<p><a href=x>{}</a></p>", "<blockquote>{}</blockquote>", "<p>{}<br></p>"]
+    wraps = ["<p>{}</p>", "<p>{}</p>", "<ul><li>{}</li></ul>", "<p>{}</p>", "<blockquote>{}</blockquote>", "<p>{}<br></p>", '<p>{} <a href="/x">see</a></p>', "<div>{}</div>", "<table><tr><td>{}</td></tr></table>"]
     out = []
     for k in range(count):
-        word = lambda i: syllables[(i * 7 + k) % 10] + syllables[(i * 3 + k * 5) % 10]  # noqa: B023, E731
+        word = lambda i: syllables[(i * 7 + k) % 10] + syllables[(i * 3 + k * 5) % 10] + syllables[i // 10 % 10]  # noqa: B023, E731
         line = lambda a, n: " ".join(word(a + i) for i in range(n))
-        paragraphs = [line(100 * j + 7, 12 + (j * 11 + k) % 40) for j in range(2 + k % 5)]
-        title = line(3, 4 + k % 4)
-        menu = "".join(f'<li><a href="/{i}">{word(i)}</a></li>' for i in range(4 + k % 6))
-        body = f"<h1>{title}</h1>" + "".join(wrap.format(p) for p, wrap in zip(paragraphs, (wraps[(k + j) % 6] for j in range(9)), strict=False))
-        shell = ("<article>{}</article>", "<main>{}</main>", '<div class="post">{}</div>', "<div>{}</div>")[k % 4]
-        side = f'<aside><p>{line(900, 9)}</p></aside>' if k % 3 else f'<div class="ad">{line(950, 6)}</div>'
-        notes = f'<section class="comments"><p>{line(800, 14)}</p></section>' if k % 2 else ""
-        page = f"<html><head><title>{title}</title></head><body><nav><ul>{menu}</ul></nav>{side}{shell.format(body)}{notes}<footer><p>{line(700, 8)}</p></footer></body></html>"
-        out.append((page, "\n".join([title, *paragraphs])))
+        other = lambda a, n: " ".join("x" + word(a + i) for i in range(n))
+        links = lambda n: "".join(f'<li><a href="/{i}">{other(i, 1 + (i + k) % 3)}</a></li>' for i in range(n))  # noqa: B023, E731
+        paragraphs = [line(100 * j + 7, 2 + (j * 17 + k * 5) % 60) for j in range(2 + k % 6)]
+        title = line(3, 2 + k % 7)
+        body = f"<h1>{title}</h1>" + "".join((f"<h2>{line(j, 2)}</h2>" if j == 3 else "") + wraps[(k + j) % 9].format(p).replace(">see<", f">{line(j + 1, 1)}<") for j, p in enumerate(paragraphs))
+        told = "\n".join([title, *[x for j, p in enumerate(paragraphs) for x in ([line(j, 2)] if j == 3 else []) + [p, line(j + 1, 1)]]])
+        shell = ("<article>{}</article>", "<main>{}</main>", '<div class="post">{}</div>', "<div>{}</div>", "<section>{}</section>", "<td>{}</td>")[k % 6]
+        named = [NAMES[(k * 3 + j) % len(NAMES)] for j in range(3)]
+        tag = BOILERPLATE[k % len(BOILERPLATE)]
+        if k % 2:  # names
+            top = f"<nav><ul>{links(4 + k % 6)}</ul></nav><{tag}><p>{other(900, 9)}</p></{tag}>"
+            side = f'<div class="{named[0]}"><p>{other(950, 6 + k % 30)}</p></div>'
+            inner = f'<div id="{named[1]}">{other(960, 12)}</div>' if k % 4 == 1 else ""
+            body = body.replace("</h1>", f"</h1>{inner}", 1)
+            end = f'<section class="{named[2]}"><p>{other(800, 14 + k % 40)}</p></section><footer><p>{other(700, 8)}</p></footer>'
+        else:  # none: lists of links, short blocks, rows of links
+            top = f'<div class="c{k % 7}"><a href="/">{other(1, 2)}</a></div><div class="b{k % 5}"><ul>{links(5 + k % 8)}</ul></div><div>{other(20, 1 + k % 3)}</div>'
+            side = f'<div class="d{k % 9}"><h3>{other(30, 2)}</h3><ul>{links(4 + k % 5)}</ul></div>' if k % 3 else ""
+            row = " | ".join(f'<a href="/{i}">{other(40 + i, 1)}</a>' for i in range(4 + k % 4))
+            end = f'<div class="e{k % 8}"><ul>{links(6)}</ul></div><div>{row}</div><div>{other(60, 2 + k % 6)}</div>'
+        page = f"<html><head><title>{title}</title></head><body>{top}{side}{shell.format(body)}{end}</body></html>"
+        out.append((page, told))
     return out
 
 

@@ -1,12 +1,16 @@
 """Personal data: patterns propose spans, checksums confirm them, context adjusts the score.
 
-Base kinds are email, ip, card (Luhn) and phone. The method adds iban (mod-97), ssn and
-national phone numbers (phone_local). Every span has a score: a kind's prior, raised by a
-passed checksum, raised or lowered by words within ``reach`` characters. Base spans stay
-whatever their score; added ones need ``threshold``.
+Base kinds are email, ip, card (Luhn) and phone. The method adds iban (mod-97), ssn,
+national phone numbers (phone_local), ipv6 (which must parse), mac, coin (addresses with a
+double SHA-256 checksum) and secret: keys of known form, private key blocks, and values that
+a name such as token or password is set to, if their characters are as varied as a random
+value's. Every span has a score: a kind's prior, raised by a passed validator, raised or
+lowered by words within ``reach`` characters. Base spans stay whatever their score; added
+ones need ``threshold`` and overlap nothing found before.
 
 Matching is linear in the text: an address is looked for around each '@' only, digit runs
-use possessive quantifiers, so neither long runs nor hostile texts cost more.
+use possessive quantifiers, found places are marked in a mask, so neither long runs nor
+texts full of numbers cost more.
 
 Defined cases: null and empty texts have no spans; positions are code points, end
 exclusive; repeated rows are reported each; an empty table gives an empty result.
@@ -15,7 +19,10 @@ exclusive; repeated rows are reported each; an empty table gives an empty result
 from __future__ import annotations
 
 import hashlib
+import ipaddress
+import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +31,9 @@ from pyspark.sql import functions as F
 from . import corpus
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-ADDED_KINDS = ("iban", "ssn", "phone_local")
+ADDED_KINDS = ("iban", "ssn", "phone_local", "ipv6", "mac", "coin", "secret")
+#: Least bits a character of a value that a secret's name is set to.
+LEAST_ENTROPY = 2.8
 
 _LOCAL_END = re.compile(r"[^A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -34,10 +43,23 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _LOCAL = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
+_IPV6 = re.compile(r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]{0,4}:)[0-9A-Fa-f:]{6,39}(?![0-9A-Za-z:])")
+_MAC = re.compile(r"(?<![0-9A-Za-z:-])[0-9A-Fa-f]{2}([:-])(?:[0-9A-Fa-f]{2}\1){4}[0-9A-Fa-f]{2}(?![0-9A-Za-z:-])")
+_COIN = re.compile(r"(?<![0-9A-Za-z])[13][1-9A-HJ-NP-Za-km-z]{25,34}(?![0-9A-Za-z])")
+_KEYS = re.compile(
+    r"(?<![0-9A-Za-z])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,255}|xox[abprs]-[0-9A-Za-z-]{10,250}|sk_live_[0-9A-Za-z]{16,250}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]{10,2000}\.eyJ[0-9A-Za-z_-]{10,4000}\.[0-9A-Za-z_-]{10,1000})(?![0-9A-Za-z])"
+)
+_BLOCK_START, _BLOCK_END = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----"), re.compile(r"-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----")
+_SET = re.compile(
+    r"(?<![A-Za-z0-9])(?:api[_ -]?key|apikey|access[_ -]?key|secret[_ -]?key|private[_ -]?key|client[_ -]?secret|secret|auth[_ -]?token|access[_ -]?token|token|password|passwd|pwd|passphrase)[\"']?[ \t]{0,4}(?::=|=>|[:=])[ \t]{0,4}[\"']?([0-9A-Za-z+/_.~=-]{12,512})(?![0-9A-Za-z])",
+    re.I,
+)
 _WORD = re.compile(r"[a-z]+")
+_NOT_DIGITS = re.compile(r"[^0-9]+")
+_BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 
-PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.5, "phone": 0.6, "iban": 0.4, "ssn": 0.4, "phone_local": 0.3}
-CHECKSUM_GAIN = {"card": 0.3, "iban": 0.5}
+PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.5, "phone": 0.6, "iban": 0.4, "ssn": 0.4, "phone_local": 0.3, "ipv6": 0.4, "mac": 0.6, "coin": 0.3, "secret": 0.4}
+CHECKSUM_GAIN = {"card": 0.3, "iban": 0.5, "ipv6": 0.3, "coin": 0.5, "secret": 0.4}
 FOR_IT = {
     "email": {"mail", "email", "contact", "write", "address"},
     "ip": {"ip", "host", "server", "address", "login"},
@@ -46,6 +68,10 @@ FOR_IT = {
     "iban": {"iban", "bank", "account", "transfer"},
     "ssn": {"ssn", "social", "security", "taxpayer"},
     "phone_local": {"phone", "call", "tel", "telephone", "mobile", "fax", "dial"},
+    "ipv6": {"ip", "host", "server", "address", "login"},
+    "mac": {"mac", "device", "address", "wifi", "ethernet"},
+    "coin": {"wallet", "bitcoin", "btc", "address", "pay"},
+    "secret": {"key", "token", "secret", "password", "auth", "credential", "credentials"},
 }
 AGAINST_IT = {"version", "release", "isbn", "order", "build", "serial", "example", "invoice", "test"}
 
@@ -77,8 +103,31 @@ def _emails(text: str):
         at = text.find("@", max(at + 1, free))
 
 
+def coin(text: str) -> bool:
+    n = 0
+    for c in text:
+        n = n * 58 + _BASE58.index(c)
+    raw = n.to_bytes(max(25, -(-n.bit_length() // 8)))
+    return len(raw) == 25 and hashlib.sha256(hashlib.sha256(raw[:21]).digest()).digest()[:4] == raw[21:]
+
+
+def varied(value: str) -> bool:
+    """Whether a value's characters are as varied as a random one's, and not letters alone."""
+    n = len(value)
+    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
+    return bits >= LEAST_ENTROPY and any("0" <= c <= "9" for c in value) and any(c.isalpha() for c in value)
+
+
+def _ipv6(text: str) -> bool:
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return sum(map(bool, text.split(":"))) > 2
+
+
 def _digits(s: str) -> str:
-    return "".join(c for c in s if "0" <= c <= "9")
+    return _NOT_DIGITS.sub("", s)
 
 
 def _small(part: str) -> bool:
@@ -107,7 +156,20 @@ def _added(text: str) -> list[tuple[str, int, int]]:
             out.append(("iban", m.start(), end))
     out += [("ssn", *m.span()) for m in _SSN.finditer(text)]
     out += [("phone_local", *m.span()) for m in _LOCAL.finditer(text)]
-    return out
+    if ":" in text:
+        out += [("ipv6", *m.span()) for m in _IPV6.finditer(text) if _ipv6(m[0])]
+    out += [("mac", *m.span()) for m in _MAC.finditer(text)]
+    out += [("coin", *m.span()) for m in _COIN.finditer(text) if coin(m[0])]
+    secrets = [m.span() for m in _KEYS.finditer(text)] + [m.span(1) for m in _SET.finditer(text) if varied(m[1])]
+    at = 0
+    while m := _BLOCK_START.search(text, at):
+        end = _BLOCK_END.search(text, m.end())
+        at = end.end() if end else m.end()
+        secrets.append((m.start(), at))
+        if not end:
+            secrets += [x.span() for x in _BLOCK_START.finditer(text, at)]
+            break
+    return out + [("secret", a, b) for a, b in sorted(set(secrets))]
 
 
 def score(text: str, kind: str, start: int, end: int, reach: int) -> float:
@@ -122,11 +184,13 @@ def spans_of(text: str | None, reach: int = 40, threshold: float = 0.6) -> list[
         return []
     base = base_spans(text)
     out = [(k, a, b, score(text, k, a, b, reach)) for k, a, b in base]
-    taken = [(a, b) for _, a, b in base]
+    taken = bytearray(len(text))
+    for _, a, b in base:
+        taken[a:b] = b"\1" * (b - a)
     for k, a, b in _added(text):
-        if all(b <= x or y <= a for x, y in taken) and (s := score(text, k, a, b, reach)) >= threshold:
+        if taken.find(1, a, b) < 0 and (s := score(text, k, a, b, reach)) >= threshold:
             out.append((k, a, b, s))
-            taken.append((a, b))
+            taken[a:b] = b"\1" * (b - a)
     return out
 
 
@@ -153,7 +217,7 @@ def _digest(found: DataFrame) -> DataFrame:
     place = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     base = F.filter("spans", lambda x: x["kind"].isin(*BASE_KINDS))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[count(k) for k in BASE_KINDS], F.sha2(F.array_join(F.transform(base, place), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", place), ",").alias("spans"))
+    return found.select("doc_id", *[count(k) for k in BASE_KINDS], F.sha2(F.array_join(F.transform(base, place), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", place), ",").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

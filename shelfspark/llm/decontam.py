@@ -9,8 +9,9 @@ word on the whole text, and confirmed windows give the hit words.
 
 Texts are keyed by a 64-bit hash, so thousands of copies are one entry of the index; two
 texts that share a key share candidates, which confirmation tells apart. Test items are
-taken in slices of at most ``SLICE_WORDS`` words, the bound of all that is sent to every
-machine; each slice runs against all documents.
+read in slices of at most ``SLICE_WORDS`` words (an item is never cut), the bound of all
+that the driver holds and sends to every machine; each slice runs against all documents and
+is stored before the next is read. Rows of one text key are dealt among ``SALTS`` tasks.
 
 Defined cases: null texts have no words; items without words are ignored; an item of
 fewer words than a window is one window; a null item_id is written as an empty string;
@@ -19,6 +20,9 @@ repeated items count once; repeated documents are reported each; empty tables gi
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +31,8 @@ from pyspark.sql import functions as F
 from . import corpus, textops
 
 WINDOW = 13
-SLICE_WORDS = 2_000_000
+SLICE_WORDS = 500_000
+SALTS = 16
 INDEX_SCHEMA = "term long, doc long, positions array<int>, n_words long, doc_id long"
 
 
@@ -104,46 +109,55 @@ def build_index(docs: DataFrame, terms: np.ndarray | None = None, documents: boo
     return corpus.table(source.mapInArrow(corpus.trimmed(_postings(terms, documents)), INDEX_SCHEMA), "postings")
 
 
-def _slices(benchmark: DataFrame, limit: int) -> list[list[tuple[str, np.ndarray]]]:
+def _slices(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, np.ndarray]]]:
     """Items with words, in slices of at most ``limit`` words (an item is never cut)."""
-    out: list[list[tuple[str, np.ndarray]]] = [[]]
-    size = 0
+    held, size = [], 0
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").distinct().orderBy("item_id", "text")
     for r in rows.toLocalIterator():
         h, _ = _hashed(pa.array([r["text"]], pa.string()))
         if not len(h):
             continue
-        if out[-1] and size + len(h) > limit:
-            out.append([])
-            size = 0
-        out[-1].append((r["item_id"], h))
+        if held and size + len(h) > limit:
+            yield held
+            held, size = [], 0
+        held.append((r["item_id"], h))
         size += len(h)
-    return [s for s in out if s]
+    if held:
+        yield held
 
 
-def _probes(items: list[tuple[str, np.ndarray]], counts: dict[int, int], window: int) -> list[tuple[int, int, int, int, int]]:
-    """(item, offset and term of a window's rarest word, then of its next rarest; -1 and 0 where it has one word)."""
-    out = set()
+def _probes(items: list[tuple[str, np.ndarray]], terms: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Distinct (item, offset and term of a window's rarest word, then of its next rarest; -1 and 0 where it has one word)."""
+    out = []
     for i, (_, h) in enumerate(items):
-        n = np.array([counts.get(int(t), 0) for t in h])
-        for a in range(max(1, len(h) - window + 1)):
-            span = range(a, min(a + window, len(h)))
-            if any(n[o] == 0 for o in span):
-                continue  # a word that no document has
-            first, *rest = sorted(span, key=lambda o: (n[o], o))[:2]
-            second = rest[0] if rest else -1
-            out.add((i, first, int(h[first]), second, int(h[second]) if rest else 0))
-    return sorted(out)
-
-
-def _candidates(index: DataFrame, probes: list[tuple[int, int, int, int, int]]) -> DataFrame:
+        n = counts[np.searchsorted(terms, h)]
+        width = min(window, len(h))
+        # rarest first, ties by place; a window with a word that no document has is left out
+        key = (n << 32) + np.arange(len(h))
+        for a in range(0, len(h) - width + 1, 100_000):
+            part = key[a : a + 100_000 + width - 1]
+            views = np.lib.stride_tricks.sliding_window_view(part, width)
+            two = np.sort(np.partition(views, min(1, width - 1), axis=1)[:, :2], axis=1)
+            two = np.unique(two[two[:, 0] >> 32 > 0], axis=0)
+            o1 = two[:, 0] & 0xFFFFFFFF
+            o2 = two[:, 1] & 0xFFFFFFFF if width > 1 else np.full(len(two), -1)
+            out.append(np.stack([np.full(len(two), i), o1, h[o1], o2, h[o2] if width > 1 else np.zeros(len(two), np.int64)], axis=1))
+    rows = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 5), np.int64)
+    return tuple(rows.T)
+
+
+def _candidates(index: DataFrame, probes: tuple[np.ndarray, ...]) -> DataFrame:
     """(doc, places: item and where its first word would stand), from offset-adjusted lists, rarest first."""
     spark = index.sparkSession
-    first = spark.createDataFrame(sorted(set(probes)), "item int, o1 int, term long, o2 int, t2 long")
-    second = spark.createDataFrame(sorted({(i, o2, t2) for i, _, _, o2, t2 in probes if o2 >= 0}) or [], "item int, o2 int, term long")
+    i, o1, t1, o2, t2 = probes
+    table = lambda names, *columns: spark.createDataFrame(pa.table(list(columns), names))
+    first = table(["item", "o1", "term", "o2"], i.astype(np.int32), o1.astype(np.int32), t1, o2.astype(np.int32))
+    pairs = np.unique(np.stack([i, o2, t2], axis=1)[o2 >= 0], axis=0)
+    second = table(["item", "o2", "term"], pairs[:, 0].astype(np.int32), pairs[:, 1].astype(np.int32), pairs[:, 2])
     lists = index.where("term is not null").select("term", "doc", "positions")
     place = lambda df, o: df.withColumn("at", F.explode(F.transform("positions", lambda p: p - F.col(o)))).drop("positions", "term")
-    one = place(lists.join(F.broadcast(first.drop("t2")), "term"), "o1").where("at >= -o1").select("doc", "item", "at", "o2").distinct()
+    # probes are at most a slice's words
+    one = place(lists.join(F.broadcast(first), "term"), "o1").where("at >= -o1").select("doc", "item", "at", "o2").distinct()
     two = place(lists.join(F.broadcast(second), "term"), "o2").select("doc", "item", "at", "o2")
     both = one.where("o2 >= 0").join(two, ["doc", "item", "at", "o2"], "left_semi")
     found = both.unionByName(one.where("o2 < 0")).select("doc", "item", "at").distinct()
@@ -184,41 +198,60 @@ def _confirm(items: list[tuple[str, np.ndarray]], window: int):
     return run
 
 
-def _merged(spans: str) -> str:
-    """SQL: overlapping or touching spans as one, in order."""
-    return (
-        f"aggregate(array_sort({spans}), cast(array() as array<struct<start:int,end:int>>), (a, s) -> "
-        "if(size(a) > 0 and a[size(a) - 1].end >= s.start, "
-        "concat(slice(a, 1, size(a) - 1), array(named_struct('start', a[size(a) - 1].start, 'end', greatest(a[size(a) - 1].end, s.end)))), "
-        "concat(a, array(named_struct('start', s.start, 'end', s.end)))))"
-    )
+def _merge(batches):
+    """Spans of one text from several slices: overlapping or touching ones as one, in order."""
+    for batch in batches:
+        out = []
+        for spans in batch.column("spans").to_pylist():
+            merged: list[dict] = []
+            for x in sorted(spans, key=lambda x: (x["start"], x["end"])):
+                if merged and merged[-1]["end"] >= x["start"]:
+                    merged[-1]["end"] = max(merged[-1]["end"], x["end"])
+                else:
+                    merged.append(dict(x))
+            out.append(merged)
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("items"), pa.array(out, batch.schema.field("spans").type)], ["doc", "items", "spans"])
+
+
+HITS = "doc long, items array<string>, spans array<struct<start:int,end:int>>"
+
+
+def _dealt(found: DataFrame) -> DataFrame:
+    """Each row once for every salt, to meet the salted rows of a text that may have any number of copies."""
+    return found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice_words: int = SLICE_WORDS) -> DataFrame:
     """Per document: doc_id, doc (text key), n_words, items (ids of items with an occurring window), spans (hit words, merged)."""
     spark = docs.sparkSession
     corpus.small_batches(spark)
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("doc"))
-    lengths, hits = None, []
-    for items in _slices(benchmark, slice_words) or [[]]:
+    keyed = _salted(docs.select("doc_id", "text", F.xxhash64("text").alias("doc")))
+    lengths, every = None, spark.createDataFrame([], HITS)
+    for items in itertools.chain(_slices(benchmark, slice_words), [None]):
+        if items is None and lengths is not None:
+            break
+        items = items or []
         terms = np.unique(np.concatenate([h for _, h in items])) if items else np.zeros(0, np.int64)
-        counts = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(corpus.trimmed(_count(terms)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()} if items else {}
-        probes = _probes(items, counts, window)
-        wanted = np.unique(np.array([t for _, _, t, o2, t2 in probes for t in ((t, t2) if o2 >= 0 else (t,))], np.int64))
+        counts = np.zeros(len(terms), np.int64)
+        if items:
+            found = docs.select("text").mapInArrow(corpus.trimmed(_count(terms)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+            counts[np.searchsorted(terms, found.column("term").to_numpy())] = found.column("n").to_numpy()
+        probes = _probes(items, terms, counts, window)
+        wanted = np.unique(np.concatenate([probes[2], probes[4][probes[3] >= 0]])).astype(np.int64)
         index = build_index(docs, wanted, documents=lengths is None)
         if lengths is None:
             lengths = index.where("term is null").select("doc_id", "doc", "n_words")
-        if probes:
-            found = _candidates(index, probes)
-            hits.append(keyed.select("doc", "text").join(found, "doc").mapInArrow(corpus.trimmed(_confirm(items, window)), "doc long, items array<string>, spans array<struct<start:int,end:int>>"))
-    empty = spark.createDataFrame([], "doc long, items array<string>, spans array<struct<start:int,end:int>>")
-    every = hits[0] if len(hits) == 1 else empty
-    for more in hits if len(hits) > 1 else []:
-        every = every.unionByName(more)
+        if len(probes[0]):
+            places = _dealt(_candidates(index, probes))
+            hits = keyed.join(places, ["doc", "_salt"]).select("doc", "text", "places").mapInArrow(corpus.trimmed(_confirm(items, window)), HITS)
+            every = every.unionByName(corpus.table(hits, "hits"))
     # copies of a text confirm the same; two texts of one key would be told apart by length
     each = every.groupBy("doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.flatten(F.collect_set("spans")).alias("spans"))
-    each = each.withColumn("spans", F.expr(_merged("spans")))
-    out = lengths.join(each, "doc", "left")
+    out = _salted(lengths).join(_dealt(each.mapInArrow(corpus.trimmed(_merge), HITS)), ["doc", "_salt"], "left")
     return out.select("doc_id", "doc", "n_words", F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"), F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,end:int>>)")).alias("spans"))
 
 

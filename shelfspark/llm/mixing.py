@@ -1,16 +1,19 @@
 """Mixing sources to target weights.
 
 Words of a source are packed, document after document, into blocks of ``block`` words.
-Every output shard draws how many slots each source fills (a multinomial over what the
-sources still owe, so the draws add up to the targets), and a source's j-th slot takes
-block ``perm(j mod blocks)``, a keyed pseudorandom permutation of its block indices: each
-pass over a source uses every block once. Blocks join by (source, index).
+Every output shard draws from its own seed how many slots each source fills, a multinomial
+over the targets, and a source's j-th slot takes block ``perm(j mod blocks)``, a keyed
+pseudorandom permutation of its block indices: each pass over a source uses every block
+once. Slots beyond a source's target are left out, and what the draws left it short of fills
+shards of its own at the end, so the slots add up to the targets. Blocks join by (source,
+index).
 
 Targets: sources by code point, null last, weigh ``weights``, repeating, and share
 ``size_factor`` of all words; a target stops at ``most`` times its source, and the excess
 goes to the others by weight until none is above.
 
-One row a source reaches the driver, the list for which a caller sets weights. Packing
+One row a source reaches the driver, the list for which a caller sets weights; shards draw
+in tasks, and a source's first slot in each shard is a sum in two levels. Packing
 needs each document's place in its source: documents are dealt into groups by hash, the
 groups' sums are added up, and places follow inside a group, so a source that holds a
 third of all rows is many groups.
@@ -36,6 +39,9 @@ SIZE_FACTOR = 1.5
 MOST = 2.0
 SHARD_SLOTS = 65_536
 GROUP_DOCS = 4096
+GROUP_SHARDS = 4096
+#: Slots that one task makes.
+TASK_SLOTS = 1 << 18
 
 _SPACE = r"[\\x20\\x09-\\x0D]+"
 _TRIM = "' \t\n\x0b\f\r'"
@@ -63,24 +69,47 @@ def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, size_factor:
     return out
 
 
-def draws(wanted: list[int], shard_slots: int, seed: int) -> list[tuple[int, int, int, int]]:
-    """(shard, source, slots, first slot of the source): multinomial counts over what the sources still owe."""
-    left = np.array(wanted, np.int64)
-    done = np.zeros(len(wanted), np.int64)
-    out, shard = [], 0
-    while (owed := int(left.sum())) > 0:
-        rng = np.random.Generator(np.random.Philox(key=[seed, shard]))
-        room = min(shard_slots, owed)
-        took = np.zeros(len(left), np.int64)
-        while room > 0:
-            more = np.minimum(rng.multinomial(room, left / left.sum()), left)
-            took += more
-            left -= more
-            room -= int(more.sum())
-        out += [(shard, i, int(n), int(done[i])) for i, n in enumerate(took) if n]
-        done += took
-        shard += 1
-    return out
+def draw(shard: int, wanted: np.ndarray, shard_slots: int, seed: int) -> np.ndarray:
+    """Slots of each source in a shard: a multinomial over the targets, of the room that the shard has."""
+    total = int(wanted.sum())
+    room = min(shard_slots, total - shard * shard_slots)
+    rng = np.random.Generator(np.random.Philox(key=[seed, shard]))
+    return rng.multinomial(room, wanted / total)
+
+
+def draws(spark, wanted: list[int], shard_slots: int, seed: int) -> DataFrame:
+    """(shard, i, n, first): slots of source ``i`` in each shard, and how many it has in earlier ones; they add up to ``wanted``."""
+    goal = np.array(wanted, np.int64)
+    shards = -(-int(goal.sum()) // shard_slots)
+    schema = "shard long, i int, n long, first long"
+    if not shards:
+        return spark.createDataFrame([], schema)
+
+    def run(batches):
+        for batch in batches:
+            for shard in batch.column("id").to_pylist():
+                n = draw(shard, goal, shard_slots, seed)
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), shard)), pa.array(some.astype(np.int32)), pa.array(n[some])], ["shard", "i", "n"])
+
+    drawn = spark.range(0, shards, 1, max(1, shards // 256)).mapInArrow(corpus.trimmed(run), "shard long, i int, n long").withColumn("g", F.expr(f"shard div {GROUP_SHARDS}"))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = drawn.groupBy(F.col("i").alias("_i"), F.col("g").alias("_g")).agg(F.sum("n").alias("n"))
+    groups = groups.withColumn("_before", earlier(Window.partitionBy("_i").orderBy("_g"))).drop("n")
+    local = drawn.withColumn("_in", earlier(Window.partitionBy("i", "g").orderBy("shard")))
+    placed = local.join(groups, (F.col("i") == F.col("_i")) & (F.col("g") == F.col("_g"))).select("shard", "i", "n", (F.col("_before") + F.col("_in")).alias("first"))
+    # one row a source: its target, for the cut, and what it was drawn, for the rest
+    totals = {r["i"]: r["n"] for r in drawn.groupBy("i").agg(F.sum("n").alias("n")).collect()}
+    goals = spark.createDataFrame([(i, int(n)) for i, n in enumerate(wanted)], "_i int, goal long")
+    cut = placed.join(goals, F.col("i") == F.col("_i")).select("shard", "i", F.least("n", F.col("goal") - F.col("first")).alias("n"), "first").where("n > 0")
+    rest, at = [], 0
+    for i, n in enumerate(wanted):
+        first = totals.get(i, 0)
+        while first < n:
+            size = min(n - first, shard_slots - at % shard_slots)
+            rest.append((shards + at // shard_slots, i, size, first))
+            first, at = first + size, at + size
+    return cut.unionByName(spark.createDataFrame(rest, schema)) if rest else cut
 
 
 def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray, rounds: int = 4) -> np.ndarray:
@@ -131,11 +160,13 @@ def plan(sources: list[tuple[str | None, int]], block: int = BLOCK, **options) -
 
 def slot_blocks(spark, plans: list[dict], shard_slots: int = SHARD_SLOTS, seed: int = 0) -> DataFrame:
     """(shard, slot, i, block): which block of source ``i`` fills each slot of each output shard."""
-    drawn = draws([p["slots"] for p in plans], shard_slots, seed)
-    size = {p["i"]: p["blocks"] for p in plans}
-    rows = [(s, i, n, first, size[i]) for s, i, n, first in drawn]
-    counts = spark.createDataFrame(rows, "shard int, i int, n long, first long, blocks long")
-    slots = counts.repartition("shard", "i").select("shard", "i", "blocks", F.explode(F.expr("sequence(first, first + n - 1)")).alias("slot"))
+    wanted = [p["slots"] for p in plans]
+    size = spark.createDataFrame([(p["i"], p["blocks"]) for p in plans], "_i int, blocks long")
+    # a run of a source's slots in one row, of at most TASK_SLOTS; a fixed number of tasks, as a row does not show its length
+    counts = draws(spark, wanted, shard_slots, seed).join(size, F.col("i") == F.col("_i")).drop("_i")
+    pieces = counts.withColumn("p", F.explode(F.expr("sequence(0L, (n - 1) div 8192)"))).selectExpr("shard", "i", "blocks", "first + p * 8192 as lo", "least(first + n, first + (p + 1) * 8192) as hi")
+    tasks = max(1, -(-sum(wanted) // TASK_SLOTS))
+    slots = pieces.repartition(tasks, "shard", "i", "lo").select("shard", "i", "blocks", F.explode(F.expr("sequence(lo, hi - 1)")).alias("slot"))
 
     def run(batches):
         for batch in batches:
@@ -145,7 +176,7 @@ def slot_blocks(spark, plans: list[dict], shard_slots: int = SHARD_SLOTS, seed:
             at = permute(slot % blocks, blocks, key)
             yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(slot), batch.column("i"), pa.array(at)], ["shard", "slot", "i", "block"])
 
-    return slots.mapInArrow(corpus.trimmed(run), "shard int, slot long, i int, block long")
+    return slots.mapInArrow(corpus.trimmed(run), "shard long, slot long, i int, block long")
 
 
 def mixed(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 0, texts: bool = True, **options) -> tuple[DataFrame, DataFrame, list[dict]]:

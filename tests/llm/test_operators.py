@@ -517,15 +517,20 @@ def test_targets():
     assert mixing.targets([]) == []
 
 
-def test_draws_meet_their_totals():
-    wanted = [0, 1, 1000, 333]
-    out = mixing.draws(wanted, 100, 7)
-    got = [0] * 4
-    for shard, i, n, first in out:
-        assert first == got[i]
-        got[i] += n
-    assert got == wanted and len({s for s, *_ in out}) == 14
-    assert out == mixing.draws(wanted, 100, 7)
+def test_draws_meet_their_totals(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP_SHARDS", 3)
+    for wanted, slots in (([1000, 37, 0, 512], 100), ([5], 100), ([3, 4], 2)):
+        rows = sorted((r.i, r.first, r.n, r.shard) for r in mixing.draws(spark, wanted, slots, 7).collect())
+        for i, total in enumerate(wanted):
+            own = [r for r in rows if r[0] == i]
+            assert sum(r[2] for r in own) == total
+            assert [r[1] for r in own] == [sum(x[2] for x in own[:k]) for k in range(len(own))]  # slots run on from shard to shard
+        size = collections.Counter()
+        for _, _, n, shard in rows:
+            size[shard] += n
+        assert max(size.values()) <= slots
+        assert rows == sorted((r.i, r.first, r.n, r.shard) for r in mixing.draws(spark, wanted, slots, 7).collect())
+    assert mixing.draws(spark, [0, 0], 10, 7).count() == 0
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 100, 1000])

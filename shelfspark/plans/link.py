@@ -2,8 +2,7 @@
 
 Hints are all parts (title p_name, author p_brand, runtime 10 x p_size, language p_type); a
 hint's candidates are the 25 parts of its type that are nearest by key, which is the
-relevance order a catalog would return. The SQL of the queries over ``_pairs`` still takes
-every tenth part and candidates of three key ranges.
+relevance order a catalog would return.
 """
 
 from __future__ import annotations
@@ -16,8 +15,6 @@ from ..functions import text
 from ..operators import match
 
 CANDIDATES = 25
-#: Key range of the SQL.
-BLOCK = 250
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,11 +32,11 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PAIRS_SQL = f"""
-  hints AS (SELECT p_partkey q_id, p_name hint_title, p_brand hint_author, p_size * 10 hint_runtime, p_type hint_language FROM part WHERE p_partkey % 10 = 0),
+  hints AS (SELECT p_partkey q_id, p_name hint_title, p_brand hint_author, p_size * 10 hint_runtime, p_type hint_language FROM part),
   near AS (
     SELECT h.*, c.p_partkey c_id, c.p_name title, c.p_brand author, c.p_size * 10 + c.p_partkey % 3 - 1 runtime_min, c.p_type "language",
            row_number() OVER (PARTITION BY q_id ORDER BY abs(c.p_partkey - q_id), c.p_partkey) - 1 pos
-    FROM hints h JOIN part c ON abs(c.p_partkey // {BLOCK} - q_id // {BLOCK}) <= 1),
+    FROM hints h JOIN part c ON c.p_type = h.hint_language),
   pairs AS (SELECT * FROM near WHERE pos < {CANDIDATES}),
   parts AS (
     SELECT *, lower(hint_title) ht, lower(title) ct, abs(runtime_min - hint_runtime) ad, abs(runtime_min - hint_runtime) / hint_runtime::DOUBLE pct FROM pairs),
@@ -146,7 +143,7 @@ def plan_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.first_plan_with_hits(hits, "user_id").select("user_id", "event_id", F.col("plan_no").cast("long").alias("plan_no"))
 
 
-PLAN_SQL = """WITH h AS (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 ELSE 2 END plan_no FROM events WHERE event_id % 7 < 2)
+PLAN_SQL = """WITH h AS (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 ELSE 2 END plan_no FROM events)
 SELECT user_id, event_id, CAST(plan_no AS BIGINT) AS plan_no FROM (SELECT *, min(plan_no) OVER (PARTITION BY user_id) m FROM h) WHERE plan_no = m"""
 
 
@@ -161,7 +158,7 @@ def author_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("k", "pos", F.col("distance").cast("long").alias("distance"), F.col("rank").cast("long").alias("place"), F.col("shown").cast("long").alias("shown"))
 
 
-AUTHOR_SQL = """WITH c AS (SELECT c_custkey || ':' || c_nationkey k, c_nationkey nation, 'author ' || ltrim(regexp_extract(c_name, '([0-9]+)$', 1), '0') w FROM customer WHERE c_custkey % 5 = 0),
+AUTHOR_SQL = """WITH c AS (SELECT c_custkey || ':' || c_nationkey k, c_nationkey nation, 'author ' || ltrim(regexp_extract(c_name, '([0-9]+)$', 1), '0') w FROM customer),
  s AS (SELECT s_nationkey nation, s_suppkey pos, 'author ' || ltrim(regexp_extract(s_name, '([0-9]+)$', 1), '0') n FROM supplier),
  p AS (SELECT k, pos, levenshtein(w, n) d FROM c JOIN s USING (nation)), q AS (SELECT * FROM p WHERE d <= 2),
  r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d, pos) rn, sum(CASE WHEN d = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY k) ex FROM q)

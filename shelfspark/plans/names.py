@@ -111,9 +111,9 @@ def truncated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", text.truncated(F.col("t"), 60).alias("short"), text.capitalized(F.lower(F.left("t", F.lit(9)))).alias("cap"))
 
 
-TRUNCATED_SQL = r"""WITH d AS (SELECT doc_id, regexp_replace("text", '[^\x00-\x7f]', '?', 'g') t FROM documents WHERE lang = 'en'), h AS (SELECT *, left(t, 60) x FROM d),
- s AS (SELECT *, CASE WHEN contains(x, ' ') THEN length(x) - instr(reverse(x), ' ') ELSE 0 END sp FROM h)
-SELECT doc_id, CASE WHEN length(t) <= 60 THEN t WHEN contains(x, ' ') AND sp > 30 THEN left(x, sp) || '…' ELSE x || '…' END AS short, upper(left(lower(left(t, 9)), 1)) || substr(lower(left(t, 9)), 2) AS cap FROM s"""
+TRUNCATED_SQL = """WITH h AS (SELECT doc_id, "text" t, left("text", list_filter(range(0, 61), lambda k: strlen(left("text", k)) <= 60)[-1]) x FROM documents),
+ s AS (SELECT *, left(x, greatest(0, length(x) - instr(reverse(x), ' '))) y FROM h)
+SELECT doc_id, CASE WHEN strlen(t) <= 60 THEN t WHEN contains(x, ' ') AND strlen(y) > 30 THEN y || '…' ELSE x || '…' END AS short, upper(left(lower(left(t, 9)), 1)) || substr(lower(left(t, 9)), 2) AS cap FROM s"""
 
 
 def rates(spark: SparkSession, sf_dir: str) -> DataFrame:

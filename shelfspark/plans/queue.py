@@ -60,12 +60,12 @@ SELECT user_id, count(*) FILTER ((b IS NULL AND s = 'pending') OR (b = 'pending'
 
 def active_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = _jobs(spark, sf_dir)
-    wanted = j.where("id % 3 = 0").select("id", "user_id", F.get_json_object("props", "$.k").alias("kind"))
-    stored = j.where("id % 3 = 1").select("user_id", F.get_json_object("props", "$.k").alias("kind"), "status")
+    kind = F.get_json_object("props", "$.k").alias("kind")
+    wanted, stored = j.where("status = 'done'").select("id", "user_id", kind), j.select("user_id", kind, "status")
     return jobs.without_active(wanted, stored, ["user_id", "kind"]).select("id")
 
 
-ACTIVE_SQL = """SELECT event_id AS id FROM events w WHERE event_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM events s WHERE s.event_id % 3 = 1 AND s.event_type IN ('view', 'click') AND s.user_id = w.user_id AND (s.props->>'$.k') = (w.props->>'$.k'))"""
+ACTIVE_SQL = """SELECT event_id AS id FROM events w WHERE event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM events s WHERE s.event_type IN ('view', 'click') AND s.user_id = w.user_id AND (s.props->>'$.k') = (w.props->>'$.k'))"""
 
 
 def kind_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +162,7 @@ def search_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAYLOADS_SQL = """SELECT p_type AS q_id, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 AS pos, 'B' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS asin, p_name AS title, p_brand AS authors,
- '20' || lpad(CAST(p_size % 24 AS VARCHAR), 2, '0') AS "year", CAST(p_size AS BIGINT) AS runtime_min, p_type AS cover_url FROM part WHERE p_partkey < 1000 AND p_partkey % 17 <> 0 AND p_partkey % 13 <> 0"""
+ '20' || lpad(CAST(p_size % 24 AS VARCHAR), 2, '0') AS "year", CAST(p_size AS BIGINT) AS runtime_min, p_type AS cover_url FROM part WHERE p_partkey % 17 <> 0 AND p_partkey % 13 <> 0"""
 
 
 def sidecar_parse(spark: SparkSession, sf_dir: str) -> DataFrame:

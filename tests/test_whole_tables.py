@@ -1,34 +1,8 @@
-"""Queries that read whole tables, against their SQL without the subsets it takes."""
+"""Queries that read whole tables and whole texts."""
 
 from __future__ import annotations
 
-import pytest
-
-from shelfspark.plans import link, names, queue
-
-from .test_queries import duck, rows  # noqa: F401
-
-
-def same(duck, df, sql):  # noqa: F811
-    result = duck.execute(sql)
-    want = rows([c[0] for c in result.description], result.fetchall())
-    assert want and rows(df.columns, df.collect()) == want
-
-
-def without(sql, *cuts):
-    for a, b in cuts:
-        assert a in sql
-        sql = sql.replace(a, b)
-    return sql
-
-
-WHOLE = [(" WHERE p_partkey % 10 = 0", ""), (f"abs(c.p_partkey // {link.BLOCK} - q_id // {link.BLOCK}) <= 1", "c.p_type = h.hint_language")]
-
-
-@pytest.mark.parametrize("name", ["link_top_candidates", "link_auto_accept", "link_lenient_accept", "link_display_scores", "link_nearest_editions"])
-def test_links_every_part_within_its_type(spark, duck, sf_dir, name):  # noqa: F811
-    query, sql = link.QUERIES[name]
-    same(duck, query(spark, sf_dir), without(sql, *WHOLE))
+from shelfspark.plans import names, queue
 
 
 def test_search_payloads_hold_products_of_any_key(spark, tmp_path):
@@ -38,14 +12,6 @@ def test_search_payloads_hold_products_of_any_key(spark, tmp_path):
     assert got == {f"name {k}" for k in (1, 999, 1000, 25_000)}  # 1001 is a podcast
 
 
-def test_author_match_takes_every_customer(spark, duck, sf_dir):  # noqa: F811
-    same(duck, link.author_match(spark, sf_dir), without(link.AUTHOR_SQL, (" WHERE c_custkey % 5 = 0", "")))
-
-
-def test_plan_fallback_takes_every_event(spark, duck, sf_dir):  # noqa: F811
-    same(duck, link.plan_fallback(spark, sf_dir), without(link.PLAN_SQL, (" WHERE event_id % 7 < 2", "")))
-
-
 def test_truncated_texts_of_any_language_as_they_are(spark, tmp_path):
     root = f"file://{tmp_path}"
     texts = ["kurz", "écoute " * 12, "日本語" * 10, "plain words " * 9, None]

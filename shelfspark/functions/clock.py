@@ -67,13 +67,20 @@ def runtime_minutes(ms: Column) -> Column:
 
 
 def minutes_text(minutes: Column) -> Column:
+    """"10 hrs 12 min", without the part that is zero."""
     h, m = div(minutes, 60), minutes % 60
-    return F.when(minutes <= 0, "").when(h == 0, F.format_string("%d min", m)).otherwise(F.format_string("%dh %02dm", h, m))
+    return F.when(h == 0, F.format_string("%d min", m)).when(m == 0, F.format_string("%d hrs", h)).otherwise(F.format_string("%d hrs %d min", h, m))
+
+
+def delta_text(minutes: Column) -> Column:
+    """A signed difference: "12 min longer", "1 hrs 5 min shorter"."""
+    word = F.when(minutes < 0, " shorter").otherwise(" longer")
+    return F.when(minutes == 0, "same length").otherwise(F.concat(minutes_text(F.abs(minutes)), word))
 
 
 def size_text(n: Column) -> Column:
     kb, mb, gb = 1 << 10, 1 << 20, 1 << 30
-    return F.when(n >= gb, F.format_string("%.1f GB", n / gb)).when(n >= mb, F.format_string("%.1f MB", n / mb)).when(n >= kb, F.format_string("%.0f KB", n / kb)).otherwise(F.format_string("%d B", n.cast("long")))
+    return F.when(n >= gb, F.format_string("%.1f GB", n / gb)).when(n >= mb, F.format_string("%.1f MB", n / mb)).when(n >= kb, F.format_string("%.1f KB", n / kb)).otherwise(F.format_string("%d B", n.cast("long")))
 
 
 def unwrapped_ms(codec: Column, time_base: Column, ts: Column, frames: Column) -> Column:

@@ -76,23 +76,44 @@ def _book(t: Column) -> Column:
 
 
 def without(tags: Column, *keys: str) -> Column:
-    return F.map_filter(tags, lambda k, v: ~k.isin(*keys))
+    """Tags less those of some keys, in any case."""
+    return F.map_filter(tags, lambda k, v: ~F.lower(k).isin(*[x.lower() for x in keys]))
 
 
-def written(b: Column) -> Column:
-    """The tags a record is written as; fields that are unknown are left out."""
+def all_genres(genres: Column, sub_genres: Column) -> Column:
+    """Genres, then sub-genres, once each; the separator of a list inside a name becomes a comma."""
+    return text.distinct_in_order(F.transform(F.concat(genres, sub_genres), lambda g: F.replace(g, F.lit(";"), F.lit(","))))
+
+
+def written(b: Column, local_id: Column | None = None) -> Column:
+    """The tags a record is written as, by the key a reader finds them under; fields that are unknown are left out.
+
+    The genre key holds one genre; where there are several, ``genres`` holds them all. A record with a ``local_id`` was tagged by hand.
+    """
+    several = all_genres(b["genres"], b["sub_genres"])
+    blurb = F.replace(F.when(b["summary"] != "", b["summary"]).otherwise(b["description"]), F.lit("\r"), F.lit(""))
+    authors, narrators = F.array_join(b["authors"], ", "), F.array_join(b["narrators"], ", ")
+    by_hand = F.coalesce(local_id, F.lit("")) if local_id is not None else F.lit("")
     pairs = {
         "title": b["title"],
+        "album": b["title"],
+        "media_type": F.lit("Audiobook"),
+        "artist": authors,
+        "album_artist": authors,
+        "narrator": narrators,
+        "composer": narrators,
         "subtitle": b["subtitle"],
-        "artist": F.array_join(b["authors"], ", "),
-        "composer": F.array_join(b["narrators"], ", "),
-        "series": b["series_name"],
-        "part": b["series_position"],
-        "date": F.coalesce(text.known(b["release_date"]), b["year"]),
+        "description": blurb,
+        "long_description": blurb,
+        "genre": F.coalesce(F.try_element_at(b["genres"], F.lit(1)), F.lit("")),
+        "recording_date": F.when(b["release_date"] != "", b["release_date"]).when(b["year"] != "", F.concat(b["year"], F.lit("-01-01"))).otherwise(""),
         "publisher": b["publisher"],
-        "language": b["language"],
-        "genre": F.array_join(b["genres"], "; "),
-        "description": b["summary"],
+        "movement_name": b["series_name"],
+        "part": F.when(b["series_name"] != "", b["series_position"]).otherwise(""),
+        "audible_asin": b["asin"],
+        "genres": F.when(F.size(several) > 1, F.array_join(several, "; ")).otherwise(""),
+        "manual_source": F.when(by_hand != "", "manual").otherwise(""),
+        "manual_id": by_hand,
     }
     entries = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs.items()])
     return F.map_from_entries(F.filter(entries, lambda e: e["value"] != ""))

@@ -161,29 +161,29 @@ def distinct_in_order(c: Column) -> Column:
 
 def sort_name(c: Column) -> Column:
     """"First Last Jr." as "Last, First, Jr."; one word stays."""
+    pattern = "^(.+?)[\\t\\n\\f\\r ]+([^\\t\\n\\f\\r ,]+)(,?[\\t\\n\\f\\r ]+(?:[JS]r\\.?|III?|IV))?$"
     s = trimmed(c)
-    suffix = F.regexp_extract(s, "(?i)^(.*?),? +((?:jr|sr)\\.?|ii|iii|iv|phd|md)$", 2)
-    rest = F.when(suffix != "", F.regexp_extract(s, "(?i)^(.*?),? +((?:jr|sr)\\.?|ii|iii|iv|phd|md)$", 1)).otherwise(s)
-    last, first = F.regexp_extract(rest, "([^ ]+)$", 1), F.regexp_extract(rest, "^(.*) [^ ]+$", 1)
-    return F.when(F.contains(rest, F.lit(" ")), F.concat_ws(", ", last, first, known(suffix))).otherwise(F.concat_ws(", ", rest, known(suffix)))
+    part = lambda i: F.regexp_extract(s, pattern, i)
+    suffix = trimmed(F.regexp_replace(part(3), "^[, ]+", ""))
+    return F.when(part(2) == "", c).otherwise(F.concat_ws(", ", part(2), part(1), known(suffix)))
 
 
 def initials(c: Column) -> Column:
-    """Given names as initials, the last name whole."""
-    words = F.filter(F.split(c, " +"), lambda w: w != "")
+    """Given names as initials before the last name, "A.C.Doyle"; one word stays."""
+    words = F.filter(F.split(F.replace(c, F.lit('"'), F.lit("")), f"{WS}+"), lambda w: w != "")
     n = F.size(words)
     given = F.transform(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda w: F.concat(F.left(w, F.lit(1)), F.lit(".")))
-    return F.when(n > 0, F.array_join(F.concat(given, F.slice(words, n, F.lit(1))), " ")).otherwise("")
+    return F.when(n < 2, c).otherwise(F.concat(F.array_join(given, ""), F.element_at(words, -1)))
 
 
 def primary_author(c: Column) -> Column:
-    """The first name of a credit."""
-    return trimmed(F.regexp_replace(c, "(;| & |,).*$", ""))
+    """The first name of a credit, without what it contributed (" - editor")."""
+    return trimmed(F.regexp_replace(trimmed(F.substring_index(c, ",", 1)), f"{WS}+-{WS}+.*$", ""))
 
 
 def reduced_name(c: Column) -> Column:
-    """Letters and digits of a name, lower case, for comparison."""
-    return F.regexp_replace(folded_lower(c), "[^a-z0-9]+", "")
+    """A name without spaces, points, commas and dashes, lower case, for comparison."""
+    return F.regexp_replace(folded_lower(c), "[\\t\\n\\x0B\\f\\r .,\\-]", "")
 
 
 def has_letter(c: Column) -> Column:

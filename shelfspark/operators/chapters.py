@@ -216,3 +216,17 @@ def retag_problem(before: Column, after: Column, wanted: Column, got: Column, ti
         .when(got != wanted, F.lit("chapter count differs"))
         .when(text.trimmed(F.coalesce(title, F.lit(""))) == "", F.lit("no title"))
     )
+
+
+RESOLVED = "struct<source:string,chapters:array<struct<title:string,start_ms:bigint,length_ms:bigint>>>"
+
+
+def as_json(resolved: Column) -> Column:
+    """Resolved chapters (source, chapters) as a job stores them."""
+    return F.to_json(resolved)
+
+
+def from_json(stored: Column) -> Column:
+    """The same read back; null where the text cannot be read."""
+    read = F.from_json(stored, RESOLVED)
+    return F.when(read["source"].isNotNull(), read)

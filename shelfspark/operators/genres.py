@@ -34,8 +34,8 @@ CATEGORIES = (
     ("Teen & Young Adult", ""),
     ("Travel & Tourism", "nonfiction"),
 )
-# What stands where no category is known.
-PLACEHOLDERS = ("audiobook", "audiobooks", "other", "unknown", "speech", "spoken", "spoken word")
+# What taggers write where no category is known.
+PLACEHOLDERS = ("audiobook", "audiobooks", "audio book", "audio books", "spoken word", "hörbuch", "books & spoken")
 
 
 def category_kind(name: Column, kinds: dict[str, str] | None = None) -> Column:

@@ -121,35 +121,12 @@ def queue_decision(active: Column, readable: Column, retag_files: Column, valid_
     return F.struct(reason.isNull().alias("queued"), F.coalesce(reason, F.lit("")).alias("reason"))
 
 
-SETTINGS = "struct<input_dir:string,output_dir:string,region:string,path_template:string,concurrency:int,write_sidecar:boolean,chapter_mode:string>"
-# Settings where none are stored.
-DEFAULTS = {"input_dir": "/input", "output_dir": "/output", "region": "us", "path_template": "{author}/{title}/{title}", "concurrency": 1, "write_sidecar": False, "chapter_mode": "auto"}
-
-
-def typed_settings(rows: DataFrame) -> DataFrame:
-    """One typed row from (key, value) text rows, with defaults."""
-    pivot = rows.agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in DEFAULTS])
-
-    def typed(k: str, default) -> Column:
-        if isinstance(default, bool):
-            return F.coalesce(F.col(k) == "true", F.lit(default)).alias(k)
-        if isinstance(default, int):
-            return F.coalesce(F.col(k).try_cast("int"), F.lit(default)).alias(k)
-        return F.coalesce(F.when(F.col(k) != "", F.col(k)), F.lit(default)).alias(k)
-
-    return pivot.select(*[typed(k, d) for k, d in DEFAULTS.items()])
-
-
-def settings_problems() -> Column:
-    """All that is wrong with a row of typed settings."""
-    c = F.col
-    return F.array_compact(
-        F.array(
-            F.when(~F.startswith(c("input_dir"), F.lit("/")), "input folder is not absolute"),
-            F.when(~F.startswith(c("output_dir"), F.lit("/")), "output folder is not absolute"),
-            F.when(~c("region").isin("us", "uk", "au", "ca", "in", "de", "fr", "es", "it", "jp"), "unknown region"),
-            F.when((c("concurrency") < 1) | (c("concurrency") > 8), "concurrency is not 1 to 8"),
-            F.when(~c("chapter_mode").isin("auto", "existing", "sidecar", "provider", "titles-files", "titles-existing"), "unknown chapter mode"),
-            F.when(~F.contains(c("path_template"), F.lit("{")), "template has no variables"),
-        )
-    )
+def inserted(stored: DataFrame, new: DataFrame, at: Column) -> DataFrame:
+    """The job table with new requests (id, ...) as pending jobs; an id that is stored already is not added again."""
+    fresh = new.join(stored.select("id"), "id", "left_anti").withColumn("status", F.lit("pending")).withColumn("created_at", at)
+    return stored.unionByName(fresh, allowMissingColumns=True)
+
+
+def sort_jobs(rows: DataFrame, active: DataFrame) -> DataFrame:
+    """One job for each file that a sort would move (path, state, new) and that no active job (path) works on."""
+    return rows.where("state = 'move'").join(active.select("path").distinct(), "path", "left_anti").select("path", F.col("new").alias("target"), F.lit("sort").alias("kind"))

@@ -34,6 +34,23 @@ def problem(template: str) -> str | None:
     return None if _TOKEN.search(template) else "template has no variables"
 
 
+_TOKEN_JAVA = r"\{[^{}/]*?(?<![A-Za-z0-9_])(?:" + _NAME + r")(?![A-Za-z0-9_])(?::0+)?[^{}/]*\}"
+
+
+def problem_of(template: Column) -> Column:
+    """The same for templates in a column; ''. Names the first bad brace as ``problem`` does."""
+    opened = F.regexp_extract_all(template, F.lit(r"(\{[^{}]*\}?)"), F.lit(1))
+    bad = F.filter(opened, lambda b: ~b.rlike("^" + _TOKEN_JAVA + "\\z"))
+    first = F.try_element_at(bad, F.lit(1))
+    return (
+        F.when(text.trimmed(template) == "", "template is empty")
+        .when(first.isNotNull() & ~F.endswith(first, F.lit("}")), F.concat(first, F.lit(" has no closing brace")))
+        .when(first.isNotNull(), F.concat(first, F.lit(" names no variable")))
+        .when(~template.rlike(_TOKEN_JAVA), "template has no variables")
+        .otherwise("")
+    )
+
+
 def padded(value: Column, width: int) -> Column:
     """Leading digits filled up with zeros; never shortened."""
     digits = F.regexp_extract(value, "^[0-9]+", 0)

@@ -72,8 +72,8 @@ def sort_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SORT_SQL = r"""SELECT p_partkey,
  CASE WHEN contains(p_brand || ' ' || p_type, ' ') THEN regexp_extract(p_brand || ' ' || p_type, '([^ ]+)$', 1) || ', ' || regexp_extract(p_brand || ' ' || p_type, '^(.*) [^ ]+$', 1) ELSE p_type END || CASE WHEN p_partkey % 3 = 0 THEN ', Jr.' ELSE '' END AS sort_name,
- array_to_string(list_transform(string_split(p_name, ' '), lambda w: left(w, 1) || '.'), ' ') || CASE WHEN contains(p_brand, ' ') THEN ' ' || left(p_brand, 1) || '. ' || split_part(p_brand, ' ', 2) ELSE ' ' || p_brand END AS initials,
- regexp_replace(lower(p_brand || p_type || CASE WHEN p_partkey % 3 = 0 THEN 'Jr' ELSE '' END), '[^a-z0-9]', '', 'g') AS reduced,
+ array_to_string(list_transform(string_split(p_name, ' '), lambda w: left(w, 1) || '.'), '') || p_brand AS initials,
+ regexp_replace(lower(p_brand || p_type || CASE WHEN p_partkey % 3 = 0 THEN 'Jr' ELSE '' END), '[ .,-]', '', 'g') AS reduced,
  p_name AS first_author FROM part"""
 
 

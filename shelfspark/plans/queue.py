@@ -110,18 +110,6 @@ THROTTLE_SQL = """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) job_id, e
 SELECT job_id, count(*) AS n FROM r WHERE emit GROUP BY 1"""
 
 
-def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    rows = n.select(F.element_at(F.array(*[F.lit(k) for k in jobs.DEFAULTS]), (F.col("n_nationkey") % 7 + 1).cast("int")).alias("key"), F.when(F.col("n_nationkey") % 7 == 4, F.col("n_nationkey").cast("string")).otherwise(F.concat(F.lit("/"), "n_name")).alias("value"))
-    out = jobs.typed_settings(rows)
-    return out.select("input_dir", F.col("concurrency").cast("long").alias("concurrency"), "write_sidecar", F.array_join(jobs.settings_problems(), "; ").alias("problems"))
-
-
-SETTINGS_SQL = """WITH r AS (SELECT n_nationkey % 7 i, CASE WHEN n_nationkey % 7 = 4 THEN CAST(n_nationkey AS VARCHAR) ELSE '/' || n_name END v FROM nation),
- p AS (SELECT max(v) FILTER (i = 0) a, TRY_CAST(max(v) FILTER (i = 4) AS BIGINT) c FROM r)
-SELECT a AS input_dir, c AS concurrency, false AS write_sidecar, concat_ws('; ', 'unknown region', CASE WHEN c < 1 OR c > 8 THEN 'concurrency is not 1 to 8' END, 'unknown chapter mode', 'template has no variables') AS problems FROM p"""
-
-
 def queue_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = _jobs(spark, sf_dir)
     d = jobs.queue_decision(F.col("status") == "running", F.col("id") % 11 != 0, (F.col("id") % 4).cast("int"), F.col("id") % 13 != 0, F.when(F.col("status") == "error", "no record").otherwise(""))
@@ -193,7 +181,6 @@ QUERIES = {
     "cache_upsert": (cache_upsert, UPSERT_SQL),
     "cache_misses": (cache_misses, MISSES_SQL),
     "throttle_fold": (throttle, THROTTLE_SQL),
-    "settings_typed": (settings, SETTINGS_SQL),
     "queue_decisions": (queue_decisions, DECISIONS_SQL),
     "manual_reply_parse": (manual_reply, REPLY_SQL),
     "search_payloads": (search_payloads, PAYLOADS_SQL),

@@ -1,7 +1,8 @@
-"""MP4 containers: tags, duration, cover and header faults, read from ``binaryFile`` rows.
+"""MP4 containers: tags, duration, cover and header faults.
 
 Boxes nest by byte counts that only a walk can follow, so this is the one reader in
-Python; it takes Arrow batches and looks at headers, never at audio.
+Python; it takes Arrow batches of paths, seeks from box to box and reads the movie box alone,
+never the audio. ``read_containers`` takes whole small files as ``binaryFile`` rows.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ SCHEMA = "path string, tags map<string,string>, duration_ms long, cover binary,
 TAG_NAMES = {b"\xa9nam": "title", b"\xa9alb": "album", b"\xa9ART": "artist", b"aART": "album_artist", b"\xa9wrt": "composer", b"\xa9day": "date", b"\xa9gen": "genre", b"\xa9cmt": "comment", b"desc": "description", b"ldes": "synopsis", b"cprt": "copyright", b"\xa9nrt": "narrator", b"\xa9mvn": "movement_name", b"\xa9mvi": "movement"}
 _PARENTS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"udta", b"ilst"}
 DEPTH = 12
+MOST_HEADER = 256 << 20
+WRAP = 1 << 32
 
 
 def boxes(data: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
@@ -65,19 +68,21 @@ def read(data: bytes) -> dict:
     found: list = []
     _walk(data, 0, len(data), (), found)
     tags: dict[str, str] = {}
-    cover, header, sample, scale, problem = None, 0, 0, 0, None
+    cover, header, sample, scale, media, problem = None, 0, 0, 0, 0, None
     names = {p[:-1]: data[a + 4 : b] for p, a, b in found if p[-1] == b"name"}
     for path, a, b in found:
         if path[-1] == b"mvhd":
             ticks, per = _time(data, a, b)
             header = ticks * 1000 // per if per else 0
         elif path[-1] == b"mdhd":
-            scale = _time(data, a, b)[1]
+            media, scale = _time(data, a, b)
         elif path[-1] == b"stts" and b - a >= 8:
             (n,) = struct.unpack_from(">I", data, a + 4)
             n = min(n, (b - a - 8) // 8)
             ticks = sum(c * d for c, d in struct.iter_unpack(">II", data[a + 8 : a + 8 + 8 * n]))
             sample = max(sample, ticks * 1000 // scale if scale else 0)
+            if scale and ticks >= WRAP and ticks % WRAP == media % WRAP:
+                problem = "header duration is wrong"  # it kept the low 32 bits; any other difference is an edit list's
         elif path[-1] == b"data" and len(path) > 1 and b - a >= 8:
             owner, body = path[-2], data[a + 8 : b]
             if owner == b"covr":
@@ -88,19 +93,72 @@ def read(data: bytes) -> dict:
                     tags.setdefault(name, body.decode("utf-8", "replace"))
     if not any(p == (b"moov",) for p, _, _ in found):
         problem = "no movie box"
-    elif sample and abs(sample - header) > max(1000, sample // 100):
-        problem = "header duration is wrong"
     return {"tags": tags, "duration_ms": sample if problem == "header duration is wrong" else header or sample, "cover": cover, "header_ms": header, "sample_ms": sample, "problem": problem}
 
 
+def movie_box(f) -> bytes:
+    """The movie box of a seekable file, with its header; other boxes are passed over."""
+    f.seek(0, 2)
+    end, at = f.tell(), 0
+    while at + 8 <= end:
+        f.seek(at)
+        head = f.read(16)
+        size, kind = struct.unpack_from(">I4s", head)
+        if size == 1 and len(head) == 16:
+            (size,) = struct.unpack_from(">Q", head, 8)
+        elif size == 0:
+            size = end - at
+        if size < 8 or at + size > end:
+            return b""
+        if kind == b"moov":
+            if size > MOST_HEADER:
+                return b""
+            f.seek(at)
+            return f.read(size)
+        at += size
+    return b""
+
+
+def _open(path: str):
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    return system.open_input_file(name)
+
+
+_KINDS = [pa.string(), pa.map_(pa.string(), pa.string()), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string()]
+
+
+def _rows(paths: list, found: list[dict]) -> pa.RecordBatch:
+    columns = [paths, [list(r["tags"].items()) for r in found], *[[r[k] for r in found] for k in ("duration_ms", "cover", "header_ms", "sample_ms", "problem")]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS, strict=True)], ["path", "tags", "duration_ms", "cover", "header_ms", "sample_ms", "problem"])
+
+
+def read_paths(files: DataFrame, opener=_open) -> DataFrame:
+    """The same for a table of paths: each file's movie box is read by seeks. ``opener`` gives a seekable file for a path; one that cannot be opened has a problem."""
+
+    def one(path: str) -> dict:
+        try:
+            with opener(path) as f:
+                return read(movie_box(f))
+        except (OSError, ValueError, pa.ArrowException) as e:
+            return {"tags": {}, "duration_ms": 0, "cover": None, "header_ms": 0, "sample_ms": 0, "problem": f"cannot be read: {type(e).__name__}"}
+
+    def run(batches):
+        for batch in batches:
+            names = batch.column("path").to_pylist()
+            for a in range(0, len(names), 64):
+                yield _rows(names[a : a + 64], [one(p) for p in names[a : a + 64]])
+
+    return files.select("path").mapInArrow(run, SCHEMA)
+
+
 def read_containers(files: DataFrame) -> DataFrame:
-    """A row for each ``binaryFile`` row (path, content)."""
-    kinds = [pa.string(), pa.map_(pa.string(), pa.string()), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string()]
+    """A row for each ``binaryFile`` row (path, content), for files of a few megabytes."""
 
     def run(batches):
         for batch in batches:
-            rows = [read(x.as_py() or b"") for x in batch.column("content")]
-            columns = [batch.column("path").to_pylist(), [list(r["tags"].items()) for r in rows], *[[r[k] for r in rows] for k in ("duration_ms", "cover", "header_ms", "sample_ms", "problem")]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["path", "tags", "duration_ms", "cover", "header_ms", "sample_ms", "problem"])
+            yield _rows(batch.column("path").to_pylist(), [read(x.as_py() or b"") for x in batch.column("content")])
 
     return files.select("path", "content").mapInArrow(run, SCHEMA)
+

@@ -49,8 +49,8 @@ def cover(images: Column) -> Column:
 
 
 def cover_at(url: Column, px: int) -> Column:
-    """A cover's address at another size."""
-    return F.regexp_replace(url, "\\._[A-Z]+[0-9_,]*_\\.", f"._SL{px}_.")
+    """An image address of the catalog's store at another size, whether it names one or not; others stay."""
+    return F.regexp_replace(url, r"^(https://[^/]*(?:media-amazon|images-amazon)\.com/images/I/[^./]+)(?:\._[A-Za-z0-9,_]+_)?\.jpg$", f"$1._SL{px}_.jpg")
 
 
 def search_results(rows: DataFrame, body: str = "body") -> DataFrame:
@@ -289,4 +289,4 @@ def _reply(raw: Column, parsed: Column) -> Column:
 
 def unescaped(c: Column) -> Column:
     """All character references, over the full table."""
-    return entities.unescape_all(c)
+    return entities.unescape(c)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def _versions(spark: SparkSession, root: str) -> list[int]:
@@ -53,9 +54,17 @@ def file_tree(spark: SparkSession, root: str) -> DataFrame:
 
 
 def tail(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """The last ``n`` lines of a text file, in order, with their numbers."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\\n\\z", ""), "\n")).alias("line_no", "line"))
-    return lines.orderBy(F.desc("line_no")).limit(n).orderBy("line_no")
+    """The last ``n`` lines of a text file, in order, with their numbers from 0; blank lines at its end do not count.
+
+    Lines are read by blocks and told apart by block start and place in it; only the last ones are sorted.
+    """
+    lines = spark.read.text(path).select(F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i")).alias("at"), F.col("value").alias("line"))
+    last = lines.where("line <> ''").agg(F.max("at").alias("last"))
+    kept = lines.crossJoin(F.broadcast(last)).where("at <= last").drop("last")  # one row
+    total = kept.agg(F.count("*").alias("total"))
+    ends = kept.orderBy(F.desc("at")).limit(n).crossJoin(F.broadcast(total))  # one row
+    back = F.row_number().over(Window.orderBy(F.desc("at")))  # of n rows
+    return ends.select((F.col("total") - back).alias("line_no"), "line").orderBy("line_no")
 
 
 def concat_list(paths):

@@ -21,6 +21,56 @@ def fragment(kind: Column) -> Column:
     return F.when(kind == "log", "log").when(kind == "progress", "row").when(kind.isin("status", "queued"), "queue").otherwise("none")
 
 
+def frames(events: DataFrame) -> DataFrame:
+    """(job_id, name, frame): events as server-sent frames, the text escaped; a status also tells the queue that it changed."""
+    escaped = F.replace(F.replace(F.replace(F.replace(F.replace("line", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&#34;")), F.lit("'"), F.lit("&#39;"))
+    job = lambda what: F.concat(F.lit("job-"), "job_id", F.lit(f"-{what}"))
+    message = lambda name, data: F.struct(name.alias("name"), F.concat(F.lit("event: "), name, F.lit("\ndata: "), F.regexp_replace(data, "\n", "\ndata: "), F.lit("\n\n")).alias("frame"))
+    progress = F.concat_ws(" ", "stage", F.floor(F.round(F.col("progress") * 100, 6)).cast("string"))
+    sent = (
+        F.when(F.col("kind") == "progress", F.array(message(job("progress"), progress)))
+        .when(F.col("kind") == "log", F.array(message(job("log"), escaped)))
+        .when((F.col("kind") == "status") & (F.col("job_id") != ""), F.array(message(job("status"), F.col("status")), message(F.lit("queue-changed"), F.lit("1"))))
+        .when(F.col("kind") == "status", F.array(message(F.lit("queue-changed"), F.lit("1"))))
+    )
+    return events.select("job_id", F.inline(sent))
+
+
+def frame_writer(root: str):
+    """A foreachBatch function that appends a batch's frames as text, a folder a batch; one that runs again writes the same folder."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        frames(batch).select(F.col("frame").alias("value")).write.mode("overwrite").text(f"{root}/batch={number}")
+
+    return apply
+
+
+def delivered(events: DataFrame, subscribers: list[str], key: list[str], order: list[str], buffer: int = 64) -> DataFrame:
+    """Events of a batch as each subscriber gets them: ``buffer`` of a key at most, in order; the rest are dropped, as the next batch corrects them."""
+    from pyspark.sql.window import Window
+
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    kept = events.withColumn("_i", place).where(F.col("_i") <= buffer).drop("_i")
+    return kept.withColumn("subscriber", F.explode(F.array(*[F.lit(s) for s in subscribers])))
+
+
+def heartbeats(events: DataFrame, key: str, every_s: int = 25) -> DataFrame:
+    """(key, ts): a ping for every ``every_s`` seconds of silence between two events of a key."""
+    from pyspark.sql.window import Window
+
+    at = F.unix_micros("ts")
+    after = F.lead(at).over(Window.partitionBy(key).orderBy("ts"))
+    gaps = events.withColumn("_b", after).select(key, F.floor(at / 1_000_000).alias("a"), F.floor(F.col("_b") / 1_000_000).alias("b"))
+    silent = gaps.where(F.col("b") - F.col("a") > every_s)
+    pings = F.sequence(F.col("a") + every_s, F.col("b") - 1, F.lit(every_s).cast("long"))
+    return silent.select(key, F.explode(pings).alias("s")).select(key, F.timestamp_seconds("s").alias("ts"))
+
+
+def polled(events: DataFrame, apply, checkpoint: str, every: str = "5 seconds", most: int = 4):
+    """A started stream that hands each batch to ``apply`` on at most ``most`` tasks, looking for new input every few seconds."""
+    return events.coalesce(most).writeStream.trigger(processingTime=every).option("checkpointLocation", checkpoint).foreachBatch(apply).start()
+
+
 def throttled_batch(events: DataFrame, interval_ms: int = THROTTLE_MS) -> DataFrame:
     """Events that are emitted: a job's first, a changed stage, an end, or ``interval_ms`` after the last *emitted* one.
 
@@ -62,8 +112,12 @@ class Throttle(StatefulProcessor):
             if t0 is None or row.stage != stage or t - t0 >= self.interval_ms or row.progress >= 1:
                 out.append((key[0], row.ts, row.stage, row.progress))
                 t0, stage = t, row.stage
+            if row.progress >= 1:
+                t0, stage = None, None  # the job's end; whatever follows is another run
         if t0 is not None:
             self.last.update((t0, stage))
+        elif self.last.exists():
+            self.last.clear()
         yield pd.DataFrame(out, columns=["job_id", "ts", "stage", "progress"])
 
     def close(self) -> None:

@@ -25,6 +25,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mark = corpus.stored()
     for name, stage in STAGES[:-1]:
         docs = corpus.table(stage(spark, docs, sf_dir), name)
+        corpus.sweep(spark, mark)  # what the stage stored on its way, and the one before it
     return STAGES[-1][1](spark, docs, sf_dir)

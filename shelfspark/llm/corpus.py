@@ -25,12 +25,14 @@ REQUEST_SCHEMA = "bucket int, part int, body binary, extra binary"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all machines share: spark.checkpoint.dir, or one of our own where it is unset and all runs on this machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         existing = spark.sparkContext._jsc.sc().getCheckpointDir()
         if existing.isDefined():
             return existing.get()
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         import tempfile
 
         root = "file://" + tempfile.mkdtemp(prefix="shelfspark-")
@@ -64,22 +66,45 @@ def trimmed(run: Callable) -> Callable:
     return wrapped
 
 
+#: Folders of tables stored and not yet dropped, in order.
+_stored: list[str] = []
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/shelfspark/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _stored.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored() -> int:
+    """How many tables there are, a mark for ``sweep``."""
+    return len(_stored)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def sweep(spark: SparkSession, mark: int, keep: int = 1) -> None:
+    """Remove the tables stored since ``mark`` but for the last ``keep``: for callers that have stored what was made of them."""
+    gone = _stored[mark : len(_stored) - keep]
+    for path in gone:
+        _delete(spark, path)
+    del _stored[mark : len(_stored) - keep]
+
+
 def drop(*tables: DataFrame) -> None:
     """Remove stored tables that nothing will read again."""
     for df in tables:
         for f in df.inputFiles()[:1]:
-            jvm = df.sparkSession._jvm
-            path = jvm.org.apache.hadoop.fs.Path(f).getParent()
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            path = f.rsplit("/", 1)[0]
+            _delete(df.sparkSession, path)
+            _stored[:] = [p for p in _stored if p.rsplit("/", 1)[1] != path.rsplit("/", 1)[1]]
 
 
 def text_bytes(df: DataFrame, text: str = "text") -> int:

@@ -36,7 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = corpus.table(edges.select("a", "b").where("a <> b").distinct(), "edges")
     mark = _mark(edges)
     while True:
-        edges = corpus.table(_small_star(_large_star(edges)), "edges")
+        before, edges = edges, corpus.table(_small_star(_large_star(edges)), "edges")
+        corpus.drop(before)
         if (now := _mark(edges)) == mark:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
         mark = now

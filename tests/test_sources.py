@@ -87,9 +87,9 @@ def box(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I4s", len(body) + 8, kind) + body
 
 
-def movie(ticks: int, samples: int) -> bytes:
+def movie(ticks: int, samples: int, media_ticks: int = 0) -> bytes:
     head = box(b"mvhd", b"\0" * 12 + struct.pack(">II", 1000, ticks))
-    media = box(b"mdhd", b"\0" * 12 + struct.pack(">II", 44100, 0)) + box(b"minf", box(b"stbl", box(b"stts", struct.pack(">IIII", 0, 1, samples, 1024))))
+    media = box(b"mdhd", b"\0" * 12 + struct.pack(">II", 44100, media_ticks)) + box(b"minf", box(b"stbl", box(b"stts", struct.pack(">IIII", 0, 1, samples, 1024))))
     data = lambda s: box(b"data", b"\0" * 8 + s)
     tags = box(b"\xa9nam", data(b"Title")) + box(b"----", box(b"mean", b"\0" * 4 + b"com") + box(b"name", b"\0" * 4 + b"ASIN") + data(b"B0")) + box(b"covr", data(b"\x89PNG"))
     return box(b"ftyp", b"M4B ") + box(b"moov", head + box(b"trak", box(b"mdia", media)) + box(b"udta", box(b"meta", b"\0" * 4 + box(b"ilst", tags))))
@@ -97,13 +97,47 @@ def movie(ticks: int, samples: int) -> bytes:
 
 def test_containers(spark, tmp_path):
     (tmp_path / "a.m4b").write_bytes(movie(23_220, 1000))
-    (tmp_path / "b.m4b").write_bytes(movie(5, 1000))
+    (tmp_path / "b.m4b").write_bytes(movie(5, 1000))  # an edit list's difference, no fault
+    (tmp_path / "w.m4b").write_bytes(movie(132_262, 4_200_000, 4_200_000 * 1024 % 2**32))  # the low 32 bits of the true length
     (tmp_path / "c.m4b").write_bytes(b"\0\0\0\x10ftypxx")
     files = spark.read.format("binaryFile").load(str(tmp_path))
     got = {r.path[-5]: r for r in containers.read_containers(files).collect()}
     assert (got["a"].tags, got["a"].duration_ms, bytes(got["a"].cover), got["a"].problem) == ({"title": "Title", "ASIN": "B0"}, 23_220, b"\x89PNG", None)
-    assert (got["b"].duration_ms, got["b"].problem) == (23_219, "header duration is wrong")
+    assert (got["b"].duration_ms, got["b"].problem) == (5, None)
+    assert (got["w"].duration_ms, got["w"].problem) == (4_200_000 * 1024 * 1000 // 44100, "header duration is wrong")
     assert got["c"].problem == "no movie box"
+    # the same by seeks over paths; what cannot be opened says so
+    paths = spark.createDataFrame([(str(tmp_path / f"{x}.m4b"),) for x in "abcwz"], "path string")
+    sought = {r.path[-5]: r for r in containers.read_paths(paths).collect()}
+    assert all(sought[x][1:] == got[x][1:] for x in "abcw")
+    assert sought["z"].problem.startswith("cannot be read")
+
+
+def test_a_large_file_is_read_by_seeks(tmp_path):
+    class Counting:
+        def __init__(self, f):
+            self.f, self.n = f, 0
+
+        def seek(self, *a):
+            return self.f.seek(*a)
+
+        def tell(self):
+            return self.f.tell()
+
+        def read(self, n):
+            self.n += n
+            return self.f.read(n)
+
+    whole = movie(23_220, 1000)
+    at = whole.index(b"moov") - 4
+    with open(tmp_path / "big.m4b", "wb") as f:
+        f.write(whole[:at] + struct.pack(">I4s", 50_000_008, b"mdat"))
+        f.seek(50_000_000, 1)
+        f.write(whole[at:])
+    with open(tmp_path / "big.m4b", "rb") as f:
+        counted = Counting(f)
+        assert containers.read(containers.movie_box(counted))["tags"]["title"] == "Title"
+        assert counted.n < 10_000
 
 
 def test_fetch_retries():

@@ -81,7 +81,7 @@ def read(data: bytes) -> dict:
             n = min(n, (b - a - 8) // 8)
             ticks = sum(c * d for c, d in struct.iter_unpack(">II", data[a + 8 : a + 8 + 8 * n]))
             sample = max(sample, ticks * 1000 // scale if scale else 0)
-            if scale and ticks >= WRAP and ticks % WRAP == media % WRAP:
+            if scale and WRAP <= ticks != media and ticks % WRAP == media:
                 problem = "header duration is wrong"  # it kept the low 32 bits; any other difference is an edit list's
         elif path[-1] == b"data" and len(path) > 1 and b - a >= 8:
             owner, body = path[-2], data[a + 8 : b]
@@ -96,6 +96,74 @@ def read(data: bytes) -> dict:
     return {"tags": tags, "duration_ms": sample if problem == "header duration is wrong" else header or sample, "cover": cover, "header_ms": header, "sample_ms": sample, "problem": problem}
 
 
+def _box(kind: bytes, body: bytes) -> bytes:
+    return struct.pack(">I4s", len(body) + 8, kind) + body
+
+
+def _with_duration(body: bytes, between: int, ticks: int) -> bytes:
+    """A header box's body with a 64-bit duration; ``between`` bytes stand between the times and the duration."""
+    if body[0] == 1:
+        at = 20 + between
+        return body[:at] + struct.pack(">Q", ticks) + body[at + 8 :]
+    made, changed = struct.unpack_from(">II", body, 4)
+    return b"\1" + body[1:4] + struct.pack(">QQ", made, changed) + body[12 : 12 + between] + struct.pack(">Q", ticks) + body[16 + between :]
+
+
+def repaired(movie: bytes, start: int = 0) -> bytes | None:
+    """A movie box whose wrapped durations are written out in 64 bits; null where none wrapped.
+
+    ``start`` is where the box stands in its file: chunks behind it move by as much as it grows.
+    """
+    nested = _PARENTS - {b"udta", b"ilst"}
+    header = {}
+    for kind, a, b in boxes(movie, 8, len(movie)):
+        if kind == b"mvhd":
+            header["scale"], header["ticks"] = _time(movie, a, b)[::-1]
+
+    def track(a: int, b: int) -> tuple[int, int]:
+        """The true length of a wrapped track in its own ticks and scale, (0, 0) for another."""
+        found: list = []
+        _walk(movie, a, b, (), found)
+        media = scale = ticks = 0
+        for path, x, y in found:
+            if path[-1] == b"mdhd":
+                media, scale = _time(movie, x, y)
+            elif path[-1] == b"stts" and y - x >= 8:
+                n = min(struct.unpack_from(">I", movie, x + 4)[0], (y - x - 8) // 8)
+                ticks += sum(c * d for c, d in struct.iter_unpack(">II", movie[x + 8 : x + 8 + 8 * n]))
+        return (ticks, scale) if scale and WRAP <= ticks != media and ticks % WRAP == media else (0, 0)
+
+    tracks = [track(a, b) for kind, a, b in boxes(movie, 8, len(movie)) if kind == b"trak"]
+    if not any(t for t, _ in tracks):
+        return None
+    per = header.get("scale", 0)
+    longest = max([header.get("ticks", 0), *[t * per // s for t, s in tracks if t]])
+
+    def built(a: int, b: int, fix: tuple[int, int], shift: int) -> bytes:
+        out, n = [], 0
+        for kind, x, y in boxes(movie, a, b):
+            body = movie[x:y]
+            if kind == b"trak":
+                body, n = built(x, y, tracks[n], shift), n + 1
+            elif kind in nested:
+                body = built(x, y, fix, shift)
+            elif kind == b"mvhd" and longest != header["ticks"]:
+                body = _with_duration(body, 4, longest)
+            elif kind == b"mdhd" and fix[0]:
+                body = _with_duration(body, 4, fix[0])
+            elif kind == b"tkhd" and fix[0]:
+                body = _with_duration(body, 8, fix[0] * per // fix[1])
+            elif kind in (b"stco", b"co64") and shift:
+                code = ">I" if kind == b"stco" else ">Q"
+                offsets = [o[0] + shift * (o[0] >= start + len(movie)) for o in struct.iter_unpack(code, body[8:])]
+                body = body[:8] + b"".join(struct.pack(code, o) for o in offsets)
+            out.append(_box(kind, body))
+        return b"".join(out)
+
+    grown = len(built(8, len(movie), (0, 0), 0)) + 8 - len(movie)
+    return _box(b"moov", built(8, len(movie), (0, 0), grown))
+
+
 def movie_box(f) -> bytes:
     """The movie box of a seekable file, with its header; other boxes are passed over."""
     f.seek(0, 2)

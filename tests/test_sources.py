@@ -113,6 +113,22 @@ def test_containers(spark, tmp_path):
     assert sought["z"].problem.startswith("cannot be read")
 
 
+def test_wrapped_durations_are_written_out():
+    wrapped = 4_200_000 * 1024
+    head = box(b"mvhd", b"\0" * 12 + struct.pack(">II", 1000, 132_262) + b"rest")
+    media = box(b"mdhd", b"\0" * 12 + struct.pack(">II", 44100, wrapped % 2**32) + b"\x55\xc4\0\0")
+    table = box(b"stbl", box(b"stts", struct.pack(">IIII", 0, 1, 4_200_000, 1024)) + box(b"stco", struct.pack(">IIII", 0, 2, 100, 5000)))
+    track = box(b"trak", box(b"tkhd", b"\0" * 12 + struct.pack(">III", 1, 0, 132_262) + b"tail") + box(b"mdia", media + box(b"minf", table)))
+    movie_bytes = box(b"moov", head + track)
+    fixed = containers.repaired(movie_bytes, start=24)
+    found = containers.read(fixed)
+    assert found["problem"] is None and found["header_ms"] == found["sample_ms"] == wrapped * 1000 // 44100
+    grown = len(fixed) - len(movie_bytes)
+    assert grown == 3 * 12 and struct.pack(">IIII", 0, 2, 100, 5000 + grown) in fixed  # only the chunk behind the box moved
+    assert b"rest" in fixed and b"tail" in fixed and struct.pack(">Q", wrapped) in fixed
+    assert containers.repaired(fixed) is None and containers.repaired(movie(23_220, 1000)[12:]) is None
+
+
 def test_a_large_file_is_read_by_seeks(tmp_path):
     class Counting:
         def __init__(self, f):

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import agents, fusion, ingest, link, names, queue, requests, timeline, trees
+from . import agents, checks, fusion, ingest, link, names, queue, requests, timeline, trees
 
 
 def _all() -> dict[str, tuple]:
     out: dict[str, tuple] = {}
-    for module in (link, names, fusion, timeline, trees, queue, ingest, requests, agents):
+    for module in (link, names, fusion, timeline, trees, queue, ingest, requests, agents, checks):
         out.update(module.QUERIES)
     return out
 

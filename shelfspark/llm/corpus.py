@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PART_BYTES = 8 << 20
+#: Text from which on parts grow with the square root of the input, so that messages between parts and buckets grow in proportion to it.
+KNEE_BYTES = 16 << 30
 BATCH_BYTES = 8 << 20
 REPLY_SCHEMA = "part int, kind int, bucket int, body binary"
 REQUEST_SCHEMA = "bucket int, part int, body binary, extra binary"
@@ -116,6 +118,15 @@ def part_count(total: int, size: int = PART_BYTES) -> int:
     return max(1, -(-total // size))
 
 
+def exchange_parts(total: int, size: int = PART_BYTES, knee: int = KNEE_BYTES) -> int:
+    """Parts of a keyed request and reply, in which every part may send to twice as many buckets as there are parts.
+
+    Parts of ``size`` bytes up to ``knee`` bytes of text, then of sqrt(total / knee) times that: 2 P^2 messages are in
+    proportion to the text, and a task's memory (about ten times its part) grows with the root.
+    """
+    return part_count(total, max(size, int(size * (total / knee) ** 0.5)))
+
+
 def part_of(key: Column, parts: int, otherwise: Column | None = None) -> Column:
     """The part of a key; a null key's rows are dealt by ``otherwise``, so that they do not meet in one part."""
     dealt = F.xxhash64(key) if otherwise is None else F.when(key.isNull(), F.xxhash64(otherwise)).otherwise(F.xxhash64(key))
@@ -124,7 +135,7 @@ def part_of(key: Column, parts: int, otherwise: Column | None = None) -> Column:
 
 def parted(docs: DataFrame, size: int = PART_BYTES, *more: str) -> tuple[DataFrame, int]:
     """(part, doc_id, text, more...) and the number of parts, from the whole texts' length."""
-    parts = part_count(text_bytes(docs), size)
+    parts = exchange_parts(text_bytes(docs), size)
     return docs.select(part_of(F.col("doc_id"), parts, F.col("text")).alias("part"), "doc_id", "text", *more), parts
 
 

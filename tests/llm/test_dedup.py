@@ -77,6 +77,17 @@ def test_stored_tables_go_once_a_pipeline_stage_is_stored(spark):
     store.sweep(spark, mark, keep=0)
 
 
+def test_messages_grow_in_proportion_to_large_inputs():
+    from shelfspark.llm import corpus as store
+
+    messages = lambda total: 2 * store.exchange_parts(total) ** 2
+    assert store.exchange_parts(1 << 30) == 128 and store.exchange_parts(16 << 30) == 2048
+    assert store.exchange_parts(0) == 1
+    for total in (32 << 30, 1 << 40, 100 << 40):
+        assert messages(total) / total == pytest.approx(messages(16 << 30) / (16 << 30), rel=0.01)
+    assert (100 << 40) / store.exchange_parts(100 << 40) < 1 << 30
+
+
 def test_merge_of_runs():
     r = random.Random(5)
     for _ in range(200):

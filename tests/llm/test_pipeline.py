@@ -89,9 +89,9 @@ def mixed(rows):
     plans = mixing.plan(sizes)
     streams = {p["i"]: [(d[0], w) for d in by[p["source"]] for w in words(d[1])] for p in plans}
     uses = collections.Counter()
-    for _, i, n, first in mixing.draws([p["slots"] for p in plans], mixing.SHARD_SLOTS, 0):
-        blocks = plans[i]["blocks"]
-        for slot in range(first, first + n):
+    for p in plans:  # whichever shards they are drawn for, a source's slots are all its first ones
+        i, blocks = p["i"], p["blocks"]
+        for slot in range(p["slots"]):
             key = i * 1_000_003 + slot // blocks * 7_919
             uses[i, int(mixing.permute(np.array([slot % blocks]), np.array([blocks]), np.array([key], np.uint64))[0])] += 1
     once, twice, count = collections.defaultdict(list), collections.defaultdict(list), collections.Counter()

@@ -35,6 +35,8 @@ MIN_COUNT = 10
 MU = 50.0
 UNKNOWN = np.uint64(0xFFFFFFFFFFFF0000)
 KEY_MASK = np.uint64(0xFFFFFFFFFFFF0000)
+#: Half the usual parts: a token's counts in both models and in its own document take more arrays than other operators have.
+PART_BYTES = corpus.PART_BYTES // 2
 OUT_SCHEMA = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
@@ -197,7 +199,7 @@ def _score(min_count: int, mu: float):
     return run
 
 
-def cross_entropy_difference(docs: DataFrame, targets: DataFrame, min_count: int = MIN_COUNT, mu: float = MU, part_bytes: int = corpus.PART_BYTES) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, targets: DataFrame, min_count: int = MIN_COUNT, mu: float = MU, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score of every document; ``targets`` has the doc_ids of the target's documents."""
     split, parts = corpus.parted(docs.select("doc_id", "text"), part_bytes)
     marks = targets.select("doc_id").where("doc_id is not null").distinct()

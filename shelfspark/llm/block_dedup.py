@@ -12,8 +12,8 @@ Probes use 40-bit keys, where a false hit only costs a window that is judged and
 windows have two 64-bit keys of their word sequence, which both must agree.
 
 Defined cases: null or empty texts have no words; texts under ``window`` words lose none;
-a null doc_id orders last; rows that share a doc_id are separate documents in the order
-of their texts; other columns are ignored; an empty table gives an empty result.
+null doc_ids order last, among each other by a hash of their texts; rows that share a
+doc_id are separate documents in the order of their texts; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -18,8 +18,8 @@ terminator, and the text before it back to its first window, reversed.
    equal windows; all but a class's first place are repeats. Parts take out what they cover.
 
 Defined cases: null texts are empty; texts under ``length`` bytes lose nothing; matches
-never cross documents; null doc_ids order last; rows that share a doc_id are separate
-documents in the order of their texts; an empty table gives an empty result. Text may hold
+never cross documents; null doc_ids order last, among each other by a hash of their texts;
+rows that share a doc_id are separate documents in the order of their texts; an empty table gives an empty result. Text may hold
 any character; what is kept is bytes, since a cut may fall inside a character.
 """
 

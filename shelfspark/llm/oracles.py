@@ -131,6 +131,14 @@ OP1 = f"""WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS.format(_LOWER)} w FROM
 SELECT d.doc_id, CAST(len(any_value(w)) AS BIGINT) AS n_tokens, round(avg(lg), 6) AS target_loss, round(avg(la), 6) AS background_loss, round(avg(lg) - avg(la), 6) AS score FROM d LEFT JOIN l USING (doc_id) GROUP BY d.doc_id"""
 
 
+OP12 = rf"""WITH l0 AS (SELECT doc_id, string_split(coalesce("text", ''), chr(10)) ln FROM documents),
+ l AS MATERIALIZED (SELECT doc_id, unnest(range(1, len(ln) + 1)) i, unnest(ln) line FROM l0),
+ k AS MATERIALIZED (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '{_UPPER}', '{_UPPER.lower()}') k FROM l),
+ r AS (SELECT k, min(doc_id) first FROM k WHERE length(k) >= 10 GROUP BY 1 HAVING count(DISTINCT doc_id) > 1)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (doc_id > first) AS BIGINT) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT coalesce(doc_id > first, false)), '')) AS kept_sha256
+FROM k LEFT JOIN r USING (k) GROUP BY doc_id"""
+
+
 OP13 = """WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END lb, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) q
    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
  s AS MATERIALIZED (SELECT a.vec_id a, b.vec_id b, a.lb = b.lb same, CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) s FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
@@ -139,4 +147,4 @@ SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION B
 FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.s <= 100 * s.s AND 100 * s.s <= 90 * p.s QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) <= 10"""
 
 
-ORACLES = {"op1_lm_score": OP1, "op3_near_dedup": OP3, "op4_decontamination": OP4, "op6_suffix_dedup": OP6, "op8_quality_rules": OP8, "op9_block_dedup": OP9, "op13_hard_negatives": OP13}
+ORACLES = {"op1_lm_score": OP1, "op3_near_dedup": OP3, "op4_decontamination": OP4, "op6_suffix_dedup": OP6, "op8_quality_rules": OP8, "op9_block_dedup": OP9, "op12_line_dedup": OP12, "op13_hard_negatives": OP13}

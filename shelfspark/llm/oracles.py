@@ -131,6 +131,19 @@ OP1 = f"""WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS.format(_LOWER)} w FROM
 SELECT d.doc_id, CAST(len(any_value(w)) AS BIGINT) AS n_tokens, round(avg(lg), 6) AS target_loss, round(avg(la), 6) AS background_loss, round(avg(lg) - avg(la), 6) AS score FROM d LEFT JOIN l USING (doc_id) GROUP BY d.doc_id"""
 
 
+OP11 = rf"""WITH p AS (SELECT coalesce(lang, 'und') lang, unnest(string_split_regex({_LOWER.replace('"text"', """coalesce("text", '')""")}, '[.,;:!?\x0A-\x0D]')) piece FROM documents),
+ w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') w FROM p),
+ f AS MATERIALIZED (SELECT lang, m, k, count(*) f FROM (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') k FROM (SELECT lang, w, m, unnest(range(1, greatest(1, len(w) - m + 2))) i FROM w, (SELECT unnest([1, 2, 3]) m))) GROUP BY ALL),
+ t AS (SELECT lang, CAST(sum(f) AS BIGINT) n FROM f WHERE m = 1 GROUP BY 1),
+ c AS MATERIALIZED (SELECT lang, m, k, f a, string_split(k, ' ') s FROM f WHERE m > 1 AND f >= 10),
+ b AS (SELECT c.lang, c.m, c.k, a, l.f l, r.f r, j, CAST((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS BIGINT) score FROM (SELECT *, unnest(range(1, m)) j FROM c) c
+   JOIN f l ON l.lang = c.lang AND l.k = array_to_string(s[1:j], ' ') AND l.m = j JOIN f r ON r.lang = c.lang AND r.k = array_to_string(s[j + 1:c.m], ' ') AND r.m = c.m - j),
+ x AS (SELECT lang, m, k, a, l, r, score FROM b QUALIFY row_number() OVER (PARTITION BY lang, m, k ORDER BY score, j) = 1),
+ h AS (SELECT DISTINCT c.lang, q.k FROM (SELECT lang, a, unnest([array_to_string(s[1:2], ' '), array_to_string(s[2:3], ' ')]) k FROM c WHERE m = 3) c JOIN f q ON q.lang = c.lang AND q.k = c.k AND q.m = 2 WHERE 100 * c.a >= 50 * q.f),
+ y AS (SELECT x.lang, row_number() OVER (PARTITION BY x.lang ORDER BY score DESC, a DESC, x.k) rank, x.k phrase, a, l, r, score FROM x LEFT JOIN h ON x.m = 2 AND h.lang = x.lang AND h.k = x.k WHERE h.k IS NULL)
+SELECT y.lang, rank, phrase, a, l, r, n, score FROM y JOIN t USING (lang) WHERE rank <= 2000"""
+
+
 OP12 = rf"""WITH l0 AS (SELECT doc_id, string_split(coalesce("text", ''), chr(10)) ln FROM documents),
  l AS MATERIALIZED (SELECT doc_id, unnest(range(1, len(ln) + 1)) i, unnest(ln) line FROM l0),
  k AS MATERIALIZED (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '{_UPPER}', '{_UPPER.lower()}') k FROM l),
@@ -147,4 +160,4 @@ SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION B
 FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.s <= 100 * s.s AND 100 * s.s <= 90 * p.s QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) <= 10"""
 
 
-ORACLES = {"op1_lm_score": OP1, "op3_near_dedup": OP3, "op4_decontamination": OP4, "op6_suffix_dedup": OP6, "op8_quality_rules": OP8, "op9_block_dedup": OP9, "op12_line_dedup": OP12, "op13_hard_negatives": OP13}
+ORACLES = {"op1_lm_score": OP1, "op3_near_dedup": OP3, "op4_decontamination": OP4, "op6_suffix_dedup": OP6, "op8_quality_rules": OP8, "op9_block_dedup": OP9, "op11_collocations": OP11, "op12_line_dedup": OP12, "op13_hard_negatives": OP13}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_dedup, decontam, hard_negatives, html_extract, line_dedup, lm_score, mixing, near_dedup, oracles, pii, quality, suffix_dedup, token_store
+from . import block_dedup, collocations, decontam, hard_negatives, html_extract, line_dedup, lm_score, mixing, near_dedup, oracles, pii, quality, suffix_dedup, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": lm_score.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality.query,
     "op9_block_dedup": block_dedup.query,
     "op10_mixing": mixing.query,
+    "op11_collocations": collocations.query,
     "op12_line_dedup": line_dedup.query,
     "op13_hard_negatives": hard_negatives.query,
 }

@@ -72,6 +72,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def unmix(h: np.ndarray) -> np.ndarray:
+    """The values that ``mix`` turns into ``h``: it is a bijection."""
+    h = h.astype(U64, copy=True)
+    h ^= (h >> U64(31)) ^ (h >> U64(62))
+    h *= U64(pow(0x94D049BB133111EB, -1, 1 << 64))
+    h ^= (h >> U64(27)) ^ (h >> U64(54))
+    h *= U64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+    h ^= (h >> U64(30)) ^ (h >> U64(60))
+    return h
+
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import html
+import html.parser
 import math
 import random
 import time
@@ -147,21 +148,128 @@ def test_held_out_layouts_without_telling_names():
     pages = other_layouts(5, 150)
     assert token_f1(pages) >= 0.95
     # the region decides: whole sequences hold the boilerplate too
-    whole = [html_extract.render(html_extract.events(page)) for page, _ in pages]
+    whole = [html_extract.render(html_extract.events(page), boxes=True) for page, _ in pages]
     assert all(html_extract.extract(page) != w for (page, _), w in zip(pages, whole, strict=True))
 
 
 def test_the_region_finds_an_article_among_unnamed_boilerplate():
-    weights = {**html_extract.default_weights(), "names": {}}
-    assert html_extract.extract(PAGE.replace("class=", "data-x=").replace("id=", "data-y="), weights).startswith("The title\nFirst boldpar")
-    assert "disagree" not in html_extract.extract(PAGE, weights) and "Menu" not in html_extract.extract(PAGE, weights)
+    assert html_extract.extract(PAGE.replace("class=", "data-x=").replace("id=", "data-y=")).startswith("The title\nFirst boldpar")
+    assert "disagree" not in html_extract.extract(PAGE) and "Menu" not in html_extract.extract(PAGE)
+
+
+def test_names_are_learnt_from_many_pages_of_many_sites():
+    page = '<body><div class="zork"><p>{0}</p></div><article><h1>Some title</h1><p>{1}</p></article></body>'
+    told = [(page.format(f"a{i} b{i}", f"c{i} d{i} e{i}"), f"Some title c{i} d{i} e{i}", f"site{i % 7}") for i in range(40)]
+    inner = '<article><p>one two three</p><div class="zork">four five</div></article>'
+    assert html_extract.fit(told)["names"]["zork"] < html_extract.TELLING
+    assert html_extract.extract(inner, html_extract.fit(html_extract.labelled_pages() + told)) == "one two three"
+    for few in ([(a, b, "one") for a, b, _ in told], told[: html_extract.MIN_PAGES - 1], [x[:2] for x in told]):  # one site, few pages, no site known
+        assert html_extract.fit(few)["names"] == {}
+    clash = [(page.format(f"a{i}", f"c{i} d{i}").replace("zork", "x").replace("<h1", '<h1 data-a="1"').replace("<p>c", '<p class="ad">c'), f"Some title c{i} d{i}", f"s{i % 7}") for i in range(40)]
+    assert html_extract.fit(clash)["names"]["ad"] > 0.9  # what pages show outweighs the prior
+
+
+@pytest.mark.parametrize("name", ["col-md-8", "col-8", "main-1", "post-2", "content_0", "b", "wp-block-7", "section e", "story", "z1", "x9y"])
+def test_numbers_and_letters_in_class_names_say_nothing(name):
+    words_of = lambda w, n: " ".join(f"{w}{i}" for i in range(n))
+    article, menu = "".join(f"<p>{words_of(w, 60)}</p>" for w in "abc"), "<ul>" + "".join(f"<li><a href='/{i}'>menu{i} item</a></li>" for i in range(15)) + "</ul>"
+    want = "\n".join(words_of(w, 60) for w in "abc")
+    assert html_extract.extract(f'<div class="row"><div class="{name}">{article}</div><div class="col-md-9">{menu}</div></div>') == want
+    assert html_extract.extract(f'<body><article><h1>A title</h1><div class="{name}">{article}</div></article></body>') == "A title\n" + want
+    assert html_extract.extract(f'<main><div class="{name}"><p>{words_of("a", 120)}</p></div><div class="z2">{menu}</div></main>') == words_of("a", 120)
+
+
+@pytest.mark.parametrize("name, boilerplate", [("ad", True), ("ad-slot-3", True), ("adBanner", True), ("sidebar-left", True), ("comments-area", True), ("site-footer", True), ("social-share-buttons", True), ("search-results-explained", False), ("rail-history", False), ("has-sidebar", False), ("address", False), ("add", False), ("post-2", False), ("block", False), ("7", False), ("", False)])
+def test_a_name_tells_only_if_each_word_of_it_is_known(name, boilerplate):
+    assert (html_extract.telling(name)[1] < 0) == boilerplate
+    inner = f'<article><p>{WORDS80}</p><section class="{name}"><p>four five six</p></section></article>'
+    assert ("four" in html_extract.extract(inner)) != boilerplate
+
+
+def test_hidden_is_an_attribute_or_a_style():
+    p = f"<p>{WORDS80}</p>"
+    for shown in ('data-title="Hidden gems of Spain"', 'class="hidden md:block"', 'title="aria-hidden=true"', 'style="color:red"', 'aria-hidden="false"', 'data-hidden="x"', "hidden-x"):
+        assert html_extract.extract(f"<article {shown}>{p}</article>") == WORDS80
+    for gone in ("hidden", 'hidden=""', "HIDDEN", 'style="color:red; display : none"', 'aria-hidden="true"', "style='visibility:hidden'"):
+        assert html_extract.extract(f"<article>{p}<p {gone}>not this</p></article>") == WORDS80
+    assert html_extract.extract(f'<article>{p}<p>see <a title="the hidden valley">valley</a></p></article>') == WORDS80 + "\nsee valley"
+
+
+def test_a_teaser_is_not_the_article():
+    page = f'<body><div><article><p>short teaser here</p></article></div><div><h1>The title of it</h1>{"".join(f"<p>{WORDS80}</p>" for _ in range(4))}</div></body>'
+    assert html_extract.extract(page).endswith("\n".join(["The title of it", *[WORDS80] * 4]))
+
+
+class Plain(html.parser.HTMLParser):
+    """A brute-force reading of pages with one article: its text outside nav, aside and advert boxes, block by block."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.skipped, self.blocks = 0, [], [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if self.skipped or tag in ("nav", "aside", "footer", "script", "style") or dict(attrs).get("class") in ("ad", "advert", "comments"):
+            self.skipped += [tag] * (tag not in html_extract.VOID)
+        if tag in html_extract.BLOCKS:
+            self.blocks.append("")
+        elif tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        if tag in self.skipped:
+            del self.skipped[len(self.skipped) - 1 - self.skipped[::-1].index(tag) :]
+        if tag in html_extract.BLOCKS:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside and not self.skipped:
+            self.blocks[-1] += data
+
+
+def plain(page):
+    p = Plain()
+    p.feed(page)
+    p.close()
+    return "\n".join(x for b in p.blocks if (x := " ".join(b.split())))
+
+
+def test_query_equals_a_brute_force_version(spark, sf_dir):
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    got = html_extract.query(spark, sf_dir).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        assert r["text"] == plain(pages[r["page_id"]]) and r["n_chars"] == len(r["text"])
+    # the region decides: all that is shown on the page is more
+    weights = html_extract.default_weights()
+    for page in pages.values():
+        sequence = html_extract.events(page)
+        a, b = html_extract.region(sequence, weights)
+        assert html_extract.render(sequence, boxes=True) != html_extract.render(sequence[a:b], boxes=True) == html_extract.render(sequence[a:b])
+
+
+def test_names_and_the_prior_decide_no_given_page(spark, sf_dir, monkeypatch):
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").limit(40).collect()
+    want = [html_extract.extract(r["html"]) for r in rows]
+    monkeypatch.setattr(html_extract, "PRIOR", {})
+    html_extract.telling.cache_clear()
+    try:
+        assert [html_extract.extract(r["html"]) for r in rows] == want
+    finally:
+        monkeypatch.undo()
+        html_extract.telling.cache_clear()
 
 
-def test_fitted_names_are_those_of_the_labels():
-    pages = [(page.replace('class="ad"', 'class="zork"').replace('class="ads"', 'class="zork"'), content) for page, content in html_extract.labelled_pages(240)]
-    weights = html_extract.fit(pages)
-    assert weights["names"]["name:zork"] < html_extract.TELLING
-    assert html_extract.extract('<article><p>one two three</p><div class="zork">four five</div></article>', weights) == "one two three"
+def test_pages_that_label_themselves(spark):
+    assert html_extract.self_labelled("<body><nav>x</nav><article><p>one two</p><div class='ad'>buy</div></article></body>").split() == ["one", "two"]
+    assert html_extract.self_labelled("<article>a</article><article>b</article>") is None and html_extract.self_labelled("<p>x</p>") is None
+    rows = [(i, f"https://s{i % 9}.org/x", f"<div class='zork'><p>a{i}</p></div><article><h1>t</h1><p>c{i} d{i}</p></article>") for i in range(60)]
+    rows += [(100, None, None), (101, "u", "<article>" + "x " * html_extract.MAX_HTML), (102, "u", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    some = html_extract.sampled(pages)
+    assert len(some) == 60 and len({x[2] for x in some}) == 9 and len(html_extract.sampled(pages, 7)) == 7 and html_extract.sampled(pages, 7) == html_extract.sampled(pages.repartition(5), 7)
+    assert html_extract.fit(some)["names"]["zork"] < html_extract.TELLING
 
 
 def test_region_equals_brute_force():
@@ -194,7 +302,7 @@ def test_titles_in_an_article_stay():
     assert html_extract.extract(f'<article><h1 class="article-header">The title</h1><p>{WORDS80}</p></article>') == "The title\n" + WORDS80
 
 
-@pytest.mark.parametrize("page", ["<div>" * 100_000 + WORDS80 + "</div>" * 100_000, "<p class=x>" * 100_000, "<a '" * 100_000 + ">", "<b x=\"" * 100_001, "</i>" * 100_000, "<ul><li>" * 50_000])
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + WORDS80 + "</div>" * 100_000, "<p class=x>" * 100_000, "<a '" * 100_000 + ">", "<b x=\"" * 100_001, "</i>" * 100_000, "<ul><li>" * 50_000, "<script>" + "</script" * 250_000, "<div class='" + "a-b " * 500_000 + "'>x</div>", "<article>" * 50_000 + "<p>x"])
 def test_hostile_pages_are_linear(page):
     html_extract.default_weights()
     began = time.process_time()

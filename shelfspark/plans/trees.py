@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import paths, template
+from ..operators import path_index, paths, template
+from ..sources import tables
 
 
 def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +66,27 @@ SEARCH_SQL = f"""WITH {_TREE_SQL}, h AS (SELECT path FROM good WHERE k % 2 = 1 A
 SELECT path AS rel_path, (SELECT count(*) FROM h) AS total FROM (SELECT path, string_split(path, '/') w FROM h ORDER BY w LIMIT 50)"""
 
 
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``library_search`` by a trigram index."""
+    index = path_index.build(_tree(spark, sf_dir).drop("p_type"), tables.scratch(spark, "paths"))
+    return path_index.search(index, "brand#1 tRack", 50).select("rel_path", "total")
+
+
+def index_search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search for each brand and type, and for each host of ``pages``, over the paths of parts and of pages: how many match."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.regexp_replace("url", "^[a-z]+://", "").alias("rel_path"), F.lit(False).alias("is_dir")).distinct()
+    index = path_index.build(_tree(spark, sf_dir).select("rel_path", "is_dir").unionByName(pages), tables.scratch(spark, "paths"))
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    queries = p.select(F.concat(F.upper("p_type"), F.lit(" "), "p_brand", F.lit("/")).alias("query")).unionByName(pages.select(F.concat(F.substring_index("rel_path", "/", 1), F.lit(" en")).alias("query")))
+    return path_index.search_many(index, queries).groupBy("query").agg(F.count("*").alias("hits"), F.min("rel_path").alias("first_path"))
+
+
+MANY_SQL = rf"""WITH {_TREE_SQL}, x AS (SELECT DISTINCT regexp_replace(url, '^[a-z]+://', '') path FROM pages),
+ e AS (SELECT dir || '/' || f path FROM files UNION ALL SELECT DISTINCT t FROM files UNION ALL SELECT DISTINCT d0 FROM files UNION ALL SELECT DISTINCT dir FROM files WHERE sub <> '' UNION ALL SELECT path FROM x),
+ q AS (SELECT DISTINCT upper(p_type) || ' ' || p_brand || '/' query FROM part UNION SELECT DISTINCT split_part(path, '/', 1) || ' en' FROM x)
+SELECT query, count(*) AS hits, min(path) AS first_path FROM q JOIN e ON contains(lower(path), lower(split_part(query, ' ', 1))) AND contains(lower(path), lower(split_part(query, ' ', 2))) GROUP BY 1"""
+
+
 def path_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.concat(F.lit("a/./b/../"), F.regexp_replace("url", "^[a-z]+://", "")).alias("path"))
     return u.select("page_id", paths.cleaned_path(F.col("path")).alias("clean"), paths.confined(F.concat(F.when(F.col("page_id") % 3 == 0, "../").otherwise(""), F.regexp_replace("path", "^a/\\./b/\\.\\./", ""))).alias("inside"), text.base_name(F.col("path")).alias("base"))
@@ -139,6 +161,8 @@ QUERIES = {
     "disc_order": (merge_order, MERGE_ORDER_SQL),
     "tree_listing": (listing, LISTING_SQL),
     "library_search": (library_search, SEARCH_SQL),
+    "library_index_search": (index_search, SEARCH_SQL),
+    "library_index_many": (index_search_many, MANY_SQL),
     "path_filter": (path_filter, FILTER_SQL),
     "selection_dedupe": (selection_dedupe, SELECTION_SQL),
     "selected_files": (selected_files, SELECTED_SQL),

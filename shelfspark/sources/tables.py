@@ -6,11 +6,25 @@ where it was. Formats and connectors beyond this are Spark's own.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path under spark.checkpoint.dir, which all machines share; where that is unset, on this machine if all runs here."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        import tempfile
+
+        root = "file://" + tempfile.mkdtemp(prefix="shelfspark-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def _versions(spark: SparkSession, root: str) -> list[int]:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/versions")
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -27,6 +27,10 @@ FOLDERS = 64
 LISTS = 8
 
 
+#: Blocks that a search names to the reader; one that leaves more reads all, and joins.
+MANY_BLOCKS = 1000
+
+
 @dataclass(frozen=True)
 class PathIndex:
     spark: SparkSession
@@ -82,7 +86,9 @@ def candidates(index: PathIndex, query: str) -> DataFrame:
         wanted = sorted(wanted, key=lambda g: (sizes.get(g, 0), g))[:LISTS]
     both = asked(index, wanted).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("n", "gram", "held"))).alias("found")).where(F.size("found") == len(wanted))
     left = both.select("block", F.explode(_intersected(F.col("found"))).alias("entry"))
-    return index.entries.join(left, ["block", "entry"], "left_semi")
+    blocks = [r["block"] for r in left.select("block").distinct().limit(MANY_BLOCKS + 1).collect()]
+    entries = index.entries.where(F.col("block").isin(blocks)) if len(blocks) <= MANY_BLOCKS else index.entries
+    return entries.join(left, ["block", "entry"], "left_semi")
 
 
 def _intersected(found: Column) -> Column:

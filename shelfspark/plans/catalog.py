@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import agents, checks, fusion, ingest, link, names, queue, requests, similar, timeline, trees
+from . import agents, checks, fusion, ingest, link, names, queue, requests, similar, state, timeline, trees
 
 
 def _all() -> dict[str, tuple]:
     out: dict[str, tuple] = {}
-    for module in (link, similar, names, fusion, timeline, trees, queue, ingest, requests, agents, checks):
+    for module in (link, similar, names, fusion, timeline, trees, queue, state, ingest, requests, agents, checks):
         out.update(module.QUERIES)
     return out
 

@@ -95,7 +95,7 @@ def throttled_batch(events: DataFrame, interval_ms: int = THROTTLE_MS) -> DataFr
 
 
 class Throttle(StatefulProcessor):
-    """The same rule on a stream: a job's state is its last emitted stage and time, dropped when it ends."""
+    """The same rule on a stream: a job's state is its last emitted stage and time, dropped at whole progress (``sessions`` drops it at any end or expiry)."""
 
     def __init__(self, interval_ms: int = THROTTLE_MS):
         self.interval_ms = interval_ms
@@ -138,16 +138,13 @@ def parsed_progress(lines: DataFrame, total_ms: Column) -> DataFrame:
 
 
 def state_upserter(root: str, schema: str = "job_id string, status string, ts timestamp"):
-    """A foreachBatch function that keeps each job's latest state in a versioned table; a batch that runs again changes nothing."""
+    """A foreachBatch function that keeps each job's latest state; it writes the buckets of the batch's jobs alone, and a batch that runs again changes nothing."""
     from ..operators.jobs import latest
-    from ..sources import tables
+    from ..sources.keyed import KeyedTable
 
     def apply(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        stored = tables.read(spark, root, schema)
-        new = batch.where("status is not null").select("job_id", "status", "ts")
-        tables.replace(latest(stored.unionByName(new), "job_id").select("job_id", "status", "ts"), root)
-        tables.prune(spark, root)
+        table = KeyedTable(batch.sparkSession, root, schema, ("job_id",))
+        table.change(batch.where("status is not null").select("job_id", "status", "ts"), lambda stored, new: latest(stored.unionByName(new), "job_id"))
 
     return apply
 

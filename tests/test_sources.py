@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.operators import jobs
 from shelfspark.sources import containers, fetch, payloads, tables
+from shelfspark.sources.keyed import KeyedTable
 from shelfspark.streaming import events
 
 C = F.col
@@ -228,4 +229,4 @@ def test_states_by_batches(spark, tmp_path):
     source = spark.readStream.schema(events.EVENT).parquet(str(tmp_path / "in"))
     query = source.writeStream.foreachBatch(events.state_upserter(root)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
-    assert {(r.job_id, r.status) for r in tables.read(spark, root, "job_id string, status string, ts timestamp").collect()} == {("a", "done"), ("b", "error")}
+    assert {(r.job_id, r.status) for r in KeyedTable(spark, root, "job_id string, status string, ts timestamp", ("job_id",)).read().collect()} == {("a", "done"), ("b", "error")}

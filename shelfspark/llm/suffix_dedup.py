@@ -8,7 +8,9 @@ string it sorts by is the text from the anchor to the end of its last window, a
 terminator, and the text before it back to its first window, reversed.
 
 1. Parts of the corpus send their anchors' distinct gram hashes; buckets answer which
-   occur twice anywhere. Text that repeats nowhere goes no further.
+   occur twice anywhere, and which are hot. Text that repeats nowhere goes no further. The windows of a hot gram's anchor are cut
+   by their offset into pieces of ``STEP``: windows of one piece share all but ``STEP`` bytes, so pieces are dealt by those bytes, and a line that
+   stands in unlike surroundings is spread over all buckets.
 2. Parts sort the distinct strings of the anchors that are left into runs, one for each
    bucket, front coded: shared prefix length and rest. A bucket combines its runs with a
    loser tree whose nodes hold prefix lengths: heads with different shared prefixes to the
@@ -39,6 +41,8 @@ GRAM = 48
 KEY_SHIFT = np.uint64(24)
 END = b"\xff"  # in no UTF-8 text
 NONE = 255
+#: A gram that stands in more places than this is hot: its windows are dealt by what surrounds it, this many offsets together.
+HOT, STEP = 256, 13
 OUT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
@@ -75,6 +79,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
 class _Part:
     def __init__(self, t: pa.Table, length: int, gram: int):
         self.length, self.ids = length, t.column("doc_id")
+        self.step = max(1, min(STEP, length // 4))
         self.data, self.offsets = textops.flat(t.column("text"))
         cols = [[], [], [], []]
         for a, b in textops.blocks(self.offsets, textops.BLOCK_BYTES):
@@ -87,23 +92,44 @@ class _Part:
         self.hash = cat(cols[3], np.uint64)
         self.keys = self.hash >> KEY_SHIFT << KEY_SHIFT
 
-    def entries(self, replies: bytes, buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct strings by bucket and order, their buckets, first anchor of each, all repeated anchors, and which string each has."""
-        _, inverse = np.unique(self.keys, return_inverse=True)
-        again = np.flatnonzero(np.frombuffer(replies, np.uint8)[inverse] > 0) if len(self.keys) else np.zeros(0, np.int64)
+    def entries(self, replies: bytes, buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        """Distinct strings by bucket and order, their buckets, the first place of each, all repeated places (anchor, first and last window start), and which string each has."""
+        at, first, last, key = self._places(replies)
         raw, length = self.data.tobytes(), self.length
-        seen: dict[bytes, int] = {}
-        which = [seen.setdefault(raw[a : z + length] + END + raw[f:a][::-1], len(seen)) for a, f, z in zip(self.at[again].tolist(), self.first[again].tolist(), self.last[again].tolist(), strict=True)]
-        strings, which = list(seen), np.array(which, np.int64)
-        first = np.zeros(len(strings), np.int64)
-        first[which[::-1]] = again[::-1]
-        bucket = (textops.mix(self.hash[first] ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(buckets)).astype(np.int64)
+        seen: dict[tuple, int] = {}  # equal strings may lie in two buckets, as pieces and whole
+        which = [seen.setdefault((k, raw[a : z + length] + END + raw[f:a][::-1]), len(seen)) for a, f, z, k in zip(at.tolist(), first.tolist(), last.tolist(), key.tolist(), strict=True)]
+        strings, which = [x[1] for x in seen], np.array(which, np.int64)
+        place = np.zeros(len(strings), np.int64)
+        place[which[::-1]] = np.arange(len(at))[::-1]
+        bucket = (textops.mix(key[place] ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(buckets)).astype(np.int64)
         order = sorted(range(len(strings)), key=strings.__getitem__)
         order = np.array(order, np.int64)
         order = order[np.argsort(bucket[order], kind="stable")]
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        return [strings[i] for i in order.tolist()], bucket[order], first[order], again, rank[which] if len(which) else which
+        return [strings[i] for i in order.tolist()], bucket[order], place[order], (at, first, last), rank[which] if len(which) else which
+
+    def _places(self, replies: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Anchor, first and last window start and dealing key of each repeated anchor, hot ones by pieces; in order of the text."""
+        if not len(self.keys):
+            return self.at, self.first, self.last, self.hash
+        _, inverse = np.unique(self.keys, return_inverse=True)
+        flag = np.frombuffer(replies, np.uint8)[inverse]
+        again = np.flatnonzero(flag > 0)
+        at, first, last, hot = self.at[again], self.first[again], self.last[again], flag[again] > 1
+        step = self.step
+        low, top = (at - last) // step, (at - first) // step  # an anchor's pieces
+        n = np.where(hot, top - low + 1, 1)
+        which = np.repeat(np.arange(len(at)), n)
+        piece = top[which] - (np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n))
+        a, hot, key = at[which], hot[which], self.hash[again][which].copy()
+        first = np.where(hot, np.maximum(first[which], a - piece * step - (step - 1)), first[which])
+        last = np.where(hot, np.minimum(last[which], a - piece * step), last[which])
+        # what all windows of a piece hold: from its least offset before the anchor to the end of its window of the greatest offset
+        h, j = np.flatnonzero(hot), piece[hot]
+        around = textops.word_hashes(self.data, a[h] - j * step, a[h] + self.length - j * step - (step - 1)) if len(h) else key[:0]
+        key[h] = textops.mix(around + j.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return a, first, last, key
 
     def documents(self, positions: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.offsets, positions, "right") - 1
@@ -269,8 +295,10 @@ def repeats(strings: list[bytes], shared: np.ndarray, rank: np.ndarray, length:
         cut = np.cumsum(near < length - o)[use]
         key = textops.mix(h[use] + cut.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         by = np.lexsort((r[use], key))
-        later = by[1:][key[by[1:]] == key[by[:-1]]]
-        hit = use[later]
+        same = np.flatnonzero(key[by[1:]] == key[by[:-1]])
+        hit, other = use[by[1:][same]], use[by[:-1][same]]
+        if o:  # the text before the anchor decides by its bytes
+            hit = hit[(back[hit, :o] == back[other, :o]).all(axis=1)]
         new_lo[hit] = np.minimum(new_lo[hit], o)
         new_hi[hit] = o
     lo[at], hi[at] = new_lo, new_hi
@@ -281,18 +309,23 @@ def _gram_request(length: int, gram: int, buckets: int):
     def run(key: tuple, t: pa.Table) -> pa.Table:
         p = _Part(corpus.by_id(t), length, gram)
         distinct, count = np.unique(p.keys, return_counts=True)
-        flags = (count > 1).astype(np.uint8)
+        flags = np.minimum(count, 255).astype(np.uint8)
         return corpus.request_table(list(corpus.requests(key[0].as_py(), distinct, buckets, lambda c: flags[c].tobytes())))
 
     return run
 
 
-def _gram_reply(lists, extras):
-    keys = np.concatenate(lists)
-    flags = np.concatenate([np.frombuffer(x, np.uint8) for x in extras])
-    _, inverse, parts = np.unique(keys, return_inverse=True, return_counts=True)
-    many = (parts > 1) | (np.bincount(inverse, flags, len(parts)) > 0)
-    return [x.tobytes() for x in corpus.split_like(many[inverse].astype(np.uint8), lists)]
+def _gram_reply(hot: int):
+    """1 for a gram that stands in two places or more, 2 for a hot one."""
+
+    def reply(lists, extras):
+        keys = np.concatenate(lists)
+        flags = np.concatenate([np.frombuffer(x, np.uint8) for x in extras])
+        distinct, inverse = np.unique(keys, return_inverse=True)
+        places = np.bincount(inverse, flags, len(distinct))
+        return [x.tobytes() for x in corpus.split_like(((places > 1).astype(np.uint8) + (places > max(1, hot)))[inverse], lists)]
+
+    return reply
 
 
 def _run_request(length: int, gram: int, buckets: int):
@@ -300,16 +333,17 @@ def _run_request(length: int, gram: int, buckets: int):
         if not t.num_rows:
             return corpus.request_table([])
         p = _Part(corpus.by_id(t), length, gram)
-        strings, bucket, first, _, _ = p.entries(corpus.replied(replies, 0), buckets)
+        strings, bucket, place, (anchor, _, _), _ = p.entries(corpus.replied(replies, 0), buckets)
         ids = p.ids.combine_chunks() if isinstance(p.ids, pa.ChunkedArray) else p.ids
         ids = ids.cast(pa.int64()).fill_null(2**63 - 1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
-        doc = ids[p.documents(p.at[first])]
+        anchor = anchor[place]
+        doc = ids[p.documents(anchor)]
         edge = np.searchsorted(bucket, np.arange(buckets + 1))
         out = []
         for b in range(buckets):
             x, y = int(edge[b]), int(edge[b + 1])
             if y > x:
-                out.append((b, key[0].as_py(), write_run(strings[x:y]), textops.planes(doc[x:y]) + textops.planes(p.at[first[x:y]].astype(np.uint64))))
+                out.append((b, key[0].as_py(), write_run(strings[x:y]), textops.planes(doc[x:y]) + textops.planes(anchor[x:y].astype(np.uint64))))
         return corpus.request_table(out)
 
     return run
@@ -347,11 +381,10 @@ def _remove(length: int, gram: int, buckets: int):
         if not t.num_rows:
             return schema.empty_table()
         p = _Part(corpus.by_id(t), length, gram)
-        _, _, first, again, which = p.entries(corpus.replied(replies, 0), buckets)
+        _, _, place, (at, first, last), which = p.entries(corpus.replied(replies, 0), buckets)
         limits = np.frombuffer(corpus.replied(replies, 1), np.uint8).reshape(-1, 2)
-        at = p.at[again]
-        lo, hi = at - p.last[again], at - p.first[again]
-        mine = first[which] == again if len(again) else np.zeros(0, bool)
+        lo, hi = at - last, at - first
+        mine = place[which] == np.arange(len(at)) if len(at) else np.zeros(0, bool)
         lo[mine], hi[mine] = limits[which[mine], 0], limits[which[mine], 1]
         some = ~mine | (hi != NONE)
         d = np.zeros(len(p.data) + 1, np.int32)
@@ -372,15 +405,20 @@ def _remove(length: int, gram: int, buckets: int):
     return run
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part_bytes: int = corpus.PART_BYTES) -> DataFrame:
+def sorted_runs(split: DataFrame, buckets: int, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """The answers about grams, and the parts' sorted runs for each bucket."""
+    grams = split.groupBy("part").applyInArrow(_gram_request(length, gram, buckets), corpus.REQUEST_SCHEMA)
+    hits = corpus.answer(grams, 0, _gram_reply(hot))
+    return hits, split.groupBy("part").cogroup(hits.groupBy("part")).applyInArrow(_run_request(length, gram, buckets), corpus.REQUEST_SCHEMA)
+
+
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part_bytes: int = corpus.PART_BYTES, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (remaining bytes)."""
     if not 0 < gram <= length <= 254:
         raise ValueError("gram must not exceed length, nor length 254")
     split, parts = corpus.parted(docs.select("doc_id", "text"), part_bytes)
     buckets = 2 * parts
-    grams = split.groupBy("part").applyInArrow(_gram_request(length, gram, buckets), corpus.REQUEST_SCHEMA)
-    hits = corpus.answer(grams, 0, _gram_reply)
-    runs = split.groupBy("part").cogroup(hits.groupBy("part")).applyInArrow(_run_request(length, gram, buckets), corpus.REQUEST_SCHEMA)
+    hits, runs = sorted_runs(split, buckets, length, gram, hot)
     merged = runs.groupBy("bucket").applyInArrow(_merge(length, gram), corpus.REPLY_SCHEMA)
     replies = hits.unionByName(merged)
     return split.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(_remove(length, gram, buckets), OUT_SCHEMA)

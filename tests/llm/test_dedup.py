@@ -46,6 +46,34 @@ def test_suffix_dedup_equals_brute_force(spark, length, gram, part):
     assert [got[d[0]] for d in sorted(rows)] == want
 
 
+@pytest.mark.parametrize(("length", "gram", "part"), [(100, 48, 4000), (20, 8, 900), (7, 7, 2000), (9, 4, 1500)])
+def test_hot_grams_by_pieces_equal_brute_force(spark, length, gram, part):
+    """With every repeated gram hot, all windows are dealt by what surrounds them."""
+    r = random.Random(8)
+    line = "This line of the licence stands in every text, whatever may surround it here."
+    rows = corpus(4, 20) + [(i + 500, sentence(r, 4) + "\n" + line + "\n" + sentence(r, 4) + ("\n" + line + line) * (i % 3 == 0), None, None, 0) for i in range(25)]
+    want = cut_windows(sorted(rows), lambda d: (d[1] or "").encode(), length, bytes)
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in suffix_dedup.suffix_dedup(frame(spark, rows), length, gram, part, hot=1).collect()}
+    assert [got[d[0]] for d in sorted(rows)] == want
+
+
+def test_a_line_in_unlike_surroundings_is_spread(spark):
+    r = random.Random(9)
+    noise = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    line = "Licensed under the terms of the common licence, version 2; see the file there."
+    docs = spark.createDataFrame([(i, noise(300) + line + noise(300)) for i in range(3000)], "doc_id long, text string")
+    split, parts = suffix_dedup.corpus.parted(docs, 64 << 10)
+    loads = {}
+    for hot in (1 << 30, suffix_dedup.HOT):
+        _, runs = suffix_dedup.sorted_runs(split, 64, hot=hot)
+        sizes = {}
+        for x in runs.select("bucket", "body").collect():
+            sizes[x["bucket"]] = sizes.get(x["bucket"], 0) + int.from_bytes(bytes(x["body"])[:4], "little")
+        loads[hot] = sorted([0] * (64 - len(sizes)) + list(sizes.values()))
+    plain, spread = loads[1 << 30], loads[suffix_dedup.HOT]
+    assert plain[-1] >= 2500 and spread[-1] <= 2 * spread[32]
+
+
 def test_repeated_and_null_ids(spark):
     text = sentence(random.Random(4), 40)
     rows = [(1, text), (1, text), (None, text), (None, None)]

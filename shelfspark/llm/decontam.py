@@ -7,7 +7,9 @@ test item the two rarest of its terms. Lists are intersected from the rarest: a
 is a candidate where both its terms agree on that place. Candidates are confirmed word by
 word on the whole text, and confirmed windows give the hit words.
 
-Texts are keyed by a 64-bit hash, so thousands of copies are one entry of the index; two
+A window that stands in an item several times probes once, at its first place, so repeated words cost
+no more than others. Texts are keyed by a 64-bit hash: copies are postings each, but meet as one when
+candidates are made distinct; two
 texts that share a key share candidates, which confirmation tells apart. Test items are
 read in slices of at most ``SLICE_WORDS`` words (an item is never cut), the bound of all
 that the driver holds and sends to every machine; each slice runs against all documents and
@@ -134,10 +136,12 @@ def _probes(items: list[tuple[str, np.ndarray]], terms: np.ndarray, counts: np.n
         width = min(window, len(h))
         # rarest first, ties by place; a window with a word that no document has is left out
         key = (n << 32) + np.arange(len(h))
-        for a in range(0, len(h) - width + 1, 100_000):
-            part = key[a : a + 100_000 + width - 1]
-            views = np.lib.stride_tricks.sliding_window_view(part, width)
-            two = np.sort(np.partition(views, min(1, width - 1), axis=1)[:, :2], axis=1)
+        views = np.lib.stride_tricks.sliding_window_view(key, width)
+        first, _ = textops.distinct(textops.gram_hashes(h.view(np.uint64), width), textops.gram_hashes(h.view(np.uint64), width, 1))
+        first = np.sort(first)
+        for a in range(0, len(first), 100_000):
+            two = views[first[a : a + 100_000]]
+            two = np.sort(np.partition(two, min(1, width - 1), axis=1)[:, :2], axis=1)
             two = np.unique(two[two[:, 0] >> 32 > 0], axis=0)
             o1 = two[:, 0] & 0xFFFFFFFF
             o2 = two[:, 1] & 0xFFFFFFFF if width > 1 else np.full(len(two), -1)

@@ -136,7 +136,8 @@ def placed(docs: DataFrame, group_docs: int = GROUP_DOCS, texts: bool = True) ->
     count = docs.count()
     groups = max(1, -(-count // group_docs))
     sized = docs.withColumn("size", F.expr(f"cast(size({word_array()}) as bigint)")).withColumn("_tie", F.xxhash64("text"))
-    sized = (sized if texts else sized.drop("text")).withColumn("_g", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(groups)).cast("int"))
+    # rows without an id are spread by their texts
+    sized = (sized if texts else sized.drop("text")).withColumn("_g", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("_tie")).otherwise(F.xxhash64("doc_id", F.lit(7))), F.lit(groups)).cast("int"))
     sums = sized.groupBy("source", "_g").agg(F.sum("size").alias("n"))
     before = sums.select(F.col("source").alias("_s"), F.col("_g").alias("_h"), F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("source", "_g").orderBy(F.col("doc_id").asc_nulls_last(), "size", "_tie").rowsBetween(Window.unboundedPreceding, -1)

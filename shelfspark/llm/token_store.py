@@ -11,7 +11,7 @@ the shard, shard) and ``index`` (range, before: ids before the range, by sums ov
 ``GROUP_RANGES`` ranges and then over groups). Readers join them; nothing is gathered.
 
 Defined cases: a null or empty text is the end id alone; null doc_ids come last; rows that
-share a doc_id are kept, in the order of their texts; a text longer than a shard is a
+share a doc_id are kept, in the order of a hash of their texts; a text longer than a shard is a
 shard of its own; other columns are ignored; an empty table gives an empty store.
 """
 
@@ -249,7 +249,8 @@ def _encode(path: str, end_id: int, shard_ids: int):
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS, part_bytes: int = corpus.PART_BYTES) -> None:
     """Encode whole texts in ascending doc_id order into a store at ``path`` (a folder that all machines share)."""
     parts = corpus.part_count(corpus.text_bytes(docs), part_bytes)
-    key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"))
+    # rows of one id, and rows without one, are spread by a hash of their texts
+    key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"))
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, key).sortWithinPartitions(key, "text")
     ordered.mapInArrow(corpus.trimmed(_encode(tokenizer, end_id, shard_ids)), SHARD_SCHEMA).write.mode("overwrite").parquet(f"{path}/shards")
     spark = docs.sparkSession

@@ -351,6 +351,17 @@ def test_contamination_equals_brute_force(spark, limit):
     assert got == brute_hits(rows, items)
 
 
+def test_repeated_words_cost_no_more_than_others(spark):
+    rows = [(1, "a " * 100_000), (2, "b " + "a b " * 20_000), (3, "a " * 12), (4, "x " + "a " * 13 + "y")]
+    items = [("runs", "a " * 10_000), ("pairs", "a b " * 3_000), ("mixed", "q r " + "a " * 20 + "s t")]
+    docs, tests = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    decontam.contamination(docs.limit(1), tests.limit(1)).collect()  # start-up
+    began = time.time()
+    got = {r["doc_id"]: (r["items"], [tuple(s) for s in r["spans"]]) for r in decontam.contamination(docs, tests).collect()}
+    assert time.time() - began < 60  # some seconds; quadratic work takes many minutes
+    assert got == {1: (["mixed", "runs"], [(0, 100_000)]), 2: (["pairs"], [(0, 40_001)]), 3: ([], []), 4: (["mixed", "runs"], [(1, 14)])}
+
+
 def test_contamination_of_nothing(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
@@ -415,6 +426,18 @@ def test_token_store_round_trip(spark, tmp_path):
     assert [shard.tokens(i).tolist() for i in range(shard.n)] == [np.frombuffer(got[int(i)].ids, "<u4").tolist() for i in shard.doc_ids]
 
 
+def test_rows_without_an_id_are_spread(spark, tmp_path):
+    df = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("some text "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
+    token_store.write_tokens(df, token_store.default_tokenizer(), f"file://{tmp_path}/nulls", part_bytes=20_000)
+    sizes = [r["n"] for r in spark.read.parquet(f"file://{tmp_path}/nulls/shards").groupBy("range").agg(F.sum("n_ids").alias("n")).collect()]
+    assert len(sizes) >= 8 and max(sizes) <= 3 * sorted(sizes)[len(sizes) // 2]
+    starts = sorted((r.start, r.n_tokens) for r in token_store.read_tokens(spark, f"file://{tmp_path}/nulls").collect())
+    assert len(starts) == 20_000 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
+    groups = mixing.placed(df, group_docs=500, texts=False)
+    first = sorted((r["first"], r["size"]) for r in groups.collect())
+    assert all(a + n == b for (a, n), (b, _) in zip(first, first[1:], strict=False))
+
+
 def test_token_store_of_odd_ids(spark, tmp_path):
     df = spark.createDataFrame([(None, "a"), (5, "b"), (5, "a"), (-3, None)], "doc_id long, text string")
     token_store.write_tokens(df, token_store.default_tokenizer(), f"file://{tmp_path}/odd")

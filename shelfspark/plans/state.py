@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import tables
+from ..sources import pages, tables
 from ..sources.keyed import KeyedTable
 from ..streaming import sessions
 from .queue import STATES
@@ -58,4 +58,17 @@ WATCHED_SQL = f"""WITH RECURSIVE e0 AS (SELECT CAST(user_id AS VARCHAR) job_id,
 SELECT job_id, kind, count(*) AS n, CAST(sum(t % 1000003) AS BIGINT) AS told FROM o GROUP BY 1, 2"""
 
 
-QUERIES = {"keyed_upserts": (upserts, UPSERTS_SQL), "keyed_inserts": (inserts, INSERTS_SQL), "job_watch": (watched, WATCHED_SQL)}
+def deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of 50 jobs in the middle of all, by number, and the 50 after its last job, by key."""
+    jobs = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("created_at"), F.col("event_type").alias("status"))
+    laid = pages.write_pages(jobs, tables.scratch(spark, "jobs"), ("created_at", "id"), 2000)
+    page = laid.page(laid.count() // 100 + 1, 50)
+    last = page.orderBy("created_at", "id").first()
+    return page.unionByName(laid.after((last["created_at"], last["id"]), 50)) if last else page
+
+
+DEEP_SQL = """WITH o AS (SELECT event_id id, CAST(ts AS TIMESTAMP) created_at, event_type status, row_number() OVER (ORDER BY ts DESC, event_id DESC) - 1 rn, count(*) OVER () n FROM events)
+SELECT id, created_at, status FROM o WHERE rn >= (n // 100) * 50 AND rn < (n // 100) * 50 + 100"""
+
+
+QUERIES = {"keyed_upserts": (upserts, UPSERTS_SQL), "keyed_inserts": (inserts, INSERTS_SQL), "job_watch": (watched, WATCHED_SQL), "job_page_deep": (deep_page, DEEP_SQL)}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import chapters, jobs, paths
+from ..operators import chapters, intervals, jobs, paths
 
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _LINE_SQL = ", ".join(LINE_ORDER)
@@ -137,8 +137,30 @@ MERGE_SQL = f"""WITH g AS (SELECT l_orderkey, CAST(sum(CAST(l_quantity AS BIGINT
 SELECT l_orderkey, total_ms, stream_copy, CAST(kb AS BIGINT) AS kbps, CASE WHEN stream_copy THEN 'stream copy' ELSE printf('transcode to AAC %dk at %d Hz', kb, r) END AS plan FROM s"""
 
 
+def span_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each chapter's provider span: lines of a supplier in two orders, end to end by quantity; the span that a chapter overlaps most."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("book"), "l_orderkey", "l_linenumber", "l_partkey", (F.col("l_quantity") * 100).cast("long").alias("ms"))
+
+    def laid(*order: str) -> DataFrame:
+        w = Window.partitionBy("book").orderBy(*order)
+        upto = F.sum("ms").over(w.rowsBetween(Window.unboundedPreceding, 0))
+        return items.select("book", F.row_number().over(w).alias("n"), (upto - F.col("ms")).alias("a"), upto.alias("b"))
+
+    chapters = laid("l_orderkey", "l_linenumber", "l_partkey", "ms").select("book", F.col("n").alias("chapter"), F.col("a").alias("start"), F.col("b").alias("end"))
+    spans = laid("l_partkey", "l_orderkey", "l_linenumber", "ms").select("book", F.col("n").alias("span"), F.col("a").alias("span_start"), F.col("b").alias("span_end"))
+    return intervals.nearest_span(chapters, spans, ["book"], "chapter", "span", ("start", "end"), ("span_start", "span_end"))
+
+
+SPAN_SQL = """WITH i AS (SELECT l_suppkey book, l_orderkey o, l_linenumber n, l_partkey p, CAST(l_quantity * 100 AS BIGINT) ms FROM lineitem),
+ c AS (SELECT book, row_number() OVER w chapter, sum(ms) OVER w - ms a, sum(ms) OVER w b FROM i WINDOW w AS (PARTITION BY book ORDER BY o, n, p, ms ROWS UNBOUNDED PRECEDING)),
+ s AS (SELECT book, row_number() OVER w span, sum(ms) OVER w - ms a, sum(ms) OVER w b FROM i WINDOW w AS (PARTITION BY book ORDER BY p, o, n, ms ROWS UNBOUNDED PRECEDING)),
+ j AS (SELECT c.book, chapter, span, s.a, least(c.b, s.b) - greatest(c.a, s.a) overlap FROM c JOIN s ON c.book = s.book AND c.a < s.b AND s.a < c.b)
+SELECT book, CAST(chapter AS INTEGER) AS chapter, CAST(span AS INTEGER) AS span, CAST(overlap AS BIGINT) AS overlap FROM j QUALIFY row_number() OVER (PARTITION BY book, chapter ORDER BY overlap DESC, a, span) = 1"""
+
+
 QUERIES = {
     "chapter_boundaries": (boundaries, BOUNDARIES_SQL),
+    "chapter_span_match": (span_match, SPAN_SQL),
     "chapter_shift_fixed": (shift_fixed, SHIFT_SQL),
     "chapter_shift_interp": (shift_interpolated, INTERP_SQL),
     "chapter_validity": (validity, VALIDITY_SQL),

@@ -56,15 +56,10 @@ def prune(spark: SparkSession, root: str, keep: int = 2) -> None:
 
 
 def file_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(rel_path, is_dir, size, mtime) of a folder, recursively; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
-    prefix = root.rstrip("/") if "://" in root or root.startswith("file:") else "file:" + root.rstrip("/")
-    rel = F.regexp_replace(F.regexp_replace("path", "^file:/+", "file:/"), "^" + prefix.replace("file:///", "file:/").replace(".", "\\."), "")
-    rows = files.select(F.regexp_replace(rel, "^/", "").alias("rel_path"), F.lit(False).alias("is_dir"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
-    from ..operators.paths import ancestors
-
-    dirs = rows.where(F.contains("rel_path", F.lit("/"))).select(F.explode(ancestors(F.col("rel_path"))).alias("rel_path"), "mtime").groupBy("rel_path").agg(F.max("mtime").alias("mtime"))
-    return rows.unionByName(dirs.select("rel_path", F.lit(True).alias("is_dir"), F.lit(0).cast("long").alias("size"), "mtime"))
+    """(rel_path, is_dir, size, mtime) of a folder, recursively, empty folders too; contents are not read."""
+    from .listing import folder_tree
+
+    return folder_tree(spark, root, junk=True)
 
 
 def tail(spark: SparkSession, path: str, n: int) -> DataFrame:

@@ -54,6 +54,10 @@ _SET = re.compile(
     r"(?<![A-Za-z0-9])(?:api[_ -]?key|apikey|access[_ -]?key|secret[_ -]?key|private[_ -]?key|client[_ -]?secret|secret|auth[_ -]?token|access[_ -]?token|token|password|passwd|pwd|passphrase)[\"']?[ \t]{0,4}(?::=|=>|[:=])[ \t]{0,4}[\"']?([0-9A-Za-z+/_.~=-]{12,512})(?![0-9A-Za-z])",
     re.I,
 )
+#: What a text must hold for a kind to occur in it: looked for first, since most texts lack most of it.
+_DIGIT = re.compile(r"[0-9]")
+_KEY_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_live_", "AIza", "eyJ")
+_SECRET_NAMES = re.compile(r"key|secret|token|passw|passphrase|pwd", re.I)
 _WORD = re.compile(r"[a-z]+")
 _NOT_DIGITS = re.compile(r"[^0-9]+")
 _BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
@@ -138,6 +142,8 @@ def _small(part: str) -> bool:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The contract's base spans, by kind as listed, then start."""
     out = [("email", a, b) for a, b in _emails(text)]
+    if not _DIGIT.search(text):
+        return out
     out += [("ip", *m.span()) for m in _IP.finditer(text) if all(map(_small, m[0].split(".")))]
     out += [("card", *m.span()) for m in _CARD.finditer(text) if 13 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
     if "+" in text:
@@ -147,20 +153,26 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def _added(text: str) -> list[tuple[str, int, int]]:
     out = []
-    for m in _IBAN.finditer(text):
+    digits = _DIGIT.search(text) is not None
+    for m in _IBAN.finditer(text) if digits else ():
         # groups of upper-case words may follow the number: the longest prefix that passes counts
         end = m.end()
         while end - m.start() >= 15 and not mod97(text[m.start() : end]):
             end = text.rfind(" ", m.start(), end)
         if end - m.start() >= 15:
             out.append(("iban", m.start(), end))
-    out += [("ssn", *m.span()) for m in _SSN.finditer(text)]
-    out += [("phone_local", *m.span()) for m in _LOCAL.finditer(text)]
+    if digits:
+        out += [("ssn", *m.span()) for m in _SSN.finditer(text)]
+        out += [("phone_local", *m.span()) for m in _LOCAL.finditer(text)]
     if ":" in text:
         out += [("ipv6", *m.span()) for m in _IPV6.finditer(text) if _ipv6(m[0])]
-    out += [("mac", *m.span()) for m in _MAC.finditer(text)]
-    out += [("coin", *m.span()) for m in _COIN.finditer(text) if coin(m[0])]
-    secrets = [m.span() for m in _KEYS.finditer(text)] + [m.span(1) for m in _SET.finditer(text) if varied(m[1])]
+    if text.count(":") >= 5 or text.count("-") >= 5:
+        out += [("mac", *m.span()) for m in _MAC.finditer(text)]
+    if digits:
+        out += [("coin", *m.span()) for m in _COIN.finditer(text) if coin(m[0])]
+    secrets = [m.span() for m in _KEYS.finditer(text)] if any(x in text for x in _KEY_STARTS) else []
+    if ("=" in text or ":" in text) and _SECRET_NAMES.search(text):
+        secrets += [m.span(1) for m in _SET.finditer(text) if varied(m[1])]
     at = 0
     while m := _BLOCK_START.search(text, at):
         end = _BLOCK_END.search(text, m.end())

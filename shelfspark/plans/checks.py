@@ -27,16 +27,6 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGIONS_SQL = """SELECT p_partkey, ['english', 'english', 'german', 'french', 'japanese', 'italian', 'spanish', 'english', '', ''][p_partkey % 10 + 1] AS lang, ['us', 'uk', 'de', 'fr', 'jp', 'it', 'es', 'in', 'us', 'us'][p_partkey % 10 + 1] AS region, p_partkey % 2 = 0 AS letter FROM part"""
 
 
-def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The categories with their kinds."""
-    return spark.createDataFrame(list(genres.CATEGORIES), "name string, given string").select("name", genres.category_kind(F.col("name")).alias("kind"))
-
-
-VOCABULARY_SQL = """SELECT * FROM (VALUES ('Arts & Entertainment', 'nonfiction'), ('Biographies & Memoirs', 'nonfiction'), ('Business & Careers', 'nonfiction'), ('Children''s Audiobooks', ''), ('Comedy & Humor', ''), ('Computers & Technology', 'nonfiction'), ('Education & Learning', 'nonfiction'), ('Erotica', 'fiction'),
- ('Health & Wellness', 'nonfiction'), ('History', 'nonfiction'), ('Home & Garden', 'nonfiction'), ('LGBTQ+', ''), ('Literature & Fiction', 'fiction'), ('Money & Finance', 'nonfiction'), ('Mystery, Thriller & Suspense', 'fiction'), ('Politics & Social Sciences', 'nonfiction'),
- ('Relationships, Parenting & Personal Development', 'nonfiction'), ('Religion & Spirituality', 'nonfiction'), ('Romance', 'fiction'), ('Science & Engineering', 'nonfiction'), ('Science Fiction & Fantasy', 'fiction'), ('Sports & Outdoors', 'nonfiction'), ('Teen & Young Adult', ''), ('Travel & Tourism', 'nonfiction')) t("name", kind)"""
-
-
 def server_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _part(spark, sf_dir)
     k = F.col("p_partkey").cast("string")
@@ -125,9 +115,53 @@ def selected_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
 SIDECARS_SQL = """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 2 = 0 THEN 'starts out of order' END AS reason, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 2 = 1 THEN CAST(p_size * 1000 AS BIGINT) END AS last_end, CAST((p_size * 1000 + 30000) // 60000 AS BIGINT) AS minutes FROM part"""
 
 
+BOOK_TEMPLATE = "{author}/{series_name}/{Book series_position:00 - }{title} ({year}) [{asin}]"
+
+
+def preview_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a template makes of each stored book: parts as records with lists of authors, some empty."""
+    k = F.col("p_partkey")
+    hole = lambda n, c: F.when(k % n == 0, "").otherwise(c)
+    given = {"title": F.col("p_name"), "series_name": hole(3, F.col("p_type")), "series_position": hole(2, F.col("p_size").cast("string")), "year": hole(5, F.lit("2020")), "asin": hole(7, F.lit("B0"))}
+    record = F.struct(*[given.get(n, F.lit("")).alias(n) for n in template.VARIABLES if n not in ("author", "narrator")], F.when(k % 4 == 0, F.array().cast("array<string>")).otherwise(F.array("p_brand", F.lit("Other"))).alias("authors"), F.array().cast("array<string>").alias("narrators"))
+    books = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", record.alias("book"))
+    return books.select("p_partkey", F.concat(template.rendered(BOOK_TEMPLATE, template.book_variables(F.col("book"))), F.lit(".m4b")).alias("path"))
+
+
+PREVIEW_BOOKS_SQL = """SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_brand || '/' END || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_type || '/' END || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'Book ' || CASE WHEN p_size < 10 THEN '0' ELSE '' END || p_size || ' - ' END || p_name
+ || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE ' (2020)' END || CASE WHEN p_partkey % 7 = 0 THEN '' ELSE ' [B0]' END || '.m4b' AS path FROM part"""
+
+
+def category_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each category of the vocabulary with its kind and how many stored books carry it, unused ones too."""
+    names = F.array(*[F.lit(n) for n, _ in genres.CATEGORIES])
+    carried = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.try_element_at(names, (F.col("p_size") % F.lit(len(genres.CATEGORIES) + 5) + 1).cast("int")).alias("name"))
+    used = carried.where("name is not null").groupBy("name").agg(F.count("*").alias("books"))
+    listed = spark.range(1).select(F.explode(names).alias("name")).withColumn("kind", genres.category_kind(F.col("name")))
+    return listed.join(used, "name", "left").select("name", "kind", F.coalesce("books", F.lit(0)).alias("books"))
+
+
+_CATEGORY_ROWS = ", ".join("({}, '{}', '{}')".format(i, n.replace("'", "''"), k) for i, (n, k) in enumerate(genres.CATEGORIES))
+USAGE_SQL = f"""WITH c(i, "name", kind) AS (VALUES {_CATEGORY_ROWS}), u AS (SELECT p_size % {len(genres.CATEGORIES) + 5} i, count(*) n FROM part GROUP BY 1)
+SELECT "name", kind, coalesce(n, 0) AS books FROM c LEFT JOIN u USING (i)"""
+
+
+def source_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many customers' settings share one catalog client: provider by segment, address by nation, region by key."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    regions = F.array(*[F.lit(r) for r in ("us", "uk", "de")])
+    rows = c.select(F.lower("c_mktsegment").alias("metadata_provider"), F.concat(F.lit("https://n"), F.col("c_nationkey").cast("string"), F.repeat(F.lit("/"), (F.col("c_custkey") % 3).cast("int"))).alias("audnexus_url"), F.element_at(regions, (F.col("c_custkey") % 3 + 1).cast("int")).alias("region_default"))
+    return settings.source_key(rows).groupBy("client").agg(F.count("*").alias("users"))
+
+
+CLIENTS_SQL = "SELECT lower(c_mktsegment) || '|https://n' || c_nationkey || '|' || ['us', 'uk', 'de'][c_custkey % 3 + 1] AS client, count(*) AS users FROM customer GROUP BY 1"
+
+
 QUERIES = {
+    "template_preview": (preview_books, PREVIEW_BOOKS_SQL),
+    "source_clients": (source_clients, CLIENTS_SQL),
     "region_lookup": (regions, REGIONS_SQL),
-    "category_vocabulary": (vocabulary, VOCABULARY_SQL),
+    "category_vocabulary": (category_usage, USAGE_SQL),
     "server_items": (server_items, ITEMS_SQL),
     "chapter_texts": (chapter_texts, CHAPTER_TEXTS_SQL),
     "shift_texts": (shift_texts, SHIFT_TEXTS_SQL),

@@ -64,19 +64,6 @@ SETTINGS_ROWS_SQL = """WITH s AS (SELECT s_suppkey k FROM supplier), g AS (SELEC
 SELECT key, value, count(*) AS stores FROM r GROUP BY 1, 2"""
 
 
-def template_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four templates on the two samples."""
-    shown = ["{author}/{title}", "{author}/{series_name}/{Book series_position:00 - }{title}/{title} [{asin}]", "{narrator} ({year})", "{series_name}"]
-    one = spark.range(1)
-    out = [one.select(F.lit(t).alias("template"), settings.preview(t)["series"].alias("series"), settings.preview(t)["standalone"].alias("standalone")) for t in shown]
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
-
-
-PREVIEW_SQL = """SELECT * FROM (VALUES ('{author}/{title}', 'J.K. Rowling/Harry Potter and the Sorcerer''s Stone.m4b', 'Andy Weir/Project Hail Mary.m4b'),
- ('{author}/{series_name}/{Book series_position:00 - }{title}/{title} [{asin}]', 'J.K. Rowling/Harry Potter/Book 01 - Harry Potter and the Sorcerer''s Stone/Harry Potter and the Sorcerer''s Stone [B017V4IM1G].m4b', 'Andy Weir/Project Hail Mary/Project Hail Mary [B08G9PRS1K].m4b'),
- ('{narrator} ({year})', 'Jim Dale (2015).m4b', 'Ray Porter (2021).m4b'), ('{series_name}', 'Harry Potter.m4b', NULL)) t("template", series, standalone)"""
-
-
 def _params(pairs: dict):
     return F.map_from_arrays(F.array(*[F.lit(k) for k in pairs]), F.array(*pairs.values()))
 
@@ -349,7 +336,6 @@ SELECT user_id AS job_id, CAST(sum(n) AS BIGINT) AS pings FROM p GROUP BY 1 HAVI
 QUERIES = {
     "settings_typed": (settings_typed, SETTINGS_SQL),
     "settings_save": (settings_rows, SETTINGS_ROWS_SQL),
-    "template_preview": (template_preview, PREVIEW_SQL),
     "request_overrides": (request_overrides, OVERRIDES_SQL),
     "request_shift": (request_shift, SHIFT_SQL),
     "request_choice": (request_choice, CHOICE_SQL),

@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.operators import chapters, fuse, genres, jobs, match, paths, template
+from shelfspark.operators import chapters, fuse, genres, jobs, match, paths, settings, template
 
 C = F.col
 
@@ -270,3 +270,21 @@ def test_jobs(spark):
     again = jobs.retries(df, spark.createDataFrame([("c",), ("a",)], "id string"), t).collect()
     assert [(r.status, r.error) for r in again] == [("pending", None)] and again[0].id != "c"
     assert jobs.history(df).count() == 2
+
+
+def test_template_previews_of_the_samples(spark):
+    want = {
+        "{author}/{title}": ("J.K. Rowling/Harry Potter and the Sorcerer's Stone.m4b", "Andy Weir/Project Hail Mary.m4b"),
+        "{author}/{series_name}/{Book series_position:00 - }{title}/{title} [{asin}]": ("J.K. Rowling/Harry Potter/Book 01 - Harry Potter and the Sorcerer's Stone/Harry Potter and the Sorcerer's Stone [B017V4IM1G].m4b", "Andy Weir/Project Hail Mary/Project Hail Mary [B08G9PRS1K].m4b"),
+        "{narrator} ({year})": ("Jim Dale (2015).m4b", "Ray Porter (2021).m4b"),
+        "{series_name}": ("Harry Potter.m4b", None),
+    }
+    for made, both in want.items():
+        shown = settings.preview(made)
+        assert tuple(spark.range(1).select(shown["series"], shown["standalone"]).first()) == both
+
+
+def test_process_config():
+    known = settings.process_config({"PORT": "90", "DEV": "True", "INPUT_DIR": " /books ", "OUTPUT_DIR": ""})
+    assert (known["port"], known["dev"], known["input_dir"], known["output_dir"]) == (90, True, "/books", "/output")
+    assert settings.process_config({"PORT": "x1", "DEV": "no"})["port"] == 8684 and settings.process_config({})["dev"] is False

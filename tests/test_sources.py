@@ -230,3 +230,25 @@ def test_states_by_batches(spark, tmp_path):
     query = source.writeStream.foreachBatch(events.state_upserter(root)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert {(r.job_id, r.status) for r in KeyedTable(spark, root, "job_id string, status string, ts timestamp", ("job_id",)).read().collect()} == {("a", "done"), ("b", "error")}
+
+
+def test_polling_finds_new_files_and_keeps_to_its_tasks(spark, tmp_path):
+    seen = []
+
+    def apply(batch, number):
+        seen.append((number, batch.rdd.getNumPartitions(), sorted(r["job_id"] for r in batch.collect())))
+
+    def add(*names):
+        spark.createDataFrame([(n, None, None, None, None, None, None) for n in names], events.EVENT).repartition(8).write.mode("append").parquet(str(tmp_path / "in"))
+
+    add(*[f"j{i}" for i in range(40)])
+    source = spark.readStream.schema(events.EVENT).parquet(str(tmp_path / "in"))
+    query = events.polled(source, apply, str(tmp_path / "cp"), every="1 second", most=3)
+    try:
+        query.processAllAvailable()
+        add("late")
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert [x[2] for x in seen] == [sorted(f"j{i}" for i in range(40)), ["late"]]
+    assert all(tasks <= 3 for _, tasks, _ in seen)

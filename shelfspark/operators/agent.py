@@ -40,10 +40,11 @@ def evidence(files: DataFrame, hints: DataFrame, key: str = "book") -> DataFrame
         first_path.alias("first_path"),
         F.when(F.count_if(F.coalesce(F.col("duration_ms") <= 0, F.lit(True))) == 0, F.sum("duration_ms")).otherwise(0).cast("long").alias("total_ms"),
     )
-    first = F.replace(F.col("first_path"), F.lit("\\"), F.lit("/"))
+    rows = rows.withColumn("first_path", F.replace("first_path", F.lit("\\"), F.lit("/")))
+    rows = rows.withColumn("tokens", paths.path_tokens(F.col("first_path")))
+    first, tokens = F.col("first_path"), F.col("tokens")
     folder = text.base_name(paths.parent(first))
     name = F.when(F.col("files") == 1, text.base_name(first)).when(F.contains(first, F.lit("/")), folder).otherwise(first)
-    tokens = paths.path_tokens(first)
     out = rows.join(hints, key, "left")
     return out.select(
         key,

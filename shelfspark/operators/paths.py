@@ -145,9 +145,13 @@ def path_tokens(path: Column) -> Column:
     """struct(id, region): the bracketed catalog id and region nearest the file."""
     inner = F.reverse(F.split(path, "/"))
     found = F.flatten(F.transform(inner, lambda c: F.regexp_extract_all(c, F.lit("\\[([A-Za-z0-9]+)\\]"), F.lit(1))))
-    ident = F.try_element_at(F.filter(found, text.catalog_id_token), F.lit(1))
-    region = F.try_element_at(F.filter(F.transform(found, F.lower), lambda t: t.isin("us", "uk", "au", "ca", "in", "de", "fr", "es", "it", "jp")), F.lit(1))
-    return F.struct(F.coalesce(ident, F.lit("")).alias("id"), F.coalesce(region, F.lit("")).alias("region"))
+
+    def told(found: Column) -> Column:
+        ident = F.try_element_at(F.filter(found, text.catalog_id_token), F.lit(1))
+        region = F.try_element_at(F.filter(F.transform(found, F.lower), lambda t: t.isin("us", "uk", "au", "ca", "in", "de", "fr", "es", "it", "jp")), F.lit(1))
+        return F.struct(F.coalesce(ident, F.lit("")).alias("id"), F.coalesce(region, F.lit("")).alias("region"))
+
+    return text.let(found, told)
 
 
 def typed_tokens(typed: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import clock
+from ..functions import clock, text
 from ..operators import chapters, requests, settings
 from ..streaming import events as stream
 
@@ -84,9 +84,10 @@ def request_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
     ms = (k * 977 - 2_000_000).cast("string")
     sent = _params({"shift_mode": F.when(k % 3 == 0, "interp").otherwise("fixed"), "shift": F.when(k % 5 == 0, "soon").otherwise(ms), "shift_from_idx": F.when(k % 2 == 0, " 2 ").otherwise("x"), "shift_from_ms": ms, "shift_to_idx": F.lit("9"), "shift_to_ms": F.lit("99999999")})
-    spec = F.when(k % 7 == 0, F.lit(None)).otherwise(requests.shift_spec(sent))
+    spec = F.when(k % 7 == 0, F.lit(None)).otherwise(text.let(sent, requests.shift_spec))
     spec = F.coalesce(spec, requests.shift_spec(F.create_map().cast("map<string,string>")))
-    used = settings.effective_shift(spec, F.when(k % 14 == 0, F.lit(1500)))
+    used = F.col("used")  # made once, read field by field
+    e = e.select("event_id", text.let(spec, lambda s: settings.effective_shift(s, F.when(k % 14 == 0, F.lit(1500)))).alias("used"))
     return e.select("event_id", used["mode"].alias("mode"), used["fixed_ms"].alias("fixed_ms"), used["from_idx"].cast("long").alias("from_idx"), used["from_ms"].alias("from_ms"), used["to_ms"].alias("to_ms"), chapters.shift_is_zero(used["mode"], used["fixed_ms"], used["from_ms"], used["to_ms"]).alias("nothing"))
 
 

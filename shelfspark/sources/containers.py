@@ -112,7 +112,8 @@ def _with_duration(body: bytes, between: int, ticks: int) -> bytes:
 def repaired(movie: bytes, start: int = 0) -> bytes | None:
     """A movie box whose wrapped durations are written out in 64 bits; null where none wrapped.
 
-    ``start`` is where the box stands in its file: chunks behind it move by as much as it grows.
+    ``start`` is where the box stands in its file: chunks behind it move by as much as it grows. An error where a moved chunk's place
+    no longer fits in its 32 bits.
     """
     nested = _PARENTS - {b"udta", b"ilst"}
     header = {}
@@ -156,6 +157,8 @@ def repaired(movie: bytes, start: int = 0) -> bytes | None:
             elif kind in (b"stco", b"co64") and shift:
                 code = ">I" if kind == b"stco" else ">Q"
                 offsets = [o[0] + shift * (o[0] >= start + len(movie)) for o in struct.iter_unpack(code, body[8:])]
+                if code == ">I" and max(offsets, default=0) >= WRAP:
+                    raise ValueError("a chunk offset no longer fits in 32 bits")
                 body = body[:8] + b"".join(struct.pack(code, o) for o in offsets)
             out.append(_box(kind, body))
         return b"".join(out)

@@ -128,6 +128,8 @@ def test_wrapped_durations_are_written_out():
     assert grown == 3 * 12 and struct.pack(">IIII", 0, 2, 100, 5000 + grown) in fixed  # only the chunk behind the box moved
     assert b"rest" in fixed and b"tail" in fixed and struct.pack(">Q", wrapped) in fixed
     assert containers.repaired(fixed) is None and containers.repaired(movie(23_220, 1000)[12:]) is None
+    with pytest.raises(ValueError, match="no longer fits"):
+        containers.repaired(movie_bytes.replace(struct.pack(">IIII", 0, 2, 100, 5000), struct.pack(">IIII", 0, 2, 100, 2**32 - 5)), start=24)
 
 
 def test_a_large_file_is_read_by_seeks(tmp_path):

@@ -1,7 +1,7 @@
 """The job table: counts, pages, claims, states, upserts.
 
-Tables are rewritten, not updated: changes meet the stored rows in one full outer join on
-the key, and the result replaces the table under a new version (``sources.tables``).
+Changes meet the stored rows in one full outer join on the key. ``sources.store`` applies them to the buckets of
+the keys that change.
 """
 
 from __future__ import annotations

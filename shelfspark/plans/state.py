@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import pages, tables
+from ..sources import pages, store, tables
 from ..sources.keyed import KeyedTable
 from ..streaming import sessions
 from .queue import STATES
@@ -71,4 +71,24 @@ DEEP_SQL = """WITH o AS (SELECT event_id id, CAST(ts AS TIMESTAMP) created_at, e
 SELECT id, created_at, status FROM o WHERE rn >= (n // 100) * 50 AND rn < (n // 100) * 50 + 100"""
 
 
-QUERIES = {"keyed_upserts": (upserts, UPSERTS_SQL), "keyed_inserts": (inserts, INSERTS_SQL), "job_watch": (watched, WATCHED_SQL), "job_page_deep": (deep_page, DEEP_SQL)}
+def store_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs of all events: added twice, then moved by a rule on their ids, the last move twice; one kind and path a job of each user and type is active."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    k = F.col("event_id")
+    wanted = e.select(k.alias("id"), F.col("event_type").alias("kind"), F.concat(F.col("user_id").cast("string"), F.lit("/"), (k % 50).cast("string")).alias("path"), F.lit("{}").alias("options"), F.col("ts").cast("timestamp").alias("created_at"))
+    kept = store.Store(spark, tables.scratch(spark, "store"), 16)
+    kept.add(wanted)
+    kept.add(wanted)
+    moved = lambda status: e.select(k.alias("id"), status.alias("status"), F.col("ts").cast("timestamp").alias("at"), F.when(status == "error", "failed").alias("error")).where("status is not null")
+    kept.move(moved(F.when(k % 4 < 2, "running").when(k % 4 == 2, "cancelled").otherwise("done")))
+    for _ in range(2):
+        kept.move(moved(F.when(k % 4 == 0, "done").when(k % 4 == 1, "error").otherwise("running")))
+    return kept.jobs.read().groupBy("kind", "status").agg(F.count("*").alias("n"), F.count("started_at").alias("started"), F.count("finished_at").alias("ended"), F.count("error").alias("errors"), F.sum("id").alias("ids"))
+
+
+STORE_SQL = """WITH j AS (SELECT event_id k, event_type kind FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id, event_id % 50 ORDER BY ts, event_id) = 1),
+ s AS (SELECT kind, k, CASE k % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'error' WHEN 2 THEN 'cancelled' ELSE 'running' END status FROM j)
+SELECT kind, status, count(*) AS n, count(*) FILTER (status <> 'cancelled') AS started, count(*) FILTER (status <> 'running') AS ended, count(*) FILTER (status = 'error') AS errors, CAST(sum(k) AS BIGINT) AS ids FROM s GROUP BY 1, 2"""
+
+
+QUERIES = {"keyed_upserts": (upserts, UPSERTS_SQL), "keyed_inserts": (inserts, INSERTS_SQL), "job_watch": (watched, WATCHED_SQL), "job_page_deep": (deep_page, DEEP_SQL), "store_jobs": (store_jobs, STORE_SQL)}

@@ -44,14 +44,19 @@ END_ID = 2
 CACHE_PIECES, CACHE_BYTES = 400_000, 64
 
 
+#: Words of 64 bits of the upper part that share a count of what is before them.
+RANK_WORDS = 8
+
+
 class EliasFano:
     """An ascending sequence of non-negative integers."""
 
     def __init__(self, n: int, low_bits: int, low: bytes, high: bytes):
         self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        words = np.frombuffer(high.ljust(-(-len(high) // 8) * 8, b"\0"), "<u8")
-        self._words = words
-        self._before = np.concatenate([[0], np.cumsum(np.bitwise_count(words).astype(np.int64))])
+        words = np.frombuffer(high.ljust(-(-len(high) // (8 * RANK_WORDS)) * 8 * RANK_WORDS, b"\0"), "<u8")
+        self._words = words.reshape(-1, RANK_WORDS)
+        # ones before each run of RANK_WORDS words: an eighth of a bit a bit
+        self._before = np.concatenate([[0], np.cumsum(np.bitwise_count(self._words).sum(axis=1, dtype=np.int64))])
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -65,20 +70,34 @@ class EliasFano:
         up[(v >> np.uint64(l)).astype(np.int64) + np.arange(n)] = 1
         return cls(n, l, low, np.packbits(up, bitorder="little").tobytes())
 
-    def _low(self, i: int) -> int:
-        a, b = i * self.low_bits, (i + 1) * self.low_bits
-        return int.from_bytes(self.low[a // 8 : -(-b // 8)], "little") >> a % 8 & (1 << self.low_bits) - 1
+    def _lows(self, index: np.ndarray) -> np.ndarray:
+        bit = index[:, None] * self.low_bits + np.arange(self.low_bits)
+        low = np.frombuffer(self.low, np.uint8)
+        return ((low[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
+
+    def selects(self, index: np.ndarray) -> np.ndarray:
+        """The values at some places: the run of the upper bits from the counts, its word, and the bit in it."""
+        index = np.asarray(index, np.int64)
+        if len(index) and not (0 <= index.min() and index.max() < self.n):
+            raise IndexError("no such place")
+        run = np.searchsorted(self._before, index, "right") - 1
+        words = self._words[run]
+        upto = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
+        rest = index - self._before[run]
+        at = (upto <= rest[:, None]).sum(axis=1)
+        row = np.arange(len(index))
+        rest -= np.where(at > 0, upto[row, at - 1], 0)
+        word = words[row, np.minimum(at, RANK_WORDS - 1)].copy()
+        for k in range(int(rest.max(initial=0))):  # 63 at most
+            more = rest > k
+            word[more] &= word[more] - np.uint64(1)
+        bit = np.bitwise_count((word & (~word + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        high = (run * RANK_WORDS + at) * 64 + bit - index
+        return high << self.low_bits | (self._lows(index) if self.low_bits else 0)
 
     def select(self, i: int) -> int:
         """The i-th value."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        w = int(np.searchsorted(self._before, i, "right")) - 1
-        word = int(self._words[w])
-        for _ in range(i - int(self._before[w])):
-            word &= word - 1
-        at = w * 64 + (word & -word).bit_length() - 1
-        return at - i << self.low_bits | self._low(i)
+        return int(self.selects(np.array([i]))[0])
 
     def values(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
@@ -269,7 +288,7 @@ def _read(with_ids: bool):
         for batch in batches:
             for part, base, raw in zip(batch.column("range").to_pylist(), batch.column("base").to_pylist(), batch.column("shard"), strict=True):
                 shard = Shard(raw.as_py())
-                ends = shard.ends.values()
+                ends = shard.ends.selects(np.arange(shard.n))
                 starts = np.concatenate([[0], ends[:-1]])
                 tokens = (shard._ids[a:b].astype("<u4").tobytes() for a, b in zip(starts, ends, strict=True))
                 body = pa.array(list(tokens), pa.binary()) if with_ids else pa.array([zlib.crc32(t) for t in tokens], pa.int64())

@@ -258,8 +258,10 @@ class Page:
         visible = every[0]
         total = self.total_words()
         articles = [e for e in range(1, n) if self.tags[e] in CONTENT and not hidden[e] and total[e] and outside[0] - outside[e] <= max(TEASER_WORDS, 3 * total[e])]
-        articles = [e for e in articles if not any(self.tags[x] in ("aside", "nav", "footer") for x in self._around(e))] if len(articles) < 50 else articles[:1]
-        article = max(articles, key=lambda e: (total[e], -e), default=0)
+        beside = [False] * n  # inside an aside, nav or footer
+        for e in range(1, n):
+            beside[e] = beside[self.parent[e]] or self.tags[self.parent[e]] in ("aside", "nav", "footer")
+        article = max((e for e in articles if not beside[e]), key=lambda e: (total[e], -e), default=0)
         holds = {article, *self._around(article)} if article else set()
         fixed = ("nav", "aside", "footer", "menu", "button", "select", "dialog", "header")
         lowest, box, inside = [0.0] * n, [0] * n, [False] * n

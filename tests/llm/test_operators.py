@@ -200,6 +200,12 @@ def test_a_teaser_is_not_the_article():
     assert html_extract.extract(page).endswith("\n".join(["The title of it", *[WORDS80] * 4]))
 
 
+def test_the_largest_of_many_articles_counts():
+    cards = "".join(f"<article><p>card {i}</p></article>" for i in range(80))
+    page = f"<body><div>{cards}</div><article><h1>The one</h1><p>{WORDS80}</p></article><aside><article><p>{WORDS80} {WORDS80}</p></article></aside></body>"
+    assert html_extract.extract(page) == "The one\n" + WORDS80
+
+
 class Plain(html.parser.HTMLParser):
     """A brute-force reading of pages with one article: its text outside nav, aside and advert boxes, block by block."""
 

@@ -77,13 +77,13 @@ def scored(pairs: DataFrame) -> DataFrame:
     return out.withColumn("score", points.cast("int")).withColumn("runtime_band", F.col("_b.band")).withColumn("runtime_delta", F.col("_b.delta")).drop("_b")
 
 
-def ranked(scores: DataFrame, key: str) -> DataFrame:
+def ranked(scores: DataFrame, key: str | list[str]) -> DataFrame:
     """Adds rank (1 is best, stable) and the runner-up's score and band of each key."""
     w = Window.partitionBy(key).orderBy(F.desc("score"), F.asc("pos"))
     return scores.withColumn("rank", F.row_number().over(w)).withColumn("next_score", F.lead("score").over(w)).withColumn("next_band", F.lead("runtime_band").over(w))
 
 
-def top(scores: DataFrame, key: str, k: int = MAX_ROWS) -> DataFrame:
+def top(scores: DataFrame, key: str | list[str], k: int = MAX_ROWS) -> DataFrame:
     """The best ``k`` of each key with their rank; the limit is applied before the exchange."""
     w = Window.partitionBy(key).orderBy(F.desc("score"), F.asc("pos"))
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -125,7 +125,7 @@ def strictly_decreasing(rows: DataFrame, key: str, order: list[Column], wanted:
     return numbered.withColumn("shown", F.greatest(F.lit(1), least - F.col("_i")).cast("int")).drop("_i")
 
 
-def first_plan_with_hits(hits: DataFrame, key: str, plan: str = "plan_no") -> DataFrame:
+def first_plan_with_hits(hits: DataFrame, key: str | list[str], plan: str = "plan_no") -> DataFrame:
     """Rows of each key's first search plan that found anything."""
     return hits.withColumn("_first", F.min(plan).over(Window.partitionBy(key))).where(F.col(plan) == F.col("_first")).drop("_first")
 

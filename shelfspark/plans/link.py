@@ -15,20 +15,28 @@ from ..functions import text
 from ..operators import match
 
 CANDIDATES = 25
+#: Places of a type that one group of ``_pairs`` takes, besides ``CANDIDATES`` of its neighbours' at either end.
+BLOCK = 1000
+#: What ranks the candidates of a hint: with its block, so that rows stay where ``_pairs`` made them.
+HINT = ["hint_language", "block", "q_id"]
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hint and candidate rows. The nearest parts of a type are nearest by place in its key order too, so a hint meets
-    ``CANDIDATES`` places on either side, by equality, and keeps the nearest."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    """Hint and candidate rows. The nearest parts of a type are nearest by place in its key order too, so a hint's are among
+    ``CANDIDATES`` places on either side: a window over blocks of places, each with its neighbours' edges. Nothing is joined, so
+    no side of a join can be taken for small by the size of its file."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_type", "p_size").where("p_type is not null")
     part = part.withColumn("b", F.row_number().over(Window.partitionBy("p_type").orderBy("p_partkey")))
-    hints = part.select(
-        F.col("p_partkey").alias("q_id"), F.col("p_name").alias("hint_title"), F.col("p_brand").alias("hint_author"), (F.col("p_size") * 10).alias("hint_runtime"), F.col("p_type").alias("hint_language"), F.explode(F.sequence(F.col("b") - CANDIDATES, F.col("b") + CANDIDATES)).alias("b")
-    )
-    candidates = part.select(F.col("p_partkey").alias("c_id"), F.col("p_name").alias("title"), F.array("p_brand").alias("authors"), (F.col("p_size") * 10 + F.col("p_partkey") % 3 - 1).cast("int").alias("runtime_min"), F.col("p_type").alias("language"), "b")
-    pairs = hints.join(candidates.withColumn("hint_language", F.col("language")), ["hint_language", "b"]).drop("b")
-    w = Window.partitionBy("q_id").orderBy(F.abs(F.col("c_id") - F.col("q_id")), "c_id")
-    return pairs.withColumn("pos", (F.row_number().over(w) - 1)).where(F.col("pos") < CANDIDATES)
+    reach = F.sequence(F.floor((F.col("b") - CANDIDATES) / BLOCK), F.floor((F.col("b") + CANDIDATES) / BLOCK))
+    # as many parts as the session shuffles into: rows grow by ``CANDIDATES`` after this, which their size before does not tell
+    dealt = part.withColumn("block", F.explode(reach)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_type", "block")
+    candidate = F.struct(F.col("p_partkey").alias("c_id"), F.col("p_name").alias("title"), F.array("p_brand").alias("authors"), (F.col("p_size") * 10 + F.col("p_partkey") % 3 - 1).cast("int").alias("runtime_min"))
+    around = F.collect_list(candidate).over(Window.partitionBy("p_type", "block").orderBy("b").rowsBetween(-CANDIDATES, CANDIDATES))
+    near = F.array_sort(F.transform("around", lambda c: F.struct(F.abs(c["c_id"] - F.col("p_partkey")).alias("d"), c["c_id"].alias("c_id"), c.alias("c"))))
+    home = dealt.withColumn("around", around).where(F.col("block") == F.floor(F.col("b") / BLOCK))
+    hint = [F.col("p_partkey").alias("q_id"), F.col("p_name").alias("hint_title"), F.col("p_brand").alias("hint_author"), (F.col("p_size") * 10).alias("hint_runtime"), F.col("p_type").alias("hint_language"), "block"]
+    pairs = home.select(*hint, F.posexplode(F.slice(near, 1, CANDIDATES)).alias("pos", "near"))
+    return pairs.select("q_id", "hint_title", "hint_author", "hint_runtime", "hint_language", "block", "near.c.*", F.col("hint_language").alias("language"), "pos")
 
 
 _PAIRS_SQL = f"""
@@ -54,7 +62,7 @@ _PAIRS_SQL = f"""
 
 
 def top_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = match.top(match.scored(_pairs(spark, sf_dir)), "q_id")
+    best = match.top(match.scored(_pairs(spark, sf_dir)), HINT)
     return best.select("q_id", "c_id", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("place"), "runtime_band", F.col("runtime_delta").cast("long").alias("runtime_delta"))
 
 
@@ -64,7 +72,7 @@ FROM ranked WHERE "rank" <= {match.MAX_ROWS}"""
 
 
 def auto_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = match.accepted(match.ranked(match.scored(_pairs(spark, sf_dir)), "q_id"))
+    out = match.accepted(match.ranked(match.scored(_pairs(spark, sf_dir)), HINT))
     return out.select("q_id", "c_id", "accepted")
 
 
@@ -74,7 +82,7 @@ FROM ranked WHERE "rank" = 1"""
 
 
 def lenient_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = match.leniently_accepted(match.ranked(match.scored(_pairs(spark, sf_dir)), "q_id"))
+    out = match.leniently_accepted(match.ranked(match.scored(_pairs(spark, sf_dir)), HINT))
     return out.select("q_id", "c_id", "accepted")
 
 
@@ -84,7 +92,7 @@ FROM ranked WHERE "rank" = 1"""
 
 
 def display_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = match.top(match.scored(_pairs(spark, sf_dir)), "q_id")
+    best = match.top(match.scored(_pairs(spark, sf_dir)), HINT)
     sure = F.col("score") >= 120
     return best.select("q_id", "c_id", match.display_score(F.col("rank"), F.col("score"), sure).cast("long").alias("shown"))
 
@@ -191,7 +199,7 @@ def nearest_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The six nearest editions: by the hint's author where that finds any, else by all."""
     pairs = _pairs(spark, sf_dir)
     plans = pairs.withColumn("plan_no", F.when(F.array_contains("authors", F.col("hint_author")) & (F.col("c_id") != F.col("q_id")), 0).otherwise(1)).where("c_id <> q_id")
-    best = match.top(match.scored(match.first_plan_with_hits(plans, "q_id")), "q_id", 6)
+    best = match.top(match.scored(match.first_plan_with_hits(plans, HINT)), HINT, 6)
     return best.select("q_id", "c_id", F.col("rank").cast("long").alias("place"))
 
 

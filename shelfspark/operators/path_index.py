@@ -104,22 +104,24 @@ def search(index: PathIndex, query: str, cap: int = paths.SEARCH_CAP) -> DataFra
 def search_many(index: PathIndex, queries: DataFrame, lists: int = LISTS) -> DataFrame:
     """(query, entry columns): all entries that match each of the queries (query); junk and plain files too.
 
-    Each query looks up its ``lists`` rarest trigrams; a trigram that many queries share is read once.
+    Each query looks up its ``lists`` rarest trigrams; a trigram that many queries share is read once. Lists and entries
+    compress so well that the sizes of their files and shuffles say little, so joins are told to merge, never to broadcast them.
     """
-    distinct = queries.select("query").where(F.col("query").isNotNull()).distinct()
-    terms = F.filter(F.split(F.lower(F.trim("query")), "[\\t\\n\\x0B\\f\\r ]+"), lambda t: t != "")
-    q = distinct.withColumn("terms", terms).where(F.size("terms") > 0).withColumn("grams", F.array_distinct(F.flatten(F.transform("terms", lambda t: grams(t, SIZE)))))
+    terms = lambda q: F.filter(F.split(F.lower(F.trim(q)), "[\\t\\n\\x0B\\f\\r ]+"), lambda t: t != "")
+    q = queries.select("query").where(F.col("query").isNotNull()).distinct().withColumn("terms", terms("query")).where(F.size("terms") > 0)
+    q = q.withColumn("grams", F.array_distinct(F.flatten(F.transform("terms", lambda t: grams(t, SIZE)))))
     wanted = q.where(F.size("grams") > 0).select("query", F.explode("grams").alias("gram")).withColumn("folder", _folder(F.col("gram"), index.folders))
     sizes = index.lists.groupBy("folder", "gram").agg(F.sum("n").alias("total"))
-    known = wanted.join(sizes, ["folder", "gram"], "left").withColumn("total", F.coalesce("total", F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("total", "gram"))
-    rarest = known.withColumn("_r", rank).where(F.col("_r") <= lists)
-    need = rarest.groupBy("query").agg(F.count("*").alias("need"))
-    met = rarest.select("query", "gram", "folder").join(index.lists, ["folder", "gram"]).groupBy("query", "block").agg(F.array_sort(F.collect_list(F.struct("n", "gram", "held"))).alias("found"))  # ``lists`` rows at most
-    left = met.join(need, "query").where(F.size("found") == F.col("need")).select("query", "block", F.explode(_intersected(F.col("found"))).alias("entry"))
-    # queries without a trigram meet entries by their longest term, of one or two characters
-    short = q.where(F.size("grams") == 0).select("query", "terms", F.array_max(F.transform("terms", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"].alias("gram"))
+    known = wanted.join(sizes.hint("merge"), ["folder", "gram"], "left").withColumn("total", F.coalesce("total", F.lit(0)))
+    own = Window.partitionBy("query")
+    rarest = known.withColumn("_r", F.row_number().over(own.orderBy("total", "gram"))).where(F.col("_r") <= lists).withColumn("need", F.count("*").over(own))
+    met = rarest.select("query", "need", "gram", "folder").join(index.lists.hint("merge"), ["folder", "gram"]).groupBy("query", "need", "block").agg(F.array_sort(F.collect_list(F.struct("n", "gram", "held"))).alias("found"))  # ``lists`` rows at most
+    left = met.where(F.size("found") == F.col("need")).select("query", "block", F.explode(_intersected(F.col("found"))).alias("entry"))
+    # queries without a trigram meet entries by their longest term, of one or two characters; entries show only such terms as are asked for
+    short = q.where(F.size("grams") == 0).select("query", F.array_max(F.transform("terms", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"].alias("gram"))
+    asked_for = short.agg(F.collect_set("gram").alias("_asked"))  # one row, of terms of one or two characters
     path = F.lower("rel_path")
-    every = index.entries.withColumn("gram", F.explode(F.array_distinct(F.concat(grams(path, 1), grams(path, 2))))).join(short, "gram").drop("gram", "entry", "block")
-    hits = left.join(q.select("query", "terms"), "query").join(index.entries, ["block", "entry"]).drop("entry", "block").unionByName(every)
-    return hits.where(F.forall("terms", lambda t: F.contains(F.lower("rel_path"), t))).drop("terms")
+    shown = F.when(F.size("_asked") > 0, F.array_intersect(F.concat(grams(path, 1), grams(path, 2)), F.col("_asked")))
+    every = index.entries.crossJoin(F.broadcast(asked_for)).withColumn("gram", F.explode(shown)).drop("_asked").join(short.hint("merge"), "gram").drop("gram", "entry", "block")
+    hits = left.join(index.entries.hint("merge"), ["block", "entry"]).drop("entry", "block").unionByName(every)
+    return hits.where(F.forall(terms("query"), lambda t: F.contains(F.lower("rel_path"), t)))

@@ -59,3 +59,9 @@ def test_lists_are_cut_by_blocks(index):
 def test_no_entries(spark, entries, tmp_path):
     none = path_index.build(entries.where("false"), f"file://{tmp_path}/none")
     assert none.entries.count() == 0 and path_index.search(none, "dragon").count() == 0
+
+
+def test_many_searches_broadcast_one_row_only(spark, index):
+    queries = spark.createDataFrame([(q,) for q in QUERIES], "query string").repartition(2)
+    plan = path_index.search_many(index, queries)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("BroadcastExchange") == plan.count("BroadcastNestedLoopJoin") == 1

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import clock, text
+from . import similar
 
 # Band name, largest share of the local runtime, points.
 BANDS = (("exact", 0.005, 25), ("close", 0.02, 12), ("near", 0.05, 3), ("off", 0.15, -12))
@@ -22,6 +23,7 @@ BEYOND = -30
 REGION_LANGUAGE = {"us": "english", "uk": "english", "au": "english", "ca": "english", "in": "english", "de": "german", "fr": "french", "es": "spanish", "it": "italian", "jp": "japanese"}
 MAX_ROWS = 8
 UNSURE_CAP = 75
+AUTHOR_EDITS = 2
 SURE = 100
 
 
@@ -156,11 +158,23 @@ def query_plans(hints: DataFrame) -> DataFrame:
     return hints.select("id", F.posexplode(kept).alias("plan_no", "p")).select("id", "plan_no", "p.*")
 
 
-def author_candidates(wanted: DataFrame, listed: DataFrame, key: str) -> DataFrame:
-    """Author names within two edits of each key's wanted name, nearest first, with shown scores: an only exact one is sure."""
-    pairs = wanted.join(listed, key).withColumn("distance", F.levenshtein(text.folded_lower(F.col("wanted_name")), text.folded_lower(F.col("name")))).where("distance <= 2")
-    w = Window.partitionBy(key).orderBy("distance", "pos")
-    exact = F.sum(F.when(F.col("distance") == 0, 1).otherwise(0)).over(Window.partitionBy(key))
-    out = pairs.withColumn("rank", F.row_number().over(w)).withColumn("_exact", exact)
+def author_candidates(wanted: DataFrame, listed: DataFrame, key: str, by: str | None = None) -> DataFrame:
+    """Author names within two edits of each key's wanted name, nearest first, with shown scores: an only exact one is sure.
+
+    Wanted names (key, ``by``, wanted_name) look among the names (``by``, name, pos) of their own ``by``, the key where it is not given.
+    Distinct names meet by what up to two deletions leave of both, so not every name is compared; keys that want one name of
+    one ``by`` share its ranked list. All sides may grow, so joins merge.
+    """
+    by = by or key
+    folded = lambda df, name, into: df.withColumn(into, text.folded_lower(F.col(name)))
+    wanted, listed = folded(wanted, "wanted_name", "_w"), folded(listed, "name", "_n")
+    cut = lambda df, c: df.select(by, c).distinct().select(by, c, F.explode(F.transform(similar.without(F.col(c), AUTHOR_EDITS), lambda r: F.xxhash64(r))).alias("_rest"))
+    met = cut(wanted, "_w").join(cut(listed, "_n").hint("merge"), [by, "_rest"]).withColumn("distance", F.levenshtein("_w", "_n", AUTHOR_EDITS))
+    near = met.where("distance >= 0").select(by, "_w", "_n", "distance").distinct()
+    pairs = near.join(listed.hint("merge"), [by, "_n"]).drop("_n")
+    w = Window.partitionBy(by, "_w")
+    exact = F.sum(F.when(F.col("distance") == 0, 1).otherwise(0)).over(w)
+    out = pairs.withColumn("rank", F.row_number().over(w.orderBy("distance", "pos"))).withColumn("_exact", exact)
     sure = (F.col("distance") == 0) & (F.col("_exact") == 1)
-    return out.withColumn("shown", display_score(F.col("rank"), 99 - 10 * F.col("distance"), sure)).drop("_exact")
+    out = out.withColumn("shown", display_score(F.col("rank"), 99 - 10 * F.col("distance"), sure)).drop("_exact")
+    return wanted.join(out.hint("merge"), [by, "_w"]).drop("_w")

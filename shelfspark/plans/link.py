@@ -160,9 +160,7 @@ def author_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     digits = lambda c: F.regexp_replace(F.regexp_extract(c, "([0-9]+)$", 1), "^0+", "")
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat("c_custkey", F.lit(":"), "c_nationkey").alias("k"), F.col("c_nationkey").alias("nation"), F.concat(F.lit("Author "), digits("c_name")).alias("wanted_name"))
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("pos"), F.concat(F.lit("Author "), digits("s_name")).alias("name"))
-    pairs = c.join(s, "nation").select("k", "wanted_name", "name", "pos")
-    listed = pairs.select("k", "name", "pos")
-    out = match.author_candidates(pairs.select("k", "wanted_name").distinct(), listed, "k")
+    out = match.author_candidates(c, s, "k", "nation")
     return out.select("k", "pos", F.col("distance").cast("long").alias("distance"), F.col("rank").cast("long").alias("place"), F.col("shown").cast("long").alias("shown"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from shelfspark.operators import match
 from shelfspark.plans import catalog, link
 
 
@@ -23,3 +24,27 @@ def test_neighbours_across_blocks(spark, sf_dir, monkeypatch, block):
     want = {(q, c, i) for q in types for i, c in enumerate(sorted((c for c in types if types[c] == types[q]), key=lambda c: (abs(c - q), c))[: link.CANDIDATES])}
     got = link._pairs(spark, sf_dir).select("q_id", "c_id", "pos").collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_author_names_meet_by_what_deletions_leave(spark):
+    names = ["Ann Lee", "Ann Léé", "Anne Lee", "An Le", "Ann", "Anna Leer", "Bo", "B", "", "Åsa Lee", None]
+    wanted = [(f"k{i}", i % 2, n) for i, n in enumerate([*names, *names])]
+    listed = [(i % 2, i, n) for i, n in enumerate([*reversed(names), *names])]
+    fold = lambda n: n.lower().replace("é", "e").replace("å", "a")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = set()
+    for k, by, w in wanted:
+        met = sorted((d, pos) for b, pos, n in listed if b == by and w is not None and n is not None and (d := distance(fold(w), fold(n))) <= 2)
+        want |= {(k, pos, d, i) for i, (d, pos) in enumerate(met, 1)}
+    out = match.author_candidates(spark.createDataFrame(wanted, "k string, by int, wanted_name string"), spark.createDataFrame(listed, "by int, pos int, name string"), "k", "by")
+    got = out.select("k", "pos", "distance", "rank").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert "_rest" in plan(out) and "BroadcastHashJoin" not in plan(out)

@@ -19,3 +19,9 @@ def same(spark, root, name, table, rows, schema):
 def test_references_of_html_to_text(spark, tmp_path):
     texts = ["<a>?x=1&region=eu&copy=2</a>", "&amp;lt; &lt;b&gt; &quot;x&quot;", "&copy;&middot;&hearts;&#65;&nbsp;&amp;amp;", "", "<p>a</p><p>&notit;</p>"]
     same(spark, tmp_path, "html_to_text", "pages", list(enumerate(texts)), "page_id long, html string")
+
+
+def test_tick_counts_of_large_keys(spark, tmp_path):
+    keys = [1, 7, 430_659, 430_660, 430_664, 645_990, 1_200_000, 5_000_000_000]
+    rows = [(k, s) for k in keys for s in (3, 25, 26, 50)]
+    same(spark, tmp_path, "snap_rung_wrap_recovery", "part", rows, "p_partkey long, p_size int")

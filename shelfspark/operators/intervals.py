@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Widths of bins: WIDTH, WIDTH * FACTOR, ... LEVELS of them; spans longer than the last take the last.
 WIDTH, FACTOR, LEVELS = 1 << 10, 8, 14
@@ -49,3 +50,24 @@ def nearest_span(left: DataFrame, right: DataFrame, key: list[str], left_id: str
     met = overlapping(left, right, key, span, other)
     best = met.groupBy(*key, left_id).agg(F.min_by(F.struct(right_id, "overlap"), F.struct(-F.col("overlap"), F.col(other[0]), F.col(right_id))).alias("_b"))
     return best.select(*key, left_id, f"_b.{right_id}", "_b.overlap")
+
+
+def nearest_laid(spans: DataFrame, key: list[str], left_id: str, right_id: str) -> DataFrame:
+    """As ``nearest_span`` where no two spans of one side overlap, as those laid end to end: (keys, left_id, right_id, overlap).
+
+    ``spans`` holds both sides: (keys, left, id, start, end), left telling whose a row is. One sort by key and start instead of bins: where
+    a span starts, the only one of the other side that it can have met already is the last that started. A key is
+    one group; spans that overlap others of their side are refused.
+    """
+    rows = spans.dropna(subset=key).where(F.col("end") > F.col("start"))
+    w = Window.partitionBy(*key).orderBy("start", "left")
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    mine, other = F.struct("id", "start", "end"), lambda left: F.col("left") == F.lit(left)
+    last = {left: F.last(F.when(other(left), mine), ignorenulls=True).over(upto) for left in (True, False)}
+    ended = {left: F.max(F.when(other(left), F.col("end"))).over(before) for left in (True, False)}
+    clear = F.coalesce(F.when(F.col("left"), ended[True]).otherwise(ended[False]) <= F.col("start"), F.lit(True))
+    met = rows.select(*key, last[True].alias("l"), last[False].alias("r"), clear.alias("clear"))
+    overlap = F.when(F.col("l").isNotNull() & F.col("r").isNotNull(), F.least("l.end", "r.end") - F.greatest("l.start", "r.start"))
+    met = met.withColumn("overlap", F.when(F.col("clear"), overlap).otherwise(F.raise_error(F.lit("spans of one side overlap"))))
+    best = met.where("overlap > 0").groupBy(*key, F.col("l.id").alias(left_id)).agg(F.min_by(F.struct(F.col("r.id").alias(right_id), "overlap"), F.struct(-F.col("overlap"), F.col("r.start"), F.col("r.id"))).alias("_b"))
+    return best.select(*key, left_id, f"_b.{right_id}", "_b.overlap")

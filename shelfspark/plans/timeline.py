@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -141,14 +141,14 @@ def span_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each chapter's provider span: lines of a supplier in two orders, end to end by quantity; the span that a chapter overlaps most."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("book"), "l_orderkey", "l_linenumber", "l_partkey", (F.col("l_quantity") * 100).cast("long").alias("ms"))
 
-    def laid(*order: str) -> DataFrame:
+    def laid(left: bool, *order: str) -> Column:
         w = Window.partitionBy("book").orderBy(*order)
         upto = F.sum("ms").over(w.rowsBetween(Window.unboundedPreceding, 0))
-        return items.select("book", F.row_number().over(w).alias("n"), (upto - F.col("ms")).alias("a"), upto.alias("b"))
+        return F.struct(F.lit(left).alias("left"), F.row_number().over(w).alias("id"), (upto - F.col("ms")).alias("start"), upto.alias("end"))
 
-    chapters = laid("l_orderkey", "l_linenumber", "l_partkey", "ms").select("book", F.col("n").alias("chapter"), F.col("a").alias("start"), F.col("b").alias("end"))
-    spans = laid("l_partkey", "l_orderkey", "l_linenumber", "ms").select("book", F.col("n").alias("span"), F.col("a").alias("span_start"), F.col("b").alias("span_end"))
-    return intervals.nearest_span(chapters, spans, ["book"], "chapter", "span", ("start", "end"), ("span_start", "span_end"))
+    # a line's places in both orders are found side by side, so lines are dealt by book once
+    both = items.select("book", laid(True, "l_orderkey", "l_linenumber", "l_partkey", "ms").alias("chapter"), laid(False, "l_partkey", "l_orderkey", "l_linenumber", "ms").alias("span"))
+    return intervals.nearest_laid(both.select("book", F.inline(F.array("chapter", "span"))), ["book"], "chapter", "span")
 
 
 SPAN_SQL = """WITH i AS (SELECT l_suppkey book, l_orderkey o, l_linenumber n, l_partkey p, CAST(l_quantity * 100 AS BIGINT) ms FROM lineitem),

@@ -81,3 +81,35 @@ def test_a_deep_page_reads_few_files(laid):
 def test_no_rows(spark, tmp_path):
     none = pages.write_pages(spark.createDataFrame([], "id long, at long, status string"), f"file://{tmp_path}/p", ("at", "id"))
     assert none.count() == 0 and none.page(1, 5).count() == 0 and none.after((1, 1), 5).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_laid_spans_equal_the_general_join(spark, seed):
+    r = random.Random(seed)
+    sides = []
+    for _ in range(2):
+        at, side = {}, []
+        for i in range(150):
+            k = r.choice([1, 1, 2, None])
+            start = at.get(k, 0) + r.choice([0, 0, 0, 3, 400])
+            at[k] = start + r.choice([0, 1, 5, 5, 100, 5000])
+            side.append((k, i, start, at[k]))
+        sides.append(side)
+    left, right = sides
+    want = intervals.nearest_span(spark.createDataFrame(left, LEFT), spark.createDataFrame(right, RIGHT), ["book"], "a_id", "b_id", ("a", "b"), ("x", "y"))
+    both = spark.createDataFrame([(k, side is left, i, a, b) for side in sides for k, i, a, b in side], "book long, left boolean, id long, start long, end long").repartition(3)
+    laid = intervals.nearest_laid(both, ["book"], "a_id", "b_id")
+    assert sorted(map(tuple, laid.collect())) == sorted(map(tuple, want.collect())) and want.count() > 50
+
+
+def test_spans_that_overlap_their_own_side_are_refused(spark):
+    both = spark.createDataFrame([(1, True, 1, 0, 9), (1, True, 2, 8, 12), (1, False, 1, 0, 20)], "book long, left boolean, id long, start long, end long")
+    with pytest.raises(Exception, match="spans of one side overlap"):
+        intervals.nearest_laid(both, ["book"], "a_id", "b_id").collect()
+
+
+def test_lines_are_dealt_by_book_once(spark, sf_dir):
+    from shelfspark.plans import timeline
+
+    plan = timeline.span_match(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan

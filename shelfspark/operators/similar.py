@@ -3,22 +3,19 @@
 ``fuzzy_join`` finds every pair of distinct titles whose softened distance (``text.fuzzy_distance``) is at most
 ``most``, as scoring accepts them, without comparing all pairs:
 
-* q-grams of a title are put in one global order, rarest first. ``most`` edits spoil at most ``most * q`` grams, so titles within
-  that distance share a gram of their first ``most * q + 1`` (prefix filter). A title that holds the
-  hint and is at most ``extra`` longer has all the hint's grams and at most ``extra`` others, so its first ``extra + 1``
-  hold the hint's first one.
-* Lengths may differ by no more than ``most`` or ``extra`` (length filter), and the place of a held hint by no more than ``extra`` (position filter).
-* Titles too short for ``most * q + 1`` grams meet by what is left of them after up to ``most`` deletions.
-
-The order comes from gram counts in ``BINS`` hashed bins: one array of fixed size, so it can be broadcast
-whatever the input. A bin's count also says into how many slices its grams' lists are split, on both sides
-alike, so that no gram fills a task. A pair that met is verified once, by a banded edit distance.
+* A title is cut into ``most + 1`` even pieces. ``most`` edits leave one of them whole, so a hint within that distance holds it, near
+  its place: a hint asks for each length that a title may have, and each place to which edits on either side of a piece can move it.
+* A title that holds the hint and is at most ``extra`` longer holds the hint's first 2^k characters, 2^k being at most the hint's length, at one
+  of its first ``extra + 1`` places.
+* Titles too short for pieces of ``q`` characters meet by what is left of them after up to ``most`` deletions.
+
+Pieces are sent as hashes, with the title's hash, lengths and the parities of its pairs of characters in 64 bits, which an edit changes in four
+places at most. Only pairs that these allow go on, as hashes; each is verified once on its titles, by a banded edit distance. So what is sent
+grows with the titles and with the pairs that nearly match, not with lists of common pieces; a piece that very many titles share is dealt to several tasks.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,11 +23,10 @@ from pyspark.sql.window import Window
 from ..functions import text
 
 Q = 3
-BINS = 1 << 15
-#: Titles of a gram's list that one task takes; longer lists are split.
-SLICE = 2000
-#: Lengths that share a key.
-LENGTHS = 8
+#: Titles of a piece that one task takes; what more share it are split.
+SLICE = 20_000
+#: One of so many titles counts for telling such pieces.
+COUNTED = 16
 
 
 def grams(title: Column, q: int = Q) -> Column:
@@ -39,23 +35,6 @@ def grams(title: Column, q: int = Q) -> Column:
     return F.when(F.length(title) >= q, runs).otherwise(F.array().cast("array<string>"))
 
 
-def _bin(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(BINS)).cast("int")
-
-
-def gram_counts(titles: DataFrame, q: int = Q) -> DataFrame:
-    """One row: an array of BINS counts of the titles' grams by hashed bin."""
-    n = titles.select(F.explode(grams(F.col("title"), q)).alias("g")).groupBy(_bin(F.col("g")).alias("bin")).agg(F.count("*").alias("n"))
-    every = titles.sparkSession.range(BINS).select(F.col("id").cast("int").alias("bin")).join(n, "bin", "left")
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", F.coalesce("n", F.lit(0)).alias("n")))), lambda x: x["n"]).alias("counts"))  # BINS entries, whatever the input
-
-
-def _prefix(title: Column, counts: Column, size: int, q: int) -> Column:
-    """The first ``size`` grams in the global order, with count and place."""
-    told = F.transform(grams(title, q), lambda g, i: F.struct(counts[_bin(g)].alias("n"), g.alias("g"), i.alias("at")))
-    return F.slice(F.array_sort(told), 1, size)
-
-
 def without(title: Column, most: int) -> Column:
     """What is left of a short title after each way to delete up to ``most`` characters."""
     left = F.array(title)
@@ -65,6 +44,43 @@ def without(title: Column, most: int) -> Column:
     return left
 
 
+def _parities(title: Column) -> Column:
+    """64 bits: whether the pairs of characters of each hashed bin are odd in number."""
+    bit = lambda g: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(g), F.lit(64)).cast("int"))
+    return F.aggregate(grams(title, 2), F.lit(0).cast("long"), lambda bits, g: bits.bitwiseXOR(bit(g)))
+
+
+def _pieces(title: Column, n: Column, most: int) -> list[Column]:
+    """Keys of a title's pieces: of its length, the piece's number and its characters."""
+    at = lambda i: F.floor(n * i / (most + 1)).cast("int")
+    return [F.xxhash64(F.lit("piece"), n, F.lit(i), F.substring(title, at(i) + 1, at(i + 1) - at(i))) for i in range(most + 1)]
+
+
+def _piece_asked(hint: Column, n: Column, most: int) -> list[Column]:
+    """Keys of the pieces that titles within ``most`` edits may share. Of a piece that is whole, with as few edits as can be on either
+    side, piece ``i`` has moved by at most ``i`` from the front and by at most ``most - i`` from the end."""
+    out = []
+    for i in range(most + 1):
+        for longer in range(-most, most + 1):  # hint less title
+            size = n - longer
+            at = lambda k: F.floor(size * k / (most + 1)).cast("int")  # noqa: B023, E731
+            for moved in range(max(-i, longer - (most - i)), min(i, longer + (most - i)) + 1):
+                start, length = at(i) + moved, at(i + 1) - at(i)
+                fits = (start >= 0) & (length > 0) & (start + length <= n)
+                out.append(F.when(fits, F.xxhash64(F.lit("piece"), size.cast("int"), F.lit(i), F.substring(hint, start + 1, length))))
+    return out
+
+
+def _met(asked: DataFrame, held: DataFrame, fits: Column) -> DataFrame:
+    """(h, t): hashes of hints (key, h, hn, hb, hp) and titles (key, t, tn, tb, tp, off) of equal keys that fit."""
+    some = held.where(F.pmod("t", F.lit(COUNTED)) == 0).groupBy("key").agg((F.count("*") * COUNTED).alias("_n"))
+    many = F.broadcast(some.where(F.col("_n") > SLICE).select("key", F.ceil(F.col("_n") / SLICE).cast("int").alias("_s")))  # a row for SLICE titles at most
+    parts = F.coalesce("_s", F.lit(1))
+    asked = asked.join(many, "key", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_s")
+    held = held.join(many, "key", "left").withColumn("_part", F.pmod(F.xxhash64("t", F.lit(1)), parts).cast("int")).drop("_s")
+    return asked.join(held.hint("merge"), ["key", "_part"]).where(fits).select("h", "t")
+
+
 def fuzzy_join(hints: DataFrame, candidates: DataFrame, most: int = 2, q: int = Q) -> DataFrame:
     """(hint, title, distance): all pairs of distinct titles of (title) rows whose fuzzy distance is at most ``most``.
 
@@ -73,33 +89,31 @@ def fuzzy_join(hints: DataFrame, candidates: DataFrame, most: int = 2, q: int =
     if most < 0 or q < 1:
         raise ValueError("most must be 0 or more and q 1 or more")
     extra = 8 * most - 1  # bytes by which a title that holds the hint may be longer
-    size, short = most * q + 1, most * q + q  # fewer characters than this leave too few grams
+    short = (most + 1) * q  # fewer characters than this leave too small pieces
     kept = lambda df: df.select("title").where("title <> ''").distinct()
     hints, candidates = kept(hints), kept(candidates)
-    counts = F.broadcast(gram_counts(hints.unionByName(candidates), q))
-    slices = lambda n: F.ceil(n / SLICE).cast("int")
-    n = F.length("title")
-
-    # grams: a hint looks in the lengths that can match, in each slice of a gram's list
-    asked = hints.crossJoin(counts).select("title", n.alias("n"), F.explode(_prefix(F.col("title"), F.col("counts"), size, q)).alias("p"))
-    asked = asked.select(F.col("title").alias("hint"), F.col("n").alias("hint_n"), F.col("p.g").alias("g"), F.col("p.at").alias("hint_at"), F.explode(F.sequence(F.floor((F.greatest(F.col("n") - most, F.lit(0))) / LENGTHS), F.floor((F.col("n") + max(most, extra)) / LENGTHS))).alias("len"), F.col("p.n").alias("_n"))
-    asked = asked.withColumn("slice", F.explode(F.sequence(F.lit(0), F.greatest(slices(F.col("_n")), F.lit(1)) - 1))).drop("_n")
-    held = candidates.crossJoin(counts).select("title", n.alias("n"), F.explode(_prefix(F.col("title"), F.col("counts"), max(size, extra + 1), q)).alias("p"))
-    held = held.select("title", "n", F.col("p.g").alias("g"), F.col("p.at").alias("at"), F.floor(F.col("n") / LENGTHS).alias("len"), F.pmod(F.xxhash64("title"), F.greatest(slices(F.col("p.n")), F.lit(1))).cast("int").alias("slice"))
-    near = F.abs(F.col("n") - F.col("hint_n")) <= most  # at any place: of a gram that a title repeats, the prefixes may hold other occurrences
-    inside = (F.col("n") >= F.col("hint_n")) & (F.col("n") - F.col("hint_n") <= extra) & (F.col("at") >= F.col("hint_at")) & (F.col("at") - F.col("hint_at") <= extra)
-    met = asked.join(held, ["g", "len", "slice"]).where(near | inside).select("hint", "title")
-
-    # few characters: what deletions leave
-    brief = lambda df: df.where(n < short + most).select("title", F.explode(without(F.col("title"), most)).alias("rest"))
-    few = brief(hints).withColumnRenamed("title", "hint").join(brief(candidates), "rest").select("hint", "title")
-
-    # hints with no gram of their own that titles can hold: of four bytes and fewer than q characters
-    tiny = hints.where((n < q) & (F.octet_length("title") >= 4)).select(F.col("title").alias("hint"), F.col("title").alias("g"))
-    runs = reduce(lambda a, b: F.concat(a, b), [grams(F.col("title"), k) for k in range(1, q)], F.array().cast("array<string>"))
-    parts = candidates.select("title", F.explode(F.array_distinct(F.filter(runs, lambda g: F.octet_length(g) >= 4))).alias("g"))
-    met = reduce(DataFrame.unionByName, [met, few, tiny.join(parts, "g").select("hint", "title")])
-    return met.distinct().withColumn("distance", _distance(most)).where(F.col("distance") <= most)
+    title, n = F.col("title"), F.length("title")
+    told = lambda df, x: df.select("title", F.xxhash64("title").alias("h" if x == "h" else "t"), n.alias(f"{x}n"), F.octet_length("title").alias(f"{x}b"), _parities(title).alias(f"{x}p"))
+    asked, held = told(hints, "h"), told(candidates, "t")
+    no_keys = F.array().cast("array<bigint>")
+    left = F.when(n < short + most, F.transform(without(title, most), lambda r: F.xxhash64(F.lit("left"), r))).otherwise(no_keys)
+    keyed = lambda df, keys: df.select(F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("key"), *[c for c in df.columns if c != "title"])
+    apart = F.bit_count(F.col("hp").bitwiseXOR(F.col("tp")))
+    close = lambda keys: F.array_distinct(F.concat(F.when(n >= short, F.array(*keys)).otherwise(no_keys), left))
+    met = _met(keyed(asked, close(_piece_asked(title, n, most))), keyed(held, close(_pieces(title, n, most))), (F.abs(F.col("hn") - F.col("tn")) <= most) & (apart <= 4 * most))
+
+    if most > 0:  # titles that hold the hint
+        power = lambda m: F.floor(F.log2(m.cast("double") + 0.5)).cast("int")
+        two = lambda k: F.call_function("shiftleft", F.lit(1), k)
+        start = lambda s, at, k: F.xxhash64(F.lit("start"), k, F.substring(s, at + 1, two(k)))
+        first = keyed(asked.where("hb >= 4"), F.array(start(title, F.lit(0), power(n))))
+        each = held.withColumn("_k", F.explode(F.sequence(power(F.greatest(n - extra, F.lit(1))), power(n)))).withColumn("off", F.explode(F.sequence(F.lit(0), F.least(n - two(F.col("_k")), F.lit(extra)))))
+        each = each.select(start(title, F.col("off"), F.col("_k")).alias("key"), "t", "tn", "tb", "tp", "off")
+        inside = (F.col("tb") - F.col("hb")).between(0, extra) & (F.col("off") + F.col("hn") <= F.col("tn")) & (apart <= F.col("tn") - F.col("hn"))
+        met = met.unionByName(_met(first, each, inside))
+    # titles of one hash all come back, and are told apart here
+    named = met.distinct().join(hints.select(F.xxhash64("title").alias("h"), title.alias("hint")).hint("merge"), "h").join(candidates.select(F.xxhash64("title").alias("t"), "title").hint("merge"), "t")
+    return named.select("hint", "title").withColumn("distance", _distance(most)).where(F.col("distance") <= most)
 
 
 def _distance(most: int) -> Column:

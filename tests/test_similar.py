@@ -76,3 +76,22 @@ def test_candidates_of_copies_are_not_expanded(spark):
 
 def test_no_titles(spark):
     assert similar.fuzzy_join(frame(spark, []), frame(spark, [None, ""])).count() == 0
+
+
+def test_only_pairs_that_nearly_match_go_on(spark, monkeypatch):
+    r = random.Random(9)
+    words = ["inanin", "thread", "eaniere", "oublent", "thashed", "leanere"]
+    titles = [" ".join(r.choice(words) for _ in range(9)) for _ in range(400)]
+    titles += [t + "s" for t in titles[:50]]
+    seen, met = [], similar._met
+    monkeypatch.setattr(similar, "_met", lambda *a: seen.append(met(*a)) or seen[-1])
+    found = similar.fuzzy_join(frame(spark, titles), frame(spark, titles)).count()
+    assert found >= 500 and sum(df.distinct().count() for df in seen) <= 3 * found
+
+
+def test_a_piece_of_many_titles_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(similar, "SLICE", 2)
+    monkeypatch.setattr(similar, "COUNTED", 1)
+    titles = [f"a very long opening of a title, number {i}" for i in range(60)]
+    got = {tuple(r) for r in similar.fuzzy_join(frame(spark, titles), frame(spark, titles)).collect()}
+    assert got == {(a, b, d) for a in titles for b in titles if (d := fuzzy(a, b)) <= 2}

@@ -61,11 +61,13 @@ def nearest_author(hint: Column, authors: Column) -> Column:
     return F.when((hint != "") & (F.size(authors) > 0), F.array_min(F.transform(authors, lambda a: F.levenshtein(h, text.folded_lower(a)))))
 
 
-def scored(pairs: DataFrame) -> DataFrame:
+def scored(pairs: DataFrame, distance: Column | None = None) -> DataFrame:
     """Adds title_distance, runtime_band, runtime_delta and score to rows of a hint (hint_title, hint_author,
-    hint_runtime, hint_language) and a candidate (title, authors, runtime_min, language, pos)."""
-    hint = text.folded_lower(F.col("hint_title"))
-    distance = F.when(F.col("hint_title") != "", text.fuzzy_distance(hint, text.folded_lower(F.col("title"))))
+    hint_runtime, hint_language) and a candidate (title, authors, runtime_min, language, pos). ``distance`` is the titles' where the
+    search has told it already; no title is needed then."""
+    if distance is None:
+        hint = text.folded_lower(F.col("hint_title"))
+        distance = F.when(F.col("hint_title") != "", text.fuzzy_distance(hint, text.folded_lower(F.col("title"))))
     band = runtime_band(F.col("runtime_min"), F.col("hint_runtime"))
     out = pairs.withColumn("title_distance", distance).withColumn("_b", band)
     points = (

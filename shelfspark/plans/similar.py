@@ -26,11 +26,17 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.text_candidates(d.select(F.col("doc_id").alias("q_id"), "title"), d.select(F.col("doc_id").alias("c_id"), "title"), MOST, CANDIDATES, same=True)
 
 
+def _scored(pairs: DataFrame) -> DataFrame:
+    return match.scored(pairs, F.col("text_distance"))
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _documents(spark, sf_dir)
-    hints = d.select(F.col("doc_id").alias("q_id"), F.col("title").alias("hint_title"), F.col("author").alias("hint_author"), F.col("runtime").alias("hint_runtime"), F.col("language").alias("hint_language"))
-    catalog = d.select(F.col("doc_id").alias("c_id"), "title", F.array("author").alias("authors"), F.col("runtime").alias("runtime_min"), "language")
-    return candidates(spark, sf_dir).join(hints, "q_id").join(catalog, "c_id")
+    """Hint and candidate rows, without their titles: each is sent up to ``CANDIDATES`` times, and the search has compared them."""
+    d = _documents(spark, sf_dir).drop("title")
+    hints = d.select(F.col("doc_id").alias("q_id"), F.col("author").alias("hint_author"), F.col("runtime").alias("hint_runtime"), F.col("language").alias("hint_language"))
+    catalog = d.select(F.col("doc_id").alias("c_id"), F.array("author").alias("authors"), F.col("runtime").alias("runtime_min"), "language")
+    # by q_id last, as ranks are; a hint that found anything has a title
+    return candidates(spark, sf_dir).join(catalog, "c_id").join(hints, "q_id").withColumn("hint_title", F.lit("known"))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,12 +44,12 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = match.top(match.scored(_pairs(spark, sf_dir)), "q_id")
+    best = match.top(_scored(_pairs(spark, sf_dir)), "q_id")
     return best.select("q_id", "c_id", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("place"), "runtime_band")
 
 
 def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = match.ranked(match.scored(_pairs(spark, sf_dir)), "q_id")
+    best = match.ranked(_scored(_pairs(spark, sf_dir)), "q_id")
     strict = match.accepted(best).select("q_id", "c_id", "accepted")
     return strict
 
@@ -51,7 +57,7 @@ def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def editions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The six nearest editions: those of the hint's author where the search finds any, else all."""
     pairs = _pairs(spark, sf_dir).withColumn("plan_no", F.when(F.array_contains("authors", F.col("hint_author")), 0).otherwise(1))
-    best = match.top(match.scored(match.first_plan_with_hits(pairs, "q_id")), "q_id", 6)
+    best = match.top(_scored(match.first_plan_with_hits(pairs, "q_id")), "q_id", 6)
     return best.select("q_id", "c_id", F.col("rank").cast("long").alias("place"))
 
 

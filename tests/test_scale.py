@@ -48,3 +48,12 @@ def test_author_names_meet_by_what_deletions_leave(spark):
     got = out.select("k", "pos", "distance", "rank").collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     assert "_rest" in plan(out) and "BroadcastHashJoin" not in plan(out)
+
+
+@pytest.mark.parametrize("name", ["link_text_accept"])
+def test_titles_are_not_sent_with_each_pair(spark, sf_dir, name):
+    from shelfspark.plans import similar
+
+    assert "title" not in similar._pairs(spark, sf_dir).columns
+    ranks = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().split("Window")[1]
+    assert "title" not in ranks.replace("title_distance", "").replace("hint_title", "")

@@ -12,7 +12,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["link_auto_accept", "link_display_scores", "link_lenient_accept", "link_top_candidates"])
+@pytest.mark.parametrize("name", ["link_auto_accept", "link_display_scores", "link_lenient_accept", "link_top_candidates", "link_nearest_editions"])
 def test_parts_are_not_broadcast(spark, sf_dir, name):
     assert "Broadcast" not in plan(catalog.queries()[name](spark, sf_dir))
 

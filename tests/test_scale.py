@@ -50,7 +50,7 @@ def test_author_names_meet_by_what_deletions_leave(spark):
     assert "_rest" in plan(out) and "BroadcastHashJoin" not in plan(out)
 
 
-@pytest.mark.parametrize("name", ["link_text_accept", "link_text_ranked"])
+@pytest.mark.parametrize("name", ["link_text_accept", "link_text_ranked", "link_text_editions"])
 def test_titles_are_not_sent_with_each_pair(spark, sf_dir, name):
     from shelfspark.plans import similar
 

@@ -71,10 +71,15 @@ def _piece_asked(hint: Column, n: Column, most: int) -> list[Column]:
     return out
 
 
+def _many(rows: DataFrame, key: str, name: Column) -> DataFrame:
+    """(key, _s): keys of more than ``SLICE`` rows, told by those of some names, and the tasks that take one; a row for ``SLICE`` rows at most."""
+    some = rows.where(F.pmod(name, F.lit(COUNTED)) == 0).groupBy(key).agg((F.count("*") * COUNTED).alias("_n"))
+    return F.broadcast(some.where(F.col("_n") > SLICE).select(key, F.ceil(F.col("_n") / SLICE).cast("int").alias("_s")))
+
+
 def _met(asked: DataFrame, held: DataFrame, fits: Column) -> DataFrame:
     """(h, t): hashes of hints (key, h, hn, hb, hp) and titles (key, t, tn, tb, tp, off) of equal keys that fit."""
-    some = held.where(F.pmod("t", F.lit(COUNTED)) == 0).groupBy("key").agg((F.count("*") * COUNTED).alias("_n"))
-    many = F.broadcast(some.where(F.col("_n") > SLICE).select("key", F.ceil(F.col("_n") / SLICE).cast("int").alias("_s")))  # a row for SLICE titles at most
+    many = _many(held, "key", F.col("t"))
     parts = F.coalesce("_s", F.lit(1))
     asked = asked.join(many, "key", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_s")
     held = held.join(many, "key", "left").withColumn("_part", F.pmod(F.xxhash64("t", F.lit(1)), parts).cast("int")).drop("_s")
@@ -127,18 +132,34 @@ def _distance(most: int) -> Column:
 
 
 def text_candidates(hints: DataFrame, catalog: DataFrame, most: int = 2, limit: int = 25, same: bool = False) -> DataFrame:
-    """Rows (q_id, c_id, pos, text_distance): for each hint (q_id, title) the ``limit`` catalog rows (c_id, title) nearest by text, ties by c_id.
+    """Rows (q_id, c_id, pos, text_distance, dealt): for each hint (q_id, title) the ``limit`` catalog rows (c_id, title) nearest by text, ties by c_id.
 
     Titles that fold to the same text are one class: classes are joined, and of each only the first ``limit`` members can be among a
     hint's first, so copies are never expanded into all their pairs. ``same``: hints are rows of the catalog, and no candidates of themselves.
+    Other columns of both sides come with the pairs. A hint's pairs lie in one task, by ``dealt``: windows over ``dealt`` and ``q_id`` need no exchange. A title that very many hints share is dealt to several tasks.
     """
-    fold = lambda df, key: df.select(key, text.folded_lower(F.col("title")).alias("title"))
-    hints, catalog = fold(hints, "q_id"), fold(catalog, "c_id")
+    fold = lambda df: df.withColumn("title", text.folded_lower(F.col("title")))
+    hints, catalog = fold(hints), fold(catalog)
+    hint_columns = [c for c in hints.columns if c not in ("q_id", "title")]
+    member = F.struct("distance", *[c for c in catalog.columns if c != "title"])
     pairs = fuzzy_join(hints, catalog, most)
     first = catalog.withColumn("_k", F.row_number().over(Window.partitionBy("title").orderBy("c_id"))).where(F.col("_k") <= limit + 1).drop("_k")
+    # as many parts as the session shuffles into: rows grow by ``limit`` after this, which their size before does not tell
+    parts = int(hints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = F.coalesce("_s", F.lit(1))
+    hints = hints.withColumnRenamed("title", "folded").withColumn("_h", F.xxhash64("folded"))
+    many = _many(hints.select("_h", F.xxhash64("q_id").alias("q")), "_h", F.col("q"))
     # a class's hints share one list: its limit + 1 nearest members, the one more for the hint itself
-    listed = pairs.join(first, "title").select("hint", "c_id", "distance")
-    listed = listed.withColumn("_k", F.row_number().over(Window.partitionBy("hint").orderBy("distance", "c_id"))).where(F.col("_k") <= limit + 1)
-    out = hints.withColumnRenamed("title", "hint").join(listed.groupBy("hint").agg(F.array_sort(F.collect_list(F.struct("distance", "c_id"))).alias("list")), "hint")
-    out = out.select("q_id", F.posexplode(F.slice(F.filter("list", lambda x: (x["c_id"] != F.col("q_id")) if same else F.lit(True)), 1, limit)).alias("pos", "x"))
-    return out.select("q_id", F.col("x.c_id").alias("c_id"), "pos", F.col("x.distance").alias("text_distance"))
+    listed = pairs.join(first, "title").select(F.xxhash64("hint").alias("_h"), "hint", member.alias("c")).join(many, "_h", "left")
+    listed = listed.withColumn("_part", F.explode(F.sequence(F.lit(0), spread - 1))).select(F.xxhash64("_h", "_part").alias("dealt"), "hint", "c").repartition(parts, "dealt")
+    listed = listed.withColumn("_k", F.row_number().over(Window.partitionBy("dealt", "hint").orderBy("c.distance", "c.c_id"))).where(F.col("_k") <= limit + 1)
+    lists = listed.groupBy("dealt", "hint").agg(F.sort_array(F.collect_list(F.struct("_k", "c"))).alias("list"))
+    # titles of one hash share a row, and are told apart by the hint's own
+    lists = lists.groupBy("dealt").agg(F.collect_list(F.struct("hint", "list")).alias("lists"))
+    own = F.filter("lists", lambda x: x["hint"] == F.col("folded"))
+    part = F.pmod(F.xxhash64("q_id", F.lit(1)), spread).cast("int")
+    hints = hints.where("folded <> ''").join(many, "_h", "left").withColumn("dealt", F.xxhash64("_h", part)).repartition(parts, "dealt")
+    out = hints.join(lists.hint("merge"), "dealt").select("dealt", "q_id", *hint_columns, F.explode(own).alias("own"))
+    others = F.filter("own.list", lambda x: (x["c"]["c_id"] != F.col("q_id")) if same else F.lit(True))
+    out = out.select("dealt", "q_id", *hint_columns, F.posexplode(F.slice(others, 1, limit)).alias("pos", "x"))
+    return out.select("q_id", "pos", "dealt", *hint_columns, "x.c.*").withColumnRenamed("distance", "text_distance")

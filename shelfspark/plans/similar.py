@@ -14,6 +14,8 @@ from ..operators import match, similar
 
 CANDIDATES = 25
 MOST = 2
+#: What ranks the candidates of a hint: with what deals them, so that rows stay where the search made them.
+HINT = ["dealt", "q_id"]
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,12 +33,13 @@ def _scored(pairs: DataFrame) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hint and candidate rows, without their titles: each is sent up to ``CANDIDATES`` times, and the search has compared them."""
-    d = _documents(spark, sf_dir).drop("title")
-    hints = d.select(F.col("doc_id").alias("q_id"), F.col("author").alias("hint_author"), F.col("runtime").alias("hint_runtime"), F.col("language").alias("hint_language"))
-    catalog = d.select(F.col("doc_id").alias("c_id"), F.array("author").alias("authors"), F.col("runtime").alias("runtime_min"), "language")
-    # by q_id last, as ranks are; a hint that found anything has a title
-    return candidates(spark, sf_dir).join(catalog, "c_id").join(hints, "q_id").withColumn("hint_title", F.lit("known"))
+    """Hint and candidate rows, without their titles, which the search has compared. What scoring takes comes with the documents before they
+    meet: pairs, up to ``CANDIDATES`` a document, are never sent."""
+    d = _documents(spark, sf_dir)
+    hints = d.select(F.col("doc_id").alias("q_id"), "title", F.col("author").alias("hint_author"), F.col("runtime").alias("hint_runtime"), F.col("language").alias("hint_language"))
+    catalog = d.select(F.col("doc_id").alias("c_id"), "title", F.array("author").alias("authors"), F.col("runtime").alias("runtime_min"), "language")
+    # a hint that found anything has a title
+    return similar.text_candidates(hints, catalog, MOST, CANDIDATES, same=True).withColumn("hint_title", F.lit("known"))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +60,7 @@ def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def editions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The six nearest editions: those of the hint's author where the search finds any, else all."""
     pairs = _pairs(spark, sf_dir).withColumn("plan_no", F.when(F.array_contains("authors", F.col("hint_author")), 0).otherwise(1))
-    best = match.top(_scored(match.first_plan_with_hits(pairs, "q_id")), "q_id", 6)
+    best = match.top(_scored(match.first_plan_with_hits(pairs, HINT)), HINT, 6)
     return best.select("q_id", "c_id", F.col("rank").cast("long").alias("place"))
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfspark.operators import similar
 
@@ -95,3 +96,17 @@ def test_a_piece_of_many_titles_is_dealt_out(spark, monkeypatch):
     titles = [f"a very long opening of a title, number {i}" for i in range(60)]
     got = {tuple(r) for r in similar.fuzzy_join(frame(spark, titles), frame(spark, titles)).collect()}
     assert got == {(a, b, d) for a in titles for b in titles if (d := fuzzy(a, b)) <= 2}
+
+
+def test_hints_of_one_title_are_dealt_out(spark, monkeypatch):
+    titles = ["The Sea Dragon"] * 40 + ["the séa dragon"] * 3 + ["The Sea Dragons", "other", "", None]
+    hints, listed = frame(spark, titles, "q_id").withColumn("of_hint", F.col("q_id") + 100), frame(spark, titles, "c_id").withColumn("of_row", F.col("c_id") + 200)
+    rows = lambda: similar.text_candidates(hints, listed, limit=5, same=True).collect()
+    plain = rows()
+    monkeypatch.setattr(similar, "SLICE", 4)
+    monkeypatch.setattr(similar, "COUNTED", 1)
+    dealt = rows()
+    told = lambda some: sorted((r["q_id"], r["of_hint"], r["c_id"], r["of_row"], r["pos"], r["text_distance"]) for r in some)
+    assert told(dealt) == told(plain) and len(plain) == 44 * 5
+    assert all(r["of_hint"] == r["q_id"] + 100 and r["of_row"] == r["c_id"] + 200 for r in plain)
+    assert len({r["dealt"] for r in plain}) == 2 < len({r["dealt"] for r in dealt})

@@ -42,6 +42,8 @@ READ_SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 END_ID = 2
 #: Distinct pieces of at most so many bytes that a worker keeps encoded; those met once it is full are encoded each time.
 CACHE_PIECES, CACHE_BYTES = 400_000, 64
+#: Bytes of new pieces that are encoded as one text.
+RUN_BYTES = 1 << 10
 
 
 #: Words of 64 bits of the upper part that share a count of what is before them.
@@ -187,6 +189,10 @@ class Encoder:
             self.by_piece = _splits_at_spaces(json.load(f))
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
+        # of a byte-level token each character is a byte; added ones are as they stand in a text
+        lengths = {i: len(t) for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items()} | {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.bytes_of = np.zeros(max(lengths, default=-1) + 1, np.int64)
+        self.bytes_of[list(lengths)] = list(lengths.values())
         self.known: dict[bytes, int] = {}
         self.at, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
 
@@ -195,6 +201,20 @@ class Encoder:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.fromiter(chain.from_iterable(ids), self.kind), np.fromiter(map(len, ids), np.int64, len(ids))
 
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each piece has. Pieces go in runs, where a text that holds them is cut between them; their ids are told apart by their bytes."""
+        data, offsets = textops.flat(pieces)
+        raw, inner = data.tobytes(), offsets[1:-1]
+        apart = ~np.isin(inner, piece_starts(data, offsets[[0, -1]]), assume_unique=True) | (inner // RUN_BYTES != offsets[:-2] // RUN_BYTES)
+        edges = [0, *inner[apart].tolist(), len(raw)]
+        texts = [raw[a:b].decode() for a, b in zip(edges, edges[1:], strict=False)]
+        ids = np.concatenate([np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.cumsum(self.bytes_of[ids])
+        upto = np.searchsorted(ends, offsets[1:], "right")
+        if len(ids) and upto[0] and ends[-1] == len(raw) and (ends[upto - 1] == offsets[1:]).all():
+            return ids, np.diff(upto, prepend=0)
+        return self._whole([x.decode() for x in pieces.to_pylist()])  # a vocabulary without all bytes
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a flat buffer, and where each text's ids end."""
         raw = data.tobytes()
@@ -212,7 +232,7 @@ class Encoder:
         new = np.flatnonzero(spot < 0)
         long = np.array([len(pieces[i]) > CACHE_BYTES for i in new.tolist()], bool)
         keep, new = [pieces[i] for i in new[~long].tolist()], np.concatenate([new[~long], new[long]])  # those to keep come first
-        ids, n = self._whole([pieces[i].decode() for i in new.tolist()])
+        ids, n = self._pieces(coded.dictionary.take(pa.array(new))) if len(new) else (np.zeros(0, self.kind), np.zeros(0, np.int64))
         flat = np.concatenate([self.flat, ids])
         at, size = self.at[spot] if len(self.at) else np.zeros(len(spot), np.int64), self.size[spot] if len(self.size) else np.zeros(len(spot), np.int64)
         at[new], size[new] = len(self.flat) + np.cumsum(n) - n, n

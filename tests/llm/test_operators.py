@@ -717,3 +717,32 @@ def test_mix_of_nothing(spark):
 def test_unescaping_is_html():
     assert html_extract.extract("<article><p>a &lt;b&gt; &eacute; &#x41; &amp c and so on it goes</p></article>") == html.unescape("a &lt;b&gt; &eacute; &#x41; &amp c and so on it goes")
     assert F is not None
+
+
+def test_new_pieces_are_encoded_in_runs():
+    from tokenizers import Tokenizer
+
+    path = token_store.default_tokenizer()
+    r = random.Random(5)
+    made = lambda n, letters: "".join(r.choice(letters) for _ in range(n))
+    odd = [made(r.randint(0, 90), "ab  \n\t  　é日🙂'.7<>|s") for _ in range(400)]
+    texts = [*odd, " ".join(made(9, "abcdefghij") for _ in range(20_000)), "a" * 5000 + " " + "b" * 5000, "", " ", "x \n", "<|endoftext|> <s></s> end ", "  x", "é é"]
+    plain = Tokenizer.from_file(path)
+    enc = token_store.Encoder(path)
+    sent = []
+
+    class Counted:
+        def encode_batch_fast(self, some, **kw):
+            sent.extend(some)
+            return plain.encode_batch_fast(some, **kw)
+
+    enc.tokenizer = Counted()
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    ids, stops = enc.encode(data, offsets)
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip([0, *stops[:-1]], stops, strict=True)] == want
+    assert len(sent) < 2000  # of over 20,000 distinct pieces
+    enc = token_store.Encoder(path)
+    enc.bytes_of[:] = 1  # bytes that do not add up: one by one, as before
+    assert enc.encode(data, offsets)[0].tolist() == ids.tolist()

@@ -47,12 +47,12 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = match.top(_scored(_pairs(spark, sf_dir)), "q_id")
+    best = match.top(_scored(_pairs(spark, sf_dir)), HINT)
     return best.select("q_id", "c_id", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("place"), "runtime_band")
 
 
 def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = match.ranked(_scored(_pairs(spark, sf_dir)), "q_id")
+    best = match.ranked(_scored(_pairs(spark, sf_dir)), HINT)
     strict = match.accepted(best).select("q_id", "c_id", "accepted")
     return strict
 

@@ -59,7 +59,7 @@ def test_titles_are_not_sent_with_each_pair(spark, sf_dir, name):
     assert "title" not in ranks.replace("title_distance", "").replace("hint_title", "")
 
 
-@pytest.mark.parametrize("name", ["link_text_editions"])
+@pytest.mark.parametrize("name", ["link_text_editions", "link_text_ranked"])
 def test_pairs_of_titles_are_not_sent(spark, sf_dir, name):
     above, search = plan(catalog.queries()[name](spark, sf_dir)).split("Generate posexplode", 1)
     assert "Exchange" not in above and "Exchange" in search

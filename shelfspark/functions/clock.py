@@ -83,15 +83,17 @@ def size_text(n: Column) -> Column:
     return F.when(n >= gb, F.format_string("%.1f GB", n / gb)).when(n >= mb, F.format_string("%.1f MB", n / mb)).when(n >= kb, F.format_string("%.1f KB", n / kb)).otherwise(F.format_string("%d B", n.cast("long")))
 
 
-def unwrapped_ms(codec: Column, time_base: Column, ts: Column, frames: Column) -> Column:
-    """Duration of a stream whose 32-bit tick count wrapped, from its frame count; null where it did not wrap."""
+def unwrapped_ms(codec: Column, time_base: Column, ts: Column, frames: Column, signed: bool = False) -> Column:
+    """Duration of a stream whose 32-bit tick count wrapped, from its frame count; null where it did not wrap. Ticks and frames
+    below one are unknown, unless they are ``signed``."""
     wrap = 1 << 32
     parts = F.split(time_base, "/")
     n, d = F.try_element_at(parts, F.lit(1)).try_cast("long"), F.try_element_at(parts, F.lit(2)).try_cast("long")
     about = frames.cast("long") * 1024
     k = div(about - ts + wrap // 2, wrap)
     fixed = ts + k * wrap
-    ok = (codec == "aac") & (ts > 0) & (frames > 0) & (F.size(parts) == 2) & (n > 0) & (d > 0) & (k >= 1) & (F.abs(fixed - about) <= div(about, 100))
+    known = F.lit(True) if signed else (ts > 0) & (frames > 0)
+    ok = (codec == "aac") & known & (F.size(parts) == 2) & (n > 0) & (d > 0) & (k >= 1) & (F.abs(fixed - about) <= div(about, 100))
     return F.when(ok, div(fixed * 1000 * n, d))
 
 

@@ -27,6 +27,12 @@ def test_tick_counts_of_large_keys(spark, tmp_path):
     same(spark, tmp_path, "snap_rung_wrap_recovery", "part", rows, "p_partkey long, p_size int")
 
 
+def test_tick_counts_of_keys_below_one(spark, tmp_path):
+    keys = [0, -1, -7, -1000, -426_400, -430_650, -430_659, -430_660, -430_661, -645_990, -5_000_000_000, None]
+    rows = [(k, s) for k in keys for s in (None, -5, 0, 25, 26, 50)]
+    same(spark, tmp_path, "snap_rung_wrap_recovery", "part", rows, "p_partkey long, p_size int")
+
+
 def test_capitals_and_cuts_of_texts(spark, tmp_path):
     starts = ["ßheit, was", "ﬁn", "ŉ x", "ᾳβ", "İstanbul", "ΑΣ ΟΔΟΣ", "éa", "", " x", "😀 y"]
     long = ["a" * 30 + " " + "b" * 28 + "�" + " tail", "é" * 40, "x" * 59 + "é", "x" * 58 + "é!", "word " * 20, "w" * 31 + " ́" + "c" * 40, "日本 " * 12, "a" * 61, "a" * 60]

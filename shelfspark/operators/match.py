@@ -19,6 +19,8 @@ from . import similar
 # Band name, largest share of the local runtime, points.
 BANDS = (("exact", 0.005, 25), ("close", 0.02, 12), ("near", 0.05, 3), ("off", 0.15, -12))
 BEYOND = -30
+#: The score of a candidate that agrees in everything, at place 0.
+BEST = 100 + BANDS[0][2]
 # Language of a storefront.
 REGION_LANGUAGE = {"us": "english", "uk": "english", "au": "english", "ca": "english", "in": "english", "de": "german", "fr": "french", "es": "spanish", "it": "italian", "jp": "japanese"}
 MAX_ROWS = 8
@@ -61,6 +63,12 @@ def nearest_author(hint: Column, authors: Column) -> Column:
     return F.when((hint != "") & (F.size(authors) > 0), F.array_min(F.transform(authors, lambda a: F.levenshtein(h, text.folded_lower(a)))))
 
 
+def points(title: Column, author: Column, pos: Column, band: Column, agrees: Column | None = None) -> Column:
+    """The score of a candidate from its distances (null: not known), its place, its runtime band and whether its language agrees."""
+    other = F.lit(0) if agrees is None else F.when(agrees, 0).otherwise(25)
+    return (F.lit(100) - 2 * F.coalesce(title, F.lit(0)) - 10 * F.coalesce(author, F.lit(0)) - pos + band["points"] - other).cast("int")
+
+
 def scored(pairs: DataFrame, distance: Column | None = None) -> DataFrame:
     """Adds title_distance, runtime_band, runtime_delta and score to rows of a hint (hint_title, hint_author,
     hint_runtime, hint_language) and a candidate (title, authors, runtime_min, language, pos). ``distance`` is the titles' where the
@@ -70,15 +78,9 @@ def scored(pairs: DataFrame, distance: Column | None = None) -> DataFrame:
         distance = F.when(F.col("hint_title") != "", text.fuzzy_distance(hint, text.folded_lower(F.col("title"))))
     band = runtime_band(F.col("runtime_min"), F.col("hint_runtime"))
     out = pairs.withColumn("title_distance", distance).withColumn("_b", band)
-    points = (
-        F.lit(100)
-        - 2 * F.coalesce("title_distance", F.lit(0))
-        - 10 * F.coalesce(nearest_author(F.col("hint_author"), F.col("authors")), F.lit(0))
-        - F.col("pos")
-        + F.col("_b.points")
-        - F.when(language_agrees(F.col("hint_language"), F.col("language")), 0).otherwise(25)
-    )
-    return out.withColumn("score", points.cast("int")).withColumn("runtime_band", F.col("_b.band")).withColumn("runtime_delta", F.col("_b.delta")).drop("_b")
+    author = nearest_author(F.col("hint_author"), F.col("authors"))
+    score = points(F.col("title_distance"), author, F.col("pos"), F.col("_b"), language_agrees(F.col("hint_language"), F.col("language")))
+    return out.withColumn("score", score).withColumn("runtime_band", F.col("_b.band")).withColumn("runtime_delta", F.col("_b.delta")).drop("_b")
 
 
 def ranked(scores: DataFrame, key: str | list[str]) -> DataFrame:

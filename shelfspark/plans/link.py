@@ -7,7 +7,7 @@ relevance order a catalog would return.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,37 +15,107 @@ from ..functions import text
 from ..operators import match
 
 CANDIDATES = 25
-#: Places of a type that one group of ``_pairs`` takes, besides ``CANDIDATES`` of its neighbours' at either end.
+#: Places on either side that ``top_candidates`` looks at without a join.
+NEAR = 128
+#: Places of a type that one group of ``_near`` takes, besides its reach of its neighbours' at either end.
 BLOCK = 1000
-#: What ranks the candidates of a hint: with its block, so that rows stay where ``_pairs`` made them.
+#: What ranks the candidates of a hint: with its block, so that rows stay where ``_near`` made them.
 HINT = ["hint_language", "block", "q_id"]
+#: What scoring takes of a hint: ``t`` and ``a`` are its folded title and author.
+HELD = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "t", "a"]
+RUNTIME = "cast(p_size * 10 + p_partkey % 3 - 1 as int) as runtime_min"
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hint and candidate rows. The nearest parts of a type are nearest by place in its key order too, so a hint's are among
-    ``CANDIDATES`` places on either side: a window over blocks of places, each with its neighbours' edges. Nothing is joined, so
-    no side of a join can be taken for small by the size of its file."""
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with their place in the key order of their type."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_type", "p_size").where("p_type is not null")
-    part = part.withColumn("b", F.row_number().over(Window.partitionBy("p_type").orderBy("p_partkey")))
-    reach = F.sequence(F.floor((F.col("b") - CANDIDATES) / BLOCK), F.floor((F.col("b") + CANDIDATES) / BLOCK))
-    # as many parts as the session shuffles into: rows grow by ``CANDIDATES`` after this, which their size before does not tell
-    dealt = part.withColumn("block", F.explode(reach)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_type", "block")
-    candidate = F.struct(F.col("p_partkey").alias("c_id"), F.col("p_name").alias("title"), F.array("p_brand").alias("authors"), (F.col("p_size") * 10 + F.col("p_partkey") % 3 - 1).cast("int").alias("runtime_min"))
-    around = F.collect_list(candidate).over(Window.partitionBy("p_type", "block").orderBy("b").rowsBetween(-CANDIDATES, CANDIDATES))
-    near = F.array_sort(F.transform("around", lambda c: F.struct(F.abs(c["c_id"] - F.col("p_partkey")).alias("d"), c["c_id"].alias("c_id"), c.alias("c"))))
+    return part.withColumn("b", F.row_number().over(Window.partitionBy("p_type").orderBy("p_partkey")))
+
+
+def _near(spark: SparkSession, part: DataFrame, candidate: Column, reach: int) -> DataFrame:
+    """Parts, each with its ``reach`` nearest of its type by key, nearest first. They are nearest by place in the key order too, so
+    they are among ``reach`` places on either side: a window over blocks of places, each with its neighbours' edges. Nothing is
+    joined, so no side of a join can be taken for small by the size of its file."""
+    blocks = F.sequence(F.floor((F.col("b") - reach) / BLOCK), F.floor((F.col("b") + reach) / BLOCK))
+    # as many parts as the session shuffles into: rows grow by ``reach`` after this, which their size before does not tell
+    dealt = part.withColumn("block", F.explode(blocks)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_type", "block")
+    around = F.collect_list(candidate).over(Window.partitionBy("p_type", "block").orderBy("b").rowsBetween(-reach, reach))
+    near = F.sort_array(F.transform("around", lambda c: F.struct(F.abs(c["c_id"] - F.col("p_partkey")).alias("d"), c["c_id"].alias("c_id"), c.alias("c"))))
     home = dealt.withColumn("around", around).where(F.col("block") == F.floor(F.col("b") / BLOCK))
+    return home.withColumn("near", F.slice(near, 1, reach)).drop("around")
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hint and candidate rows: the ``CANDIDATES`` nearest by key."""
+    candidate = F.struct(F.col("p_partkey").alias("c_id"), F.col("p_name").alias("title"), F.array("p_brand").alias("authors"), F.expr(RUNTIME))
+    home = _near(spark, _parts(spark, sf_dir), candidate, CANDIDATES)
     hint = [F.col("p_partkey").alias("q_id"), F.col("p_name").alias("hint_title"), F.col("p_brand").alias("hint_author"), (F.col("p_size") * 10).alias("hint_runtime"), F.col("p_type").alias("hint_language"), "block"]
-    pairs = home.select(*hint, F.posexplode(F.slice(near, 1, CANDIDATES)).alias("pos", "near"))
+    pairs = home.select(*hint, F.posexplode("near").alias("pos", "near"))
     return pairs.select("q_id", "hint_title", "hint_author", "hint_runtime", "hint_language", "block", "near.c.*", F.col("hint_language").alias("language"), "pos")
 
 
-_PAIRS_SQL = f"""
+def _score(c: Column, pos: Column) -> Column:
+    """The score of a candidate struct for the part of the row; their types are equal."""
+    title = F.when(F.col("p_name") != "", text.fuzzy_distance(F.col("t"), c["t"]))
+    author = F.when(F.col("p_brand") != "", F.levenshtein("a", c["a"]))
+    return match.points(title, author, pos, _band(c))
+
+
+def _band(c: Column) -> Column:
+    return match.runtime_band(c["runtime_min"], F.col("p_size") * 10)
+
+
+def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best candidates of each part among all of its type. A score falls by one a place, so from ``BEST`` less the least of the
+    first ``CANDIDATES``' best on, no place can hold one of the best: a part looks as far as that, however far it is. A window
+    finds what lies within ``NEAR`` places, ``_far`` the rest."""
+    folded = {"t": text.folded_lower(F.col("p_name")), "a": text.folded_lower(F.col("p_brand"))}
+    part = _parts(spark, sf_dir).withColumns(folded).withColumn("c", F.struct(F.col("p_partkey").alias("c_id"), "t", "a", F.expr(RUNTIME), F.col("b").alias("place")))
+    first = F.transform(F.slice("near", 1, CANDIDATES), lambda n, i: _score(n["c"], i))
+    # null where a type has fewer parts than are wanted: all of them are near
+    least = F.get(F.sort_array(first, asc=False), F.lit(match.MAX_ROWS - 1))
+    reach = lambda least: F.coalesce(match.BEST - least, F.lit(NEAR))
+
+    def within(x: Column) -> Column:
+        # what the running time alone rules out needs no distances
+        hopeful = lambda n, i: x.isNull() | (match.points(F.lit(0), F.lit(0), i, _band(n["c"])) >= x)
+        tried = F.transform(F.slice("near", F.lit(1), reach(x)), lambda n, i: F.struct(i.alias("pos"), n["c"].alias("c"), F.when(hopeful(n, i), _score(n["c"], i)).alias("score")))
+        return F.when(reach(x) <= NEAR, F.filter(tried, lambda s: s["score"].isNotNull() & (x.isNull() | (s["score"] >= x))))
+
+    home = _near(spark, part, F.col("c"), NEAR).select(*HELD, "block", F.explode(text.let(least, within)).alias("s"))
+    near = match.top(home.select(*HELD, "block", "s.*"), ["p_type", "block", "p_partkey"])
+
+    beyond = _near(spark, part, F.col("c"), CANDIDATES).withColumn("least", least).where(reach(F.col("least")) > NEAR)
+    far = match.top(_far(part, beyond.select(*HELD, "b", "least")), ["p_type", "p_partkey"])
+    best = near.select(*HELD, "c", "score", "rank").unionByName(far.select(*HELD, "c", "score", "rank"))
+    return best.select(F.col("p_partkey").alias("q_id"), "c.c_id", "score", "rank", _band(F.col("c")).alias("band"))
+
+
+def _far(part: DataFrame, hints: DataFrame) -> DataFrame:
+    """Candidates of ``hints`` (with place b, and the least score) that reach the least score, however many places off: by a join on
+    blocks. A place in the order of distance is a count of keys up to the candidate's mirror image about the hint, told by a running count
+    over keys and images of those candidates that could reach the score at a place no nearer than that in the key order."""
+    reach, off = match.BEST - F.col("least"), F.abs(F.col("c.place") - F.col("b"))
+    blocks = F.sequence(F.floor(F.greatest(F.col("b") - reach, F.lit(0)) / BLOCK), F.floor((F.col("b") + reach) / BLOCK))
+    others = part.select("p_type", F.floor(F.col("b") / BLOCK).alias("block"), "c")
+    met = hints.withColumn("block", F.explode(blocks)).join(others.hint("merge"), ["p_type", "block"]).where(off < reach)
+    met = met.where(_score(F.col("c"), off) >= F.col("least"))
+    images = met.select("p_type", (2 * F.col("p_partkey") - F.col("c.c_id")).alias("key"), F.lit(0).alias("n"), F.struct(*HELD, "b", "c", "least").alias("m"))
+    keys = part.select("p_type", F.col("p_partkey").alias("key"), F.lit(1).alias("n"))
+    below = F.sum("n").over(Window.partitionBy("p_type").orderBy("key", "n").rowsBetween(Window.unboundedPreceding, 0))
+    counted = images.unionByName(keys, allowMissingColumns=True).withColumn("below", below).where("n = 0").select("m.*", "below")
+    pos = F.when(F.col("c.place") >= F.col("b"), F.col("c.place") - 1 - F.col("below")).otherwise(F.col("below") - F.col("c.place"))
+    return counted.withColumn("pos", pos.cast("int")).withColumn("score", _score(F.col("c"), F.col("pos"))).where("score >= least")
+
+
+_NEAR_SQL = """
   hints AS (SELECT p_partkey q_id, p_name hint_title, p_brand hint_author, p_size * 10 hint_runtime, p_type hint_language FROM part),
   near AS (
     SELECT h.*, c.p_partkey c_id, c.p_name title, c.p_brand author, c.p_size * 10 + c.p_partkey % 3 - 1 runtime_min, c.p_type "language",
            row_number() OVER (PARTITION BY q_id ORDER BY abs(c.p_partkey - q_id), c.p_partkey) - 1 pos
     FROM hints h JOIN part c ON c.p_type = h.hint_language),
-  pairs AS (SELECT * FROM near WHERE pos < {CANDIDATES}),
+"""
+_SCORED_SQL = """
   parts AS (
     SELECT *, lower(hint_title) ht, lower(title) ct, abs(runtime_min - hint_runtime) ad, abs(runtime_min - hint_runtime) / hint_runtime::DOUBLE pct FROM pairs),
   terms AS (
@@ -59,14 +129,15 @@ _PAIRS_SQL = f"""
     SELECT *, row_number() OVER w AS "rank", lead(score) OVER w next_score, lead(band) OVER w next_band
     FROM scored WINDOW w AS (PARTITION BY q_id ORDER BY score DESC, pos))
 """
+_PAIRS_SQL = f"{_NEAR_SQL}  pairs AS (SELECT * FROM near WHERE pos < {CANDIDATES}),{_SCORED_SQL}"
 
 
 def top_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = match.top(match.scored(_pairs(spark, sf_dir)), HINT)
-    return best.select("q_id", "c_id", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("place"), "runtime_band", F.col("runtime_delta").cast("long").alias("runtime_delta"))
+    best = _best(spark, sf_dir)
+    return best.select("q_id", "c_id", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("place"), F.col("band.band").alias("runtime_band"), F.col("band.delta").cast("long").alias("runtime_delta"))
 
 
-TOP_SQL = f"""WITH {_PAIRS_SQL}
+TOP_SQL = f"""WITH {_NEAR_SQL}  pairs AS (SELECT * FROM near),{_SCORED_SQL}
 SELECT q_id, c_id, CAST(score AS BIGINT) AS score, CAST("rank" AS BIGINT) AS place, band AS runtime_band, CAST(CASE WHEN runtime_min <= 0 THEN 0 ELSE runtime_min - hint_runtime END AS BIGINT) AS runtime_delta
 FROM ranked WHERE "rank" <= {match.MAX_ROWS}"""
 

@@ -63,3 +63,22 @@ def test_titles_are_not_sent_with_each_pair(spark, sf_dir, name):
 def test_pairs_of_titles_are_not_sent(spark, sf_dir, name):
     above, search = plan(catalog.queries()[name](spark, sf_dir)).split("Generate posexplode", 1)
     assert "Exchange" not in above and "Exchange" in search
+
+
+@pytest.mark.parametrize(("near", "block"), [(128, 1000), (25, 7)])
+def test_top_candidates_of_any_place(spark, tmp_path, monkeypatch, near, block):
+    import duckdb
+
+    monkeypatch.setattr(link, "NEAR", near)
+    monkeypatch.setattr(link, "BLOCK", block)
+    # twins 40 places off among titles that are all unlike, keys with gaps, a type of long titles and one of five parts
+    rows = [(3 * k + k % 2, f"{'twin title' if k % 40 == 0 else chr(97 + k % 26) * (4 + k % 9)}", f"Brand#{k % 7}", "A", 10 if k % 40 == 0 else 1 + k % 50) for k in range(130)]
+    rows += [(1000 + 5 * k, chr(97 + k % 26) * (60 + k % 5) if k % 61 else "long twin " * 7, f"Brand#{k % 5}", "B", 20 if k % 61 == 0 else 1 + k % 50) for k in range(250)]
+    rows += [(9000 + k, "few", "Brand#1", "C", 3) for k in range(5)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    df = link.top_candidates(spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({link.TOP_SQL})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want)
+    assert (0, 120, 1) in {(q, c, 1) for q, c, *_ in want}
